@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, simhash, transport
+from . import html_text, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport
 
 QUERIES = {
     "op2_transport_streams": transport.query,
     "op3_simhash": simhash.query,
+    "op4_main_text": html_text.query,
+    "op5_toxicity": toxicity.query,
+    "op6_pieces": pieces.query,
     "op7_line_dedup": line_dedup.query,
     "op8_source_mixing": mixing.query,
+    "op9_substrings": substrings.query,
 }
 
 SQL: dict[str, str] = {}
