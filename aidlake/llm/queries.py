@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport
+from . import html_text, kneser_ney, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport
 
 QUERIES = {
     "op2_transport_streams": transport.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pieces": pieces.query,
     "op7_line_dedup": line_dedup.query,
     "op8_source_mixing": mixing.query,
+    "op10_kneser_ney": kneser_ney.query,
     "op9_substrings": substrings.query,
 }
 
