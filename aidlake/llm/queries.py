@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_text, kneser_ney, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport
+from . import grid_order, html_text, kneser_ney, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport
 
 QUERIES = {
+    "op1_grid_order": grid_order.query,
     "op2_transport_streams": transport.query,
     "op3_simhash": simhash.query,
     "op4_main_text": html_text.query,
