@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .common import components, spanning, written
 
 #: Table rows of one key beyond which a key is split into a grid of tasks.
 HOT_ROWS = 16_384
+#: A comparison of two fingerprints in terms of a probe that is made, moved and sorted.
+MATCH_COST = 0.02
 #: Candidate pairs looked at in one go.
 PAIRS = 2_000_000
 
@@ -51,19 +54,25 @@ def fingerprints(df: DataFrame, text_col: str, k: int) -> DataFrame:
 def segments(n: int, distance: int) -> list[tuple[int, int, int]]:
     """(lowest bit, bits, radius) of each segment for n fingerprints.
 
-    Segments of about log2(n) bits keep a table's lists short. With the radii's sum at distance + 1 - number of
-    segments, two fingerprints within the distance are within the radius in a segment at least: otherwise they
-    would differ in sum(radius + 1) = distance + 1 bits. So the result is the same for every number of segments.
+    With the radii's sum at distance + 1 - number of segments, two fingerprints within the distance are within the
+    radius in a segment at least: otherwise they would differ in sum(radius + 1) = distance + 1 bits. So the result
+    is the same for every number of segments; the one is taken that costs least: a probe travels, a table match is
+    a comparison. More segments mean smaller balls but longer lists, so their number falls as n grows.
     """
-    m = max(1, min(distance + 1, 64 // max(13, int(n).bit_length())))
-    spare, more = divmod(distance + 1 - m, m)
-    width, wide = divmod(64, m)
-    out, low = [], 0
-    for i in range(m):
-        bits = width + (i >= m - wide)
-        out.append((low, bits, spare + (i < more)))
-        low += bits
-    return out
+    best: tuple[float, list] = (float("inf"), [])
+    for m in range(1, max(1, distance) + 1):
+        spare, more = divmod(distance + 1 - m, m)
+        width, wide = divmod(64, m)
+        parts, low, cost = [], 0, 0.0
+        for i in range(m):
+            bits, radius = width + (i >= m - wide), spare + (i < more)
+            parts.append((low, bits, radius))
+            ball = sum(comb(bits, r) for r in range(radius + 1))
+            cost += ball * (1 + MATCH_COST * n / 2**bits)
+            low += bits
+        if max(p[1] for p in parts) <= 32 and cost < best[0]:
+            best = cost, parts
+    return best[1] or [(0, 32, distance // 2), (32, 32, distance // 2)]
 
 
 def probes(fp: Column, low: int, bits: int, radius: int) -> Column:
@@ -77,7 +86,8 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     """(u, v): links that join the same fingerprints (distinct, column fp) as all pairs within the distance."""
     parts = segments(fps.count(), distance)
     rows = fps.select("fp", F.explode(F.concat(*[probes(F.col("fp"), *p) for p in parts])).alias("x")).select("x.seg", "x.key", "x.d", "fp")
-    hot = rows.where("d = 0").groupBy("seg", "key").count().where(F.col("count") > HOT_ROWS).select("seg", "key", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("n"))
+    # Written first: a small table of hot keys is then joined without moving the rows, a large one with a shuffle.
+    hot = written(rows.where("d = 0").groupBy("seg", "key").count().where(F.col("count") > HOT_ROWS).select("seg", "key", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("n")), "hot-keys")
     own, every = F.pmod(F.xxhash64("fp"), F.coalesce("n", F.lit(1))).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))
     rows = rows.join(hot, ["seg", "key"], "left")
     # A hot key's table rows and probes meet in a grid of tasks; each pair meets once.
@@ -132,22 +142,26 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, distance: int = 4) -> DataFrame:
-    """(id, fingerprint, component_id) of every row: documents whose fingerprints differ in few bits, transitively.
+    """(id, fingerprint, component_id, text_hash, kept) of every row: documents whose fingerprints differ in few bits.
 
     Words are runs of characters other than space and \\x09-\\x0D after lower-casing A-Z. A null or empty text has
-    fingerprint zero and links like any other. Copies and ties share a fingerprint and are compared once. A row
-    with a null id is grouped like the others; component_id is the smallest id that is not null (null if there is
-    none). Repeated rows give repeated results; an empty table gives none; other columns are ignored. Texts are
-    taken whole, shingles are hashed in blocks.
+    fingerprint zero and links like any other. Links count transitively. Copies and ties share a fingerprint and
+    are compared once. component_id is a group's smallest id that is not null (null if it has none). kept marks the
+    document of a group that stays: the smallest id, nulls last, then the smallest text_hash (XXH64 of the text);
+    rows that repeat it are marked alike. An empty table gives none; other columns are ignored. Texts are taken
+    whole, shingles are hashed in blocks.
     """
-    docs = written(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", k), "fingerprints")
-    fps = docs.groupBy("fp").agg(F.min("id").alias("rep"))
-    roots = components(links(fps.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
-    named = written(fps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = named.join(least, "root").select("fp", "component_id")
-    return docs.join(known, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("t"))
+    docs = written(fingerprints(rows, "t", k), "fingerprints")
+    fps = docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"))
+    fps = written(fps, "distinct")
+    roots = components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
+    named = written(fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    known = named.drop("first").join(least, "root").select("fp", "first")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return docs.join(known, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"), "text_hash", kept.alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
