@@ -1,8 +1,69 @@
-"""A training-data pipeline over documents."""
+"""A training-data pipeline over documents: toxicity, line dedup, near-dedup, mixing, SentencePiece.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next one's docs. All stages but the last return the columns of documents. Rows are known by all their values, so
+null or repeated ids are no trouble; empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from aidlake.llm import common, line_dedup, mixing, pieces, simhash, toxicity
+
+#: Words of a shingle and differing bits of two 64-bit fingerprints in the near-dedup stage.
+SHINGLE, DISTANCE = 5, 8
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on `labels`, scores at 0.5 or more go."""
+    net = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, net).where("score < 0.5").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go; every document stays, and n_chars follows its text."""
+    out = line_dedup.line_dedup(docs)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    groups = simhash.simhash_groups(docs, k=SHINGLE, distance=DISTANCE)
+    stay = groups.where("kept").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    found = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_hash"] == stay["text_hash"]), "left_semi")
+    once = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
+    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times or not at all."""
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    slim = mixing.with_size(rows).select("doc_id", "_row", "source", "size")
+    copies = mixing.mix(slim).groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("doc_id"))).where("_n = 1")
+    taken = first.join(copies.where("_copies > 0"), first["doc_id"].eqNullSafe(copies["_id"]) & (first["_row"] == copies["_key"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids and their number for each document, its text decoded from them again."""
+    coded = pieces.decode(pieces.encode(docs).drop("text"), text_col="text")
+    return coded.select(*docs.columns, F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("toxicity", toxic), ("line_dedup", lines), ("simhash", near), ("mixing", mixed), ("pieces", tokens)]
+
+#: A network's scores, hash-based rounding and a piece vocabulary are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        docs = out if name == STAGES[-1][0] else common.written(out, f"stage-{name}")
+    return docs
