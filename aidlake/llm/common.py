@@ -144,7 +144,7 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over the undirected edges (u, v), for every node that has one.
+    """(node, root): the smallest node reachable over the undirected edges (u, v), for each node that reaches a smaller one.
 
     Large-star and small-star steps (Kiveris et al., 2014): each replaces a node's links by links to the least
     neighbour, found by a pre-aggregated min, never by collecting a neighbourhood. Every round's edges are written

@@ -85,9 +85,11 @@ def asked(chunk: int, hashes: np.ndarray, owners: np.ndarray, n: int) -> pa.Reco
 
 def least(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes in order, their smallest owner, and whether they have several owners."""
+    if not len(hashes):
+        return hashes, owners, np.empty(0, bool)
     order = np.lexsort((owners, hashes))
     hashes, owners = hashes[order], owners[order]
-    head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
+    head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     lowest = owners[head]
     return hashes[head], lowest, owners[np.append(head[1:], len(hashes)) - 1] != lowest
 
