@@ -26,7 +26,7 @@ def help_requests(posts: DataFrame, places: DataFrame, text_col: str = "text") -
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(\w+)"), 1))
     out = posts.select(
-        "*", F.regexp_extract_all(text_col, F.lit(PHONE), 1).alias("phones"), F.expr(f"transform(regexp_extract_all({text_col}, '{PEOPLE}', 1), x -> cast(x as int))").alias("people"),
+        "*", F.regexp_extract_all(text_col, F.lit(PHONE), 1).alias("phones"), F.transform(F.regexp_extract_all(text_col, F.lit(PEOPLE), 1), lambda x: x.cast("int")).alias("people"),
         F.array_intersect(words, F.array(*map(F.lit, NEEDS))).alias("needs"),
     )
     named = posts.select("post_id", F.lower(text_col).alias("_text"), F.explode(words).alias("_first"))
