@@ -17,4 +17,24 @@ QUERIES = {
     "op9_substrings": substrings.query,
 }
 
-SQL: dict[str, str] = {}
+#: What SQL can express; the others are tested against brute force, exact round trips or held-out accuracy.
+SQL: dict[str, str] = {
+    "op1_grid_order": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_sum(list_transform(embedding, lambda e: e::DOUBLE * e)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+                 WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x)) / sqrt(list_dot_product(b.x, b.x)) >= 0.98),
+        reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+        near AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+        SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept
+        FROM reach r LEFT JOIN near n ON n.vec_id = r.vec_id GROUP BY r.vec_id""",
+    "op9_substrings": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) AS t(i)),
+        own AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, p FROM (SELECT win.doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN own ON own.k = win.k AND own.first < win.doc_id) x),
+        word AS (SELECT doc_id, p, ws[p] AS t FROM w, unnest(range(1, len(ws) + 1)) AS t(p)),
+        kept AS (SELECT word.doc_id, string_agg(t, ' ' ORDER BY p) AS text, count(*) AS n FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY word.doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+}
