@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import allocation, graphs, learning, rasters, series, texts
+from ..operators import allocation, graphs, learning, rasters, recurrent, series, texts
 from ..sources import files
 from ..sources.tables import table
 from ..streaming import monitor
@@ -133,6 +133,11 @@ def rain_gauges(spark, d: str) -> DataFrame:
     return series.repair(f, "gauge", "ts", "rain_mm").groupBy("fault", "flag").agg(F.count("*").alias("n"), F.round(F.avg("repaired"), 3).alias("mean"))
 
 
+def water_level_networks(spark, d: str) -> DataFrame:
+    hourly = table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("level"))
+    return recurrent.forecast(hourly, "event_type", "hour", "level")
+
+
 def approx_distinct(spark, d: str) -> DataFrame:
     return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"))
 
@@ -151,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_last_purchase, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, knowledge_communities,
-        raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, approx_distinct, sample,
+        raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
     )
 } | {
     "stream_tumbling": monitor.run(monitor.tumbling, "complete"),

@@ -152,6 +152,14 @@ PAIRS = {
         """WITH b AS (SELECT date_trunc('hour', min(ts)) AS lo, date_trunc('hour', max(ts)) AS hi FROM events), h AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM b)
            SELECT h.hour, coalesce(e.n, 0) AS n FROM h LEFT JOIN (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type = 'error' AND value > 100 GROUP BY 1) e ON e.hour = h.hour""",
     ),
+    "gap_fill_15m": (
+        """WITH b AS (SELECT date_trunc('hour', min(ts)) AS lo, date_trunc('hour', max(ts)) AS hi FROM {events}), q AS (SELECT explode(sequence(lo, hi, INTERVAL '15' MINUTE)) AS slot FROM b)
+           SELECT CAST(q.slot AS TIMESTAMP_NTZ) AS slot, coalesce(e.n, 0) AS n, round(coalesce(e.total, 0.0D), 4) AS total FROM q LEFT JOIN (
+             SELECT date_trunc('hour', ts) + make_dt_interval(0, 0, CAST(minute(ts) - minute(ts) % 15 AS INT), 0) AS slot, count(*) AS n, sum(value) AS total FROM {events} GROUP BY 1) e ON e.slot = q.slot""",
+        """WITH b AS (SELECT date_trunc('hour', min(ts)) AS lo, date_trunc('hour', max(ts)) AS hi FROM events), q AS (SELECT unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS slot FROM b)
+           SELECT q.slot::TIMESTAMP AS slot, coalesce(e.n, 0) AS n, round(coalesce(e.total, 0.0::DOUBLE), 4) AS total FROM q LEFT JOIN (
+             SELECT time_bucket(INTERVAL '15 minutes', ts) AS slot, count(*) AS n, sum(value) AS total FROM events GROUP BY 1) e ON e.slot = q.slot""",
+    ),
     "regex_extract": (
         "SELECT doc_id, regexp_extract(text, '([0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}})', 1) AS ip FROM {documents} WHERE regexp_like(text, '[0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}')",
         "SELECT doc_id, regexp_extract(text, '([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})', 1) AS ip FROM documents WHERE regexp_matches(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')",

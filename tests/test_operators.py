@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aidlake.functions import geo
-from aidlake.operators import allocation, graphs, learning, pictures, rasters, series, texts
+from aidlake.operators import allocation, graphs, inference, learning, pictures, rasters, recurrent, series, texts
 from aidlake.sources import files
 from aidlake.streaming import monitor
 
@@ -161,3 +161,45 @@ def test_late_events_are_left_out(spark, tmp_path):
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     got = {r.event_id for r in monitor.finished(monitor.distinct(stream), "append").collect()}
     assert got in ({1, 2}, {1, 2, 3})  # event 3 is late only if its file comes second
+
+
+def test_recurrent_networks_beat_the_last_value(spark):
+    t, r = datetime(2024, 1, 1), random.Random(3)
+    rows = [(s, t + timedelta(hours=i), __import__("math").sin(i / 2.0 + k) + r.gauss(0, 0.02)) for k, s in enumerate("ab") for i in range(400)] + [("short", t, 1.0), ("short", t, None)]
+    got = {(r.station, r.model): r.rmse for r in recurrent.forecast(spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double"), "k", "ts", "v").collect()}
+    assert len(got) == 6 and all(got[s, m] < 0.5 * got[s, "last value"] for s in "ab" for m in ("rnn", "lstm"))
+
+
+def test_recurrent_gradients():
+    import numpy as np
+
+    g = np.random.default_rng(0)
+    x, y = g.normal(size=(5, 6)), g.normal(size=5)
+    for kind in ("rnn", "lstm"):
+        p = recurrent.fit(kind, x, y)
+        loss = lambda: 0.5 * float(np.mean((recurrent._forward(kind, p, x)[0] - y) ** 2))  # noqa: E731, B023
+        got, kept = recurrent._forward(kind, p, x)
+        grad = recurrent._gradient(kind, p, x, kept, (got - y) / len(y))
+        for k in p:
+            at = np.unravel_index(np.argmax(abs(grad[k])), grad[k].shape)
+            old = p[k][at]
+            p[k][at] = old + 1e-6
+            up = loss()
+            p[k][at] = old - 1e-6
+            down = loss()
+            p[k][at] = old
+            assert abs((up - down) / 2e-6 - grad[k][at]) < 1e-6 + 1e-4 * abs(grad[k][at])
+
+
+def test_hooks_and_linear_autoencoder(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([([float(i), 2.0 * i, -i * 1.0],) for i in range(20)], "x array<float>")
+    twice = inference.model_udf(lambda: lambda a: a * 2, 3)
+    assert [list(r[0]) for r in df.select(twice("x")).limit(2).collect()] == [[0.0, 0.0, 0.0], [2.0, 4.0, -2.0]]
+    rows = df.select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), F.col("x")[2].alias("c"))
+    coded = inference.autoencode(learning.assembled(rows, ["a", "b", "c"]), "features", 1).collect()
+    assert all(np.allclose(r.restored, [r.a, r.b, r.c], atol=1e-5) for r in coded)  # the points are on a line
+    noisy = inference.noised(spark.createDataFrame([(bytearray([200] * 3000),)], "data binary"), 400).first().noisy
+    keep = float(np.prod(1 - np.linspace(1e-4, 0.02, 1000)[:400]))
+    assert abs(np.mean(noisy) - np.sqrt(keep) * (200 / 127.5 - 1)) < 0.1 and abs(np.var(noisy) - (1 - keep)) < 0.1
