@@ -110,6 +110,21 @@ def unpack_plain(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(dtype).ravel()
 
 
+def pack_words(a: np.ndarray) -> bytes:
+    """A uint64 array with repeats: its distinct values in order, and where each entry is among them."""
+    values, at = np.unique(a, return_inverse=True)
+    z = zstandard.ZstdCompressor(level=1)
+    body = z.compress(np.ascontiguousarray(at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+    head = pack(values)
+    return len(head).to_bytes(8, "little") + head + body
+
+
+def unpack_words(b: bytes) -> np.ndarray:
+    n = 8 + int.from_bytes(b[:8], "little")
+    at = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[n:]), np.uint8)
+    return unpack(b[8:n])[np.ascontiguousarray(at.reshape(4, -1).T).view(np.uint32).ravel()]
+
+
 def shard_bounds(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
     """Where each of n equal hash ranges begins in a sorted array; n + 1 entries."""
     edges = np.array([(s << 64) // n for s in range(n)], dtype=np.uint64)

@@ -44,8 +44,11 @@ def principal(classes: DataFrame) -> np.ndarray:
     return np.ascontiguousarray(vt[: min(DIMS, len(vt))].T)
 
 
-def blocks(classes: DataFrame, axes: np.ndarray, eps: float, parts: int) -> DataFrame:
-    """Classes in epsilon grid order, cut into blocks of BLOCK rows of one label and length, with bounding boxes."""
+def blocks(classes: DataFrame, axes: np.ndarray, eps: float, parts: int, kind: str = "f8") -> DataFrame:
+    """Classes in epsilon grid order, cut into blocks of BLOCK rows of one label and length, with bounding boxes.
+
+    kind is the type that holds the vectors' numbers without loss: f4 for a column of floats.
+    """
     m = axes.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +61,7 @@ def blocks(classes: DataFrame, axes: np.ndarray, eps: float, parts: int) -> Data
             at = unit @ axes
             cells = np.floor(at / eps).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("class"), b.column("label"), pa.array([len(v) for v in packed], pa.int32()), b.column("n"), pa.array(cells.tolist(), pa.list_(pa.int32())), pa.array(at.tolist(), pa.list_(pa.float64())), pa.array([v.tobytes() for v in packed], pa.binary())],
+                [b.column("class"), b.column("label"), pa.array([len(v) for v in packed], pa.int32()), b.column("n"), pa.array(cells.tolist(), pa.list_(pa.int32())), pa.array(at.tolist(), pa.list_(pa.float64())), pa.array([v.astype(kind).tobytes() for v in packed], pa.binary())],
                 ["class", "label", "size", "n", "cell", "at", "vec"],
             )
 
@@ -102,8 +105,11 @@ def near_blocks(boxes: DataFrame, m: int, eps: float) -> DataFrame:
     pairs of its children, until intervals are single blocks. All pairs of a level are taken in one join.
     """
     lo, hi = [f"lo{j}" for j in range(m)], [f"hi{j}" for j in range(m)]
-    top = boxes.agg(F.max("block")).first()[0]
-    levels = math.ceil(max(1, int(top or 0).bit_length()) / FAN_OUT_BITS)
+    part, seq = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    parts, most = (int(x or 0) for x in boxes.agg(F.max(part), F.max(seq)).first())
+    bits = most.bit_length()  # the numbers without their gaps: fewer levels
+    boxes = boxes.withColumn("block", F.shiftleft(part, bits).bitwiseOR(seq))
+    levels = math.ceil(max(1, parts.bit_length() + bits) / FAN_OUT_BITS)
     by = ["label", "size"]
 
     def nodes(level: int, name: str) -> DataFrame:
@@ -115,10 +121,11 @@ def near_blocks(boxes: DataFrame, m: int, eps: float) -> DataFrame:
     for level in range(levels - 1, -1, -1):
         met = pairs.join(nodes(level, "a"), [*by, "a_up"]).join(nodes(level, "b"), [*by, "b_up"]).where((F.col("a") <= F.col("b")) & (gap <= eps * eps * (1 + 1e-9) + 1e-12))
         pairs = met.select(*by, F.col("a").alias("a_up"), F.col("b").alias("b_up"))
-    return pairs.select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))
+    name = lambda c: F.shiftleft(F.shiftright(c, bits), 32).bitwiseOR(F.col(c).bitwiseAND(F.lit((1 << bits) - 1)))
+    return pairs.select(name("a_up").alias("a"), name("b_up").alias("b"))
 
 
-def links(cut: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def links(cut: DataFrame, pairs: DataFrame, threshold: float, kind: str = "f8") -> DataFrame:
     """(class, root, n): for each pair of blocks, how many vectors a class links to, and its group within the pair."""
     side = lambda s: cut.select(F.col("block").alias(s), F.col("size").alias(f"{s}_size"), *[F.col(c).alias(f"{s}_{c}") for c in ("classes", "counts", "vecs")])
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -128,7 +135,7 @@ def links(cut: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
             for i in range(b.num_rows):
                 r = {n: b.column(n)[i].as_py() for n in b.schema.names}
                 (ca, cb), (na, nb) = ([np.frombuffer(r[f"{s}_{c}"], np.int64) for s in "ab"] for c in ("classes", "counts"))
-                va, vb = (np.frombuffer(r[f"{s}_vecs"]).reshape(len(c), -1) for s, c in (("a", ca), ("b", cb)))
+                va, vb = (np.frombuffer(r[f"{s}_vecs"], kind).reshape(len(c), -1).astype(np.float64) for s, c in (("a", ca), ("b", cb)))
                 cos = (va @ vb.T) / np.sqrt(np.einsum("ij,ij->i", va, va))[:, None] / np.sqrt(np.einsum("ij,ij->i", vb, vb))
                 same = r["a"] == r["b"]
                 near = cos >= threshold
@@ -171,10 +178,11 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     classes = written(good.groupBy("key").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("id").alias("least")).withColumn("class", F.monotonically_increasing_id()), "classes")
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9)
     axes = principal(classes)
-    cut = written(blocks(classes, axes, eps, parts), "blocks")
+    kind = "f4" if df.schema[vec_col].dataType == T.ArrayType(T.FloatType()) else "f8"
+    cut = written(blocks(classes, axes, eps, parts, kind), "blocks")
     boxes = cut.drop("classes", "counts", "vecs")
     pairs = written(near_blocks(boxes, axes.shape[1], eps), "block-pairs")
-    found = written(links(cut, pairs.repartition("a", "b"), threshold), "links")
+    found = written(links(cut, pairs, threshold, kind), "links")
     roots = components(found.select(F.col("class").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("class").agg(F.sum("n").alias("others"))
     grouped = classes.select("class", "key", "n", "least").join(roots.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, WordHashes, mixed, pack, pack_plain, scratch, shard_bounds, shards, unpack, unpack_plain, window_hashes, written
+from .common import BASE, WordHashes, mixed, pack_plain, pack_words, scratch, shard_bounds, shards, unpack_plain, unpack_words, window_hashes, written
 from .toxicity import fold
 
 #: Words of an n-gram that the query counts.
@@ -55,11 +55,16 @@ def parts(kind: str, level: int, hashes: np.ndarray, cols: list[np.ndarray], num
     for s, (a, b) in enumerate(zip(at, at[1:], strict=False)):
         if b > a:
             o = np.argsort(cols[0][a:b], kind="stable")
-            first, *rest = (c[a:b][o] for c in cols)
-            out.append({"kind": kind, "level": level, "shard": s, "words": [pack(first), *map(pack_plain, rest)], "numbers": [pack_plain(x[a:b][o].astype(np.uint64)) for x in numbers], "stats": None})
+            out.append({"kind": kind, "level": level, "shard": s, "words": [pack_words(c[a:b][o]) for c in cols], "numbers": [pack_plain(x[a:b][o].astype(np.uint64)) for x in numbers], "stats": None})
     return out
 
 
+def once(hashes: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, list, list]:
+    """Distinct n-grams in order of their hash, with their words and how often each is there."""
+    h, first, count = np.unique(hashes, return_index=True, return_counts=True)
+    return h, [c[first] for c in cols], [count]
+
+
 def summed(hashes: np.ndarray, cols: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, list, list]:
     """Distinct n-grams in order of their hash, with their words and summed numbers."""
     h, first, inv = np.unique(hashes, return_index=True, return_inverse=True)
@@ -74,9 +79,9 @@ def counted(df: DataFrame, order: int, n: int) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             cols = [np.concatenate([d[j : len(d) - order + 1 + j] for d in docs]) for j in range(order)]
-            one = np.ones(len(cols[0]))
-            rows = parts("gram", order, *summed(gram_hash(cols), cols, [one]), n)
-            return pa.RecordBatch.from_pylist(rows + parts("raw", 1, *summed(mixed(cols[-1]), cols[-1:], [one]), n), PART)
+            docs.clear()
+            rows = parts("gram", order, *once(gram_hash(cols), cols), n)
+            return pa.RecordBatch.from_pylist(rows + parts("raw", 1, *once(mixed(cols[-1]), cols[-1:]), n), PART)
 
         for b in batches:
             for t in b.column("text").to_pylist():
@@ -84,7 +89,7 @@ def counted(df: DataFrame, order: int, n: int) -> DataFrame:
                 size += len(docs[-1])
                 if size >= COUNTED:
                     yield sent()
-                    docs, size = [], 0
+                    size = 0
         if docs:
             yield sent()
 
@@ -129,7 +134,7 @@ def merged(rows: DataFrame, folder: str, n: int) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         kind, level, shard = table.column("kind")[0].as_py(), table.column("level")[0].as_py(), table.column("shard")[0].as_py()
         words = table.column("words").to_pylist()
-        cols = [np.concatenate([(unpack if j == 0 else lambda b: unpack_plain(b, np.uint64))(w[j]) for w in words]) for j in range(len(words[0]))]
+        cols = [np.concatenate([unpack_words(w[j]) for w in words]) for j in range(len(words[0]))]
         del words
         numbers = table.column("numbers").to_pylist()
         sums = [np.concatenate([unpack_plain(x[j], np.uint64) for x in numbers]) for j in range(len(numbers[0]))]
@@ -145,7 +150,7 @@ def merged(rows: DataFrame, folder: str, n: int) -> DataFrame:
             if level > 1:
                 context = gram_hash(cols[:-1])
                 out += parts("context", level, *(lambda x: (x[0], [x[0]], x[2]))(summed(context, [], flags)), n)
-                out += parts("gram", level - 1, *summed(gram_hash(cols[1:]), cols[1:], [np.ones(len(h))]), n)
+                out += parts("gram", level - 1, *once(gram_hash(cols[1:]), cols[1:]), n)
             else:
                 stats += [int(x.sum()) for x in flags[1:]]
         out.append({"kind": f"done-{kind}", "level": level, "shard": shard, "words": None, "numbers": None, "stats": stats})

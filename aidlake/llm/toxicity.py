@@ -15,8 +15,9 @@ from .common import WordHashes
 WORDS, GRAMS, DIM, STATE = 1 << 15, 1 << 15, 12, 8
 #: Words of a window, words between two windows.
 WINDOW, STRIDE = 32, 24
-#: Labelled rows of each class that training may use, the longest text among them, and passes.
-POSITIVES, NEGATIVES, LONGEST, EPOCHS, BATCH = 1_500, 2_000, 100_000, 9, 128
+#: Labelled rows of each class that training may use, the longest text among them, windows of a gradient step, and
+#: steps in all: few rows are passed over more often.
+POSITIVES, NEGATIVES, LONGEST, BATCH, STEPS = 1_500, 2_000, 100_000, 128, 387
 #: Windows scored at once, and words gathered for that.
 CHUNK, GATHER = 2_048, 400_000
 
@@ -249,10 +250,11 @@ def train(texts: list[bytes], labels: list[int], negative_weight: float, seed: i
     order = np.lexsort((first, owner))
     ends = np.flatnonzero(np.diff(owner[order], append=-1))  # each document's worst window
     begins = np.concatenate([[0], ends[:-1] + 1])
-    adam = {"t": 0, "rate": 0.01}
+    adam, n_clean = {"t": 0, "rate": 0.01}, int((y == 0).sum())
     weight = np.where(y == 1, 1.0, negative_weight)
     full = (row, grams, starts, count)
-    for epoch in range(EPOCHS):
+    passes = -(-STEPS // -(-(len(y) + n_clean) // BATCH))
+    for epoch in range(passes):
         if epoch:
             proj = net.embed(row, grams, starts)[0] @ net.p["wx"] + net.p["bx"]
             now = np.concatenate([net.logits(proj, idx[a : a + CHUNK]) for a in range(0, len(idx), CHUNK)])
@@ -261,7 +263,7 @@ def train(texts: list[bytes], labels: list[int], negative_weight: float, seed: i
         clean = np.flatnonzero(y == 0)
         other = order[begins[clean] + (rng.random(len(clean)) * (ends - begins + 1)[clean]).astype(int)]
         pick, of = np.concatenate([worst, other]), np.concatenate([np.arange(len(y)), clean])
-        adam["rate"] = 0.01 if epoch < EPOCHS * 2 // 3 else 0.003
+        adam["rate"] = 0.01 if epoch < passes * 2 // 3 else 0.003
         mix = rng.permutation(len(pick))
         for a in range(0, len(mix), BATCH):
             b = mix[a : a + BATCH]
