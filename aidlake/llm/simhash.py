@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, count
 from math import comb
 
 import numpy as np
@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, spanning, written
+from .common import WordHashes, components, mixed, spanning, window_hashes, written
 
 #: Table rows of one key beyond which a key is split into a grid of tasks.
 HOT_ROWS = 16_384
@@ -20,6 +21,11 @@ HOT_ROWS = 16_384
 MATCH_COST = 0.02
 #: Candidate pairs looked at in one go.
 PAIRS = 2_000_000
+#: MinHash values of a band and bands: of pairs with Jaccard 0.8, all but (1 - 0.8 ** 4) ** 20 = 0.003 % share a band.
+BAND, BANDS = 4, 20
+#: Bits that turn the order of nodes round, one for each place of a pivot; pivots of a bucket in each further round.
+TURNS = [int(x) for x in np.random.default_rng(7).integers(1, 2**62, 64)]
+PIVOTS = (1, 4, 16, 64)
 
 
 def fingerprint(text: bytes | None, k: int) -> int:
@@ -163,5 +169,107 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.join(known, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"), "text_hash", kept.alias("kept"))
 
 
+def shingles(text: bytes | None, k: int, cache: WordHashes) -> np.ndarray:
+    """Sorted hashes of the distinct k-word shingles; one of all words if there are fewer than k, none without words."""
+    words = (text or b"").lower().split()
+    return np.unique(window_hashes(cache.of(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def sketched(df: DataFrame, k: int) -> DataFrame:
+    """df(id, th, t) without the text; fp, node (which set of shingles it is) and bands (BANDS hashes of BAND MinHash values)."""
+    seeds = mixed(np.arange(1, BAND * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            fps, nodes, bands = [], [], []
+            for t in b.column("t").to_pylist():
+                x = shingles(t, k, cache)
+                fps.append(fingerprint(t, k))
+                nodes.append(xxhash.xxh64_intdigest(x.tobytes(), 3))
+                least = np.array([(x * s).min() for s in seeds]) if len(x) else np.zeros(len(seeds), np.uint64)
+                bands.append(np.array([xxhash.xxh64_intdigest(least[i * BAND : (i + 1) * BAND].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64).tolist())
+            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), signed(fps), signed(nodes), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "fp", "node", "bands"])
+
+    schema = type(df.schema)([f for f in df.schema if f.name != "t"]).add("fp", "long").add("node", "long").add("bands", T.ArrayType(T.LongType()))
+    return df.withColumn("t", F.col("t").cast("binary")).mapInArrow(work, schema)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(u, v): those of pairs(u, v) whose texts(node, t) have a Jaccard similarity of at least this, exactly counted."""
+    full = pairs.join(texts.select(F.col("node").alias("u"), F.col("t").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("t").alias("b")), "v")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, last, known = WordHashes(), None, None
+        for r in batches:
+            us, vs, found = r.column("u").to_pylist(), r.column("v").to_pylist(), []
+            for i, (u, v) in enumerate(zip(us, vs, strict=True)):
+                if v != last:
+                    last, known = v, shingles(r.column("b")[i].as_py(), k, cache)
+                if jaccard(shingles(r.column("a")[i].as_py(), k, cache), known) >= similarity:
+                    found.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], ["u", "v"])
+
+    return full.select("u", "v", "a", "b").mapInArrow(work, "u long, v long")
+
+
+def settled(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(node, root): components of all pairs of one bucket of members(bucket, node) whose texts are alike.
+
+    In each round a bucket's pivots are compared with those of its members that are not joined with them yet, and
+    leave the bucket. A bucket is done when its members are joined or one is left, so no pair is passed over; only
+    pairs that are joined already are not compared, by which large groups of near copies end in few rounds.
+    """
+    links = roots = None
+    for turn in count():
+        m = members if roots is None else members.join(roots, "node", "left")
+        m = written(m.select("bucket", "node", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root")), "members")
+        n = PIVOTS[min(turn, len(PIVOTS) - 1)]
+        least = [F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"p{i}") for i, c in enumerate(TURNS[:n])]
+        live = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *least).where("lo < hi")
+        pivots = written(live.select("bucket", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(n)]))).alias("pivot")), "pivots")
+        if pivots.isEmpty():
+            return roots if roots is not None else m.select("node", "root").limit(0)
+        pivots = m.join(pivots, (m["bucket"] == pivots["bucket"]) & (m["node"] == pivots["pivot"])).select(m["bucket"], "pivot", F.col("root").alias("pivot_root"))
+        met = m.join(pivots, "bucket").where("node <> pivot and root <> pivot_root")
+        pairs = written(met.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct(), "pairs")
+        new = written(alike(pairs, texts, k, similarity), "alike")
+        links = new if links is None else links.unionByName(new)
+        roots = components(links)
+        gone = pivots.select("bucket", F.col("pivot").alias("node"))
+        members = m.select("bucket", "node").join(live, "bucket", "left_semi").join(gone, ["bucket", "node"], "left_anti")
+
+
+def near_groups(df: DataFrame, id_col: str, text_col: str, k: int, distance: int, similarity: float) -> DataFrame:
+    """(id, text_hash, kept) of every row: documents joined by pairs with a k-word Jaccard similarity of at least this.
+
+    SimHash groups within the distance, and documents that share a MinHash band (SimHash bits alone scatter too much
+    at 0.8), are only candidates; what links is the exact similarity of two texts. Texts with the same shingles, and
+    those without words, are one node. kept is as in simhash_groups().
+    """
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("th"), F.col(f"`{text_col}`").alias("t"))
+    docs = written(sketched(rows, k), "sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
+    near = components(links(docs.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
+    by_bits = docs.select("node", "fp").distinct().join(near, "fp", "left").select(F.xxhash64(F.lit(-1), F.coalesce("root", "fp")).alias("bucket"), "node")
+    by_band = docs.select("node", F.posexplode("bands").alias("i", "band")).select(F.xxhash64("i", "band").alias("bucket"), "node")
+    every = written(by_bits.unionByName(by_band).distinct(), "buckets")
+    members = written(every.join(every.groupBy("bucket").count().where("count > 1"), "bucket", "left_semi"), "shared")
+    at = docs.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
+    texts = written(rows.select("th", F.col("t").cast("binary").alias("t")).join(at, "th").dropDuplicates(["node"]).select("node", "t"), "texts")
+    roots = settled(members, texts, k, similarity)
+    named = written(docs.groupBy("node").agg(first).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")
+    known = named.drop("first").join(named.groupBy("root").agg(F.min("first").alias("first")), "root").select("node", "first")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    return docs.join(known, "node").select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("first.id").alias("component_id"), kept.alias("kept"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")

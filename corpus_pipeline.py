@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from aidlake.llm import common, line_dedup, mixing, pieces, simhash, toxicity
 
-#: Words of a shingle and differing bits of two 64-bit fingerprints in the near-dedup stage.
-SHINGLE, DISTANCE = 5, 8
+#: Near-dedup: words of a shingle, differing bits of two 64-bit fingerprints that make candidates, and the Jaccard similarity that links.
+SHINGLE, DISTANCE, SIMILARITY = 5, 8, 0.8
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    groups = simhash.simhash_groups(docs, k=SHINGLE, distance=DISTANCE)
+    """One document of each group of near copies (five-word Jaccard 0.8 or more) stays: the one with the smallest id."""
+    groups = simhash.near_groups(docs, "doc_id", "text", SHINGLE, DISTANCE, SIMILARITY)
     stay = groups.where("kept").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
     rows = docs.withColumn("_hash", F.xxhash64("text"))
     found = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_hash"] == stay["text_hash"]), "left_semi")

@@ -104,3 +104,37 @@ def test_operators_do_not_swallow_imports():
     for m in list(sys.modules):
         if m.startswith("aidlake.llm") and getattr(sys.modules[m], "__file__", None):
             assert "except ImportError" not in open(sys.modules[m].__file__).read()
+
+
+def test_near_copies_by_exact_similarity(spark, monkeypatch):
+    """All pairs at five-word Jaccard 0.8 are joined, however many bits differ, and no others."""
+    monkeypatch.setattr(simhash, "PIVOTS", (1, 2))
+    r, texts = random.Random(4), []
+    for _ in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(120)]
+        for edits in (0, 1, 2, 3, 4):
+            words = list(base)
+            for p in r.sample(range(120), edits):
+                words[p] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    hub = [f"h{i}" for i in range(200)]
+    texts += [" ".join(w if j != i else "x" for j, w in enumerate(hub)) for i in range(0, 200, 3)] + ["a b c", "A  b c", "a b d", "", " \t"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    apart = 0
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (len(a & sets[j]) / len(a | sets[j]) if a | sets[j] else 1.0) >= 0.8:
+                apart += (fps[i] ^ fps[j]).bit_count() > cp.DISTANCE
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert apart > 20
+    got = cp.near(spark, spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS), "").collect()
+    assert sorted(x.doc_id for x in got) == sorted({find(i) for i in range(len(texts))})
