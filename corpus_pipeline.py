@@ -25,7 +25,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; every document stays, and n_chars follows its text."""
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, min_docs=line_dedup.MIN_DOCS, min_tokens=line_dedup.MIN_TOKENS)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
