@@ -20,7 +20,7 @@ from .common import BASE, WordHashes, mixed, pack_plain, pack_words, scratch, sh
 from .toxicity import fold
 
 #: Words of an n-gram that the query counts.
-ORDER = 2
+ORDER = 3
 #: Tokens that a task counts before it sends them on, and that it scores at once.
 COUNTED, SCORED = 2_000_000, 1_000_000
 
@@ -142,7 +142,7 @@ def merged(rows: DataFrame, folder: str, n: int) -> DataFrame:
         h, cols, sums = summed(cols[0] if kind == "context" else gram_hash(cols), cols, sums)
         save(folder, f"{kind}{level}-{shard}.key", h)
         for j, x in enumerate(sums):
-            save(folder, f"{kind}{level}-{shard}.n{j}", x.astype(np.uint32 if j or kind != "context" else np.uint64))
+            save(folder, f"{kind}{level}-{shard}.n{j}", x.astype(np.uint32 if x.max(initial=0) < 2**32 else np.uint64))
         count, out = sums[0], []
         stats = [len(h), int(count.sum()), *((int((count == k).sum()) for k in (1, 2, 3, 4)))]
         if kind == "gram":
@@ -189,7 +189,8 @@ class Model:
                 i = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
                 hit = keys[i] == hashes[a:b]
                 for j in range(width):
-                    out[j][a:b][hit] = load(self.folder, f"{kind}{level}-{s}.n{j}", "u8" if kind == "context" and j == 0 else "u4")[i[hit]]
+                    numbers = load(self.folder, f"{kind}{level}-{s}.n{j}", "u1")
+                    out[j][a:b][hit] = numbers.view(f"u{len(numbers) // len(keys)}")[i[hit]]  # 4 bytes each where they suffice, else 8
         return out
 
     def probabilities(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -103,3 +103,21 @@ def test_held_out_text_is_likelier_than_by_single_words(spark):
     model = kn.fit(spark.createDataFrame([(text(),) for _ in range(120)], "text string"))
     got = kn.score(spark.createDataFrame([(text(),) for _ in range(20)], "text string"), model).collect()
     assert sum(g.score for g in got) > 0.5 * sum(g.base_score for g in got)
+
+
+def test_query_scores_trigrams(spark, tmp_path):
+    r = random.Random(5)
+    texts = [" ".join(r.choices("abcdef", k=r.randrange(1, 30))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = kn.query(spark, str(tmp_path)).collect()
+    b = Brute([texts[g.doc_id] for g in got if not g.held_out], 3)
+    assert len(got) == 60 and all(g.score == pytest.approx(b.score(texts[g.doc_id])[4], rel=1e-9) for g in got)
+
+
+def test_counts_beyond_32_bits(spark):
+    word, big = kn.np.array([7], kn.np.uint64), 2**32 + 5
+    rows = kn.parts("raw", 1, kn.mixed(word), [word], [kn.np.array([big], kn.np.uint64)], 1)
+    folder = kn.scratch(spark, "big-counts")
+    kn.written(kn.merged(spark.createDataFrame(rows, kn.PART_DDL), folder, 1), "counts").collect()
+    model = kn.Model(folder, 2, 1, [("raw", 1, 0)], {})
+    assert model.lookup("raw", 1, kn.mixed(word))[0].tolist() == [big]
