@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,12 +40,30 @@ def shards(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def columns(batch: pa.RecordBatch, names: list[str]) -> list[list]:
-    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+#: Bytes of input for which a shard of hashes is made.
+SHARD_BYTES = 16 << 20
 
 
-def record_batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+def input_shards(df: DataFrame) -> int:
+    """Shards for what comes from the rows of df: as many as shuffle partitions, more where the files behind df are large."""
+    leaves, size = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        known = int(leaves.apply(i).stats().sizeInBytes())
+        size += known if known < 1 << 60 else 0  # beyond that Spark does not know
+    return max(shards(df.sparkSession), -(-size // SHARD_BYTES))
+
+
+def by_name(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(name: str, taken: list) -> str:
+    """A name that no field has, in any case of letters."""
+    used = {(f if isinstance(f, str) else f.name).lower() for f in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
 
 class WordHashes(dict):
@@ -183,17 +199,3 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-
-
-def groups_of(batches: Iterator[pa.RecordBatch], bound: int, length) -> Iterator[list]:
-    """Lists of rows whose lengths add up to about bound."""
-    rows, size = [], 0
-    for b in batches:
-        for row in b.to_pylist():
-            rows.append(row)
-            size += length(row)
-            if size >= bound:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,22 +11,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, WordHashes, mixed, pack_plain, pack_words, scratch, shard_bounds, shards, unpack_plain, unpack_words, window_hashes, written
+from .common import BASE, WordHashes, by_name, contains, fresh, input_shards, mixed, pack, scratch, unpack, window_hashes
 from .toxicity import fold
 
 #: Words of an n-gram that the query counts.
 ORDER = 3
 #: Tokens that a task counts before it sends them on, and that it scores at once.
 COUNTED, SCORED = 2_000_000, 1_000_000
+#: A core is hot if over this part of a shard's mean share of the n-grams has it; texts of which one in SAMPLED is looked at for that.
+HOT, SAMPLED = 0.5, 32
+#: Entries of a table that share a place in its index, on average.
+PLACE = 8
 
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"begin", 1))
 END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
 
-#: kind: "gram" or "context" or "raw"; level: words of the n-gram; words: packed columns; numbers: packed counts.
 PART = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("words", pa.list_(pa.binary())), ("numbers", pa.list_(pa.binary())), ("stats", pa.list_(pa.int64()))])
 PART_DDL = "kind string, level int, shard int, words array<binary>, numbers array<binary>, stats array<long>"
 
@@ -49,42 +52,110 @@ def gram_hash(cols: list[np.ndarray]) -> np.ndarray:
     return mixed(h)
 
 
-def parts(kind: str, level: int, hashes: np.ndarray, cols: list[np.ndarray], numbers: list[np.ndarray], n: int) -> list[dict]:
-    """Rows in order of their hash as blobs for the shards, each in order of its first word."""
-    out, at = [], shard_bounds(hashes, n)
-    for s, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-        if b > a:
-            o = np.argsort(cols[0][a:b], kind="stable")
-            out.append({"kind": kind, "level": level, "shard": s, "words": [pack_words(c[a:b][o]) for c in cols], "numbers": [pack_plain(x[a:b][o].astype(np.uint64)) for x in numbers], "stats": None})
-    return out
+def core_hash(cols: list[np.ndarray]) -> np.ndarray:
+    """By what the n-grams with these inner words are dealt out."""
+    return cols[0] if len(cols) == 1 else gram_hash(cols)
+
+
+def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The one of n equal ranges of hashes that holds each."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def ordering(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rows of small numbers, the first column most significant; where each distinct row begins in it)."""
+    size, key = 1, None
+    for c in cols:
+        size *= int(c.max(initial=0)) + 1
+    if size < 1 << 63:
+        key = cols[0].astype(np.int64)
+        for c in cols[1:]:
+            key = key * (int(c.max(initial=0)) + 1) + c
+        order = np.argsort(key)
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(cols[::-1])
+        new = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in cols])
+    return order, np.flatnonzero(np.append(len(order) > 0, new)) if len(order) else np.empty(0, np.int64)
+
+
+def by_core(level: int) -> list[int]:
+    """Columns of an n-gram from the most significant: its core (all but the outer words), the first, the last."""
+    return [*range(1, level - 1), 0, level - 1]
+
+
+def encoded(a: np.ndarray, steps: bool = False) -> bytes:
+    """Whole numbers in as few bytes each as hold them, or their differences, byte planes apart, compressed."""
+    most = int(a.max(initial=0))
+    a = a.astype(next(f"u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w))
+    if steps:
+        a = np.diff(a, prepend=a[:1] * 0)
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return bytes([a.itemsize, steps]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
 
+def decoded(b: bytes) -> np.ndarray:
+    width, steps = b[0], b[1]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[2:]), np.uint8)
+    a = np.ascontiguousarray(raw.reshape(width, -1).T).view(f"u{width}").ravel()
+    return np.cumsum(a, dtype=a.dtype) if steps else a
 
-def once(hashes: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, list, list]:
-    """Distinct n-grams in order of their hash, with their words and how often each is there."""
-    h, first, count = np.unique(hashes, return_index=True, return_counts=True)
-    return h, [c[first] for c in cols], [count]
 
+def dealt(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its rows in their order) of each shard that has rows."""
+    o = np.argsort(shard, kind="stable")
+    own = shard[o]
+    heads = np.flatnonzero(np.append(len(own) > 0, own[1:] != own[:-1])) if len(own) else []
+    for a, b in zip(heads, np.append(heads[1:], len(own)), strict=True):
+        yield int(own[a]), o[a:b]
 
-def summed(hashes: np.ndarray, cols: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, list, list]:
-    """Distinct n-grams in order of their hash, with their words and summed numbers."""
-    h, first, inv = np.unique(hashes, return_index=True, return_inverse=True)
-    return h, [c[first] for c in cols], [np.bincount(inv, x, len(h)).astype(np.uint64) for x in numbers]
 
+def row(kind: str, level: int, shard: int, words=None, numbers=None, stats=None) -> dict:
+    return {"kind": kind, "level": level, "shard": shard, "words": words, "numbers": numbers, "stats": stats}
 
-def counted(df: DataFrame, order: int, n: int) -> DataFrame:
+
+def gram_parts(kind: str, level: int, words: np.ndarray, cols: list[np.ndarray], counts: np.ndarray, shard: np.ndarray, n: int) -> list[dict]:
+    """n-grams of places in words, ordered as by_core() has it, as a blob for each shard: distinct words, then columns."""
+    out = []
+    for s, i in dealt(shard, n):
+        own = [c[i] for c in cols]
+        used = np.unique(np.concatenate(own))
+        at = [np.searchsorted(used, c) for c in own]
+        # All columns but the least significant one run upwards for long.
+        packed = [encoded(c, j != level - 1) for j, c in enumerate(at)]
+        out.append(row(kind, level, s, [pack(words[used]), *packed], [encoded(counts[i])]))
+    return out
+
+
+def key_parts(kind: str, level: int, hashes: np.ndarray, numbers: list[np.ndarray], n: int) -> list[dict]:
+    """Numbers by hash (in order), as blobs for the shards."""
+    return [row(kind, level, s, [pack(hashes[i])], [encoded(x[i]) for x in numbers]) for s, i in dealt(shard_of(hashes, n), n)]
+
+
+def counted(df: DataFrame, order: int, n: int, hot: list[np.ndarray]) -> DataFrame:
     """Partial counts of the texts' n-grams and tokens, as blobs by shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, docs, size = WordHashes(), [], 0
 
         def sent() -> pa.RecordBatch:
-            cols = [np.concatenate([d[j : len(d) - order + 1 + j] for d in docs]) for j in range(order)]
+            words, at = np.unique(np.concatenate(docs), return_inverse=True)
+            ends = np.cumsum([len(d) for d in docs])
             docs.clear()
-            rows = parts("gram", order, *once(gram_hash(cols), cols), n)
-            return pa.RecordBatch.from_pylist(rows + parts("raw", 1, *once(mixed(cols[-1]), cols[-1:]), n), PART)
+            inside = np.ones(len(at) - order + 1, bool)  # n-grams that begin here do not cross into the next text
+            for e in ends[:-1].tolist():
+                inside[max(0, e - order + 1) : e] = False
+            cols = [at[j : len(at) - order + 1 + j][inside] for j in range(order)]
+            rows = key_parts("raw", 1, *keyed(words, cols[-1]), n)
+            o, heads = ordering([cols[j] for j in by_core(order)])
+            counts = np.diff(np.append(heads, len(o)))
+            cols = [c[o[heads]] for c in cols]
+            shard, _ = routed(words, cols, hot[order], n)
+            return pa.RecordBatch.from_pylist(rows + gram_parts("gram", order, words, cols, counts, shard, n), PART)
 
         for b in batches:
-            for t in b.column("text").to_pylist():
+            for t in b.column(0).to_pylist():
                 docs.append(tokens(t, cache, order))
                 size += len(docs[-1])
                 if size >= COUNTED:
@@ -96,67 +167,261 @@ def counted(df: DataFrame, order: int, n: int) -> DataFrame:
     return df.mapInArrow(work, PART_DDL)
 
 
-def save(folder: str, name: str, a: np.ndarray) -> None:
-    """Writes an array into the shared folder in one move: a task that runs twice leaves the same file."""
+def keyed(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(hashes in order, [counts]) of the words at these places."""
+    count = np.bincount(at, minlength=len(words))
+    used = np.flatnonzero(count)
+    h = mixed(words[used])
+    o = np.argsort(h)
+    return h[o], [count[used][o]]
+
+
+def routed(words: np.ndarray, cols: list[np.ndarray], hot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, whether its core is hot) of n-grams in the order of by_core(): by core, but by the whole n-gram for hot cores."""
+    core = [words[c] for c in cols[1:-1]]
+    h = core_hash(core) if core else np.zeros(len(cols[0]), np.uint64)
+    is_hot = contains(hot, h) if core else np.ones(len(h), bool)
+    shard = shard_of(h, n)
+    shard[is_hot] = shard_of(gram_hash([words[c[is_hot]] for c in cols]), n)
+    return shard, is_hot
+
+
+def save(folder: str, name: str, parts: list[np.ndarray]) -> None:
+    """Writes arrays one after the other into the shared folder in one move: a task that runs twice leaves the same file."""
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     new = f"{path}/.{uuid.uuid4().hex}"
     with fs.open_output_stream(new) as f:
-        f.write(np.ascontiguousarray(a).data)
+        for a in parts:
+            f.write(np.ascontiguousarray(a).data)
+            f.write(bytes(-a.nbytes % 8))
     fs.move(new, f"{path}/{name}")
 
 
-@lru_cache(4096)
-def load(folder: str, name: str, dtype: str) -> np.ndarray:
-    """An array of the shared folder, memory-mapped; from a store that is no file system, by way of a local copy
-    whose name is gone as soon as it is mapped."""
+def coded(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows of the numbers, the place of each row among them)."""
+    few = 4 if len(numbers) > 1 else 16  # bits that most numbers fit in
+    small = np.logical_and.reduce([x < 1 << few for x in numbers])
+    key = np.zeros(len(small), np.int64)
+    for x in numbers:
+        key = key << few | np.where(small, x, 0).astype(np.int64)
+    used = np.flatnonzero(np.bincount(key[small], minlength=1))
+    rows = [np.stack([used >> few * (len(numbers) - 1 - j) & (1 << few) - 1 for j in range(len(numbers))], 1)]
+    place = np.searchsorted(used, key)
+    if not small.all():
+        others, at = np.unique(np.stack([x[~small].astype(np.int64) for x in numbers], 1), axis=0, return_inverse=True)
+        rows.append(others)
+        place[~small] = len(used) + at.ravel()
+    return np.concatenate(rows).astype(np.int64), place
+
+
+def table(hashes: np.ndarray, numbers: list[np.ndarray]) -> list[np.ndarray]:
+    """A sorted hash array and its numbers: head, index by the leading bits, the next 32 bits of each hash, the place
+    of its numbers among the distinct rows of numbers, those rows.
+
+    For an n-gram that was never counted, one in 2**32 / PLACE lookups finds a stranger's numbers.
+    """
+    bits = max(1, (len(hashes) // PLACE).bit_length())
+    index = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    rows, place = coded(numbers)
+    place = place.astype(next(f"u{w}" for w in (1, 2, 4) if len(rows) <= 1 << 8 * w))
+    head = np.array([len(hashes), bits, len(rows), len(numbers), place.itemsize], np.int64)
+    return [head, index.astype(np.uint32), (hashes << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), place, rows]
+
+
+class Table:
+    """A stored table, read through a buffer that is mapped, not loaded."""
+
+    def __init__(self, raw: np.ndarray):
+        n, self.bits, rows, width, size = raw[:40].view(np.int64).tolist()
+        at = 40
+
+        def part(count: int, kind: str) -> np.ndarray:
+            nonlocal at
+            lo, at = at, at + -(-count * int(kind[1:]) // 8) * 8
+            return raw[lo : lo + count * int(kind[1:])].view(kind)
+
+        self.index, self.keys, self.place = part((1 << self.bits) + 1, "u4"), part(n, "u4"), part(n, f"u{size}")
+        self.rows = part(rows * width, "i8").reshape(rows, width)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes, in order, are there; their numbers): a binary search in each one's place of the index."""
+        top = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        lo, end = self.index[top].astype(np.int64), self.index[top + 1].astype(np.int64)
+        want, hi = (hashes << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32), end.copy()
+        for _ in range(int((end - lo).max(initial=0)).bit_length()):
+            mid = (lo + hi) >> 1
+            less = self.keys[np.minimum(mid, len(self.keys) - 1)] < want
+            less &= lo < hi
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        hit = np.flatnonzero(lo < end)
+        hit = hit[self.keys[lo[hit]] == want[hit]]
+        return hit, self.rows[self.place[lo[hit]]]
+
+
+@lru_cache(2048)
+def load(folder: str, name: str) -> Table:
+    """A table of the shared folder, memory-mapped; from a store that is no file system, read into memory."""
     fs, path = pafs.FileSystem.from_uri(folder)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(f"{path}/{name}", dtype, "r")
-    fd, local = tempfile.mkstemp()
-    with os.fdopen(fd, "wb") as f, fs.open_input_stream(f"{path}/{name}") as g:
-        while piece := g.read(1 << 24):
-            f.write(piece)
-    try:
-        return np.memmap(local, dtype, "r")
-    finally:
-        os.unlink(local)
-
-
-def merged(rows: DataFrame, folder: str, n: int) -> DataFrame:
-    """Writes each shard's table as sorted hashes and numbers; gives its statistics and what lower levels need.
-
-    A shard of n-grams is a range of hashes, so no word is a hot one: what n-grams say about their context (its
-    total, and how many words follow it once, twice, more often) and about the shorter n-gram at their end (how
-    many words come before it) is summed in the shard first and then sent on by the hash of that.
-    """
+        return Table(np.memmap(f"{path}/{name}", np.uint8, "r"))
+    with fs.open_input_stream(f"{path}/{name}") as f:
+        return Table(np.frombuffer(f.read(), np.uint8))
+
+
+class Shard:
+    """What one task does with its share at a stage: tables that are whole are saved, the rest is sent on."""
+
+    def __init__(self, shard: int, folder: str, n: int, order: int, hot: list[np.ndarray]):
+        self.shard, self.folder, self.n, self.order, self.hot, self.out = shard, folder, n, order, hot, []
+
+    def store(self, kind: str, level: int, hashes: np.ndarray, numbers: list[np.ndarray], stats: list[int] | None = None) -> None:
+        o = np.argsort(hashes)
+        if len(o):
+            save(self.folder, f"{kind}{level}-{self.shard}", table(hashes[o], [x[o] for x in numbers]))
+            self.out.append(row(f"done-{kind}", level, self.shard, stats=stats or []))
+
+    @staticmethod
+    def stats(c: np.ndarray) -> list[int]:
+        return [len(c), int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c > 2).sum())]
+
+    @staticmethod
+    def merged(rows: list[dict], level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(words, distinct n-grams in the order of by_core(), summed counts) of blobs."""
+        dicts = [unpack(r["words"][0]) for r in rows]
+        words = np.unique(np.concatenate(dicts))
+        places = [np.searchsorted(words, d) for d in dicts]
+        cols = [np.concatenate([p[decoded(r["words"][1 + j])] for p, r in zip(places, rows, strict=True)]) for j in range(level)]
+        counts = np.concatenate([decoded(r["numbers"][0]).astype(np.int64) for r in rows])
+        o, heads = ordering([cols[j] for j in by_core(level)])
+        return words, [c[o[heads]] for c in cols], np.add.reduceat(counts[o], heads)
+
+    @staticmethod
+    def summed(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(hashes in order, summed numbers) of blobs of numbers by hash."""
+        h = np.concatenate([unpack(r["words"][0]) for r in rows])
+        o = np.argsort(h)
+        h = h[o]
+        heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        return h[heads], [np.add.reduceat(np.concatenate([decoded(r["numbers"][j]).astype(np.int64) for r in rows])[o], heads) for j in range(len(rows[0]["numbers"]))]
+
+    def contexts(self, kind: str, level: int, words: np.ndarray, cols: list[np.ndarray], counts: np.ndarray, send: bool) -> None:
+        """What follows each context of n-grams whose columns but the last run in order: total, once, twice, more often."""
+        if not len(counts):
+            return
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:-1]])
+        heads = np.flatnonzero(np.append(True, new))
+        h = gram_hash([words[c[heads]] for c in cols[:-1]])
+        numbers = [np.add.reduceat(x.astype(np.int64), heads) for x in (counts, counts == 1, counts == 2, counts > 2)]
+        if send:
+            o = np.argsort(h)
+            self.out += key_parts(kind, level, h[o], [x[o] for x in numbers], self.n)
+        else:
+            self.store(kind, level, h, numbers)
+
+    def passed_on(self, level: int, words: np.ndarray, cols: list[np.ndarray]) -> None:
+        """Sends distinct n-grams to where the shorter ones at their end are counted."""
+        if not len(cols[0]):
+            return
+        if level == 2:
+            self.out += key_parts("word", 1, *keyed(words, cols[1]), self.n)
+        elif level > 2:
+            shard, _ = routed(words, cols, self.hot[level], self.n)
+            o, _ = ordering([cols[j] for j in by_core(level)])
+            self.out += gram_parts("gram", level, words, [c[o] for c in cols], np.ones(len(o), np.int64), shard[o], self.n)
+
+    def grams(self, level: int, rows: list[dict]) -> None:
+        """All n-grams of each core that is not hot, and some of each hot one."""
+        words, cols, counts = self.merged(rows, level)
+        _, hot = routed(words, cols, self.hot[level], self.n)
+        if level == self.order:
+            self.store("gram", level, gram_hash([words[c] for c in cols]), [counts], self.stats(counts))
+        for own, whole in ((~hot, True), (hot, False)):
+            part = [c[own] for c in cols]
+            if not own.any():
+                continue
+            if level == self.order:
+                self.contexts("context", level, words, part, counts[own], not whole)
+            o, heads = ordering([part[j] for j in range(1, level)])
+            short, before = [c[o[heads]] for c in part[1:]], np.diff(np.append(heads, len(o)))
+            if level == 2:
+                self.passed_on(2, words, part)
+            elif whole:
+                self.store("gram", level - 1, gram_hash([words[c] for c in short]), [before], self.stats(before))
+                self.contexts("context", level - 1, words, short, before, False)
+                self.passed_on(level - 1, words, short)
+            else:
+                h = gram_hash([words[c] for c in short])
+                by = ordering([short[j] for j in by_core(level - 1)])[0]
+                self.out += gram_parts("part", level - 1, words, [c[by] for c in short], before[by], shard_of(h, self.n)[by], self.n)
+
+    def parts(self, level: int, rows: list[dict]) -> None:
+        """n-grams whose counts come from several shards."""
+        words, cols, counts = self.merged(rows, level)
+        self.store("hot-gram", level, gram_hash([words[c] for c in cols]), [counts], self.stats(counts))
+        o, _ = ordering(cols)
+        self.contexts("context", level, words, [c[o] for c in cols], counts[o], True)
+        self.passed_on(level, words, cols)
 
-    def work(table: pa.Table) -> pa.Table:
-        kind, level, shard = table.column("kind")[0].as_py(), table.column("level")[0].as_py(), table.column("shard")[0].as_py()
-        words = table.column("words").to_pylist()
-        cols = [np.concatenate([unpack_words(w[j]) for w in words]) for j in range(len(words[0]))]
-        del words
-        numbers = table.column("numbers").to_pylist()
-        sums = [np.concatenate([unpack_plain(x[j], np.uint64) for x in numbers]) for j in range(len(numbers[0]))]
-        del numbers
-        h, cols, sums = summed(cols[0] if kind == "context" else gram_hash(cols), cols, sums)
-        save(folder, f"{kind}{level}-{shard}.key", h)
-        for j, x in enumerate(sums):
-            save(folder, f"{kind}{level}-{shard}.n{j}", x.astype(np.uint32 if x.max(initial=0) < 2**32 else np.uint64))
-        count, out = sums[0], []
-        stats = [len(h), int(count.sum()), *((int((count == k).sum()) for k in (1, 2, 3, 4)))]
-        if kind == "gram":
-            flags = [count, count == 1, count == 2, count > 2]
-            if level > 1:
-                context = gram_hash(cols[:-1])
-                out += parts("context", level, *(lambda x: (x[0], [x[0]], x[2]))(summed(context, [], flags)), n)
-                out += parts("gram", level - 1, *once(gram_hash(cols[1:]), cols[1:]), n)
+
+def stage(rows: DataFrame, kind: str, level: int, folder: str, n: int, order: int, hot: list[np.ndarray]) -> DataFrame:
+    """One exchange, by core, by hash or of words; each task has a shard, gives on what it does not settle."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, shard = defaultdict(list), -1
+        for b in batches:
+            for r in b.to_pylist():
+                shard = r["shard"]
+                groups[r["kind"], r["level"]].append(r)
+        s = Shard(shard, folder, n, order, hot)
+        for (k, l), found in groups.items():
+            if kind == "core" and (k, l) == ("gram", level):
+                s.grams(l, found)
+            elif k == "raw":
+                h, (c,) = s.summed(found)
+                s.store("raw", 1, h, [c], s.stats(c))
+            elif kind == "hash" and (k, l) == ("part", level - 1):
+                s.parts(l, found)
+            elif k == "context" and (kind, l) in (("hash", level), ("words", 2)):
+                s.store("hot-context", l, *s.summed(found))
+            elif kind != "core" and k == "word":
+                h, (c,) = s.summed(found)
+                if kind == "hash":
+                    s.out += key_parts("word", 1, h, [c], n)
+                else:
+                    s.store("hot-gram", 1, h, [c], s.stats(c))
             else:
-                stats += [int(x.sum()) for x in flags[1:]]
-        out.append({"kind": f"done-{kind}", "level": level, "shard": shard, "words": None, "numbers": None, "stats": stats})
-        return pa.Table.from_pylist(out, PART)
+                s.out += found
+        for lo in range(0, len(s.out), 256):
+            yield pa.RecordBatch.from_pylist(s.out[lo : lo + 256], PART)
+
+    return rows.repartitionById(n, F.col("shard")).mapInArrow(work, PART_DDL)
+
+
+def hot_cores(texts: DataFrame, order: int, n: int) -> list[np.ndarray]:
+    """By length of n-gram, the hashes of cores that so many n-grams have that a shard could not take them all.
+
+    Looked for in one text of SAMPLED where the input is large. This only says where rows are dealt to: counts are
+    exact whatever cores are in the list, and there are fewer than n / HOT in it for each length.
+    """
+    if order < 3:
+        return [np.empty(0, np.uint64)] * (order + 1)
+    some = texts.sample(1 / SAMPLED, seed=1) if n > 8 else texts
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            docs = [tokens(t, cache, order) for t in b.column(0).to_pylist()]
+            for level in range(3, order + 1):
+                core = [d if level == 3 else window_hashes(d, level - 2) for d in docs]
+                h, c = np.unique(np.concatenate(core), return_counts=True)
+                kept = c * n * 8 > c.sum() * HOT  # rarer ones in this batch of texts count as none
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum() + 1, level, np.int32)), pa.array([None, *h[kept].view(np.int64).tolist()], pa.int64()), pa.array([int(c.sum()), *c[kept].tolist()], pa.int64())], ["level", "core", "n"])
 
-    return rows.repartition(n, "kind", "level", "shard").groupBy("kind", "level", "shard").applyInArrow(work, PART_DDL)
+    counts = some.mapInArrow(work, "level int, core long, n long").groupBy("level", "core").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.col("core").isNotNull(), F.desc("n")).limit(order + int(order * n / HOT)).collect()
+    total = {r["level"]: r["n"] for r in found if r["core"] is None}
+    return [np.sort(np.array([r["core"] for r in found if r["core"] is not None and r["level"] == k and r["n"] * n > total[k] * HOT], np.int64).view(np.uint64)) for k in range(order + 1)]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -168,46 +433,54 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 class Model:
-    """Where the arrays are, and the few numbers that go with them. Pickled to the workers; holds no table."""
+    """Where the tables are, and the few numbers that go with them. Pickled to the workers; holds no table."""
 
-    def __init__(self, folder: str, order: int, n: int, have: list[tuple[str, int, int]], stats: dict[tuple[str, int], list[int]]):
-        self.folder, self.order, self.n, self.have = folder, order, n, set(have)
+    def __init__(self, folder: str, order: int, n: int, hot: list[np.ndarray], have: list[tuple[str, int, int]], stats: dict[tuple[str, int], list[int]]):
+        self.folder, self.order, self.n, self.hot, self.have = folder, order, n, hot, set(have)
         self.train_tokens, self.distinct = (stats.get(("raw", 1)) or [0, 0])[1], (stats.get(("raw", 1)) or [0])[0]
-        self.discount = {k: discounts(*s[2:6]) for (kind, k), s in stats.items() if kind == "gram"}
-        one = stats.get(("gram", 1))
+        grams = {k: np.sum([s for (kind, l), s in stats.items() if l == k and kind in ("gram", "hot-gram")], 0).tolist() for kind, k in stats if kind in ("gram", "hot-gram")}
+        self.discount = {k: discounts(*s[2:6]) for k, s in grams.items()}
         self.uniform, self.total = 1.0, 0
-        if one:
+        if 1 in grams:
+            one = grams[1]
             self.total = one[1]
-            self.uniform = sum(d * c for d, c in zip(self.discount[1], one[6:9], strict=True)) / one[1]
-
-    def lookup(self, kind: str, level: int, hashes: np.ndarray, width: int = 1) -> list[np.ndarray]:
-        """The numbers of sorted hashes, 0 where there are none: each shard's array is walked once, in order."""
-        out, at = [np.zeros(len(hashes)) for _ in range(width)], shard_bounds(hashes, self.n)
-        for s, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-            if b > a and (kind, level, s) in self.have:
-                keys = load(self.folder, f"{kind}{level}-{s}.key", "u8")
-                i = np.minimum(np.searchsorted(keys, hashes[a:b]), len(keys) - 1)
-                hit = keys[i] == hashes[a:b]
-                for j in range(width):
-                    numbers = load(self.folder, f"{kind}{level}-{s}.n{j}", "u1")
-                    out[j][a:b][hit] = numbers.view(f"u{len(numbers) // len(keys)}")[i[hit]]  # 4 bytes each where they suffice, else 8
+            self.uniform = sum(d * c for d, c in zip(self.discount[1], (one[2], one[3], one[6]), strict=True)) / one[1]
+
+    def lookup(self, kind: str, level: int, hashes: np.ndarray, core: np.ndarray | None, width: int = 1) -> np.ndarray:
+        """Rows of the numbers of hashes (in order), 0 where there are none: each shard's table is walked once, in order."""
+        out = np.zeros((len(hashes), width))
+        hot = np.ones(len(hashes), bool) if core is None else contains(self.hot[level if level == self.order else level + 1], core)
+        apart = "" if kind == "raw" or (kind, level) == ("gram", self.order) else "hot-"
+        for own, name, by in ((~hot, kind, core), (hot, apart + kind, hashes)):
+            rows = np.flatnonzero(own)
+            if len(rows):
+                for s, i in dealt(shard_of(by[rows], self.n), self.n):
+                    if (name, level, s) in self.have:
+                        hit, numbers = load(self.folder, f"{name}{level}-{s}").find(hashes[rows[i]])
+                        out[rows[i][hit]] = numbers
         return out
 
     def probabilities(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(probability, training count) of every token of the texts, one after the other."""
         order = self.order
         last, inv = np.unique(mixed(np.concatenate([d[order - 1 :] for d in docs])), return_inverse=True)
-        raw = self.lookup("raw", 1, last)[0][inv]
+        raw = self.lookup("raw", 1, last, None)[:, 0][inv]
         p = np.full(len(last), 1 / (self.distinct + 1))
         if self.total:
-            c = self.lookup("gram", 1, last)[0]
+            c = self.lookup("gram", 1, last, None)[:, 0]
             p = self._less(c, 1) / self.total + self.uniform * p
         p = p[inv]
         for k in range(2, order + 1):
-            h, inv = np.unique(np.concatenate([window_hashes(d[order - k :], k) for d in docs]), return_inverse=True)
-            mine = self._less(self.lookup("gram", k, h)[0], k)[inv]
-            h, inv = np.unique(np.concatenate([window_hashes(d[order - k : -1], k - 1) for d in docs]), return_inverse=True)
-            total, n1, n2, n3 = self.lookup("context", k, h, 4)
+            own = [d[order - k :] for d in docs]  # its windows of k words end with each token in turn
+            inner = 1 if k == order else 0
+            size = k - 1 - inner  # words of the core: all of the context, without its first word at the highest order
+            core = None
+            if size:
+                core = np.concatenate([d[inner : len(d) - k + inner + 1] if size == 1 else window_hashes(d[inner : len(d) - k + inner + size], size) for d in own])
+            h, first, inv = np.unique(np.concatenate([window_hashes(d, k) for d in own]), return_index=True, return_inverse=True)
+            mine = self._less(self.lookup("gram", k, h, core if core is None else core[first])[:, 0], k)[inv]
+            h, first, inv = np.unique(np.concatenate([window_hashes(d[:-1], k - 1) for d in own]), return_index=True, return_inverse=True)
+            total, n1, n2, n3 = self.lookup("context", k, h, core if core is None else core[first], 4).T
             d = self.discount.get(k, [0, 0, 0])
             rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
             total = total[inv]
@@ -222,24 +495,33 @@ class Model:
 def fit(df: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     """A model of all texts of df: counts of every n-gram, none pruned.
 
-    Blobs of counts go to shards by ranges of hashes; a shard's sorted arrays are files of the shared folder. The
-    driver gets a row of statistics for each shard and level. A null text is an empty one; repeated rows count
-    again; without rows every token is as likely as any. Words are compared by 64-bit hashes.
+    N-grams are dealt out by their core, the words between the first and the last: then a shard has all that is to
+    be known about the contexts and about the shorter n-grams of a core, and hardly anything but n-grams travels,
+    once. A hot core's n-grams are dealt out one by one, and what its shards know is summed by hash afterwards. The
+    number of shards follows the input's size. Each shard's sorted arrays are files of the shared folder; the driver
+    gets a row of statistics for each of them. A null text is an empty one; repeated rows count again; without rows
+    every token is as likely as any. Words and n-grams are compared by hashes of 64 bits. Very long texts are cut
+    nowhere: a task holds COUNTED tokens and one text more.
     """
     if order < 2:
         raise ValueError("order must be 2 at least")
-    spark = df.sparkSession
-    n, folder = shards(spark), scratch(spark, "kneser-ney")
-    todo = counted(df.select(F.col(text_col).cast("binary").alias("text")), order, n)
+    spark, texts = df.sparkSession, df.select(by_name(text_col).cast("binary").alias("text"))
+    n, folder = input_shards(df), scratch(spark, "kneser-ney")
+    hot = hot_cores(texts, order, n)
+    rows = counted(texts, order, n, hot)
+    for level in range(order, 2, -1):
+        for kind in ("core", "hash"):
+            rows = stage(rows, kind, level, folder, n, order, hot)
+    if order == 2:
+        rows = stage(rows, "core", 2, folder, n, order, hot)
+    rows = stage(rows, "words", 0, folder, n, order, hot)
     done, have = {}, []
-    for level in range(order, -1, -1):
-        out = written(merged(todo, folder, n), "counts")
-        for r in out.where(F.col("kind").startswith("done-")).select("kind", "level", "shard", "stats").collect():
-            key = (r["kind"].removeprefix("done-"), r["level"])
-            have.append((*key, r["shard"]))
-            done[key] = [a + b for a, b in zip(done[key], r["stats"], strict=True)] if key in done else list(r["stats"])
-        todo = out.where(~F.col("kind").startswith("done-"))
-    return Model(folder, order, n, have, done)
+    for r in rows.where(F.col("kind").startswith("done-")).select("kind", "level", "shard", "stats").collect():
+        key = (r["kind"].removeprefix("done-"), r["level"])
+        have.append((*key, r["shard"]))
+        if r["stats"]:
+            done[key] = [a + b for a, b in zip(done.get(key, [0] * 7), r["stats"], strict=True)]
+    return Model(folder, order, n, hot, have, done)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -247,7 +529,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     score is the log10 probability of a whole text with its end, base_score that of add-0.1 smoothed single words.
     Rows are scored one by one, repeats alike; a null text is an empty one; an empty table stays empty; other
-    columns are passed on, those called like the results are replaced. Perplexity is 10 ** (-score / n_tokens).
+    columns are passed on whatever their names, those called like the results are replaced. Very long texts are
+    scored whole. Perplexity is 10 ** (-score / n_tokens).
     """
     results = "n_tokens n_known train_tokens base_score score".split()
     kept = [f for f in df.schema if f.name not in (text_col, *results)]
@@ -262,11 +545,11 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             total = lambda x: np.add.reduceat(x, starts)
             base = total(np.log10((raw + 0.1) / (N + 0.1 * (V + 1))))
             cols = [np.array([len(d) - order + 1 for d in docs]), total((raw > 0).astype(np.int64)), np.full(len(docs), N), base, total(np.log10(p))]
-            return pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(f.name)) for f in kept), *map(pa.array, cols)], [*(f.name for f in kept), *results])
+            return pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(kept))), *map(pa.array, cols)], [*(f.name for f in kept), *results])
 
         for b in batches:
             docs, size, lo = [], 0, 0
-            for i, t in enumerate(b.column(b.schema.get_field_index("_text")).to_pylist()):
+            for i, t in enumerate(b.column(len(kept)).to_pylist()):
                 docs.append(tokens(t, cache, order))
                 size += len(docs[-1])
                 if size >= SCORED:
@@ -276,7 +559,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield scored(b.slice(lo, len(docs)), docs)
 
     schema = T.StructType([*kept]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).cast("binary").alias("_text")).mapInArrow(work, schema)
+    return df.select(*[by_name(f.name) for f in kept], by_name(text_col).cast("binary").alias(fresh("text", kept))).mapInArrow(work, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

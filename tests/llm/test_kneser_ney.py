@@ -54,7 +54,7 @@ class Brute:
         return len(w), sum(self.raw[x] > 0 for x in w), N, base, sum(math.log10(self.p(tuple(p[i : i + self.n]))) for i in range(len(w)))
 
 
-@pytest.mark.parametrize("order,most", [(2, 2_000_000), (2, 37), (3, 50), (4, 400)])
+@pytest.mark.parametrize("order,most", [(2, 2_000_000), (2, 37), (3, 50), (3, 10_000), (4, 400)])
 def test_against_textbook(spark, monkeypatch, order, most):
     monkeypatch.setattr(kn, "COUNTED", most)
     monkeypatch.setattr(kn, "SCORED", most)
@@ -116,8 +116,44 @@ def test_query_scores_trigrams(spark, tmp_path):
 
 def test_counts_beyond_32_bits(spark):
     word, big = kn.np.array([7], kn.np.uint64), 2**32 + 5
-    rows = kn.parts("raw", 1, kn.mixed(word), [word], [kn.np.array([big], kn.np.uint64)], 1)
+    rows = kn.key_parts("raw", 1, kn.mixed(word), [kn.np.array([big], kn.np.uint64)], 1)
     folder = kn.scratch(spark, "big-counts")
-    kn.written(kn.merged(spark.createDataFrame(rows, kn.PART_DDL), folder, 1), "counts").collect()
-    model = kn.Model(folder, 2, 1, [("raw", 1, 0)], {})
-    assert model.lookup("raw", 1, kn.mixed(word))[0].tolist() == [big]
+    kn.stage(spark.createDataFrame(rows, kn.PART_DDL), "words", 0, folder, 1, 2, []).collect()
+    model = kn.Model(folder, 2, 1, [], [("raw", 1, 0)], {})
+    assert model.lookup("raw", 1, kn.mixed(word), None)[0].tolist() == [big]
+
+
+def test_hot_cores_are_found_and_split(spark):
+    r = random.Random(3)
+    texts = [" ".join(w for _ in range(40) for w in ("the", f"w{r.randrange(200)}")) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    the = kn.np.uint64(kn.xxhash.xxh64_intdigest(b"the", 0))
+    assert the in kn.hot_cores(df, 3, 4)[3] and len(kn.hot_cores(df, 4, 4)[4]) == 0
+    model, b = kn.fit(df), Brute(texts, 3)
+    assert {k for k, _, _ in model.have} >= {"gram", "hot-gram", "context", "hot-context", "raw"}
+    got = kn.score(df, model).collect()
+    assert [g.score for g in got] == pytest.approx([b.score(t)[4] for t in texts], rel=1e-9)
+
+
+def test_tables_give_back_what_they_hold():
+    r = kn.np.random.default_rng(0)
+    for n in (1, 3, 5_000):
+        h = kn.np.unique(r.integers(0, 2**64, n, dtype=kn.np.uint64))
+        numbers = [r.integers(0, 3, len(h)), r.integers(0, 40, len(h)) ** 4]
+        raw = b"".join(x.tobytes() + bytes(-x.nbytes % 8) for x in map(kn.np.ascontiguousarray, kn.table(h, numbers)))
+        t = kn.Table(kn.np.frombuffer(raw, kn.np.uint8))
+        ask = kn.np.unique(kn.np.concatenate([h, h + kn.np.uint64(1 << 50), r.integers(0, 2**64, n, dtype=kn.np.uint64)]))
+        hit, got = t.find(ask)
+        assert (ask[hit] == h).all() and (got == kn.np.stack(numbers, 1)).all()
+    a = r.integers(0, 70_000, 999)
+    assert (kn.decoded(kn.encoded(a)) == a).all() and (kn.decoded(kn.encoded(a, True)) == a).all()
+    big = [kn.np.array([5, 5, 1 << 40, 5]), kn.np.array([2, 1, 1, 1])]  # too wide for one number a row
+    for cols in (big, [x % 7 for x in big]):
+        o, heads = kn.ordering(cols)
+        assert [tuple(c[o[k]] for c in cols) for k in heads] == sorted(set(zip(*(c.tolist() for c in cols))))
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", "y", 7.0, 3)], "doc_id long, text string, _text string, `a.b` string, score double, n_tokens int")
+    got = kn.score(df, kn.fit(df)).first()
+    assert got["_text"] == "x" and got["a.b"] == "y" and got.n_tokens == 4 and got.score < 0
