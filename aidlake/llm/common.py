@@ -58,12 +58,11 @@ def by_name(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def fresh(name: str, taken: list) -> str:
-    """A name that no field has, in any case of letters."""
-    used = {(f if isinstance(f, str) else f.name).lower() for f in taken}
-    while name.lower() in used:
-        name = f"_{name}"
-    return name
+def carried(df: DataFrame, without: set[str]) -> tuple[Column, list[Column]]:
+    """(df's columns but these in one struct "row", the columns that give them back): no name of theirs meets another."""
+    names = [f.name for f in df.schema if f.name not in without]
+    row = F.struct(*([by_name(n).alias(n) for n in names] or [F.lit(0).alias("none")])).alias("row")
+    return row, [F.col("row").getField(n).alias(n) for n in names]
 
 
 class WordHashes(dict):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_name, carried
+
 #: Labelled pages that the model is trained on, its passes and its penalty.
 PAGES, PASSES, PENALTY = 600, 150, 0.002
 
@@ -36,14 +39,36 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({t for m in NAMED.finditer(attributes) for t in TOKEN.findall((m[1] or m[2] or m[3] or "").lower())}))
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """Leaf blocks in page order: (text, ancestors as (tag, names) from the root, characters inside links).
+class Element:
+    """An open element: what it adds to the features of the text inside it is worked out once, however deep it is."""
+
+    __slots__ = ("up", "tag", "own", "new", "total")
+
+    def __init__(self, up: Element | None, tag: str, new: tuple[str, ...]):
+        self.up, self.tag, self.new, self.total = up, tag, new, None
+        self.own = (f"in:{tag}", f"in:{up.tag}>{tag}" if up else f"in:{tag}")
+
+    def path(self) -> Iterator[Element]:
+        e: Element | None = self
+        while e:
+            yield e
+            e = e.up
+
+
+#: A leaf block: its text, the element about it (None at the top), characters inside links.
+Block = tuple[str, Element | None, int]
+
+
+def blocks(page: str) -> list[Block]:
+    """Leaf blocks in page order.
 
     A block is a run of text between tags that break lines; elements without text (RAW) and comments leave nothing.
-    Unclosed and stray tags are taken as browsers take them: an end tag closes down to its start tag, if open.
+    Unclosed and stray tags are taken as browsers take them: an end tag closes down to its start tag, if open. The
+    work grows with the page's length, however deep its elements nest.
     """
-    out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, tuple]] = []
+    out: list[Block] = []
+    stack: list[tuple[Element, tuple]] = []
+    open_now: Counter = Counter()  # of tags and of the words of names
     parts: list[str] = []
     in_link, links, at = 0, 0, 0
 
@@ -52,7 +77,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, tuple(s for s in stack if s[0] not in INLINE), links))
+                out.append((text, stack[-1][0] if stack else None, links))
             parts.clear()
         links = 0
 
@@ -64,6 +89,16 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             if in_link:
                 links += len(text)
 
+    def push(tag: str, names: tuple) -> None:
+        marks = (f"under:{tag}", *(f"name:{n}" for n in names))
+        new = tuple(m for m in marks if not open_now[m])
+        open_now.update(marks)
+        stack.append((Element(stack[-1][0] if stack else None, tag, new), marks))
+
+    def pop_to(size: int) -> None:
+        while len(stack) > size:
+            open_now.subtract(stack.pop()[1])
+
     size = len(page)
     while at < size:
         m = TAG.search(page, at)
@@ -86,27 +121,28 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             continue
         end_block()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_now[f"under:{tag}"]:
+                i = len(stack) - 1
+                while stack[i][0].tag != tag:
+                    i -= 1
+                pop_to(i)
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
             close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else size
             continue
-        if tag in BLOCKS_END_P and stack and stack[-1][0] == "p":
-            stack.pop()
+        if tag in BLOCKS_END_P and stack and stack[-1][0].tag == "p":
+            pop_to(len(stack) - 1)
         if tag in CLOSES_ITSELF:
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+                if stack[i][0].tag == tag:
+                    pop_to(i)
                     break
-                if stack[i][0] in ("ul", "ol", "dl", "table"):
+                if stack[i][0].tag in ("ul", "ol", "dl", "table"):
                     break
         if tag not in VOID:
-            stack.append((tag, names_of(m[3] or m[6] or "")))
+            push(tag, names_of(m[3] or m[6] or ""))
     end_block()
     return out
 
@@ -115,14 +151,10 @@ def bucket(n: float, steps: tuple) -> int:
     return sum(n >= s for s in steps)
 
 
-@lru_cache(65_536)
-def ancestor_features(ancestors: tuple) -> tuple[str, ...]:
-    tags = [t for t, _ in ancestors]
-    own = tags[-1] if tags else ""
-    return (
-        "bias", f"in:{own}", f"in:{'>'.join(tags[-2:])}",
-        *sorted({f"under:{t}" for t in tags}), *sorted({f"name:{n}" for _, names in ancestors for n in names}),
-    )
+def ancestor_features(element: Element | None) -> tuple[str, ...]:
+    if element is None:
+        return ("bias", "in:", "in:")
+    return ("bias", *element.own, *sorted(f for e in element.path() for f in e.new))
 
 
 def text_features(text: str, links: int) -> tuple[str, ...]:
@@ -133,7 +165,7 @@ def text_features(text: str, links: int) -> tuple[str, ...]:
     )
 
 
-def features(block: tuple[str, tuple, int]) -> tuple[str, ...]:
+def features(block: Block) -> tuple[str, ...]:
     return ancestor_features(block[1]) + text_features(block[0], block[2])
 
 
@@ -142,16 +174,22 @@ class Model:
 
     def __init__(self, weights: dict[str, float], move: list[list[float]]):
         self.weights, self.move = weights, move
-        self._ancestors: dict[tuple, float] = {}
 
-    def score(self, block: tuple[str, tuple, int]) -> float:
-        w = self.weights
-        known = self._ancestors.get(block[1])
-        if known is None:
-            if len(self._ancestors) > 50_000:
-                self._ancestors.clear()
-            known = self._ancestors[block[1]] = sum(w.get(f, 0.0) for f in ancestor_features(block[1]))
-        return known + sum(w.get(f, 0.0) for f in text_features(block[0], block[2]))
+    def inside(self, element: Element | None) -> float:
+        """What the elements about a block add, each one's share added up once on the way down from the top."""
+        todo = []
+        while element and element.total is None:
+            todo.append(element)
+            element = element.up
+        total, w = element.total if element else 0.0, self.weights
+        for e in reversed(todo):
+            total = e.total = total + sum(w.get(f, 0.0) for f in e.new)
+        return total
+
+    def score(self, block: Block) -> float:
+        w, (text, element, links) = self.weights, block
+        own = element.own if element else ("in:", "in:")
+        return w.get("bias", 0.0) + self.inside(element) + sum(w.get(f, 0.0) for f in own + text_features(text, links))
 
     def decode(self, found: list) -> list[bool]:
         """Viterbi: the most likely labels of a page's blocks together."""
@@ -332,11 +370,11 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", model
     """df with text_col (the main text) and n_chars (its code points) for html_col.
 
     A null page is taken as empty; a page without main text gives an empty text. Pages are read whole and one by
-    one: repeats give equal texts, an empty table none. Other columns are passed on, those called like the results
-    are replaced.
+    one, very long and deeply nested ones too: repeats give equal texts, an empty table none. Other columns are
+    passed on, whatever their names; those called like the results are replaced.
     """
     model = model or trained()
-    kept = [f for f in df.schema if f.name not in (html_col, text_col, "n_chars")]
+    row, back = carried(df, {html_col, text_col, "n_chars"})
     weights, move = model.weights, model.move
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,11 +382,12 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", model
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                texts = [own.main_text((h or b"").decode("utf-8", "replace")) for h in part.column(part.schema.get_field_index("_html")).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*(f.name for f in kept), text_col, "n_chars"])
+                texts = [own.main_text((h or b"").decode("utf-8", "replace")) for h in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
-    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html_col).cast("binary").alias("_html"))
-    return rows.mapInArrow(work, T.StructType([*kept]).add(text_col, "string").add("n_chars", "long"))
+    rows = df.select(row, by_name(html_col).cast("binary").alias("html"))
+    out = rows.mapInArrow(work, T.StructType([rows.schema["row"]]).add("text", "string").add("n_chars", "long"))
+    return out.select(*back, F.col("text").alias(text_col), "n_chars")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

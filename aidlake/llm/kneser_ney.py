@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, WordHashes, by_name, contains, fresh, input_shards, mixed, pack, scratch, unpack, window_hashes
+from .common import BASE, WordHashes, by_name, carried, contains, input_shards, mixed, pack, scratch, unpack, window_hashes
 from .toxicity import fold
 
 #: Words of an n-gram that the query counts.
@@ -533,7 +533,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     scored whole. Perplexity is 10 ** (-score / n_tokens).
     """
     results = "n_tokens n_known train_tokens base_score score".split()
-    kept = [f for f in df.schema if f.name not in (text_col, *results)]
+    row, back = carried(df, {text_col, *results})
+    df = df.select(row, by_name(text_col).cast("binary").alias("text"))
     N, V, order = model.train_tokens, model.distinct, model.order
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,11 +546,11 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             total = lambda x: np.add.reduceat(x, starts)
             base = total(np.log10((raw + 0.1) / (N + 0.1 * (V + 1))))
             cols = [np.array([len(d) - order + 1 for d in docs]), total((raw > 0).astype(np.int64)), np.full(len(docs), N), base, total(np.log10(p))]
-            return pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(kept))), *map(pa.array, cols)], [*(f.name for f in kept), *results])
+            return pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, cols)], ["row", *results])
 
         for b in batches:
             docs, size, lo = [], 0, 0
-            for i, t in enumerate(b.column(len(kept)).to_pylist()):
+            for i, t in enumerate(b.column(1).to_pylist()):
                 docs.append(tokens(t, cache, order))
                 size += len(docs[-1])
                 if size >= SCORED:
@@ -558,8 +559,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             if docs:
                 yield scored(b.slice(lo, len(docs)), docs)
 
-    schema = T.StructType([*kept]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
-    return df.select(*[by_name(f.name) for f in kept], by_name(text_col).cast("binary").alias(fresh("text", kept))).mapInArrow(work, schema)
+    schema = T.StructType([df.schema["row"]]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    return df.mapInArrow(work, schema).select(*back, *results)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

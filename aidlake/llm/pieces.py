@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_name, carried
+
 #: Vocabulary file of the query; a parameter everywhere else.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A larger file is not broadcast.
@@ -143,7 +145,8 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
     Rows are encoded one by one: repeats get the same ids, an empty table stays empty. Other columns are passed on;
     one called like ids_col is replaced. A very long text without spaces is one pass over its length.
     """
-    kept, model = [f for f in df.schema if f.name != ids_col], _model(df, path)
+    row, back = carried(df, {ids_col})
+    df, model = df.select(row, by_name(text_col).alias("text")), _model(df, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(model.value)
@@ -151,31 +154,34 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 ids, ends = array("i"), [0]
-                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                texts = part.column(1).to_pylist()
                 for t in texts:
                     if t:
                         p.encode(t, ids)
                     ends.append(len(ids))
                 none = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()), mask=none)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), lists], [*(f.name for f in kept), ids_col])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["row", "ids"])
 
-    return df.mapInArrow(work, T.StructType([*kept]).add(ids_col, T.ArrayType(T.IntegerType())))
+    out = df.mapInArrow(work, T.StructType([df.schema["row"]]).add("ids", T.ArrayType(T.IntegerType())))
+    return out.select(*back, F.col("ids").alias(ids_col))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str = MODEL) -> DataFrame:
-    """df with text_col (string) for ids_col; null for null."""
-    kept, model = [f for f in df.schema if f.name != text_col], _model(df, path)
+    """df with text_col (string) for ids_col; null for null; other columns are passed on, whatever their names."""
+    row, back = carried(df, {text_col})
+    df, model = df.select(row, by_name(ids_col).alias("ids")), _model(df, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(model.value)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                texts = [None if i is None else p.decode(i) for i in part.column(part.schema.get_field_index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), pa.array(texts, pa.binary()).cast(pa.string())], [*(f.name for f in kept), text_col])
+                texts = [None if i is None else p.decode(i) for i in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "text"])
 
-    return df.mapInArrow(work, T.StructType([*kept]).add(text_col, "string"))
+    out = df.mapInArrow(work, T.StructType([df.schema["row"]]).add("text", "string"))
+    return out.select(*back, F.col("text").alias(text_col))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

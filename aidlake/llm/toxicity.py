@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHashes
+from .common import WordHashes, by_name, carried
 
 #: Rows of each table of embeddings, sizes of an embedding and of a direction's state.
 WORDS, GRAMS, DIM, STATE = 1 << 15, 1 << 15, 12, 8
@@ -302,21 +303,22 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """docs with score (double) in place of any such column: every whole text by all its overlapping windows.
 
     A null text scores as an empty one: a window without words, whose score is the output's bias. Rows are scored
-    one by one, so ties and repeats score alike; an empty table stays empty; other columns are passed on.
+    one by one, so ties and repeats score alike; an empty table stays empty; other columns are passed on, whatever
+    their names.
     """
-    kept = [f for f in docs.schema if f.name != "score"]
+    row, back = carried(docs, {"score"})
     model = docs.sparkSession.sparkContext.broadcast(net.p)  # its size is fixed by WORDS, GRAMS, DIM and STATE
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network.__new__(Network)
         own.p = model.value
         for b in batches:
-            texts = b.column(b.schema.get_field_index("_text"))
+            texts = b.column(1)
             got = np.concatenate([scores(own, [t or b"" for t in texts.slice(lo, 512).to_pylist()]) for lo in range(0, b.num_rows, 512)] or [np.empty(0)])
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), pa.array(got)], [*(f.name for f in kept), "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["row", "score"])
 
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(work, type(docs.schema)([*kept]).add("score", "double"))
+    rows = docs.select(row, by_name(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(work, T.StructType([rows.schema["row"]]).add("score", "double")).select(*back, "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

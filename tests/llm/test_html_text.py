@@ -1,4 +1,5 @@
 import random
+import time
 
 from aidlake.llm import html_text as h
 
@@ -28,9 +29,9 @@ def test_viterbi_is_the_best_path():
 def test_blocks():
     page = """<!doctype html><HTML><body CLASS='Main-Page'><script>if (a<b) "</p>"</script><!-- <p>no</p> --><p>One&nbsp;two &amp; t<b>hr</b>ee<br>four &lt;x&gt; <p id=z>five
         <ul><li>a<li>b</ul><style>p{}</style>tail < 5 &copy; &#x41;&#66; <img alt=">" src=x>end</body><p title="cut"""
-    got = [(t, [x for x, _ in up]) for t, up, _ in h.blocks(page)]
+    got = [(t, [e.tag for e in up.path()][::-1]) for t, up, _ in h.blocks(page)]
     assert got == [("One two & three", ["html", "body", "p"]), ("four <x>", ["html", "body", "p"]), ("five", ["html", "body", "p"]), ("a", ["html", "body", "ul", "li"]), ("b", ["html", "body", "ul", "li"]), ("tail < 5 © AB", ["html", "body"]), ("end", ["html", "body"])]
-    assert h.blocks(page)[0][1][1] == ("body", ("main", "page"))
+    assert h.blocks(page)[0][1].up.new == ("under:body", "name:main", "name:page")
     assert h.blocks("") == [] and h.blocks("<<<>>>") and h.blocks("<p")  == []
 
 
@@ -41,3 +42,27 @@ def test_article_without_the_rest(spark):
     assert [g.text for g in got[:2]] == ["Title First words, and more of them here. Second été."] * 2
     assert got[0].n_chars == len(got[0].text) and [g.text for g in got[2:4]] == ["", ""] and len(got) == 5
     assert h.extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+def test_work_grows_with_the_page_not_with_its_depth():
+    def steps(n):
+        began = time.process_time()
+        found = h.blocks("<div class='a b'><p>x</i></li>" * n)
+        assert len(found) == n and h.trained().decode(found) is not None
+        return time.process_time() - began
+
+    h.trained()
+    assert steps(40_000) < 12 * steps(10_000) + 0.5
+
+
+def test_scores_do_not_depend_on_the_way_they_are_added_up():
+    model, r = h.trained(), random.Random(8)
+    for _ in range(20):
+        for b in h.blocks("".join(x for x, _ in h.labelled_page(r))):
+            assert abs(model.score(b) - sum(model.weights.get(f, 0.0) for f in h.features(b))) < 1e-9
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([("<p>One.</p>", "x", "y", "z")], "html string, _html string, `a.b` string, row string")
+    got = h.extract(df).first()
+    assert (got["_html"], got["a.b"], got["row"]) == ("x", "y", "z") and got.text in ("", "One.")

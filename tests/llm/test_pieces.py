@@ -76,3 +76,14 @@ def test_large_models_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(pieces, "LARGEST", 10)
     with pytest.raises(ValueError):
         pieces.encode(spark.createDataFrame([("a",)], "text string"))
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([("a b", "x", "y", "z")], "text string, _text string, `a.b` string, row string")
+    got = pieces.decode(pieces.encode(df)).first()
+    assert (got["_text"], got["a.b"], got["row"], got.text, got.decoded) == ("x", "y", "z", "a b", "a b")
+
+
+def test_a_very_long_text_without_spaces():
+    t = "abcdefghij" * 150_000
+    assert P.decode(ids(t)) == t.encode()

@@ -90,3 +90,49 @@ def test_columns_nulls_and_empty(spark):
     assert tox.score(docs.limit(0), net).collect() == []
     untrained = tox.fitted(docs, labels.limit(0))
     assert all(0 <= g.score < 0.5 for g in tox.score(docs, untrained).collect())
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y", "z")], "doc_id long, text string, _text string, `a.b` string, row string")
+    got = tox.score(df, tox.Network()).first()
+    assert (got["_text"], got["a.b"], got["row"], got.text) == ("x", "y", "z", "a b") and 0 < got.score < 1
+
+
+def test_scores_by_plain_loops():
+    """The forward pass written out word by word, window by window."""
+    r = np.random.default_rng(5)
+    net = tox.Network(5)
+    net.p["word"] = r.normal(0, 0.5, net.p["word"].shape).astype(np.float32)
+    p, S = {k: v.astype(np.float64) for k, v in net.p.items()}, tox.STATE
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def inputs(word):
+        own = word.strip(tox.EDGE) or word
+        v = tox.Vocabulary()
+        v.of(own)
+        (row,), grams, _ = v.rows()
+        return np.concatenate([p["word"][row], p["gram"][grams].max(0)]) @ p["wx"] + p["bx"]
+
+    def states(xs, u):
+        h, out = np.zeros(S), []
+        for x in xs:
+            z, g = sig(x[:S] + h @ u[:, :S]), sig(x[S : 2 * S] + h @ u[:, S : 2 * S])
+            h = (1 - z) * np.tanh(x[2 * S :] + g * (h @ u[:, 2 * S :])) + z * h
+            out.append(h)
+        return out
+
+    def window(words):
+        if not words:
+            return p["b"][0]
+        xs = [inputs(w) for w in words]
+        both = [np.concatenate(x) for x in zip(states([x[: 3 * S] for x in xs], p["uf"]), states([x[3 * S :] for x in xs[::-1]], p["ub"])[::-1])]
+        a = np.exp([h @ p["att"] for h in both])
+        return sum(w * h for w, h in zip(a / a.sum(), both)) @ p["out"] + p["b"][0]
+
+    texts = [b"", b"one", b"Some (words) here, twelve!", " ".join(f"w{i}é" for i in range(75)).encode()]
+    want = []
+    for t in texts:
+        words = t.lower().split()
+        starts = [0] if len(words) <= tox.WINDOW else [*range(0, len(words) - tox.WINDOW, tox.STRIDE), len(words) - tox.WINDOW]
+        want.append(sig(max(window(words[a : a + tox.WINDOW]) for a in starts)))
+    assert np.allclose(tox.scores(net, texts), want, atol=1e-4)
