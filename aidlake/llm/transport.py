@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_name, carried
+
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID = 0x0000, 0x1000, 0x0100
@@ -106,76 +108,131 @@ def mux(payload: bytes) -> bytes:
 
 
 class Stream:
-    """What demux() finds: payload, pts (ticks), sizes, random_access (unit numbers), continuity errors, repeats."""
+    """An elementary stream as demux() finds it: its PID and type, payload, pts (ticks or None) and sizes of its access
+    units, random_access (unit numbers), continuity errors, repeated packets."""
 
-    def __init__(self):
-        self.payload, self.pts, self.sizes, self.random_access, self.errors, self.repeats, self.tables = b"", [], [], [], 0, 0, 0
+    def __init__(self, pid: int, kind: int):
+        self.pid, self.kind = pid, kind
+        self.payload, self.pts, self.sizes, self.random_access, self.errors, self.repeats = b"", [], [], [], 0, 0
 
 
-def _sections(packets: np.ndarray, pid: int) -> list[bytes]:
-    pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    found = []
-    for p in packets[(pids == pid) & (packets[:, 1] & 0x40 > 0)]:
-        at = 4 + (1 + int(p[4]) if p[3] & 0x20 else 0)
-        at += 1 + int(p[at])
-        end = at + 3 + ((int(p[at + 1]) & 15) << 8 | int(p[at + 2]))
-        data = p[at:end].tobytes()
-        if end > PACKET or crc_mpeg(data):
-            raise ValueError(f"table section of PID {pid} is damaged")
-        found.append(data)
+def _starts(packets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each packet's payload begins, its adaptation flags)."""
+    adapted = packets[:, 3] & 0x20 > 0
+    start = np.where(adapted, 5 + packets[:, 4].astype(np.int32), 4)
+    return np.where(packets[:, 3] & 0x10 > 0, np.minimum(start, PACKET), PACKET), np.where(adapted & (packets[:, 4] > 0), packets[:, 5], 0)
+
+
+def _steps(s: Stream | None, packets: np.ndarray) -> np.ndarray:
+    """Packets of one PID without repeats; a counter that does not step by one, unless a discontinuity is announced, is an error."""
+    packets = packets[packets[:, 3] & 0x10 > 0]
+    if not len(packets):
+        return packets
+    step = (packets[1:, 3] - packets[:-1, 3]) & 15
+    same = np.append(False, (step == 0) & (packets[1:] == packets[:-1]).all(1))
+    if s:
+        announced = _starts(packets)[1][1:] & 0x80 > 0
+        s.repeats, s.errors = int(same.sum()), int(((step != 1) & ~same[1:] & ~announced).sum())
+    return packets[~same]
+
+
+def sections(packets: np.ndarray, pid: int) -> list[bytes]:
+    """Table sections of a PID, put together over as many packets as they take."""
+    own = _steps(None, packets)
+    starts, found, held = _starts(own)[0], [], None
+    for p, lo in zip(own, starts.tolist(), strict=True):
+        body = p[lo:].tobytes()
+        if p[1] & 0x40:
+            if not body:
+                raise ValueError(f"table section of PID {pid} is damaged")
+            before, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+            held = (held or b"") + before
+            pieces = [held, body] if held else [body]
+        elif held is None:
+            continue  # the rest of a section whose start is not here
+        else:
+            pieces = [held + body]
+        for held in pieces:
+            while len(held) >= 3 and held[0] != 0xFF:
+                size = 3 + ((held[1] & 15) << 8 | held[2])
+                if len(held) < size:
+                    break
+                if crc_mpeg(held[:size]):
+                    raise ValueError(f"table section of PID {pid} is damaged")
+                found.append(held[:size])
+                held = held[size:]
+            if held[:1] == b"\xff":
+                held = b""
+    if held:
+        raise ValueError(f"table section of PID {pid} is damaged")
     return found
 
 
-def demux(data: bytes) -> Stream:
-    """Reads a transport stream through its tables: PAT, PMT, then the first elementary stream.
+#: Streams whose PES packets have no header beyond their length: maps, padding, private streams of kind 2, control.
+PLAIN = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF))
+
+
+def _elementary(s: Stream, packets: np.ndarray) -> None:
+    own = _steps(s, packets)
+    start, flags = _starts(own)
+    body = own[np.arange(PACKET) >= start[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(PACKET - start)])
+    first = np.flatnonzero(own[:, 1] & 0x40)
+    cuts, parts = [*ends[first].tolist(), len(body)], []
+    for n, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        size = int.from_bytes(body[lo + 4 : lo + 6], "big")
+        if hi - lo < 6 or body[lo : lo + 3] != b"\x00\x00\x01" or size > hi - lo - 6:
+            raise ValueError(f"elementary packet {n} of PID {s.pid} is damaged")
+        end = lo + 6 + size if size else hi  # without a length the packet lasts to the next one
+        if body[lo + 3] in PLAIN:
+            s.pts.append(None)
+            parts.append(body[lo + 6 : end])
+        else:
+            s.pts.append(unstamp(body[lo + 9 : lo + 14]) if body[lo + 7] & 0x80 else None)
+            parts.append(body[lo + 9 + body[lo + 8] : end])
+        if flags[first[n]] & 0x40:
+            s.random_access.append(n)
+    s.payload, s.sizes = b"".join(parts), [len(p) for p in parts]
 
-    Continuity counters must step by one; an exact repeat of a packet is skipped, a gap counts as an error.
+
+def demux(data: bytes) -> list[Stream]:
+    """Reads a transport stream through its tables: PAT, each program's PMT, then every elementary stream in their order.
+
+    Continuity counters must step by one; an exact repeat of a packet is skipped, a gap counts as an error. A packet
+    or table that is cut or damaged raises ValueError.
     """
     if len(data) % PACKET:
         raise ValueError("length is not a multiple of 188")
-    s, packets = Stream(), np.frombuffer(data, np.uint8).reshape(-1, PACKET)
+    packets = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
     if not len(packets):
-        return s
+        return []
     if (packets[:, 0] != SYNC).any():
         raise ValueError("sync byte missing")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    pats = _sections(packets, PAT_PID)
+    pats = sections(packets[pids == PAT_PID], PAT_PID)
     if not pats:
         raise ValueError("no program association table")
-    programs = [int.from_bytes(pats[0][i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(pats[0]) - 4, 4) if pats[0][i : i + 2] != b"\0\0"]
-    pmts = _sections(packets, programs[0])
-    if not pmts:
-        raise ValueError("no program map table")
-    s.tables = len(pats) + len(pmts)
-    at = 12 + (int.from_bytes(pmts[0][10:12], "big") & 0x0FFF)
-    es = int.from_bytes(pmts[0][at + 1 : at + 3], "big") & 0x1FFF
-    own = packets[(pids == es) & (packets[:, 3] & 0x10 > 0)]
-    step = (own[1:, 3] - own[:-1, 3]) & 15
-    same = np.concatenate([[False], (step == 0) & (own[1:] == own[:-1]).all(1)])
-    s.repeats, s.errors = int(same.sum()), int(((step != 1) & ~same[1:]).sum())
-    own = own[~same]
-    adapted = own[:, 3] & 0x20 > 0
-    start = np.where(adapted, 5 + own[:, 4].astype(np.int32), 4)
-    flags = np.where(adapted & (own[:, 4] > 0), own[:, 5], 0)
-    body = own[np.arange(PACKET) >= start[:, None]].tobytes()
-    ends = np.concatenate([[0], np.cumsum(PACKET - start)])
-    first = np.flatnonzero(own[:, 1] & 0x40)
-    cuts = [*ends[first].tolist(), len(body)]
-    parts = []
-    for n, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if body[lo : lo + 4] != b"\x00\x00\x01" + bytes([PRIVATE_STREAM_1]) or int.from_bytes(body[lo + 4 : lo + 6], "big") != hi - lo - 6:
-            raise ValueError(f"elementary packet {n} is damaged")
-        s.pts.append(unstamp(body[lo + 9 : lo + 14]) if body[lo + 7] & 0x80 else None)
-        parts.append(body[lo + 9 + body[lo + 8] : hi])
-        if flags[first[n]] & 0x40:
-            s.random_access.append(n)
-    s.payload, s.sizes = b"".join(parts), [len(p) for p in parts]
-    return s
+    entries = [pat[i : i + 4] for pat in pats for i in range(8, len(pat) - 4, 4)]
+    programs = dict.fromkeys(int.from_bytes(e[2:], "big") & 0x1FFF for e in entries if e[:2] != b"\0\0")
+    streams: dict[int, Stream] = {}
+    for program in programs:
+        pmts = sections(packets[pids == program], program)
+        if not pmts:
+            raise ValueError("no program map table")
+        for pmt in pmts:
+            at = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF)
+            while at < len(pmt) - 4:
+                pid = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
+                streams.setdefault(pid, Stream(pid, pmt[at]))
+                at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0x0FFF)
+    for pid, s in streams.items():
+        _elementary(s, packets[pids == pid])
+    return list(streams.values())
 
 
 def unit_at(stream: Stream, ticks: int) -> int:
     """The random-access point from which to decode for a time."""
-    return max((n for n in stream.random_access if stream.pts[n] <= ticks), default=0)
+    return max((n for n in stream.random_access if stream.pts[n] is not None and stream.pts[n] <= ticks), default=0)
 
 
 def padded(data: bytes | None) -> bytes:
@@ -198,46 +255,70 @@ def to_media(df: DataFrame, text_col: str = "text", media_col: str = "media") ->
     """df with n_bytes and media_col (binary, a transport stream) in place of the text's column.
 
     A text's UTF-8 bytes, zero-padded to a positive multiple of 64, are the payload; null is taken as empty. Other
-    columns are passed on. A text is held by one task as one value, as Spark itself holds it.
+    columns are passed on, whatever their names (n_bytes and media_col are replaced). A text, however long, is held
+    by one task as one value, as Spark itself holds it.
     """
-    kept = [f for f in df.schema if f.name not in (text_col, "n_bytes", media_col)]
+    row, back = carried(df, {text_col, "n_bytes", media_col})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col))
-            cols = [b.column(b.schema.get_field_index(f.name)) for f in kept]
             for lo in range(0, b.num_rows, 256):
-                part = texts.slice(lo, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, 256) for c in cols), pa.array([len(t or b"") for t in part], pa.int64()), pa.array([mux(padded(t)) for t in part], pa.binary())], [*(f.name for f in kept), "n_bytes", media_col])
-
-    return df.withColumn(text_col, F.col(text_col).cast("binary")).mapInArrow(work, type(df.schema)([*kept]).add("n_bytes", "long").add(media_col, "binary"))
-
-
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units int, pts array<long>, random_access array<int>, continuity_errors int"
+                part = b.slice(lo, 256)
+                texts = part.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["row", "n_bytes", "media"])
+
+    rows = df.select(row, by_name(text_col).cast("binary").alias("text"))
+    out = rows.mapInArrow(work, T.StructType([rows.schema["row"]]).add("n_bytes", "long").add("media", "binary"))
+    return out.select(*back, "n_bytes", F.col("media").alias(media_col))
+
+
+#: What read_media() adds, and the type of each column in Arrow's terms.
+READ = {
+    "payload_bytes": ("long", pa.int64()), "payload_sha256": ("string", pa.string()), "tail_crc32": ("long", pa.int64()), "media_bytes": ("long", pa.int64()),
+    "media_sha256": ("string", pa.string()), "feature": ("string", pa.string()), "n_units": ("integer", pa.int32()), "pts": ("array<long>", pa.list_(pa.int64())),
+    "random_access": ("array<int>", pa.list_(pa.int32())), "continuity_errors": ("integer", pa.int32()), "error": ("string", pa.string()),
+}
+
+
+def found_in(media: bytes | None) -> tuple:
+    """A value for each column of READ; a stream that can't be read has its size, its digest and what is wrong with it."""
+    if media is None:
+        return (None,) * len(READ)
+    digest = hashlib.sha256(media).hexdigest()
+    try:
+        streams = demux(media)
+    except ValueError as e:
+        return (None, None, None, len(media), digest, None, None, None, None, None, str(e))
+    payload = b"".join(s.payload for s in streams)
+    units = sum(len(s.sizes) for s in streams)
+    access, at = [], 0
+    for s in streams:
+        access += [at + n for n in s.random_access]
+        at += len(s.sizes)
+    feature = features(np.frombuffer(payload, np.uint8)) + f";units={units};access={len(access)}" if payload else None
+    return (
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), digest, feature,
+        units, [t for s in streams for t in s.pts], access, sum(s.errors for s in streams), None,
+    )
 
 
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df with what its transport streams hold in place of media_col: digests, features, timestamps, access points.
 
-    A null stream gives nulls; a damaged one fails the task.
+    Elementary streams come one after the other in the tables' order. A null stream gives nulls; one that is cut or
+    damaged gives its size, digest and an error, and no other row suffers. Repeats give equal rows, an empty table
+    none. Other columns are passed on, whatever their names; those called like the results are replaced.
     """
-    kept = [f for f in df.schema if f.name != media_col]
-    schema = T.StructType([*kept, *T.StructType.fromDDL(READ)])
-
-    def one(m: bytes | None) -> tuple:
-        if m is None:
-            return (None,) * 10
-        s = demux(m)
-        p = s.payload
-        return (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(np.frombuffer(p, np.uint8)) + f";units={len(s.sizes)};access={len(s.random_access)}", len(s.sizes), s.pts, s.random_access, s.errors)
+    row, back = carried(df, {media_col, *READ})
+    rows = df.select(row, by_name(media_col).alias("media"))
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, (kind, _) in READ.items()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
         for b in batches:
-            got = list(zip(*map(one, b.column(b.schema.get_field_index(media_col)).to_pylist()), strict=True)) or [()] * 10
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), *(pa.array(c, t) for c, t in zip(got, types, strict=True))], schema.names)
+            got = list(zip(*map(found_in, b.column(1).to_pylist()), strict=True)) or [()] * len(READ)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(got, READ.values(), strict=True))], ["row", *READ])
 
-    return df.mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema).select(*back, *READ)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
