@@ -22,11 +22,13 @@ from .toxicity import fold
 #: Words of an n-gram that the query counts.
 ORDER = 3
 #: Tokens that a task counts before it sends them on, and that it scores at once.
-COUNTED, SCORED = 2_000_000, 1_000_000
+COUNTED, SCORED = 4_000_000, 1_000_000
 #: A core is hot if over this part of a shard's mean share of the n-grams has it; texts of which one in SAMPLED is looked at for that.
 HOT, SAMPLED = 0.5, 32
 #: Entries of a table that share a place in its index, on average.
-PLACE = 8
+PLACE = 16
+#: Bits of a word's 64-bit hash that n-grams leave out; single words are counted by all of them.
+LESS = np.uint64(16)
 
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"begin", 1))
 END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
@@ -54,7 +56,7 @@ def gram_hash(cols: list[np.ndarray]) -> np.ndarray:
 
 def core_hash(cols: list[np.ndarray]) -> np.ndarray:
     """By what the n-grams with these inner words are dealt out."""
-    return cols[0] if len(cols) == 1 else gram_hash(cols)
+    return cols[0] << LESS if len(cols) == 1 else gram_hash(cols)
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -85,21 +87,57 @@ def by_core(level: int) -> list[int]:
     return [*range(1, level - 1), 0, level - 1]
 
 
-def encoded(a: np.ndarray, steps: bool = False) -> bytes:
-    """Whole numbers in as few bytes each as hold them, or their differences, byte planes apart, compressed."""
+def encoded(a: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as hold them, byte planes apart, compressed."""
     most = int(a.max(initial=0))
     a = a.astype(next(f"u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w))
-    if steps:
-        a = np.diff(a, prepend=a[:1] * 0)
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
-    return bytes([a.itemsize, steps]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def decoded(b: bytes) -> np.ndarray:
-    width, steps = b[0], b[1]
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[2:]), np.uint8)
-    a = np.ascontiguousarray(raw.reshape(width, -1).T).view(f"u{width}").ravel()
-    return np.cumsum(a, dtype=a.dtype) if steps else a
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(b[0], -1).T).view(f"u{b[0]}").ravel()
+
+
+def packed_grams(words: np.ndarray, cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(distinct words and columns, counts) of n-grams as blobs; their order is not kept.
+
+    Words are numbered by how often they are there, roughly, so that numbers are small; rows are put in order, and a
+    column's numbers are counted on from the row above where all columns before it agree.
+    """
+    used = np.unique(np.concatenate(cols))
+    own = [np.searchsorted(used, c) for c in cols]
+    rough = -np.log2(np.maximum(sum(np.bincount(c, minlength=len(used)) for c in own), 1)).astype(np.int64)
+    by = np.argsort(rough, kind="stable")
+    rank = np.empty(len(used), np.int64)
+    rank[by] = np.arange(len(used))
+    own, values = [rank[c] for c in own], words[used[by]]
+    order, _ = ordering([own[j] for j in by_core(len(own))])
+    packed, new = {}, np.zeros(len(order), bool)
+    new[:1] = True
+    for j in by_core(len(own)):
+        c = own[j][order]
+        steps = np.diff(c, prepend=0)
+        packed[j] = encoded(np.where(new, c, steps))
+        new |= steps != 0
+    return [encoded(np.diff(values, prepend=values[:1] * 0)), *(packed[j] for j in range(len(own)))], [encoded(counts[order])]
+
+
+def unpacked_grams(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(words, columns of places in them) of packed_grams()."""
+    values = np.cumsum(decoded(blobs[0]).astype(np.uint64), dtype=np.uint64)
+    cols: list[np.ndarray] = [values] * (len(blobs) - 1)
+    new = None
+    for j in by_core(len(cols)):
+        steps = decoded(blobs[1 + j]).astype(np.int64)
+        if new is None:
+            new = np.arange(len(steps)) == 0
+        upto = np.cumsum(steps)
+        heads = np.flatnonzero(new)
+        c = cols[j] = upto - np.repeat((upto - steps)[heads], np.diff(np.append(heads, len(steps))))
+        new = new | (np.diff(c, prepend=0) != 0)
+    return values, cols
 
 
 def dealt(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,16 +154,8 @@ def row(kind: str, level: int, shard: int, words=None, numbers=None, stats=None)
 
 
 def gram_parts(kind: str, level: int, words: np.ndarray, cols: list[np.ndarray], counts: np.ndarray, shard: np.ndarray, n: int) -> list[dict]:
-    """n-grams of places in words, ordered as by_core() has it, as a blob for each shard: distinct words, then columns."""
-    out = []
-    for s, i in dealt(shard, n):
-        own = [c[i] for c in cols]
-        used = np.unique(np.concatenate(own))
-        at = [np.searchsorted(used, c) for c in own]
-        # All columns but the least significant one run upwards for long.
-        packed = [encoded(c, j != level - 1) for j, c in enumerate(at)]
-        out.append(row(kind, level, s, [pack(words[used]), *packed], [encoded(counts[i])]))
-    return out
+    """n-grams of places in words, as a blob for each shard."""
+    return [row(kind, level, s, *packed_grams(words, [c[i] for c in cols], counts[i])) for s, i in dealt(shard, n)]
 
 
 def key_parts(kind: str, level: int, hashes: np.ndarray, numbers: list[np.ndarray], n: int) -> list[dict]:
@@ -140,17 +170,20 @@ def counted(df: DataFrame, order: int, n: int, hot: list[np.ndarray]) -> DataFra
         cache, docs, size = WordHashes(), [], 0
 
         def sent() -> pa.RecordBatch:
-            words, at = np.unique(np.concatenate(docs), return_inverse=True)
-            ends = np.cumsum([len(d) for d in docs])
+            ends, flat = np.cumsum([len(d) for d in docs]), np.concatenate(docs)
             docs.clear()
+            words, at = np.unique(flat, return_inverse=True)
+            at = at.astype(np.int32)
+            del flat
             inside = np.ones(len(at) - order + 1, bool)  # n-grams that begin here do not cross into the next text
             for e in ends[:-1].tolist():
                 inside[max(0, e - order + 1) : e] = False
             cols = [at[j : len(at) - order + 1 + j][inside] for j in range(order)]
             rows = key_parts("raw", 1, *keyed(words, cols[-1]), n)
             o, heads = ordering([cols[j] for j in by_core(order)])
-            counts = np.diff(np.append(heads, len(o)))
-            cols = [c[o[heads]] for c in cols]
+            counts, words = np.diff(np.append(heads, len(o))), words >> LESS
+            o = o[heads]
+            cols = [c[o] for c in cols]
             shard, _ = routed(words, cols, hot[order], n)
             return pa.RecordBatch.from_pylist(rows + gram_parts("gram", order, words, cols, counts, shard, n), PART)
 
@@ -177,7 +210,7 @@ def keyed(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarra
 
 
 def routed(words: np.ndarray, cols: list[np.ndarray], hot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, whether its core is hot) of n-grams in the order of by_core(): by core, but by the whole n-gram for hot cores."""
+    """(shard, whether its core is hot) of n-grams: by core, but by the whole n-gram for hot cores."""
     core = [words[c] for c in cols[1:-1]]
     h = core_hash(core) if core else np.zeros(len(cols[0]), np.uint64)
     is_hot = contains(hot, h) if core else np.ones(len(h), bool)
@@ -216,47 +249,73 @@ def coded(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def table(hashes: np.ndarray, numbers: list[np.ndarray]) -> list[np.ndarray]:
-    """A sorted hash array and its numbers: head, index by the leading bits, the next 32 bits of each hash, the place
-    of its numbers among the distinct rows of numbers, those rows.
+    """A sorted hash array and its numbers, as arrays to be written one after the other.
 
+    Head; the commonest row of numbers and the other distinct ones; then, for the hashes with the commonest row and for
+    the others: an index by the leading bits, the next 32 bits of each hash, for the others the places of their rows.
     For an n-gram that was never counted, one in 2**32 / PLACE lookups finds a stranger's numbers.
     """
-    bits = max(1, (len(hashes) // PLACE).bit_length())
-    index = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     rows, place = coded(numbers)
-    place = place.astype(next(f"u{w}" for w in (1, 2, 4) if len(rows) <= 1 << 8 * w))
-    head = np.array([len(hashes), bits, len(rows), len(numbers), place.itemsize], np.int64)
-    return [head, index.astype(np.uint32), (hashes << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), place, rows]
+    first = int(np.argmax(np.bincount(place)))
+    swap = np.arange(len(rows))
+    swap[[0, first]] = swap[[first, 0]]
+    rows, place = rows[swap], swap[place]
+    small = next(f"u{w}" for w in (1, 2, 4) if len(rows) <= 1 << 8 * w)
+    head, parts = [len(rows), len(numbers), int(small[1])], [rows]
+    for own in (place == 0, place > 0):
+        h = hashes[own]
+        bits = max(1, (len(h) // PLACE).bit_length())
+        index = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        head += [len(h), bits]
+        parts += [index.astype(np.uint32), (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)]
+    return [np.array(head, np.int64), *parts, place[place > 0].astype(small)]
+
+
+class Keys:
+    """One of a table's two sorted hash arrays."""
+
+    def __init__(self, bits: int, index: np.ndarray, keys: np.ndarray):
+        self.bits, self.index, self.keys = bits, index, keys
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are there; where): a binary search in each one's place of the index."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        top = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        lo, end = self.index[top].astype(np.int64), self.index[top + 1].astype(np.int64)
+        want, hi = (hashes << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32), end.copy()
+        for _ in range(int((end - lo).max(initial=0)).bit_length()):
+            mid = (lo + hi) >> 1
+            less = self.keys[np.minimum(mid, len(self.keys) - 1)] < want
+            less &= lo < hi
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        hit = np.flatnonzero(lo < end)
+        hit = hit[self.keys[lo[hit]] == want[hit]]
+        return hit, lo[hit]
 
 
 class Table:
     """A stored table, read through a buffer that is mapped, not loaded."""
 
     def __init__(self, raw: np.ndarray):
-        n, self.bits, rows, width, size = raw[:40].view(np.int64).tolist()
-        at = 40
+        rows, width, small, n0, bits0, n1, bits1 = raw[:56].view(np.int64).tolist()
+        at = 56
 
         def part(count: int, kind: str) -> np.ndarray:
             nonlocal at
             lo, at = at, at + -(-count * int(kind[1:]) // 8) * 8
             return raw[lo : lo + count * int(kind[1:])].view(kind)
 
-        self.index, self.keys, self.place = part((1 << self.bits) + 1, "u4"), part(n, "u4"), part(n, f"u{size}")
         self.rows = part(rows * width, "i8").reshape(rows, width)
+        self.common = Keys(bits0, part((1 << bits0) + 1, "u4"), part(n0, "u4"))
+        self.other = Keys(bits1, part((1 << bits1) + 1, "u4"), part(n1, "u4"))
+        self.place = part(n1, f"u{small}")
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the hashes, in order, are there; their numbers): a binary search in each one's place of the index."""
-        top = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        lo, end = self.index[top].astype(np.int64), self.index[top + 1].astype(np.int64)
-        want, hi = (hashes << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32), end.copy()
-        for _ in range(int((end - lo).max(initial=0)).bit_length()):
-            mid = (lo + hi) >> 1
-            less = self.keys[np.minimum(mid, len(self.keys) - 1)] < want
-            less &= lo < hi
-            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-        hit = np.flatnonzero(lo < end)
-        hit = hit[self.keys[lo[hit]] == want[hit]]
-        return hit, self.rows[self.place[lo[hit]]]
+        """(which of the hashes are there, their numbers)."""
+        a, _ = self.common.find(hashes)
+        b, at = self.other.find(hashes)
+        return np.append(a, b), np.concatenate([np.broadcast_to(self.rows[:1], (len(a), self.rows.shape[1])), self.rows[self.place[at]]])
 
 
 @lru_cache(2048)
@@ -288,10 +347,11 @@ class Shard:
     @staticmethod
     def merged(rows: list[dict], level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(words, distinct n-grams in the order of by_core(), summed counts) of blobs."""
-        dicts = [unpack(r["words"][0]) for r in rows]
-        words = np.unique(np.concatenate(dicts))
-        places = [np.searchsorted(words, d) for d in dicts]
-        cols = [np.concatenate([p[decoded(r["words"][1 + j])] for p, r in zip(places, rows, strict=True)]) for j in range(level)]
+        blobs = [unpacked_grams(r["words"]) for r in rows]
+        words = np.unique(np.concatenate([d for d, _ in blobs]))
+        places = [np.searchsorted(words, d).astype(np.int32) for d, _ in blobs]
+        cols = [np.concatenate([p[c[j]] for p, (_, c) in zip(places, blobs, strict=True)]) for j in range(level)]
+        del blobs
         counts = np.concatenate([decoded(r["numbers"][0]).astype(np.int64) for r in rows])
         o, heads = ordering([cols[j] for j in by_core(level)])
         return words, [c[o[heads]] for c in cols], np.add.reduceat(counts[o], heads)
@@ -327,8 +387,7 @@ class Shard:
             self.out += key_parts("word", 1, *keyed(words, cols[1]), self.n)
         elif level > 2:
             shard, _ = routed(words, cols, self.hot[level], self.n)
-            o, _ = ordering([cols[j] for j in by_core(level)])
-            self.out += gram_parts("gram", level, words, [c[o] for c in cols], np.ones(len(o), np.int64), shard[o], self.n)
+            self.out += gram_parts("gram", level, words, cols, np.ones(len(shard), np.int64), shard, self.n)
 
     def grams(self, level: int, rows: list[dict]) -> None:
         """All n-grams of each core that is not hot, and some of each hot one."""
@@ -352,8 +411,7 @@ class Shard:
                 self.passed_on(level - 1, words, short)
             else:
                 h = gram_hash([words[c] for c in short])
-                by = ordering([short[j] for j in by_core(level - 1)])[0]
-                self.out += gram_parts("part", level - 1, words, [c[by] for c in short], before[by], shard_of(h, self.n)[by], self.n)
+                self.out += gram_parts("part", level - 1, words, short, before, shard_of(h, self.n), self.n)
 
     def parts(self, level: int, rows: list[dict]) -> None:
         """n-grams whose counts come from several shards."""
@@ -411,9 +469,9 @@ def hot_cores(texts: DataFrame, order: int, n: int) -> list[np.ndarray]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            docs = [tokens(t, cache, order) for t in b.column(0).to_pylist()]
+            docs = [tokens(t, cache, order) >> LESS for t in b.column(0).to_pylist()]
             for level in range(3, order + 1):
-                core = [d if level == 3 else window_hashes(d, level - 2) for d in docs]
+                core = [d << LESS if level == 3 else window_hashes(d, level - 2) for d in docs]
                 h, c = np.unique(np.concatenate(core), return_counts=True)
                 kept = c * n * 8 > c.sum() * HOT  # rarer ones in this batch of texts count as none
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum() + 1, level, np.int32)), pa.array([None, *h[kept].view(np.int64).tolist()], pa.int64()), pa.array([int(c.sum()), *c[kept].tolist()], pa.int64())], ["level", "core", "n"])
@@ -465,6 +523,8 @@ class Model:
         order = self.order
         last, inv = np.unique(mixed(np.concatenate([d[order - 1 :] for d in docs])), return_inverse=True)
         raw = self.lookup("raw", 1, last, None)[:, 0][inv]
+        docs = [d >> LESS for d in docs]
+        last, inv = np.unique(mixed(np.concatenate([d[order - 1 :] for d in docs])), return_inverse=True)
         p = np.full(len(last), 1 / (self.distinct + 1))
         if self.total:
             c = self.lookup("gram", 1, last, None)[:, 0]
@@ -476,7 +536,7 @@ class Model:
             size = k - 1 - inner  # words of the core: all of the context, without its first word at the highest order
             core = None
             if size:
-                core = np.concatenate([d[inner : len(d) - k + inner + 1] if size == 1 else window_hashes(d[inner : len(d) - k + inner + size], size) for d in own])
+                core = np.concatenate([d[inner : len(d) - k + inner + 1] << LESS if size == 1 else window_hashes(d[inner : len(d) - k + inner + size], size) for d in own])
             h, first, inv = np.unique(np.concatenate([window_hashes(d, k) for d in own]), return_index=True, return_inverse=True)
             mine = self._less(self.lookup("gram", k, h, core if core is None else core[first])[:, 0], k)[inv]
             h, first, inv = np.unique(np.concatenate([window_hashes(d[:-1], k - 1) for d in own]), return_index=True, return_inverse=True)
@@ -500,8 +560,9 @@ def fit(df: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     once. A hot core's n-grams are dealt out one by one, and what its shards know is summed by hash afterwards. The
     number of shards follows the input's size. Each shard's sorted arrays are files of the shared folder; the driver
     gets a row of statistics for each of them. A null text is an empty one; repeated rows count again; without rows
-    every token is as likely as any. Words and n-grams are compared by hashes of 64 bits. Very long texts are cut
-    nowhere: a task holds COUNTED tokens and one text more.
+    every token is as likely as any. Single words and n-grams are compared by hashes of 64 bits, the words of n-grams
+    by 48 of them: of 10**8 distinct words some twenty pairs may count as one there. Very long texts are cut nowhere:
+    a task holds COUNTED tokens and one text more.
     """
     if order < 2:
         raise ValueError("order must be 2 at least")
