@@ -17,42 +17,78 @@ from aidlake.llm import common, line_dedup, mixing, pieces, simhash, toxicity
 SHINGLE, DISTANCE, SIMILARITY = 5, 8, 0.8
 
 
+def folded(docs: DataFrame, *also: str) -> DataFrame:
+    """docs as row (a struct of the other columns), text and copies of `also`: so no name of a stage meets one of docs."""
+    rest = [common.by_name(c).alias(c) for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), "text", *[common.by_name(c).alias(c) for c in also])
+
+
+def unfolded(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, fitted on `labels`, scores at 0.5 or more go."""
+    """Documents that the network, fitted on `labels`, scores at 0.5 or more go.
+
+    Null and empty texts score as a window without words, repeated rows alike; whole texts are scored, however long.
+    An empty table stays empty; a column called score is not touched.
+    """
     net = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, net).where("score < 0.5").select(*docs.columns)
+    return unfolded(toxicity.score(folded(docs), net).where("score < 0.5"), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; every document stays, and n_chars follows its text."""
-    out = line_dedup.line_dedup(docs, min_docs=line_dedup.MIN_DOCS, min_tokens=line_dedup.MIN_TOKENS)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Lines of recurring templates go; every document stays, and n_chars follows its text.
+
+    Null texts stay null, empty ones empty; rows with equal doc_id and text fare alike; a null doc_id comes after all
+    others. Long texts cost as much as their length. Columns n_lines and n_dropped of docs stay as they were.
+    """
+    out = line_dedup.line_dedup(folded(docs, "doc_id"))
+    back = unfolded(out, docs.columns)
+    return back.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else common.by_name(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard 0.8 or more) stays: the one with the smallest id."""
-    groups = simhash.near_groups(docs, "doc_id", "text", SHINGLE, DISTANCE, SIMILARITY)
-    stay = groups.where("kept").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    found = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_hash"] == stay["text_hash"]), "left_semi")
-    once = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
-    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    """One document of each group of near copies (five-word Jaccard 0.8 or more) stays: the one with the smallest id.
+
+    Null doc_ids come last; of equal ids the smaller text hash stays, of rows that agree in both the one whose digest
+    of all columns is least, so the result does not depend on the rows' order. Texts without words are copies of each
+    other. An empty table stays empty; texts are compared whole.
+    """
+    groups = simhash.near_groups(docs.select("doc_id", "text"), "doc_id", "text", SHINGLE, DISTANCE, SIMILARITY)
+    stay = common.written(groups.where("kept").select("doc_id", "text_hash").distinct(), "stay")
+    rows = folded(docs, "doc_id").withColumn("text_hash", F.xxhash64("text"))
+    found = rows.join(stay, rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["text_hash"] == stay["text_hash"]), "left_semi")
+    once = Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64("row"), "row")
+    return unfolded(found.withColumn("place", F.row_number().over(once)).where("place = 1"), docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times or not at all."""
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    slim = mixing.with_size(rows).select("doc_id", "_row", "source", "size")
-    copies = mixing.mix(slim).groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("doc_id"))).where("_n = 1")
-    taken = first.join(copies.where("_copies > 0"), first["doc_id"].eqNullSafe(copies["_id"]) & (first["_row"] == copies["_key"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """Each document as often as the mix takes it, up to three times or not at all.
+
+    Rows that are equal in all columns get the copies of all of them together. Texts that are null or have no words
+    add none to a source; they stay by their source's ratio alone. A null source is one of its own; long texts are one
+    document each; an empty table stays empty.
+    """
+    rows = folded(docs, "doc_id", "source").withColumn("key", F.xxhash64("row", "text"))
+    slim = mixing.with_size(rows).select("doc_id", "key", "source", "size")
+    copies = mixing.mix(slim).groupBy("doc_id", "key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    copies = common.written(copies, "copies")
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("key"))).where("place = 1")
+    taken = first.join(copies, first["doc_id"].eqNullSafe(copies["doc_id"]) & (first["key"] == copies["key"])).select("row", "text", "copies")
+    return unfolded(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and their number for each document, its text decoded from them again."""
-    coded = pieces.decode(pieces.encode(docs).drop("text"), text_col="text")
-    return coded.select(*docs.columns, F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids")
+    """ids (piece ids) and n_tokens for each document, its text decoded from them again.
+
+    A null text has null ids and 0 tokens, an empty one none; repeats get equal ids; texts are taken whole. Columns of
+    docs called ids or n_tokens are replaced. An empty table stays empty.
+    """
+    coded = pieces.decode(pieces.encode(folded(docs)).drop("text"), text_col="text")
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
+    back = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept]
+    return coded.select(*back, F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("toxicity", toxic), ("line_dedup", lines), ("simhash", near), ("mixing", mixed), ("pieces", tokens)]
