@@ -93,6 +93,28 @@ def test_near_and_exact_copies_leave_one(spark):
     assert sorted(x.doc_id for x in got) == [3, 7]
 
 
+def test_repeats_that_differ_elsewhere_leave_the_same_row(spark):
+    rows = [(1, "some words of a text", "en", "a", 1), (1, "some words of a text", "fr", "b", 2), (None, "more", "de", "c", 3), (None, "more", "es", "d", 4)]
+    got = set()
+    for order in (rows, rows[::-1]):
+        for parts in (1, 3):
+            got.add(tuple(sorted(map(str, cp.near(spark, spark.createDataFrame(order, DOCS).repartition(parts), "").collect()))))
+    assert len(got) == 1 and len(next(iter(got))) == 2
+
+
+def test_columns_with_clashing_names(spark, folder):
+    d, rows, _ = folder
+    names = "score n_lines n_dropped _n _hash _row _copy copies size row key ids n_tokens a.b place text_hash".split()
+    docs = spark.createDataFrame([(*x, *names) for x in rows[:60]], DOCS + "".join(f", `{n}` string" for n in names))
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, d)
+        left = [n for n in names if name != "pieces" or n not in ("ids", "n_tokens")]
+        assert name == "pieces" or out.columns == docs.columns
+        docs = common.written(out, f"clash-{name}")
+        got = docs.collect()
+        assert got and all(x[n] == n for x in got for n in left)
+
+
 def test_empty_tables(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], DOCS).write.parquet(f"{d}/documents.parquet")
