@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, WordHashes, by_name, carried, contains, input_shards, mixed, pack, scratch, unpack, window_hashes
+from .common import BASE, WordHashes, by_name, carried, contains, input_shards, mixed, pack, save, scratch, unpack, window_hashes
 from .toxicity import fold
 
 #: Words of an n-gram that the query counts.
@@ -219,18 +218,6 @@ def routed(words: np.ndarray, cols: list[np.ndarray], hot: np.ndarray, n: int) -
     return shard, is_hot
 
 
-def save(folder: str, name: str, parts: list[np.ndarray]) -> None:
-    """Writes arrays one after the other into the shared folder in one move: a task that runs twice leaves the same file."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    new = f"{path}/.{uuid.uuid4().hex}"
-    with fs.open_output_stream(new) as f:
-        for a in parts:
-            f.write(np.ascontiguousarray(a).data)
-            f.write(bytes(-a.nbytes % 8))
-    fs.move(new, f"{path}/{name}")
-
-
 def coded(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows of the numbers, the place of each row among them)."""
     few = 4 if len(numbers) > 1 else 16  # bits that most numbers fit in

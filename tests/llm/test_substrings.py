@@ -54,3 +54,34 @@ def test_levels_double():
         plan = substrings.levels(w)
         assert plan[-1] == w and all(b <= 2 * a for a, b in zip(plan, plan[1:]))
         assert plan[0] <= 7
+
+
+def test_three_levels_and_what_they_leave(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 100)
+    assert substrings.levels(13) == [4, 7, 13]
+    r, trace = random.Random(2), []
+    shared = " ".join(f"s{i}" for i in range(30))
+    half = [" ".join(f"h{k}x{i}" for i in range(6)) for k in range(20)]  # repeats of six words only
+    rows = [(i, " ".join([*(f"u{i}x{j}" for j in range(40)), half[i % 20], *(f"v{i}x{j}" for j in range(20)), shared if i in (3, 9) else "end"])) for i in range(60)]
+    got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), trace=trace).collect()
+    assert {g.doc_id: g.n_removed for g in got} == {i: 30 if i == 9 else 0 for i in range(60)}
+    assert [t[0] for t in trace] == [4, 7, 13] and trace[0][2] > trace[1][2] > 0 and trace[2][2] == 18
+    assert trace[1][1] < trace[0][1] / 2 and trace[2][1] == 36
+
+
+def test_long_texts_and_words(spark, monkeypatch):
+    """Texts longer than a chunk and a block, words longer than a block; hashes do not depend on where a word is."""
+    r = random.Random(3)
+    monkeypatch.setattr(substrings, "BLOCK", 64)
+    monkeypatch.setattr(substrings, "CHUNK", 1_000)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(3_000))
+    rows = [(1, long, "", 0), (2, "x" * 500 + " \t" + long[100:9_000] + "\x0b é", "", 0), (3, " " + long[50:] + " ", "", 0), (4, "y" * 70 + " z", "", 0)]
+    got = substrings.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((g.doc_id, g.n_words, g.n_removed, g.kept.decode()) for g in got), key=str) == brute(rows, 13)
+
+
+def test_a_text_longer_than_a_chunk_at_the_real_size(spark):
+    words = [f"w{i}" for i in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[1000:1050]) + " tail")]
+    got = {g.doc_id: g for g in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_removed, got[2].n_removed, got[2].kept) == (400_000, 0, 50, b"tail")
