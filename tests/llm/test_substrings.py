@@ -66,7 +66,7 @@ def test_three_levels_and_what_they_leave(spark, monkeypatch):
     got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), trace=trace).collect()
     assert {g.doc_id: g.n_removed for g in got} == {i: 30 if i == 9 else 0 for i in range(60)}
     assert [t[0] for t in trace] == [4, 7, 13] and trace[0][2] > trace[1][2] > 0 and trace[2][2] == 18
-    assert trace[1][1] < trace[0][1] / 2 and trace[2][1] == 36
+    assert trace[1][1] < trace[0][1] / 2 and 36 <= trace[2][1] < 60
 
 
 def test_long_texts_and_words(spark, monkeypatch):
