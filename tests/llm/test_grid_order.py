@@ -51,7 +51,7 @@ def test_skips_distant_blocks(spark, monkeypatch):
     classes = grid_order.usable(df).selectExpr("key", "label", "vec", "1L as n", "id as class")
     axes = grid_order.principal(classes)
     cut = grid_order.blocks(classes, axes, 0.2, 4)
-    n, pairs = cut.count(), grid_order.near_blocks(cut.drop("classes", "counts", "vecs"), axes.shape[1], 0.2).count()
+    n, pairs = cut.count(), grid_order.near_blocks(cut.drop("classes", "counts", "vecs"), axes.shape[1] + 1, 0.2).count()
     assert pairs < n * (n + 1) / 2 / 4
 
 
@@ -60,3 +60,25 @@ def test_repeats_nulls_and_empty(spark):
     got = sorted(((g.vec_id, g.n_links, g.component_id, g.kept) for g in grid_order.embedding_groups(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 0, None, True)], key=str)
     assert grid_order.embedding_groups(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clustered_vectors_meet_few_blocks(spark):
+    """Two hundred clusters under one label: a fifth of all pairs of blocks at most is compared."""
+    r, trace = np.random.default_rng(6), []
+    centers = r.normal(size=(200, 32))
+    rows = [(i, [float(x) for x in centers[i % 200] + r.normal(size=32) * 0.02], 0) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = grid_order.embedding_groups(df, trace=trace).collect()
+    (n, met), = trace
+    assert met <= n * (n + 1) / 2 / 5, trace
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = ((x @ x.T) >= 0.98).sum(1) - 1
+    assert [g.n_links for g in sorted(got)] == want.tolist()
+
+
+def test_very_long_very_large_and_very_small_vectors(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 0.0]), (5, [1.0, 0.0]), (6, [0.0] * 20_000 + [1.0]), (7, [0.0] * 20_000 + [2.0])]
+    df = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, label int, `key` string, `a.class` string")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in grid_order.embedding_groups(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
