@@ -81,11 +81,32 @@ def segments(n: int, distance: int) -> list[tuple[int, int, int]]:
     return best[1] or [(0, 32, distance // 2), (32, 32, distance // 2)]
 
 
-def probes(fp: Column, low: int, bits: int, radius: int) -> Column:
-    """The keys of the Hamming ball about the segment, as an array of structs (key, d); d = 0 is the own key."""
+def ball(own: Column, low: int, bits: int, radius: int) -> Column:
+    """The keys of the Hamming ball about a segment's key, as an array of structs (seg, key, d); d = 0 is the own key."""
     masks = [(0, 0)] + [(sum(1 << b for b in c), d) for d in range(1, radius + 1) for c in combinations(range(bits), d)]
-    own = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    return F.transform(F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(d).alias("d")) for m, d in masks]), lambda x: F.struct(F.lit(low).alias("seg"), own.bitwiseXOR(x["m"]).alias("key"), x["d"].alias("d")))
+    array = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(d).alias("d")) for m, d in masks])
+    return F.transform(array, lambda x: F.struct(F.lit(low).alias("seg"), own.bitwiseXOR(x["m"]).alias("key"), x["d"].alias("d")))
+
+
+def probes(fp: Column, low: int, bits: int, radius: int) -> Column:
+    """ball() about the fingerprint's segment."""
+    return ball(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")), low, bits, radius)
+
+
+def hot_keys(rows: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
+    """(seg, key, ni, nj): into how many shares the table rows and the probes of hot keys, and of keys near them, are cut.
+
+    A key's probes come from the keys in its ball, so those of a hot key's neighbours are counted from the hot keys,
+    which are few, without counting all probes.
+    """
+    many = written(rows.where("d = 0").groupBy("seg", "key").count().where(F.col("count") > HOT_ROWS), "hot-keys")
+    near = None
+    for low, bits, radius in parts:
+        one = many.where(F.col("seg") == low).select("count", F.explode(ball(F.col("key"), low, bits, radius)).alias("x")).select("x.seg", "x.key", "count")
+        near = one if near is None else near.unionByName(one)
+    asked = near.groupBy("seg", "key").agg(F.sum("count").alias("asked"))
+    share = lambda c: F.coalesce(F.ceil(F.col(c) / HOT_ROWS), F.lit(1)).cast("int")
+    return asked.join(many, ["seg", "key"], "left").select("seg", "key", share("count").alias("ni"), share("asked").alias("nj"))
 
 
 def links(fps: DataFrame, distance: int) -> DataFrame:
@@ -93,12 +114,13 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     parts = segments(fps.count(), distance)
     rows = fps.select("fp", F.explode(F.concat(*[probes(F.col("fp"), *p) for p in parts])).alias("x")).select("x.seg", "x.key", "x.d", "fp")
     # Written first: a small table of hot keys is then joined without moving the rows, a large one with a shuffle.
-    hot = written(rows.where("d = 0").groupBy("seg", "key").count().where(F.col("count") > HOT_ROWS).select("seg", "key", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("n")), "hot-keys")
-    own, every = F.pmod(F.xxhash64("fp"), F.coalesce("n", F.lit(1))).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))
+    hot = written(hot_keys(rows, parts), "hot-shares")
+    own = lambda n: F.pmod(F.xxhash64("fp"), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     rows = rows.join(hot, ["seg", "key"], "left")
     # A hot key's table rows and probes meet in a grid of tasks; each pair meets once.
-    table = rows.where("d = 0").select("seg", "key", "fp", F.lit(0).alias("probe"), own.alias("i"), every.alias("j"))
-    asked = rows.select("seg", "key", "fp", F.lit(1).alias("probe"), every.alias("i"), own.alias("j"))
+    table = rows.where("d = 0").select("seg", "key", "fp", F.lit(0).alias("probe"), own("ni").alias("i"), every("nj").alias("j"))
+    asked = rows.select("seg", "key", "fp", F.lit(1).alias("probe"), every("ni").alias("i"), own("nj").alias("j"))
     met = table.unionByName(asked).repartition("seg", "key", "i", "j").sortWithinPartitions("seg", "key", "i", "j", "probe")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
