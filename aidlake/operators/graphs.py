@@ -2,56 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import dot
+from ..sources.shared import drop, table
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a table in the folder that spark.checkpoint.dir names (a local one where it is unset): a round's end."""
-    spark: SparkSession = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="aidlake-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/rounds-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(path.toString())
-    return spark.read.schema(df.schema).parquet(path.toString())
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame, risk_weight: float = 1.0, blocked: float = 1.0, max_rounds: int = 1_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, risk_weight: float = 1.0, blocked: float = 1.0, max_rounds: int | None = None) -> DataFrame:
     """(node, cost, previous): cheapest routes from the sources over edges(src, dst, length, risk).
 
     An edge costs length * (1 + risk_weight * risk); edges with risk >= blocked are closed. Each round relaxes the
-    nodes that improved, one join and one min; it ends when none does. Negative costs are refused by the max_rounds.
+    nodes that improved, one join and one min; it ends when none does, or with an error after max_rounds if they are
+    given. Negative costs are refused, as a circle of them has no cheapest route.
     """
     cost = edges.where(F.col("risk") < blocked).groupBy("src", "dst").agg(F.min(F.col("length") * (1 + risk_weight * F.col("risk"))).alias("w"))
-    cost = cut(cost)
-    best = cut(sources.select(F.col("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(sources.schema["node"].dataType).alias("previous"), F.lit(True).alias("fresh")).distinct())
-    for _ in range(max_rounds):
+    cost = table(cost, "costs")
+    if not cost.where("w < 0").isEmpty():
+        raise ValueError("an edge has a negative cost")
+    best = table(sources.select(F.col("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(sources.schema["node"].dataType).alias("previous"), F.lit(True).alias("fresh")).distinct(), "routes")
+    for n in count(1):
         step = best.where("fresh").join(cost, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("previous"), F.lit(True).alias("fresh"))
         every = best.withColumn("fresh", F.lit(False)).unionByName(step)
         least = every.groupBy("node").agg(F.min(F.struct("cost", F.col("fresh").alias("f"), "previous")).alias("m"))
-        best = cut(least.select("node", "m.cost", "m.previous", F.col("m.f").alias("fresh")))
+        before, best = best, table(least.select("node", "m.cost", "m.previous", F.col("m.f").alias("fresh")), "routes")
+        drop(before)
         if best.where("fresh").isEmpty():
             return best.drop("fresh")
-    raise ValueError("no end after max_rounds")
+        if max_rounds and n >= max_rounds:
+            raise ValueError("no end after max_rounds")
+
 
+def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, label): label propagation over undirected edges(src, dst): each round the commonest label, ties to the least.
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label): label propagation over undirected edges(src, dst): each round the commonest label, ties to the least."""
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    Rounds go on until no label changes, or until the labels are those of two rounds before, as on graphs of two
+    sides; then a node gets the lesser of its two labels. With `rounds` given there are so many at most.
+    """
+    both = table(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "edges")
+    labels = table(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    older = None
+    for n in count(1):
         votes = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
-        labels = cut(votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select(F.col("src").alias("node"), F.col("m.label").alias("label")))
-    return labels
+        new = table(votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select(F.col("src").alias("node"), F.col("m.label").alias("label")), "labels")
+        if n == rounds or _same(new, labels):
+            return new
+        if older is not None:
+            if _same(new, older):
+                return new.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
+            drop(older)
+        older, labels = labels, new
+
+
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    return a.join(b, ["node", "label"], "left_anti").isEmpty()
 
 
 def top_k(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:

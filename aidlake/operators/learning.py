@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def held_out(df: DataFrame, parts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(rows to learn from, rows to judge by): one in `parts` by a hash of all columns, so copies never stand on both sides."""
+    own = F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == 0
+    return df.where(~own), df.where(own)
+
+
 def perceptron(df: DataFrame, features: list[str], label: str, rounds: int = 20, rate: float = 1.0) -> list[float]:
     """Weights (bias last) by the batch perceptron rule: each round adds the sum over misclassified rows.
 

@@ -28,3 +28,17 @@ def ahp(pairs: DataFrame) -> DataFrame:
     means = pairs.groupBy("i").agg(F.exp(F.avg(F.ln("v"))).alias("g"))
     total = means.agg(F.sum("g").alias("total"))
     return means.join(F.broadcast(total)).select("i", (F.col("g") / F.col("total")).alias("weight"))  # one row
+
+
+def slope_aspect(cells: DataFrame, size: float = 1.0) -> DataFrame:
+    """(row, col, slope, aspect) in degrees of cells(row, col, value) with four neighbours, rows running south.
+
+    Central differences; aspect is the compass direction that the slope faces, 0 north, null on flat ground.
+    """
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(n).alias("n")) for r, c, n in ((-1, 0, "south"), (1, 0, "north"), (0, -1, "east"), (0, 1, "west"))])
+    sent = cells.select("row", "col", "value", F.explode(steps).alias("s"))
+    at = sent.groupBy((F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col")).pivot("s.n", ["north", "south", "east", "west"]).agg(F.first("value"))
+    own = at.dropna().join(cells.select("row", "col"), ["row", "col"], "left_semi")
+    x, y = (F.col("east") - F.col("west")) / (2 * size), (F.col("north") - F.col("south")) / (2 * size)
+    aspect = F.when((x != 0) | (y != 0), F.pmod(F.degrees(F.atan2(-x, -y)) + 360.0, F.lit(360.0)))
+    return own.select("row", "col", F.degrees(F.atan(F.sqrt(x * x + y * y))).alias("slope"), aspect.alias("aspect"))

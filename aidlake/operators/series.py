@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,3 +46,22 @@ def forecast_features(df: DataFrame, key: str, ts: str, value: str, lags: int, a
     w = Window.partitionBy(key).orderBy(ts)
     cols = [F.lag(value, i).over(w).alias(f"lag_{i}") for i in range(1, lags + 1)]
     return df.select("*", *cols, F.avg(value).over(w.rowsBetween(-lags, 0)).alias("mean"), F.lead(value, ahead).over(w).alias("target"))
+
+
+def model_flags(df: DataFrame, key: str, ts: str, value: str, limit: float = 8.0, seed: int = 0) -> DataFrame:
+    """df(…, flag) with flags "model" for readings that pass the rules but not a forest's guess from their neighbours.
+
+    The forest learns from readings the rules let pass; one is flagged if it is further from the guess than `limit`
+    times the median distance. The rules and the limit are this library's own.
+    """
+    w = Window.partitionBy(key).orderBy(ts)
+    good = F.when(F.col("flag") == "ok", F.col(value))
+    near = [(n, f(good, k).over(w)) for n, f, k in (("_b2", F.lag, 2), ("_b1", F.lag, 1), ("_a1", F.lead, 1), ("_a2", F.lead, 2))]
+    rows = df.select("*", *[c.alias(n) for n, c in near]).withColumn("_ok", (F.col("flag") == "ok") & F.col("_b1").isNotNull() & F.col("_a1").isNotNull())
+    rows = rows.withColumn("_b2", F.coalesce("_b2", "_b1")).withColumn("_a2", F.coalesce("_a2", "_a1")).withColumn("_y", F.col(value).cast("double"))
+    inputs = VectorAssembler(inputCols=["_b2", "_b1", "_a1", "_a2"], outputCol="_x", handleInvalid="skip")
+    model = RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="_guess", numTrees=20, maxDepth=6, seed=seed).fit(inputs.transform(rows.where("_ok")))
+    guessed = model.transform(inputs.transform(rows.where("_ok"))).withColumn("_off", F.abs(F.col("_y") - F.col("_guess")))
+    middle = guessed.agg(F.percentile_approx("_off", 0.5, 1_000).alias("_middle"))
+    flagged = guessed.join(F.broadcast(middle)).withColumn("flag", F.when(F.col("_off") > limit * F.col("_middle"), "model").otherwise(F.col("flag")))  # one row
+    return flagged.select(*df.columns).unionByName(rows.where("NOT _ok").select(*df.columns))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
-from ..operators import allocation, graphs, learning, rasters, recurrent, series, texts
-from ..sources import files
-from ..sources.tables import table
+from ..operators import allocation, graphs, learning, pictures, rasters, recurrent, series, tagging, texts
+from ..sources import files, shared
+from ..sources.tables import sql, table
 from ..streaming import monitor
 
 
@@ -75,9 +79,17 @@ def rescue_routes(spark, d: str) -> DataFrame:
     return graphs.shortest_paths(roads(spark, d), start, 1.0, 1.0).select("node", F.round("cost", 6).alias("cost"))
 
 
+def supply_graph(spark, d: str) -> DataFrame:
+    """Which supplier delivers which part: parts are even nodes, suppliers odd ones."""
+    return table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
+
+
 def knowledge_communities(spark, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
-    return graphs.communities(e, 3)
+    return graphs.communities(supply_graph(spark, d))
+
+
+def knowledge_labels(spark, d: str) -> DataFrame:
+    return graphs.communities(supply_graph(spark, d), 3)
 
 
 def raster_overlay(spark, d: str) -> DataFrame:
@@ -88,9 +100,10 @@ def raster_overlay(spark, d: str) -> DataFrame:
 
 
 def relief_allocation(spark, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").where("s_suppkey < 6").select(F.col("s_suppkey").alias("depot"), F.lit(40.0).alias("capacity"))
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("demand"), (F.col("n_regionkey") + 3.0).alias("load"))
-    costs = n.join(s, F.lit(True)).withColumn("cost", F.abs(F.col("demand") - 5 * F.col("depot")) + 1.0)
+    """Nations are demands and depots both: a depot's room is the number of its suppliers, 25 times 25 pairs whatever the scale."""
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("depot")).agg(F.count("*").cast("double").alias("capacity"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("demand")).agg((F.count("*") / 20.0).alias("load"))
+    costs = c.crossJoin(s).withColumn("cost", F.abs(F.col("demand") - F.col("depot")) + 1.0)
     return allocation.allocate(costs)
 
 
@@ -98,33 +111,62 @@ def _training(spark, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("label"), (F.col("l_extendedprice") > 50_000).cast("int").alias("big"), (F.col("l_extendedprice") / 50_000 - 1).alias("price"))
 
 
+INPUTS = ["price", "l_discount", "l_tax"]
+
+
+def confusion(rows: DataFrame, label: str) -> DataFrame:
+    return rows.groupBy(label, "prediction").agg(F.count("*").alias("n"))
+
+
+def error(rows: DataFrame) -> DataFrame:
+    return rows.select(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).alias("rmse"), F.stddev_pop("label").alias("spread"), F.count("*").alias("n"))
+
+
 def perceptron_flags(spark, d: str) -> DataFrame:
-    x = _training(spark, d)
-    w = learning.perceptron(x, ["price", "l_discount", "l_tax"], "big")
-    return learning.perceptron_predict(x, ["price", "l_discount", "l_tax"], w).groupBy("big", "prediction").agg(F.count("*").alias("n"))
+    """Rows that were held out, by what is so and what the perceptron says."""
+    learn, judge = learning.held_out(_training(spark, d))
+    return confusion(learning.perceptron_predict(judge, INPUTS, learning.perceptron(learn, INPUTS, "big")), "big")
 
 
 def network_flags(spark, d: str) -> DataFrame:
-    x = _training(spark, d)
-    m = learning.mlp(x, ["price", "l_discount", "l_tax"], "big")
-    return m.transform(learning.assembled(x, ["price", "l_discount", "l_tax"])).groupBy("big", "prediction").agg(F.count("*").alias("n"))
+    learn, judge = learning.held_out(_training(spark, d))
+    return confusion(learning.mlp(learn, INPUTS, "big").transform(learning.assembled(judge, INPUTS)), "big")
 
 
 def recovery_forest(spark, d: str) -> DataFrame:
-    x = _training(spark, d)
-    m = learning.forest(x, ["price", "l_discount", "l_tax"], "label")
-    return m.transform(learning.assembled(x, ["price", "l_discount", "l_tax"])).select(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).alias("rmse"))
+    """The error on rows that were held out, beside the labels' own deviation."""
+    learn, judge = learning.held_out(_training(spark, d))
+    return error(learning.forest(learn, INPUTS, "label").transform(learning.assembled(judge, INPUTS)))
 
 
 def recovery_boosted(spark, d: str) -> DataFrame:
-    x = _training(spark, d)
-    m = learning.boosted(x, ["price", "l_discount", "l_tax"], "label")
-    return m.transform(learning.assembled(x, ["price", "l_discount", "l_tax"])).select(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).alias("rmse"))
+    learn, judge = learning.held_out(_training(spark, d))
+    return error(learning.boosted(learn, INPUTS, "label").transform(learning.assembled(judge, INPUTS)))
 
 
 def triage_languages(spark, d: str) -> DataFrame:
     x = table(spark, d, "documents").select("text", F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).otherwise(3).cast("double").alias("label"))
-    return learning.triage(x, "text", "label").transform(x).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    learn, judge = learning.held_out(x)
+    return confusion(learning.triage(learn, "text", "label").transform(judge), "label")
+
+
+def made_pictures(spark) -> tuple[DataFrame, DataFrame]:
+    rows = pictures.features(files.made_pictures(spark, shared.folder(spark, "pictures"), 240))
+    rows = shared.table(rows.select(F.regexp_extract("path", r"(\d+)[.]png$", 1).cast("int").alias("id"), (F.col("label") == "fire").cast("int").alias("fire"), "red_share", "brightness", "contrast"), "features")
+    return rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
+
+
+def picture_perceptron(spark, d: str) -> DataFrame:
+    """Fire in pictures by three features and the perceptron: held-out pictures by what they show and what is said."""
+    learn, judge = made_pictures(spark)
+    names = ["red_share", "brightness", "contrast"]
+    return confusion(learning.perceptron_predict(judge, names, learning.perceptron(learn, names, "fire", 200)), "fire")
+
+
+def picture_network(spark, d: str) -> DataFrame:
+    learn, judge = made_pictures(spark)
+    names = ["red_share", "brightness", "contrast"]
+    return confusion(learning.mlp(learn, names, "fire").transform(learning.assembled(judge, names)), "fire")
 
 
 def rain_gauges(spark, d: str) -> DataFrame:
@@ -133,13 +175,78 @@ def rain_gauges(spark, d: str) -> DataFrame:
     return series.repair(f, "gauge", "ts", "rain_mm").groupBy("fault", "flag").agg(F.count("*").alias("n"), F.round(F.avg("repaired"), 3).alias("mean"))
 
 
+def rain_gauges_model(spark, d: str) -> DataFrame:
+    """Faults by what the rules and the forest together say of them."""
+    g = files.gauges(spark, 20, 24 * 30)
+    f = series.quality_flags(g, "gauge", "ts", "rain_mm", 0.0, 200.0, 150.0, 12)
+    return series.model_flags(f, "gauge", "ts", "rain_mm").groupBy("fault", "flag").agg(F.count("*").alias("n"))
+
+
+#: Posts made of customers: sentences unlike those the field learns from, names it has not seen.
+POST = """CASE c_custkey % 3 WHEN 0 THEN concat('Please send ', need, ' to ', town, ', ', CAST(k AS STRING), ' of us wait') WHEN 1 THEN concat(CAST(k AS STRING), ' persons without ', need, ' at ', town, '!')
+          ELSE concat('We are trapped near ', town, ', ', CAST(k AS STRING), ' people, need ', need) END"""
+TOWN = "concat(upper(substr(n_name, 1, 1)), lower(substr(n_name, 2, 3)), 'ville')"
+NEED = "CASE c_custkey % 4 WHEN 0 THEN 'water' WHEN 1 THEN 'food' WHEN 2 THEN 'medicine' ELSE 'blankets' END"
+
+
+def help_requests(spark, d: str) -> DataFrame:
+    made = sql(spark, d, f"""SELECT c_custkey, {POST} AS text FROM (
+        SELECT c_custkey, {TOWN} AS town, {NEED} AS need, c_custkey % 90 + 2 AS k FROM {{customer}} JOIN {{nation}} ON n_nationkey = c_nationkey) t""")
+    return tagging.help_spans(made).select("c_custkey", F.get("places", 0).alias("place"), F.get("needs", 0).alias("need"), F.get("people", 0).cast("int").alias("people"))
+
+
+def csv_roads(spark, d: str) -> DataFrame:
+    """Roads through a CSV folder: written, read with declared columns, summed by where they lead."""
+    path = shared.folder(spark, "roads")
+    roads(spark, d).write.csv(path, header=True)
+    r = files.csv(spark, path, files.ROADS)
+    return r.groupBy("dst").agg(F.count("*").alias("n"), F.round(F.sum("length"), 4).alias("length"), F.count("bad").alias("bad"))
+
+
+def props_pairs(spark, d: str) -> DataFrame:
+    """Keys and values of events' properties by a table function, summed by kind of event."""
+    spark.udtf.register("json_pairs", Pairs)
+    return sql(spark, d, "SELECT e.event_type, p.k, count(*) AS n, CAST(sum(p.v) AS BIGINT) AS total FROM {events} e, LATERAL json_pairs(e.props) p GROUP BY e.event_type, p.k")
+
+
+@F.udtf(returnType=T.StructType().add("k", "string").add("v", "long"))
+class Pairs:
+    """A row for each key of a JSON object whose value is a whole number."""
+
+    def eval(self, props: str):
+        for k, v in json.loads(props or "{}").items():
+            if isinstance(v, int):
+                yield k, v
+
+
+@F.pandas_udf(T.DoubleType())
+def middle_mean(v: pd.Series) -> float:
+    """The mean without the tenth at either end."""
+    x = v.dropna().sort_values()
+    cut = len(x) // 10
+    return float(x.iloc[cut : len(x) - cut].mean())
+
+
+def trimmed_means(spark, d: str) -> DataFrame:
+    """A user's values are one group of a pandas aggregate: bounded by what one user does."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(middle_mean("value"), 6).alias("mean"))
+
+
+def terrain(spark, d: str) -> DataFrame:
+    """Slope and aspect of a raster made of the suppliers' and parts' prices."""
+    c = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).cast("int").alias("row"), (F.col("l_suppkey") % 50).cast("int").alias("col")).agg(F.avg("l_quantity").alias("value"))
+    return rasters.slope_aspect(c, 10.0).select("row", "col", F.round("slope", 6).alias("slope"), F.round("aspect", 4).alias("aspect"))
+
+
 def water_level_networks(spark, d: str) -> DataFrame:
     hourly = table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("level"))
     return recurrent.forecast(hourly, "event_type", "hour", "level")
 
 
 def approx_distinct(spark, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("n"))
+    """The sketch's count is within a tenth of the exact one."""
+    n = table(spark, d, "lineitem").agg(F.count_distinct("l_partkey").alias("n"), F.approx_count_distinct("l_partkey", 0.02).alias("about"))
+    return n.select("n", (F.abs(F.col("about") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))
 
 
 def sample(spark, d: str) -> DataFrame:
@@ -155,8 +262,9 @@ _A = "pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(rad
 QUERIES = {
     f.__name__: f
     for f in (
-        asof_last_purchase, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, knowledge_communities,
+        asof_last_purchase, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, knowledge_communities, knowledge_labels,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
+        picture_perceptron, picture_network, rain_gauges_model, help_requests, csv_roads, props_pairs, trimmed_means, terrain,
     )
 } | {
     "stream_tumbling": monitor.run(monitor.tumbling, "complete"),
@@ -164,7 +272,7 @@ QUERIES = {
     "stream_sessions": monitor.run(monitor.sessions, "complete"),
     "stream_distinct": monitor.run(monitor.distinct, "append"),
     "stream_followed": monitor.run(monitor.followed, "append"),
-    "stream_levels": monitor.run(monitor.levels, "update"),
+    "stream_levels": monitor.run(monitor.levels, "update", ["user_id"]),
 }
 
 SQL = {
@@ -193,6 +301,33 @@ SQL = {
     "warning_bands": f"""
         WITH c AS (SELECT c_custkey, c_nationkey * 3.0::DOUBLE - 30 AS lat, (c_custkey % 360 - 180)::DOUBLE AS lon, 10.0::DOUBLE AS qlat, 20.0::DOUBLE AS qlon FROM customer), k AS (SELECT c_custkey, {nvl_distance(_A.format(a='', b='q'))} AS km FROM c),
         i AS (SELECT c_custkey, 1.5 * 7 - 3.5 * log10(km + 10) + 3 AS i FROM k) SELECT c_custkey, CASE WHEN i >= 7 THEN 'severe' WHEN i >= 5 THEN 'strong' WHEN i >= 3 THEN 'light' ELSE 'none' END AS band FROM i""",
+    "rescue_routes": """
+        WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size::DOUBLE AS s FROM part), m AS (SELECT count(*) AS n FROM p),
+        e AS (SELECT src, dst, min(length * (1 + risk)) AS w FROM (
+            SELECT k AS src, (k + step) % n AS dst, s + step AS length, ((k * 7 + step) % 11) / 10.0::DOUBLE AS risk FROM p, m, unnest([1, 17, 301]) AS t(step)) x WHERE risk < 1.0 GROUP BY ALL),
+        r(node, cost) USING KEY (node) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION (
+            SELECT e.dst, min(r.cost + e.w) FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r AS old ON old.node = e.dst GROUP BY e.dst HAVING min(r.cost + e.w) < coalesce(min(old.cost), 1e300)))
+        SELECT node, round(cost, 6) AS cost FROM r""",
+    "knowledge_labels": """
+        WITH g AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM g UNION SELECT b, a FROM g),
+        r0 AS (SELECT DISTINCT src AS node, src AS label FROM e),
+        r1 AS (SELECT src AS node, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM e JOIN r0 ON r0.node = e.dst GROUP BY src, label) t WHERE k = 1),
+        r2 AS (SELECT src AS node, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM e JOIN r1 ON r1.node = e.dst GROUP BY src, label) t WHERE k = 1)
+        SELECT src AS node, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM e JOIN r2 ON r2.node = e.dst GROUP BY src, label) t WHERE k = 1""",
+    "help_requests": f"""
+        SELECT c_custkey, {TOWN} AS place, {NEED} AS need, CAST(c_custkey % 90 + 2 AS INTEGER) AS people FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "csv_roads": """
+        SELECT (k + step) % n AS dst, count(*) AS n, round(sum(s + step), 4) AS length, 0::BIGINT AS bad FROM (SELECT p_partkey AS k, p_size::DOUBLE AS s FROM part) p, (SELECT count(*) AS n FROM part) m, unnest([1, 17, 301]) AS t(step) GROUP BY 1""",
+    "props_pairs": """
+        SELECT event_type, k, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.' || k) AS BIGINT)) AS BIGINT) AS total FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events) t GROUP BY event_type, k""",
+    "trimmed_means": """
+        SELECT user_id, round(avg(value), 6) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) t
+        WHERE k > n // 10 AND k <= n - n // 10 GROUP BY user_id""",
+    "terrain": """
+        WITH c AS (SELECT CAST(l_partkey % 50 AS INT) AS r, CAST(l_suppkey % 50 AS INT) AS c, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+        g AS (SELECT o.r, o.c, (e.v - w.v) / 20 AS x, (n.v - s.v) / 20 AS y FROM c o JOIN c n ON n.r = o.r - 1 AND n.c = o.c JOIN c s ON s.r = o.r + 1 AND s.c = o.c JOIN c e ON e.r = o.r AND e.c = o.c + 1 JOIN c w ON w.r = o.r AND w.c = o.c - 1)
+        SELECT r AS row, c AS col, round(degrees(atan(sqrt(x * x + y * y))), 6) AS slope, CASE WHEN x <> 0 OR y <> 0 THEN round((degrees(atan2(-x, -y)) + 360) % 360, 4) END AS aspect FROM g""",
+    "approx_distinct": "SELECT count(DISTINCT l_partkey) AS n, true AS close FROM lineitem",
     "raster_overlay": """
         WITH c AS (SELECT CAST(l_partkey % 50 AS INT) AS r, CAST(l_suppkey % 50 AS INT) AS c, 0.75 * avg(l_quantity) + 0.25 * avg(l_discount) * 100 AS v FROM lineitem GROUP BY 1, 2)
         SELECT a.r AS row, a.c AS col, round(avg(b.v), 6) AS value FROM c a JOIN c b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c""",

@@ -6,8 +6,8 @@ from __future__ import annotations
 SHARED = {
     "nation_revenue": """
         SELECT n.n_name, count(*) AS n_items, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
-        FROM {customer} c JOIN {orders} o ON o.o_custkey = c.c_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
-        JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey
+        FROM {region} r JOIN {nation} n ON n.n_regionkey = r.r_regionkey JOIN {customer} c ON c.c_nationkey = n.n_nationkey
+        JOIN {orders} o ON o.o_custkey = c.c_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
         WHERE r.r_name = 'ASIA' GROUP BY n.n_name""",
     "pricing_summary": """
         SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
@@ -30,10 +30,6 @@ SHARED = {
         SELECT c.c_custkey, count(o.o_orderkey) AS n_orders FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O' GROUP BY c.c_custkey""",
     "cross_join": """
         SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n""",
-    "range_join": """
-        SELECT p.event_id AS purchase_id, e.event_id AS error_id
-        FROM {events} p JOIN {events} e ON p.user_id = e.user_id AND e.ts > p.ts AND e.ts <= p.ts + INTERVAL '1' HOUR
-        WHERE p.event_type = 'purchase' AND e.event_type = 'error'""",
     "rollup": """
         SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
     "cube": """
@@ -122,8 +118,19 @@ SHARED = {
 
 #: name -> (Spark SQL, oracle SQL).
 PAIRS = {
-    "rolling_1h_sum": (
-        "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW), 4) AS total FROM {events}",
+    "range_join": (  # an hour is an equal key: what follows within an hour is in the same or the next one
+        """SELECT p.event_id AS purchase_id, e.event_id AS error_id
+           FROM (SELECT event_id, user_id, ts, date_trunc('hour', ts) + after * INTERVAL '1' HOUR AS hour FROM {events} LATERAL VIEW explode(array(0, 1)) x AS after WHERE event_type = 'purchase') p
+           JOIN (SELECT event_id, user_id, ts, date_trunc('hour', ts) AS hour FROM {events} WHERE event_type = 'error') e
+           ON p.user_id = e.user_id AND p.hour = e.hour AND e.ts > p.ts AND e.ts <= p.ts + INTERVAL '1' HOUR""",
+        """SELECT p.event_id AS purchase_id, e.event_id AS error_id
+           FROM events p JOIN events e ON p.user_id = e.user_id AND e.ts > p.ts AND e.ts <= p.ts + INTERVAL '1' HOUR
+           WHERE p.event_type = 'purchase' AND e.event_type = 'error'""",
+    ),
+    "rolling_1h_sum": (  # a row counts in its own hour and in the next one, so a kind of event is cut into hours
+        """SELECT event_id, total FROM (
+             SELECT event_id, own, round(sum(value) OVER (PARTITION BY event_type, hour ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW), 4) AS total FROM (
+               SELECT event_id, event_type, ts, value, date_trunc('hour', ts) + after * INTERVAL '1' HOUR AS hour, after = 0 AS own FROM {events} LATERAL VIEW explode(array(0, 1)) x AS after) e) t WHERE own""",
         "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1 hour' PRECEDING AND CURRENT ROW), 4) AS total FROM events",
     ),
     "mad_outliers": (
@@ -177,7 +184,7 @@ PAIRS = {
         "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
     ),
     "token_count": (
-        "SELECT lang, count(*) AS n FROM (SELECT lang, explode(filter(split(text, '[ \\t\\n\\r]+'), x -> x <> '')) AS t FROM {documents}) t GROUP BY lang",
+        "SELECT lang, CAST(sum(regexp_count(text, '[^ \\t\\n\\r]+')) AS BIGINT) AS n FROM {documents} GROUP BY lang HAVING sum(regexp_count(text, '[^ \\t\\n\\r]+')) > 0",
         "SELECT lang, count(*) AS n FROM (SELECT lang, unnest(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS t FROM documents) t GROUP BY lang",
     ),
     "array_fns": (

@@ -1,9 +1,15 @@
-"""Sources beyond Spark's own: SQLite tables, ESRI ASCII grids, GeoJSON features, labelled images, made-up gauges."""
+"""Sources: SQLite tables, CSV with declared columns, ESRI ASCII grids, GeoJSON features, labelled images, made-up gauges and pictures."""
 
 from __future__ import annotations
 
 import sqlite3
+import struct
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -59,6 +65,16 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+#: Columns of a road table and of a water-level table; bad holds a line that does not fit them.
+ROADS = "src long, dst long, length double, risk double, bad string"
+LEVELS = "station string, ts timestamp_ntz, level double, bad string"
+
+
+def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file or folder with a header and declared columns; a malformed line has nulls and itself in bad."""
+    return spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="bad", enforceSchema=False)
+
+
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """(properties, kind, geometry): one row for each feature; coordinates stay JSON, as kinds nest differently."""
     whole = spark.read.option("multiLine", True).schema(GEOJSON).json(path)
@@ -89,9 +105,44 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gauges(spark: SparkSession, stations: int, hours: int, seed: int = 0) -> DataFrame:
-    """(gauge, ts, rain_mm, fault): made-up hourly rain with known faults: gaps, spikes and stuck readings."""
+    """(gauge, ts, rain_mm, fault): made-up hourly rain with known faults.
+
+    missing: no reading; range: an impossible one; stuck: one reading for a whole day; scaled: twice the rain and more,
+    which no rule on single readings can tell from a shower.
+    """
     base = spark.range(stations * hours).select((F.col("id") / hours).cast("int").alias("g"), (F.col("id") % hours).cast("int").alias("h"))
-    r = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "g", "h"), F.lit(10_000)) / 10_000.0
-    fault = F.when(r(1) < 0.02, "missing").when(r(1) < 0.03, "range").otherwise("none")
-    rain = F.when(fault == "missing", None).when(fault == "range", 900 + 100 * r(2)).otherwise(F.round(F.greatest(F.lit(0.0), 6 * F.sin(F.col("h") / 9.0) + 2 * r(3)), 2))
-    return base.select(F.format_string("g%03d", "g").alias("gauge"), (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600)).alias("ts"), rain.alias("rain_mm"), fault.alias("fault"))
+    r = lambda k, *c: F.pmod(F.xxhash64(F.lit(seed + k), *c), F.lit(10_000)) / 10_000.0
+    day = F.floor(F.col("h") / 24)
+    one = r(1, "g", "h")
+    fault = F.when(one < 0.02, "missing").when(one < 0.03, "range").when(r(5, F.col("g"), day) < 0.04, "stuck").when(one < 0.05, "scaled").otherwise("none")
+    at = base.withColumn("fault", fault).withColumn("at", F.when(F.col("fault") == "stuck", day * 24 + 4).otherwise(F.col("h")))
+    dry = F.round(F.greatest(F.lit(0.0), 6 * F.sin(F.col("at") / 9.0) + 2 * r(3, "g", "at")), 2)
+    kind = F.col("fault")
+    rain = F.when(kind == "missing", None).when(kind == "range", 900 + 100 * r(2, "g", "h")).when(kind == "scaled", 2 * dry + 12).otherwise(dry)
+    return at.select(F.format_string("g%03d", "g").alias("gauge"), (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600)).alias("ts"), rain.alias("rain_mm"), "fault")
+
+
+def png(width: int, height: int, rgb: bytes) -> bytes:
+    """A picture in PNG from rows of 8-bit RGB."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + rgb[y * width * 3 : (y + 1) * width * 3] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def made_pictures(spark: SparkSession, folder: str, n: int, size: int = 16, seed: int = 0) -> DataFrame:
+    """n made-up pictures, fire and no_fire in turn, written to a shared folder by the tasks and read as labelled images."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                r, label = np.random.default_rng([seed, i]), ("fire", "no_fire")[i % 2]
+                base = r.uniform((130, 20, 0), (255, 120, 60)) if label == "fire" else r.uniform((0, 60, 60), (130, 180, 200))
+                pixels = np.clip(base + r.normal(0, r.uniform(5, 50), (size, size, 3)), 0, 255).astype(np.uint8)
+                fs.create_dir(f"{path}/{label}", recursive=True)
+                with fs.open_output_stream(f"{path}/{label}/{i}.png") as f:
+                    f.write(png(size, size, pixels.tobytes()))
+            yield b
+
+    spark.range(n).mapInArrow(work, "id long").count()
+    return images(spark, folder)

@@ -2,30 +2,56 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from ..sources import shared
 
 LATE = "1 hour"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of the events; ts becomes a timestamp with zone, which event time needs."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(sf_dir)
+    """A stream of the events table, a file or a folder of files; ts becomes a timestamp with zone, which event time needs."""
+    path = f"{sf_dir}/events.parquet"
+    schema, where = spark.read.parquet(path).schema, spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        raw = reader.parquet(path)
+    else:
+        raw = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
-def finished(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is and gives its memory sink's table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def finished(df: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what there is; its rows, from Parquet in the shared folder, where its checkpoint is too.
+
+    Each micro-batch writes a folder of its own, again if it is repeated. The result is all of them in append mode,
+    the last one in complete mode, and the last row of each key in update mode; no row passes through the driver.
+    """
+    spark = df.sparkSession
+    base, schema = shared.folder(spark, "stream"), df.schema
+    last: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        last[:] = [batch]
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], schema)
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(f"{base}/rows/batch={last[0]}")
+    rows = spark.read.schema(StructType([*schema.fields]).add("batch", "long")).parquet(f"{base}/rows")
+    if mode == "update" and key:
+        newest = F.max_by(F.struct(*schema.names), "batch").alias("row")
+        return rows.groupBy(*key).agg(newest).select(*[F.col("row").getField(c).alias(c) for c in schema.names])
+    return rows.select(*schema.names)
 
 
 def tumbling(stream: DataFrame, width: str = "1 day") -> DataFrame:
@@ -66,5 +92,5 @@ def levels(stream: DataFrame, alert: float = 400.0) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, seen long, top double, alerts long", "seen long, top double, alerts long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run(step: Callable[[DataFrame], DataFrame], mode: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: finished(step(events(spark, sf_dir)), mode)
+def run(step: Callable[[DataFrame], DataFrame], mode: str, key: list[str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: finished(step(events(spark, sf_dir)), mode, key)

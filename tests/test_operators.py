@@ -1,7 +1,9 @@
 """Operators that SQL cannot reach, against plain Python, and with nulls, ties and other fixtures."""
 
 import heapq
+import itertools
 import json
+import os
 import random
 import sqlite3
 import struct
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aidlake.functions import geo
-from aidlake.operators import allocation, graphs, inference, learning, pictures, rasters, recurrent, series, texts
+from aidlake.operators import allocation, graphs, inference, learning, pictures, rasters, recurrent, series, tagging, texts
 from aidlake.sources import files
 from aidlake.streaming import monitor
 
@@ -150,17 +152,98 @@ def test_gauge_faults_are_found(spark):
     assert f.where("fault = 'range' AND flag <> 'range'").isEmpty() and f.where("fault = 'missing' AND flag <> 'missing'").isEmpty()
 
 
+def test_csv_with_a_malformed_line(spark, tmp_path):
+    (tmp_path / "edges.csv").write_text("src,dst,length,risk\n1,2,3.5,0.1\n2,x,1.0,0.2\n3,4,,\n5,6\n")
+    got = sorted(((r.src, r.dst, r.length, r.bad) for r in files.csv(spark, str(tmp_path / "edges.csv"), files.ROADS).collect()), key=str)
+    assert got == sorted([(1, 2, 3.5, None), (2, None, 1.0, "2,x,1.0,0.2"), (3, 4, None, None), (5, 6, None, "5,6")], key=str)
+    (tmp_path / "levels.csv").write_text("station,ts,level\na,2024-01-01 00:00:00,1.25\nb,yesterday,2\n")
+    one, two = sorted(files.csv(spark, str(tmp_path / "levels.csv"), files.LEVELS).collect(), key=lambda r: r.station)
+    assert (one.ts, one.level, one.bad) == (datetime(2024, 1, 1), 1.25, None) and two.ts is None and two.bad == "b,yesterday,2"
+
+
+def test_forest_finds_what_the_rules_miss(spark):
+    g = files.gauges(spark, 12, 600)
+    f = series.quality_flags(g, "gauge", "ts", "rain_mm", 0.0, 200.0, 150.0, 12)
+    n = {}
+    for r in series.model_flags(f, "gauge", "ts", "rain_mm").groupBy("fault", "flag").count().collect():
+        n[r.fault, r["flag"]] = r["count"]
+    of = lambda fault: sum(v for (a, _), v in n.items() if a == fault)
+    assert of("scaled") > 50 and n["scaled", "model"] > 0.8 * of("scaled")
+    assert sum(v for (a, b), v in n.items() if a == "none" and b == "model") < 0.05 * of("none")
+    wet = f.where("fault = 'stuck' AND rain_mm > 0")  # a dry day is no fault
+    assert wet.where("flag = 'stuck'").count() > 0.6 * wet.count() > 0 and sum(v for (a, b), v in n.items() if a == "range" and b == "ok") == 0
+
+
+def test_field_of_help_requests(spark):
+    field, r = tagging.trained(), random.Random(99)
+    posts = [tagging.made_post(r) for _ in range(300)]  # others than it has learnt from
+    right = sum(a == b for ws, tags in posts for a, b in zip(field.decode(ws), tags))
+    assert right > 0.98 * sum(len(t) for _, t in posts)
+    for ws, _ in posts[:5]:
+        ws = ws[:6]
+        score = lambda y: sum(s[t] for s, t in zip(field.scores(ws), y)) + sum(field.move[a][b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        assert abs(score(field.decode(ws)) - max(score(y) for y in itertools.product(range(4), repeat=len(ws)))) < 1e-9
+    df = spark.createDataFrame([(1, "Please send water to Bela , 14 of us here"), (2, None), (3, "")], "id long, text string")
+    got = {x.id: (x.places, x.needs, x.people) for x in tagging.help_spans(df).collect()}
+    assert got == {1: (["Bela"], ["water"], ["14"]), 2: ([], [], []), 3: ([], [], [])}
+
+
+def test_slope_and_aspect(spark):
+    cells = spark.createDataFrame([(r, c, 10.0 * c - 5.0 * r) for r in range(4) for c in range(4)], "row int, col int, value double")
+    got = {(x.row, x.col): (x.slope, x.aspect) for x in rasters.slope_aspect(cells, 10.0).collect()}
+    assert len(got) == 4
+    import math
+
+    assert all(s == pytest.approx(math.degrees(math.atan(math.hypot(1.0, 0.5)))) and a == pytest.approx((math.degrees(math.atan2(-1.0, -0.5)) + 360) % 360) for s, a in got.values())
+
+
 def test_late_events_are_left_out(spark, tmp_path):
     t = datetime(2024, 1, 1, 12)
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     one = spark.createDataFrame([(1, t, 1, "view", 1.0, ""), (2, t + timedelta(hours=30), 1, "view", 1.0, "")], schema)
     two = spark.createDataFrame([(3, t, 1, "view", 1.0, ""), (2, t + timedelta(hours=30), 1, "view", 1.0, "")], schema)
-    for i, df in enumerate((one, two)):
-        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
+    between = spark.createDataFrame([(4, t + timedelta(hours=31), 1, "view", 1.0, "")], schema)
+    for i, df in enumerate((one, between, two)):  # the stream takes files by the time of their last change
+        df.coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+        for f in (tmp_path / f"in{i}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + i * 100,) * 2)
     stream = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    got = {r.event_id for r in monitor.finished(monitor.distinct(stream), "append").collect()}
-    assert got in ({1, 2}, {1, 2, 3})  # event 3 is late only if its file comes second
+    got = sorted(r.event_id for r in monitor.finished(monitor.distinct(stream), "append").collect())
+    assert got == [1, 2, 4]  # event 3 comes 29 hours behind the watermark, which counts from the batch after next
+
+
+def test_streams_of_a_folder_and_updates_by_key(spark, tmp_path):
+    """events.parquet as a folder of files, read in several micro-batches: the last row of each key counts."""
+    t = datetime(2024, 1, 1)
+    rows = [(i, t + timedelta(minutes=i), i % 3, "view", float(i), "") for i in range(30)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    got = {r.user_id: (r.seen, r.top) for r in monitor.finished(monitor.levels(stream), "update", ["user_id"]).collect()}
+    assert got == {u: (10, 27.0 + u) for u in range(3)}
+    assert monitor.run(monitor.distinct, "append")(spark, str(tmp_path)).count() == 30
+    assert {r.n for r in monitor.run(monitor.sliding, "complete")(spark, str(tmp_path)).collect()} == {30}
+
+
+def test_communities_end_on_graphs_of_two_sides(spark):
+    edges = [(0, 1), (2, 3), (2, 5), (4, 3), (4, 5)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.node: r.label for r in graphs.communities(df).collect()}
+    near = {n: {b for a, b in edges + [(y, x) for x, y in edges] if a == n} for n in range(6)}
+
+    def step(labels):
+        return {n: min(set(v := [labels[b] for b in near[n]]), key=lambda x: (-v.count(x), x)) for n in near}
+
+    older, labels, new = None, {n: n for n in near}, None
+    while True:
+        new = step(labels)
+        if new in (labels, older):
+            break
+        older, labels = labels, new
+    assert got == (new if new == labels else {n: min(new[n], labels[n]) for n in near})
+    with pytest.raises(ValueError, match="negative"):
+        graphs.shortest_paths(spark.createDataFrame([(0, 1, -1.0, 0.0)], "src long, dst long, length double, risk double"), spark.createDataFrame([(0,)], "node long"))
 
 
 def test_recurrent_networks_beat_the_last_value(spark):
