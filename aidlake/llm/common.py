@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,29 +11,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop
+from ..sources.shared import folder as scratch
+from ..sources.shared import table as written
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="aidlake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/aidlake"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; the driver's file system removes it at exit."""
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: lineage ends here and lost executors lose nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "scratch", "written"]
 
 
 def shards(spark: SparkSession) -> int:
@@ -205,7 +186,8 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u <> v").distinct()
         )
-        e = written(small, "edges")
+        before, e = e, written(small, "edges")
+        drop(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

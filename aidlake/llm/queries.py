@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from . import grid_order, html_text, kneser_ney, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport
 
+
+
+def media_payloads(spark, sf_dir: str) -> DataFrame:
+    """What op2 reads back, as far as SQL can follow."""
+    return transport.query(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """op8's sizes and targets; the draws are beyond SQL."""
+    return mixing.query(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def word_scores(spark, sf_dir: str) -> DataFrame:
+    """Counts and the base score of op10's operator, learnt from all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return kneser_ney.score(docs, kneser_ney.fit(docs)).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def pieces_round_trip(spark, sf_dir: str) -> DataFrame:
+    """op6's texts after encoding and decoding."""
+    return pieces.query(spark, sf_dir).select("doc_id", "decoded_sha256", "exact")
+
+
 QUERIES = {
     "op1_grid_order": grid_order.query,
     "op2_transport_streams": transport.query,
@@ -15,6 +41,10 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op10_kneser_ney": kneser_ney.query,
     "op9_substrings": substrings.query,
+    "media_payloads": media_payloads,
+    "mixing_targets": mixing_targets,
+    "word_scores": word_scores,
+    "pieces_round_trip": pieces_round_trip,
 }
 
 #: What SQL can express; the others are tested against brute force, exact round trips or held-out accuracy.
@@ -29,6 +59,24 @@ SQL: dict[str, str] = {
         near AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
         SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept
         FROM reach r LEFT JOIN near n ON n.vec_id = r.vec_id GROUP BY r.vec_id""",
+    "media_payloads": r"""
+        SELECT doc_id, strlen(t)::BIGINT AS n_bytes, p::BIGINT AS payload_bytes, sha256(encode(t) || repeat('\x00'::BLOB, p - strlen(t))) AS payload_sha256
+        FROM (SELECT doc_id, coalesce(text, '') AS t, greatest(64, ((strlen(coalesce(text, '')) + 63) // 64) * 64) AS p FROM documents) x""",
+    # A target is the level's share or three times its source; sources reach their bound in the order of bound by weight.
+    "mixing_targets": r"""
+        WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, [1.0, 2.0, 3.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w FROM d GROUP BY source),
+        o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / w, source) AS k FROM s),
+        l AS (SELECT k, 3.0 * source_size / w AS ratio, ((SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                        / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+        f AS (SELECT level FROM l WHERE level <= ratio ORDER BY k LIMIT 1)
+        SELECT d.doc_id, d.size, s.source_size, round(least(f.level * s.w, 3.0 * s.source_size), 4)::DOUBLE AS target FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN f""",
+    "word_scores": r"""
+        WITH d AS (SELECT doc_id, list_append(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), NULL) AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS t FROM d), c AS (SELECT t, count(*) AS c FROM w GROUP BY t), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT w.doc_id, count(*) AS n_tokens, count(*) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((c.c + 0.1) / (n.n + 0.1 * (n.v + 1)))), 4) AS base_score
+        FROM w JOIN c ON c.t IS NOT DISTINCT FROM w.t CROSS JOIN n GROUP BY w.doc_id""",
+    "pieces_round_trip": "SELECT doc_id, sha256(text) AS decoded_sha256, true AS exact FROM documents",
     "op9_substrings": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) AS t(i)),
