@@ -306,13 +306,16 @@ class Table:
 
 
 @lru_cache(2048)
-def load(folder: str, name: str) -> Table:
-    """A table of the shared folder, memory-mapped; from a store that is no file system, read into memory."""
+def load(folder: str, name: str) -> Table | None:
+    """A table of the shared folder, memory-mapped; from a store that is no file system, read into memory. None if a shard has none."""
     fs, path = pafs.FileSystem.from_uri(folder)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return Table(np.memmap(f"{path}/{name}", np.uint8, "r"))
-    with fs.open_input_stream(f"{path}/{name}") as f:
-        return Table(np.frombuffer(f.read(), np.uint8))
+    try:
+        if isinstance(fs, pafs.LocalFileSystem):
+            return Table(np.memmap(f"{path}/{name}", np.uint8, "r"))
+        with fs.open_input_stream(f"{path}/{name}") as f:
+            return Table(np.frombuffer(f.read(), np.uint8))
+    except FileNotFoundError:
+        return None
 
 
 class Shard:
@@ -480,8 +483,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 class Model:
     """Where the tables are, and the few numbers that go with them. Pickled to the workers; holds no table."""
 
-    def __init__(self, folder: str, order: int, n: int, hot: list[np.ndarray], have: list[tuple[str, int, int]], stats: dict[tuple[str, int], list[int]]):
-        self.folder, self.order, self.n, self.hot, self.have = folder, order, n, hot, set(have)
+    def __init__(self, folder: str, order: int, n: int, hot: list[np.ndarray], have: set[tuple[str, int]], stats: dict[tuple[str, int], list[int]]):
+        self.folder, self.order, self.n, self.hot, self.have = folder, order, n, hot, have
         self.train_tokens, self.distinct = (stats.get(("raw", 1)) or [0, 0])[1], (stats.get(("raw", 1)) or [0])[0]
         grams = {k: np.sum([s for (kind, l), s in stats.items() if l == k and kind in ("gram", "hot-gram")], 0).tolist() for kind, k in stats if kind in ("gram", "hot-gram")}
         self.discount = {k: discounts(*s[2:6]) for k, s in grams.items()}
@@ -498,10 +501,10 @@ class Model:
         apart = "" if kind == "raw" or (kind, level) == ("gram", self.order) else "hot-"
         for own, name, by in ((~hot, kind, core), (hot, apart + kind, hashes)):
             rows = np.flatnonzero(own)
-            if len(rows):
+            if len(rows) and (name, level) in self.have:
                 for s, i in dealt(shard_of(by[rows], self.n), self.n):
-                    if (name, level, s) in self.have:
-                        hit, numbers = load(self.folder, f"{name}{level}-{s}").find(hashes[rows[i]])
+                    if found := load(self.folder, f"{name}{level}-{s}"):
+                        hit, numbers = found.find(hashes[rows[i]])
                         out[rows[i][hit]] = numbers
         return out
 
@@ -546,7 +549,7 @@ def fit(df: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     be known about the contexts and about the shorter n-grams of a core, and hardly anything but n-grams travels,
     once. A hot core's n-grams are dealt out one by one, and what its shards know is summed by hash afterwards. The
     number of shards follows the input's size. Each shard's sorted arrays are files of the shared folder; the driver
-    gets a row of statistics for each of them. A null text is an empty one; repeated rows count again; without rows
+    gets a row of sums for each kind of them. A null text is an empty one; repeated rows count again; without rows
     every token is as likely as any. Single words and n-grams are compared by hashes of 64 bits, the words of n-grams
     by 48 of them: of 10**8 distinct words some twenty pairs may count as one there. Very long texts are cut nowhere:
     a task holds COUNTED tokens and one text more.
@@ -563,12 +566,13 @@ def fit(df: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     if order == 2:
         rows = stage(rows, "core", 2, folder, n, order, hot)
     rows = stage(rows, "words", 0, folder, n, order, hot)
-    done, have = {}, []
-    for r in rows.where(F.col("kind").startswith("done-")).select("kind", "level", "shard", "stats").collect():
+    sums = [F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(7)]
+    done, have = {}, set()
+    for r in rows.where(F.col("kind").startswith("done-")).groupBy("kind", "level").agg(*sums).collect():
         key = (r["kind"].removeprefix("done-"), r["level"])
-        have.append((*key, r["shard"]))
-        if r["stats"]:
-            done[key] = [a + b for a, b in zip(done.get(key, [0] * 7), r["stats"], strict=True)]
+        have.add(key)
+        if r["s0"] is not None:
+            done[key] = list(r)[2:]
     return Model(folder, order, n, hot, have, done)
 
 

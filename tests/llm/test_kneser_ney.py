@@ -119,7 +119,7 @@ def test_counts_beyond_32_bits(spark):
     rows = kn.key_parts("raw", 1, kn.mixed(word), [kn.np.array([big], kn.np.uint64)], 1)
     folder = kn.scratch(spark, "big-counts")
     kn.stage(spark.createDataFrame(rows, kn.PART_DDL), "words", 0, folder, 1, 2, []).collect()
-    model = kn.Model(folder, 2, 1, [], [("raw", 1, 0)], {})
+    model = kn.Model(folder, 2, 1, [], {("raw", 1)}, {})
     assert model.lookup("raw", 1, kn.mixed(word), None)[0].tolist() == [big]
 
 
@@ -130,7 +130,7 @@ def test_hot_cores_are_found_and_split(spark):
     the = kn.np.uint64(kn.xxhash.xxh64_intdigest(b"the", 0)) >> kn.LESS << kn.LESS
     assert the in kn.hot_cores(df, 3, 4)[3] and len(kn.hot_cores(df, 4, 4)[4]) == 0
     model, b = kn.fit(df), Brute(texts, 3)
-    assert {k for k, _, _ in model.have} >= {"gram", "hot-gram", "context", "hot-context", "raw"}
+    assert {k for k, _ in model.have} >= {"gram", "hot-gram", "context", "hot-context", "raw"}
     got = kn.score(df, model).collect()
     assert [g.score for g in got] == pytest.approx([b.score(t)[4] for t in texts], rel=1e-9)
 

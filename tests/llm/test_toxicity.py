@@ -136,3 +136,13 @@ def test_scores_by_plain_loops():
         starts = [0] if len(words) <= tox.WINDOW else [*range(0, len(words) - tox.WINDOW, tox.STRIDE), len(words) - tox.WINDOW]
         want.append(sig(max(window(words[a : a + tox.WINDOW]) for a in starts)))
     assert np.allclose(tox.scores(net, texts), want, atol=1e-4)
+
+
+def test_where_a_window_begins_does_not_matter():
+    """Toxic texts moved by 1 to 23 words, so that other windows cut them, are still found, and clean ones still not."""
+    rows, test = corpus(1, 1200), corpus(2, 120)
+    net = tox.train([t.encode() for _, t, _ in rows], [y for *_, y in rows], 1.0)
+    before = tox.scores(net, [t.encode() for _, t, _ in test]) >= 0.5
+    for k in (1, 5, 11, 17, 23):
+        after = tox.scores(net, [(" ".join(["bakelo"] * k) + " " + t).encode() for _, t, _ in test]) >= 0.5
+        assert np.mean(before == after) > 0.97, k
