@@ -19,6 +19,34 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: str, values: list[
     return seen.where("_side = 1").drop("_side")
 
 
+#: How far from a percentile its approximate bounds are asked for, and the accuracy that keeps them on their sides.
+MARGIN, ACCURACY = 0.001, 10_000
+
+
+def exact_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, one column a name): exact percentiles of a key's values with linear interpolation, nulls left out.
+
+    No task holds a key's values: two approximate percentiles about each one bound it, what lies below is counted, and
+    only the distinct values between the bounds are ranked.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    ends = [min(1.0, max(0.0, p + m)) for p in shares.values() for m in (-MARGIN, MARGIN)]
+    known = rows.groupBy("_k").agg(F.count("*").alias("n"), F.percentile_approx("_v", ends, ACCURACY).alias("ends"))
+    few = F.col("n") <= 2 / MARGIN  # then the next value may be further off than the margin: all are looked at
+    end = lambda i, other: F.when(few, F.lit(other)).otherwise(F.get("ends", i))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), end(2 * i, float("-inf")).alias("lo"), end(2 * i + 1, float("inf")).alias("hi")) for i, (name, p) in enumerate(shares.items())])
+    at = rows.join(known.withColumn("asked", asked).drop("ends"), "_k").select("_k", "_v", "n", F.explode("asked").alias("a"))
+    place = F.when(F.col("_v") < F.col("a.lo"), float("-inf")).otherwise(F.col("_v"))  # all below the bound are one
+    counts = at.where(F.col("_v") <= F.col("a.hi")).groupBy("_k", "n", "a.name", "a.p", place.alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("_k", "name").orderBy("v"))
+    rank = F.col("p") * (F.col("n") - 1)
+    first = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    found = counts.withColumn("upto", upto).groupBy("_k", "name").agg(first(F.floor(rank)).alias("a"), first(F.ceil(rank)).alias("b"), F.first(rank - F.floor(rank)).alias("part"))
+    between = found.select("_k", "name", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("v"))
+    wide = between.groupBy("_k").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in shares])
+    return wide.withColumnRenamed("_k", key)
+
+
 def quality_flags(df: DataFrame, key: str, ts: str, value: str, low: float, high: float, jump: float, stuck: int) -> DataFrame:
     """df with flag: missing, range, jump, stuck (equal for `stuck` readings in a row) or ok."""
     w = Window.partitionBy(key).orderBy(ts)

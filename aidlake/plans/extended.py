@@ -23,6 +23,19 @@ def asof_last_purchase(spark, d: str) -> DataFrame:
     return series.asof_join(errors, bought, "ts", "user_id", ["purchase"]).select("event_id", F.col("purchase_asof").alias("purchase"))
 
 
+def percentiles(spark, d: str) -> DataFrame:
+    p = series.exact_percentiles(table(spark, d, "events"), "event_type", "value", {"p25": 0.25, "p50": 0.5, "p90": 0.9})
+    return p.select("event_type", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p90")])
+
+
+def mad_outliers(spark, d: str) -> DataFrame:
+    """Values far from their kind's median, by the median distance from it."""
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    off = e.join(series.exact_percentiles(e, "event_type", "value", {"med": 0.5}), "event_type").withColumn("off", F.abs(F.col("value") - F.col("med")))
+    z = 0.6745 * (F.col("value") - F.col("med")) / F.col("mad")
+    return off.join(series.exact_percentiles(off, "event_type", "off", {"mad": 0.5}), "event_type").where(F.abs(z) > 3.5).select("event_id", F.round(z, 6).alias("z"))
+
+
 def sensor_quality(spark, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
     return series.quality_flags(e, "user_id", "ts", "value", 1.0, 450.0, 300.0, 4).groupBy("flag").agg(F.count("*").alias("n"))
@@ -262,7 +275,7 @@ _A = "pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(rad
 QUERIES = {
     f.__name__: f
     for f in (
-        asof_last_purchase, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, knowledge_communities, knowledge_labels,
+        asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, knowledge_communities, knowledge_labels,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
         picture_perceptron, picture_network, rain_gauges_model, help_requests, csv_roads, props_pairs, trimmed_means, terrain,
     )
@@ -277,6 +290,12 @@ QUERIES = {
 
 SQL = {
     "asof_last_purchase": "SELECT e.event_id, p.event_id AS purchase FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts",
+    "percentiles": "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS p25, round(median(value), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type",
+    "mad_outliers": """
+        WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS med FROM events GROUP BY event_type),
+        d AS (SELECT e.event_type, quantile_cont(abs(e.value - m.med), 0.5) AS mad FROM events e JOIN m ON m.event_type = e.event_type GROUP BY e.event_type)
+        SELECT e.event_id, round(0.6745 * (e.value - m.med) / d.mad, 6) AS z FROM events e JOIN m ON m.event_type = e.event_type JOIN d ON d.event_type = e.event_type
+        WHERE abs(0.6745 * (e.value - m.med) / d.mad) > 3.5""",
     "sensor_quality": """
         WITH r AS (SELECT *, CASE WHEN value IS NOT DISTINCT FROM lag(value) OVER w THEN 0 ELSE 1 END AS fresh, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM r), t AS (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS size FROM s)

@@ -133,20 +133,6 @@ PAIRS = {
                SELECT event_id, event_type, ts, value, date_trunc('hour', ts) + after * INTERVAL '1' HOUR AS hour, after = 0 AS own FROM {events} LATERAL VIEW explode(array(0, 1)) x AS after) e) t WHERE own""",
         "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1 hour' PRECEDING AND CURRENT ROW), 4) AS total FROM events",
     ),
-    "mad_outliers": (
-        """WITH m AS (SELECT event_type, percentile(value, 0.5) AS med FROM {events} GROUP BY event_type),
-           d AS (SELECT e.event_type, percentile(abs(e.value - m.med), 0.5) AS mad FROM {events} e JOIN m ON m.event_type = e.event_type GROUP BY e.event_type)
-           SELECT e.event_id, round(0.6745 * (e.value - m.med) / d.mad, 6) AS z FROM {events} e JOIN m ON m.event_type = e.event_type JOIN d ON d.event_type = e.event_type
-           WHERE abs(0.6745 * (e.value - m.med) / d.mad) > 3.5""",
-        """WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS med FROM events GROUP BY event_type),
-           d AS (SELECT e.event_type, quantile_cont(abs(e.value - m.med), 0.5) AS mad FROM events e JOIN m ON m.event_type = e.event_type GROUP BY e.event_type)
-           SELECT e.event_id, round(0.6745 * (e.value - m.med) / d.mad, 6) AS z FROM events e JOIN m ON m.event_type = e.event_type JOIN d ON d.event_type = e.event_type
-           WHERE abs(0.6745 * (e.value - m.med) / d.mad) > 3.5""",
-    ),
-    "percentiles": (
-        "SELECT event_type, round(percentile(value, 0.25), 6) AS p25, round(median(value), 6) AS p50, round(percentile(value, 0.9), 6) AS p90 FROM {events} GROUP BY event_type",
-        "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS p25, round(median(value), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type",
-    ),
     "sliding_window": (
         """SELECT CAST(start AS TIMESTAMP_NTZ) AS start, count(*) AS n, round(sum(value), 4) AS total FROM (
              SELECT value, explode(sequence(date_trunc('day', ts) - INTERVAL '1' DAY, date_trunc('day', ts), INTERVAL '1' DAY)) AS start FROM {events}) t GROUP BY start""",

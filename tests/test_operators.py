@@ -79,6 +79,19 @@ def test_asof_join_ties_and_gaps(spark):
     assert {r.id: r.v_asof for r in series.asof_join(left, right, "ts", "k", ["v"]).collect()} == {1: 1, 2: 2, 3: None, 4: None}
 
 
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    r, rows = random.Random(7), [("few", 3.0), ("none", None), ("two", 1.0), ("two", 2.0)] + [("tied", 5.0)] * 3_000 + [("tied", 6.0)]
+    rows += [("many", r.gauss(0, 1)) for _ in range(6_000)] + [("hot", float(r.randrange(10))) for _ in range(4_000)] + [("hot", None)]
+    shares = {"low": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "top": 1.0}
+    got = {x.k: x for x in series.exact_percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", shares).collect()}
+    assert set(got) == {"few", "two", "tied", "many", "hot"}
+    for k, x in got.items():
+        v = [b for a, b in rows if a == k and b is not None]
+        assert all(x[n] == pytest.approx(float(np.quantile(v, p)), abs=1e-12) for n, p in shares.items()), k
+
+
 def test_help_requests(spark):
     posts = spark.createDataFrame([(1, "Trapped near Green Hill School, 12 people, need water and food! call 138-0000-1111"), (2, "green hills far away"), (3, None)], "post_id long, text string")
     places = spark.createDataFrame([("Green Hill", 1.0, 2.0), ("Green Hill School", 3.0, 4.0), ("Far Away", 5.0, 6.0)], "place string, lat double, lon double")
