@@ -57,5 +57,8 @@ def boosted(df: DataFrame, features: list[str], label: str, seed: int = 0):
 
 def triage(df: DataFrame, text: str, label: str):
     """TF-IDF and multinomial logistic regression over the words of a text."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << 15), IDF(inputCol="_tf", outputCol="features"), LogisticRegression(labelCol=label, maxIter=30, regParam=0.01)]
+    stages = [
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << 15),
+        IDF(inputCol="_tf", outputCol="features"), LogisticRegression(labelCol=label, maxIter=30, regParam=0.01),
+    ]
     return Pipeline(stages=stages).fit(df)

@@ -101,7 +101,8 @@ def ascii_grid(spark: SparkSession, path: str) -> DataFrame:
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(path, label, height, width, channels, data): pictures in one folder for each class; bytes are in BGR order."""
     df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
-    return df.select(F.col("image.origin").alias("path"), F.element_at(F.split("image.origin", "/"), -2).alias("label"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    label = F.element_at(F.split("image.origin", "/"), -2).alias("label")
+    return df.select(F.col("image.origin").alias("path"), label, "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
 def gauges(spark: SparkSession, stations: int, hours: int, seed: int = 0) -> DataFrame:
