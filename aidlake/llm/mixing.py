@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import by_name, written
 
 #: Documents that one block rounds, and residuals that one node of the reduction tree combines.
 BLOCK, FAN_IN = 4096, 64
@@ -123,10 +123,14 @@ def mix(df: DataFrame, source_col: str = "source", size_col: str = "size", id_co
     A null size counts as 0; a document of size 0 has no words to take and gets its whole part and a draw. Ties
     and repeated rows are separate documents; equal rows may differ in copies, as many as there are get the same
     multiset on every run. Draws depend on seed, source and block alone, so reruns agree. An empty table gives
-    none. Other columns are passed on (the four result columns are replaced); names with a leading _mix are taken.
+    none. Other columns are passed on, whatever their names (the four result columns are replaced). Texts are not
+    looked at here, so their length does not matter.
     """
     base = [c for c in df.columns if c not in ("source_size", "target", "copies", "taken")]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in base]).alias("_mix_row"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).alias("tie"))
+    rows = df.select(
+        F.struct(*[by_name(c).alias(c) for c in base]).alias("row"), by_name(source_col).cast("string").alias("source"),
+        F.coalesce(by_name(size_col).cast("long"), F.lit(0)).alias("size"), F.xxhash64(F.lit(seed), by_name(id_col)).alias("tie"),
+    )
     rows = written(rows, "sized")
     known = written(targets(ranked_sources(rows), weights, most), "targets")
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null is a source of its own
@@ -151,7 +155,7 @@ def mix(df: DataFrame, source_col: str = "source", size_col: str = "size", id_co
         last = last.unionByName(d)
     opened = settled.where("open").join(last, ["sk", "block"]).withColumn("extra", F.col("drawn")).drop("drawn")
     out = settled.where("not open").unionByName(opened).withColumn("copies", F.col("whole") + F.col("extra"))
-    return out.select(*[F.col("_mix_row").getField(c).alias(c) for c in base], "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in base], "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def with_size(df: DataFrame, text_col: str = "text") -> DataFrame:
