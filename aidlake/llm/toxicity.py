@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ WINDOW, STRIDE = 32, 24
 #: Labelled rows of each class that training may use, the longest text among them, windows of a gradient step, and
 #: steps in all: few rows are passed over more often.
 POSITIVES, NEGATIVES, LONGEST, BATCH, STEPS = 1_500, 2_000, 100_000, 128, 387
-#: Windows scored at once, and words gathered for that.
-CHUNK, GATHER = 2_048, 400_000
+#: Windows scored at once, words gathered for that, and words embedded at once.
+CHUNK, GATHER, EMBEDDED = 2_048, 400_000, 16_384
 
 EDGE = b".,;:!?|\"'()[]{}<>*#"
 
@@ -135,9 +136,14 @@ class Network:
             keep |= {"x": x, "live": live, "kf": kf, "kb": kb, "h": h, "a": a, "c": c}
         return c @ self.p["out"] + self.p["b"][0]
 
-    def project(self, vocabulary: Vocabulary) -> np.ndarray:
-        row, grams, starts = vocabulary.rows()
-        return self.embed(row, grams, starts)[0] @ self.p["wx"] + self.p["bx"]
+    def project(self, row, grams, starts) -> np.ndarray:
+        """Projected inputs of words, some at a time: the 4-grams' embeddings of all would be the largest array by far."""
+        out = np.empty((len(row), 6 * STATE), self.p["bx"].dtype)
+        ends = np.append(starts[1:], len(grams))
+        for a in range(0, len(row), EMBEDDED):
+            b = min(a + EMBEDDED, len(row))
+            out[a:b] = self.embed(row[a:b], grams[starts[a] : ends[b - 1]], starts[a:b] - starts[a])[0] @ self.p["wx"] + self.p["bx"]
+        return out
 
     def step(self, vocab, idx, y, weight, adam, rng):
         """A gradient step of the weighted logistic loss on windows."""
@@ -204,7 +210,7 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
             words += len(docs[-1])
         if not vocab.number:
             vocab.of(b"-")
-        proj = net.project(vocab)
+        proj = net.project(*vocab.rows())
         best = np.full(len(docs), -np.inf)
         lo = 0
         while lo < len(docs):  # windows are laid out for some documents at a time
@@ -257,7 +263,7 @@ def train(texts: list[bytes], labels: list[int], negative_weight: float, seed: i
     passes = -(-STEPS // -(-(len(y) + n_clean) // BATCH))
     for epoch in range(passes):
         if epoch:
-            proj = net.embed(row, grams, starts)[0] @ net.p["wx"] + net.p["bx"]
+            proj = net.project(row, grams, starts)
             now = np.concatenate([net.logits(proj, idx[a : a + CHUNK]) for a in range(0, len(idx), CHUNK)])
             order = np.lexsort((now, owner))
         worst = order[ends]
@@ -280,9 +286,9 @@ def fold(id_col: str, n: int):
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Network:
     """A network fitted on labelled rows: `positives` and `negatives` of them at most, in the order of a hash.
 
-    Their number is bounded by these parameters and their texts by LONGEST characters, so what comes to the driver
-    is bounded too; clean rows are weighted so that the classes count as they occur. Rows with a null id, label or
-    text teach nothing. Without both labels the network stays untrained.
+    Their number is bounded by these parameters and their texts by LONGEST characters, so one task can hold them and
+    train; the driver gets the weights, whose size is fixed. Clean rows are weighted so that the classes count as they
+    occur. Rows with a null id, label or text teach nothing. Without both labels the network stays untrained.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -290,13 +296,23 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y, most in ((1, positives), (0, negatives)):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    text = docs.where(F.length(text_col) <= LONGEST).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    rows = sorted((r["id"], bytes(r["t"]), r["y"]) for r in text.join(F.broadcast(ids), "id").collect())
-    got = [sum(r[2] == y for r in rows) for y in (0, 1)]
-    if not all(got):
-        return Network()
-    natural = (n[0] / n[1]) / (got[0] / got[1])
-    return train([r[1] for r in rows], [r[2] for r in rows], natural)
+    text = docs.where(F.length(by_name(text_col)) <= LONGEST).select(by_name(id_col).alias("id"), by_name(text_col).cast("binary").alias("t"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["id"], r["t"], r["y"]) for b in batches for r in b.to_pylist())
+        got = [sum(r[2] == y for r in rows) for y in (0, 1)]
+        if all(got):
+            net = train([r[1] for r in rows], [r[2] for r in rows], (n[0] / n[1]) / (got[0] / got[1]))
+            out = io.BytesIO()
+            np.savez(out, **net.p)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()])], ["weights"])
+
+    found = text.join(F.broadcast(ids), "id").repartition(1).mapInArrow(work, "weights binary").first()  # ids: bounded above
+    net = Network()
+    if found:
+        with np.load(io.BytesIO(found["weights"])) as weights:
+            net.p = dict(weights)
+    return net
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
