@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grid_order, html_text, kneser_ney, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport
+from . import exact_dedup, grid_order, html_text, kneser_ney, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport, vector_codes
 
 
 def media_payloads(spark, sf_dir: str) -> DataFrame:
@@ -41,6 +41,7 @@ QUERIES = {
     "op10_kneser_ney": kneser_ney.query,
     "op9_substrings": substrings.query,
     "op12_exact_dedup": exact_dedup.query,
+    "op13_vector_codes": vector_codes.query,
     "media_payloads": media_payloads,
     "mixing_targets": mixing_targets,
     "word_scores": word_scores,
@@ -79,6 +80,7 @@ SQL: dict[str, str] = {
     "op12_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) x WINDOW w AS (PARTITION BY t)""",
+    "op13_vector_codes": vector_codes.sql(),
     "pieces_round_trip": "SELECT doc_id, sha256(text) AS decoded_sha256, true AS exact FROM documents",
     "op9_substrings": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
