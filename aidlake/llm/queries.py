@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exact_dedup, grid_order, html_text, kneser_ney, line_dedup, mixing, pieces, simhash, substrings, toxicity, transport, vector_codes
+from . import exact_dedup, grid_order, html_text, kneser_ney, line_dedup, mixing, pieces, prefix_trie, simhash, substrings, toxicity, transport, vector_codes
 
 
 def media_payloads(spark, sf_dir: str) -> DataFrame:
@@ -40,6 +40,7 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op10_kneser_ney": kneser_ney.query,
     "op9_substrings": substrings.query,
+    "op11_prefix_trie": prefix_trie.query,
     "op12_exact_dedup": exact_dedup.query,
     "op13_vector_codes": vector_codes.query,
     "media_payloads": media_payloads,
@@ -77,6 +78,7 @@ SQL: dict[str, str] = {
         w AS (SELECT doc_id, unnest(ws) AS t FROM d), c AS (SELECT t, count(*) AS c FROM w GROUP BY t), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
         SELECT w.doc_id, count(*) AS n_tokens, count(*) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((c.c + 0.1) / (n.n + 0.1 * (n.v + 1)))), 4) AS base_score
         FROM w JOIN c ON c.t IS NOT DISTINCT FROM w.t CROSS JOIN n GROUP BY w.doc_id""",
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) x WINDOW w AS (PARTITION BY t)""",

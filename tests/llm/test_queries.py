@@ -18,7 +18,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_rows(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, SF), c.execute(queries.SQL[name])
     names = [d[0] for d in want.description]
