@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations, count
+from itertools import accumulate, combinations
 from math import comb
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, components, mixed, spanning, window_hashes, written
+from .common import WordHashes, by_name, components, drop, mixed, spanning, window_hashes, written
 
 #: Table rows of one key beyond which a key is split into a grid of tasks.
 HOT_ROWS = 16_384
@@ -23,9 +23,8 @@ MATCH_COST = 0.02
 PAIRS = 2_000_000
 #: MinHash values of a band and bands: of pairs with Jaccard 0.8, all but (1 - 0.8 ** 4) ** 20 = 0.003 % share a band.
 BAND, BANDS = 4, 20
-#: Bits that turn the order of nodes round, one for each place of a pivot; pivots of a bucket in each further round.
-TURNS = [int(x) for x in np.random.default_rng(7).integers(1, 2**62, 64)]
-PIVOTS = (1, 4, 16, 64)
+#: Hashes of a block that meets others in a task, and columns of a block's matrix made at once.
+BLOCK_HASHES, COLUMNS = 1 << 17, 1 << 14
 
 
 def fingerprint(text: bytes | None, k: int) -> int:
@@ -179,7 +178,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows that repeat it are marked alike. An empty table gives none; other columns are ignored. Texts are taken
     whole, shingles are hashed in blocks.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("t"))
+    rows = df.select(by_name(id_col).alias("id"), F.xxhash64(by_name(text_col)).alias("text_hash"), by_name(text_col).alias("t"))
     docs = written(fingerprints(rows, "t", k), "fingerprints")
     fps = docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"))
     fps = written(fps, "distinct")
@@ -203,6 +202,26 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many entries each set of a has in common with each of b."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    of_a, of_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    values, at = np.unique(np.concatenate([*a, *b]) if a and b else np.empty(0, np.uint64), return_inverse=True)
+    at_a, at_b = at[: len(of_a)], at[len(of_a) :]
+    both = np.flatnonzero((np.bincount(at_a, minlength=len(values)) > 0) & (np.bincount(at_b, minlength=len(values)) > 0))
+    column = np.full(len(values), -1)
+    column[both] = np.arange(len(both))
+    for lo in range(0, len(both), COLUMNS):
+        side = []
+        for of, where, n in ((of_a, column[at_a], len(a)), (of_b, column[at_b], len(b))):
+            here = (where >= lo) & (where < lo + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32)
+            m[of[here], where[here] - lo] = 1
+            side.append(m)
+        out += (side[0] @ side[1].T).astype(np.int64)
+    return out
+
+
 def sketched(df: DataFrame, k: int) -> DataFrame:
     """df(id, th, t) without the text; fp, node (which set of shingles it is) and bands (BANDS hashes of BAND MinHash values)."""
     seeds = mixed(np.arange(1, BAND * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -224,59 +243,147 @@ def sketched(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("t", F.col("t").cast("binary")).mapInArrow(work, schema)
 
 
-def alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(u, v): those of pairs(u, v) whose texts(node, t) have a Jaccard similarity of at least this, exactly counted."""
-    full = pairs.join(texts.select(F.col("node").alias("u"), F.col("t").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("t").alias("b")), "v")
+def hashed(texts: DataFrame, k: int) -> DataFrame:
+    """texts(node, t) with the text's sorted shingle hashes, as bytes, in place of the text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t, k, cache).tobytes() for t in b.column("t").to_pylist()], pa.binary())], ["node", "hashes"])
+
+    return texts.mapInArrow(work, "node long, hashes binary")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): those of pairs(u, v) whose sets(node, hashes) have a Jaccard similarity of at least this, exactly counted."""
+    side = lambda n, h: sets.select(F.col("node").alias(n), F.col("hashes").alias(h))
+    full = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last, known = WordHashes(), None, None
         for r in batches:
-            us, vs, found = r.column("u").to_pylist(), r.column("v").to_pylist(), []
-            for i, (u, v) in enumerate(zip(us, vs, strict=True)):
-                if v != last:
-                    last, known = v, shingles(r.column("b")[i].as_py(), k, cache)
-                if jaccard(shingles(r.column("a")[i].as_py(), k, cache), known) >= similarity:
-                    found.append((u, v))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], ["u", "v"])
+            a, b = (r.column(c).to_pylist() for c in ("a", "b"))
+            near = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(a, b, strict=True)]
+            yield r.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     return full.select("u", "v", "a", "b").mapInArrow(work, "u long, v long")
 
 
-def settled(members: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(node, root): components of all pairs of one bucket of members(bucket, node) whose texts are alike.
+def block_pairs(members: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((bucket, block, node), (bucket, a, b)): members(bucket, node, root) in blocks of bounded size, and the pairs of blocks to compare.
+
+    Nodes with many hashes are blocks of their own, the others of a bucket are dealt by their root, those of a large root
+    apart; so two blocks of one root need not meet.
+    """
+    m = members.join(sizes, "node")
+    heavy = F.col("size") > BLOCK_HASHES // 16
+    weight = F.when(heavy, 0).otherwise(F.col("size") + BLOCK_HASHES // 256)
+    by_root = m.groupBy("bucket", "root").agg(F.sum(weight).alias("weight"))
+    large = F.col("weight") > BLOCK_HASHES
+    by_root = by_root.select("bucket", "root", F.when(large, F.ceil(F.col("weight") / BLOCK_HASHES)).alias("own"), F.when(large, 0).otherwise(F.col("weight")).alias("rest"))
+    rest = by_root.groupBy("bucket").agg(F.ceil(F.sum("rest") / BLOCK_HASHES).alias("blocks"))
+    at = m.join(by_root.drop("rest"), ["bucket", "root"]).join(rest, "bucket")
+    dealt = F.when(heavy, F.xxhash64(F.lit(1), "node")).when(F.col("own").isNotNull(), F.xxhash64(F.lit(2), "root", F.pmod(F.xxhash64("node"), "own"))).otherwise(F.pmod(F.xxhash64("root"), F.greatest("blocks", F.lit(1))))
+    at = written(at.select("bucket", dealt.alias("block"), "node", "root"), "blocks")
+    cut = at.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    side = lambda n: cut.select("bucket", F.col("block").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}"))
+    one = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
+    return at, side("a").join(side("b"), "bucket").where((F.col("a") <= F.col("b")) & ~one).select("bucket", "a", "b")
+
+
+def compared(members: DataFrame, sets: DataFrame, met: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, n): links of all pairs of members(bucket, node, root) with another root; n, with u and v null, counts pairs.
+
+    Blocks of a bucket's hashes meet, a pair of blocks in a task; no pair of nodes is written down but a spanning forest of
+    the links. A pair that shares several buckets(node, buckets) is compared in the least of them alone, and not at all if
+    it is in met(node, met) already.
+    """
+    sizes = sets.select("node", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+    at, todo = block_pairs(members, sizes)
+    todo = written(todo, "block-pairs")
+    sent = todo.select("bucket", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")).join(at, ["bucket", "block"])
+    rows = sent.join(buckets, "node").join(met, "node", "left").join(sets, "node")
+    rows = rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "block")
+
+    def pairs(key: tuple, held: list[dict]) -> tuple[pa.Array, pa.Array, int]:
+        bucket, a, b = key
+        left, right = [r for r in held if r["block"] == a], [r for r in held if r["block"] == b]
+        roots = [np.array([r["root"] for r in x]) for x in (left, right)]
+        nodes = [np.array([r["node"] for r in x]) for x in (left, right)]
+        ask = roots[0][:, None] != roots[1][None]
+        if a == b:
+            ask &= nodes[0][:, None] < nodes[1][None]
+        less = [[np.array([x for x in r["buckets"] if x < bucket], np.int64).view(np.uint64) for r in x] for x in (left, right)]
+        ask &= shared(*less) == 0
+        done = {(r["node"], x) for r in held for x in r["met"] or ()}
+        size = [np.array([len(r["hashes"]) // 8 for r in x]) for x in (left, right)]
+        ask &= np.minimum(size[0][:, None], size[1][None]) >= similarity * np.maximum(size[0][:, None], size[1][None])
+        for i, j in zip(*np.nonzero(ask), strict=True) if done else ():
+            u, v = int(nodes[0][i]), int(nodes[1][j])
+            ask[i, j] = (u, v) not in done and (v, u) not in done
+        n, i, j = int(ask.sum()), np.flatnonzero(ask.any(1)), np.flatnonzero(ask.any(0))
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64), 0
+        set_of = [[np.frombuffer(x[q]["hashes"], np.uint64) for q in w] for x, w in ((left, i), (right, j))]
+        both = shared(*set_of)
+        near = ask[np.ix_(i, j)] & (both >= similarity * (size[0][i][:, None] + size[1][j][None] - both))
+        x, y = np.nonzero(near)
+        return *spanning(nodes[0][i[x]], nodes[1][j[y]]), n
 
-    In each round a bucket's pivots are compared with those of its members that are not joined with them yet, and
-    leave the bucket. A bucket is done when its members are joined or one is left, so no pair is passed over; only
-    pairs that are joined already are not compared, by which large groups of near copies end in few rounds.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            u, v, n = pairs(key, held)
+            return pa.RecordBatch.from_arrays([pa.array([*u.tolist(), None], pa.int64()), pa.array([*v.tolist(), None], pa.int64()), pa.array([None] * len(u) + [n], pa.int64())], ["u", "v", "n"])
+
+        key, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (now := (r["bucket"], r["a"], r["b"])) != key:
+                    if held:
+                        yield done()
+                    key, held = now, []
+                held.append(r)
+        if held:
+            yield done()
+
+    return rows.mapInArrow(work, "u long, v long, n long")
+
+
+def settled(members: DataFrame, sets: DataFrame, similarity: float, trace: list | None = None) -> DataFrame:
+    """(node, root): components of all pairs of one bucket of members(bucket, node) whose sets are alike.
+
+    First each node meets the least node of each of its buckets, by which groups of near copies, however large, become one
+    component. What is left, the pairs of a bucket that are in different components, is compared block by block, each pair
+    once. trace, if given, gets the numbers of pairs compared in the two steps.
     """
-    links = roots = None
-    for turn in count():
-        m = members if roots is None else members.join(roots, "node", "left")
-        m = written(m.select("bucket", "node", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root")), "members")
-        n = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        least = [F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"p{i}") for i, c in enumerate(TURNS[:n])]
-        live = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *least).where("lo < hi")
-        pivots = written(live.select("bucket", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(n)]))).alias("pivot")), "pivots")
-        if pivots.isEmpty():
-            return roots if roots is not None else m.select("node", "root").limit(0)
-        pivots = m.join(pivots, (m["bucket"] == pivots["bucket"]) & (m["node"] == pivots["pivot"])).select(m["bucket"], "pivot", F.col("root").alias("pivot_root"))
-        met = m.join(pivots, "bucket").where("node <> pivot and root <> pivot_root")
-        pairs = written(met.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct(), "pairs")
-        new = written(alike(pairs, texts, k, similarity), "alike")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-        gone = pivots.select("bucket", F.col("pivot").alias("node"))
-        members = m.select("bucket", "node").join(live, "bucket", "left_semi").join(gone, ["bucket", "node"], "left_anti")
-
-
-def near_groups(df: DataFrame, id_col: str, text_col: str, k: int, distance: int, similarity: float) -> DataFrame:
+    least = members.groupBy("bucket").agg(F.min("node").alias("pivot"))
+    stars = written(members.join(least, "bucket").where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
+    first = written(alike(stars, sets, similarity), "alike")
+    roots = written(components(first), "roots")
+    m = written(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "members")
+    live = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    left = written(m.join(live, "bucket", "left_semi"), "live")
+    of = written(left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "of")
+    met = written(stars.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("met")), "met")
+    more = written(compared(left, sets, met, of, similarity), "compared")
+    if trace is not None:
+        trace += [stars.count(), more.agg(F.sum("n")).first()[0] or 0]
+    new = more.where("n is null").select("u", "v")
+    out = roots
+    if not new.isEmpty():
+        out = components(first.unionByName(new))
+    for t in (stars, m, left, of, met):
+        drop(t)
+    return out
+
+
+def near_groups(df: DataFrame, id_col: str, text_col: str, k: int, distance: int, similarity: float, trace: list | None = None) -> DataFrame:
     """(id, text_hash, kept) of every row: documents joined by pairs with a k-word Jaccard similarity of at least this.
 
     SimHash groups within the distance, and documents that share a MinHash band (SimHash bits alone scatter too much
     at 0.8), are only candidates; what links is the exact similarity of two texts. Texts with the same shingles, and
-    those without words, are one node. kept is as in simhash_groups().
+    those without words, are one node. kept is as in simhash_groups(), trace as in settled().
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("th"), F.col(f"`{text_col}`").alias("t"))
+    rows = df.select(by_name(id_col).alias("id"), F.xxhash64(by_name(text_col)).alias("th"), by_name(text_col).alias("t"))
     docs = written(sketched(rows, k), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
     near = components(links(docs.select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
@@ -285,8 +392,9 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, k: int, distance: int
     every = written(by_bits.unionByName(by_band).distinct(), "buckets")
     members = written(every.join(every.groupBy("bucket").count().where("count > 1"), "bucket", "left_semi"), "shared")
     at = docs.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
-    texts = written(rows.select("th", F.col("t").cast("binary").alias("t")).join(at, "th").dropDuplicates(["node"]).select("node", "t"), "texts")
-    roots = settled(members, texts, k, similarity)
+    texts = rows.select("th", F.col("t").cast("binary").alias("t")).join(at, "th").select("node", "t")
+    sets = written(hashed(texts, k).dropDuplicates(["node"]), "sets")
+    roots = settled(members, sets, similarity, trace)
     named = written(docs.groupBy("node").agg(first).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")
     known = named.drop("first").join(named.groupBy("root").agg(F.min("first").alias("first")), "root").select("node", "first")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))

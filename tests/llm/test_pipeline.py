@@ -1,6 +1,8 @@
 import random
 import sys
+import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -130,7 +132,7 @@ def test_operators_do_not_swallow_imports():
 
 def test_near_copies_by_exact_similarity(spark, monkeypatch):
     """All pairs at five-word Jaccard 0.8 are joined, however many bits differ, and no others."""
-    monkeypatch.setattr(simhash, "PIVOTS", (1, 2))
+    monkeypatch.setattr(simhash, "BLOCK_HASHES", 1 << 11)  # many blocks a bucket
     r, texts = random.Random(4), []
     for _ in range(40):
         base = [f"w{r.randrange(3000)}" for _ in range(120)]
@@ -160,3 +162,34 @@ def test_near_copies_by_exact_similarity(spark, monkeypatch):
     assert apart > 20
     got = cp.near(spark, spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS), "").collect()
     assert sorted(x.doc_id for x in got) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_unlike_documents_with_one_passage_are_compared_once(spark):
+    """300 documents share 300 words and have 60 of their own: no pair is at 0.8, each is compared once at most."""
+    passage = " ".join(f"p{i}" for i in range(300))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{j}" for j in range(60))) for i in range(300)]
+    rows += [(1000 + i, f"{passage} " + " ".join(f"own{i}x{j}" for j in range(59))) for i in range(10)]  # near copies of ten
+    trace, t = [], time.time()
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 8, 0.8, trace).collect()
+    assert time.time() - t < 60
+    assert {g.doc_id: g.component_id for g in got} == {i: i if i < 1000 else i - 1000 for i, _ in rows}
+    assert 10 <= sum(trace) <= 310 * 309 // 2, trace
+
+
+def test_compared_pairs_are_those_of_shared_buckets_and_unlike_roots(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_HASHES", 1 << 8)  # several nodes with a block of their own
+    r = random.Random(3)
+    sets = {n: np.unique(np.array([r.randrange(60) for _ in range(r.choice([3, 20, 40]))], np.uint64)) for n in range(40)}
+    held = {b: r.sample(range(40), 15) for b in range(6)}
+    members = spark.createDataFrame([(b, n) for b, ns in held.items() for n in ns], "bucket long, node long")
+    table = spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in sets.items()], "node long, hashes binary")
+    trace = []
+    got = {x.node: x.root for x in simhash.settled(members, table, 0.5, trace).collect()}
+    root = {n: n for n in sets}
+    pairs = {(min(a, b), max(a, b)) for ns in held.values() for a in ns for b in ns if a != b}
+    for _ in sets:
+        for a, b in pairs:
+            if simhash.jaccard(sets[a], sets[b]) >= 0.5:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {n: got.get(n, n) for n in sets} == root
+    assert sum(trace) <= len(pairs)
