@@ -23,6 +23,9 @@ MATCH_COST = 0.02
 PAIRS = 2_000_000
 #: MinHash values of a band and bands: of pairs with Jaccard 0.8, all but (1 - 0.8 ** 4) ** 20 = 0.003 % share a band.
 BAND, BANDS = 4, 20
+#: Pivots that a bucket's nodes meet in each round of stars, and bits that turn the order of nodes round, for each pivot.
+PIVOTS = (1, 6)
+TURNS = [int(x) for x in np.random.default_rng(7).integers(1, 2**62, max(PIVOTS))]
 #: Hashes of a block that meets others in a task, and columns of a block's matrix made at once.
 BLOCK_HASHES, COLUMNS = 1 << 17, 1 << 14
 
@@ -348,30 +351,44 @@ def compared(members: DataFrame, sets: DataFrame, met: DataFrame, buckets: DataF
     return rows.mapInArrow(work, "u long, v long, n long")
 
 
+def stars(members: DataFrame, n: int, met: DataFrame | None) -> DataFrame:
+    """(u, v): the nodes of members(bucket, node, root) with n pivots of each bucket that have another root, without met(u, v)."""
+    least = [F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"p{i}") for i, c in enumerate(TURNS[:n])]
+    pivots = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *least).where("lo < hi")
+    pivots = pivots.select("bucket", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(n)]))).alias("node"))
+    pivots = pivots.join(members, ["bucket", "node"]).select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    pairs = members.join(pivots, "bucket").where("root <> pivot_root").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
+    return pairs.join(met, ["u", "v"], "left_anti") if met is not None else pairs
+
+
 def settled(members: DataFrame, sets: DataFrame, similarity: float, trace: list | None = None) -> DataFrame:
     """(node, root): components of all pairs of one bucket of members(bucket, node) whose sets are alike.
 
-    First each node meets the least node of each of its buckets, by which groups of near copies, however large, become one
-    component. What is left, the pairs of a bucket that are in different components, is compared block by block, each pair
-    once. trace, if given, gets the numbers of pairs compared in the two steps.
+    First nodes meet pivots of their buckets, one and then a few, by which groups of near copies, however large, become one
+    component but for stragglers. What is left, the pairs of a bucket that are in different components and have not met,
+    is compared block by block, each pair once. trace, if given, gets the numbers of pairs compared in each step.
     """
-    least = members.groupBy("bucket").agg(F.min("node").alias("pivot"))
-    stars = written(members.join(least, "bucket").where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
-    first = written(alike(stars, sets, similarity), "alike")
-    roots = written(components(first), "roots")
-    m = written(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "members")
+    links = met = None
+    m = written(members.select("bucket", "node", F.col("node").alias("root")), "members")
+    for n in PIVOTS:
+        pairs = written(stars(m, n, met), "stars")
+        found = written(alike(pairs, sets, similarity), "alike")
+        links, met = (found, pairs) if links is None else (links.unionByName(found), met.unionByName(pairs))
+        roots = written(components(links), "roots")
+        before, m = m, written(m.drop("root").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "members")
+        drop(before)
+        if trace is not None:
+            trace.append(pairs.count())
     live = m.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     left = written(m.join(live, "bucket", "left_semi"), "live")
     of = written(left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "of")
-    met = written(stars.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("met")), "met")
-    more = written(compared(left, sets, met, of, similarity), "compared")
+    seen = written(met.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("met")), "met")
+    more = written(compared(left, sets, seen, of, similarity), "compared")
     if trace is not None:
-        trace += [stars.count(), more.agg(F.sum("n")).first()[0] or 0]
+        trace.append(more.agg(F.sum("n")).first()[0] or 0)
     new = more.where("n is null").select("u", "v")
-    out = roots
-    if not new.isEmpty():
-        out = components(first.unionByName(new))
-    for t in (stars, m, left, of, met):
+    out = roots if new.isEmpty() else components(links.unionByName(new))
+    for t in (m, left, of, met, seen):
         drop(t)
     return out
 
