@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import scanned, segmented
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: str, values: list[str], suffix: str = "_asof") -> DataFrame:
-    """left with the values of the last right row of the same `by` at or before `on`; one shuffle, no range join."""
-    a = left.select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(v + suffix) for v in values], F.lit(1).alias("_side"))
-    b = right.select(on, by, *[F.col(v).alias(v + suffix) for v in values], F.lit(0).alias("_side"))
-    w = Window.partitionBy(by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True)
-    seen = both.select(*left.columns, "_side", *[F.last(v + suffix, ignorenulls=True).over(w).alias(v + suffix) for v in values])
-    return seen.where("_side = 1").drop("_side")
+
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: str, values: list[str], suffix: str = "_asof", segments: int | None = None) -> DataFrame:
+    """left with the values of the last right row of the same `by` at or before `on`.
+
+    Both sides are dealt into ranges of (by, on) and scanned range by range, so no task holds a key; no range join.
+    """
+    a = left.select("*", *[F.lit(None).cast(right.schema[v].dataType).alias("_" + v) for v in values], F.lit(1).alias("_side"))
+    b = right.select(on, by, *[F.col(v).alias("_" + v) for v in values], F.lit(0).alias("_side"))
+    both = segmented(a.unionByName(b, allowMissingColumns=True), [by], [on, "_side"], "_segment", segments)
+    seen = scanned(both, [by], [on, "_side"], "_segment", back={v + suffix: F.col("_" + v) for v in values})
+    return seen.where("_side = 1").select(*left.columns, *[v + suffix for v in values])
 
 
 #: How far from a percentile its approximate bounds are asked for, and the accuracy that keeps them on their sides.
@@ -47,26 +51,36 @@ def exact_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, flo
     return wide.withColumnRenamed("_k", key)
 
 
-def quality_flags(df: DataFrame, key: str, ts: str, value: str, low: float, high: float, jump: float, stuck: int) -> DataFrame:
-    """df with flag: missing, range, jump, stuck (equal for `stuck` readings in a row) or ok."""
-    w = Window.partitionBy(key).orderBy(ts)
-    runs = df.withColumn("_new", F.when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count("*").over(Window.partitionBy(key, "_run"))
+def quality_flags(df: DataFrame, key: str, ts: str, value: str, low: float, high: float, jump: float, stuck: int, segments: int | None = None) -> DataFrame:
+    """df with flag: missing, range, jump, stuck (equal for `stuck` readings in a row) or ok.
+
+    Series are scanned in ranges of (key, ts); a run of equal readings that goes on over several ranges is one row.
+    """
+    rows = segmented(df, [key], [ts], "_segment", segments)
+    seen = scanned(rows, [key], [ts], "_segment", before={"_last": F.struct(F.col(value).alias("v"))})
+    fresh = F.when(F.col("_last").isNotNull() & F.col(value).eqNullSafe(F.col("_last.v")), 0).otherwise(F.when(F.col("_last").isNull() & F.col(value).isNull(), 0).otherwise(1))
+    runs = scanned(seen, [key], [ts], "_segment", sums={"_run": fresh})
+    runs = runs.withColumn("_size", F.count("*").over(Window.partitionBy("_segment", key, "_run")))
+    long = runs.groupBy(F.col(key).alias("_key"), F.col("_run").alias("_of")).agg(F.count("*").alias("_all"), F.min("_segment").alias("_lo"), F.max("_segment").alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
+    runs = runs.join(F.broadcast(long), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_run") == F.col("_of")), "left")  # a row a border of ranges at most
     flag = (
         F.when(F.col(value).isNull(), "missing").when((F.col(value) < low) | (F.col(value) > high), "range")
-        .when(F.abs(F.col(value) - F.lag(value).over(w)) > jump, "jump").when((size >= stuck) & (F.col(value) != 0), "stuck").otherwise("ok")
+        .when(F.abs(F.col(value) - F.col("_last.v")) > jump, "jump").when((F.coalesce("_all", "_size") >= stuck) & (F.col(value) != 0), "stuck").otherwise("ok")
     )
-    return runs.withColumn("flag", flag).drop("_new", "_run")
+    return runs.select(*df.columns, flag.alias("flag"))
 
 
-def repair(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """df with repaired: flagged readings by linear interpolation in time between good neighbours, else the nearest one."""
-    good, t = F.when(F.col("flag") == "ok", F.col(value)), F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
-    at = F.when(F.col("flag") == "ok", t)
-    back, ahead = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
-    v0, v1, t0, t1 = F.last(good, True).over(back), F.first(good, True).over(ahead), F.last(at, True).over(back), F.first(at, True).over(ahead)
-    between = F.when(t1 > t0, v0 + (v1 - v0) * (t - t0) / (t1 - t0)).otherwise(v0)
-    return df.withColumn("repaired", F.when(F.col("flag") == "ok", F.col(value)).otherwise(F.coalesce(between, v0, v1)))
+def repair(df: DataFrame, key: str, ts: str, value: str, segments: int | None = None) -> DataFrame:
+    """df with repaired: flagged readings by linear interpolation in time between good neighbours, else the nearest one.
+
+    The good neighbours are looked for both ways, in ranges of (key, ts) and over their borders.
+    """
+    t = lambda c: F.unix_micros(c.cast("timestamp")).cast("double")
+    good = F.when(F.col("flag") == "ok", F.struct(F.col(value).alias("v"), t(F.col(ts)).alias("t")))
+    seen = scanned(segmented(df, [key], [ts], "_segment", segments), [key], [ts], "_segment", back={"_b": good}, ahead={"_a": good})
+    v0, v1, t0, t1 = (F.col(c) for c in ("_b.v", "_a.v", "_b.t", "_a.t"))
+    between = F.when(t1 > t0, v0 + (v1 - v0) * (t(F.col(ts)) - t0) / (t1 - t0)).otherwise(v0)
+    return seen.select(*df.columns, F.when(F.col("flag") == "ok", F.col(value)).otherwise(F.coalesce(between, v0, v1)).alias("repaired"))
 
 
 def forecast_features(df: DataFrame, key: str, ts: str, value: str, lags: int, ahead: int) -> DataFrame:

@@ -299,3 +299,33 @@ def test_hooks_and_linear_autoencoder(spark):
     noisy = inference.noised(spark.createDataFrame([(bytearray([200] * 3000),)], "data binary"), 400).first().noisy
     keep = float(np.prod(1 - np.linspace(1e-4, 0.02, 1000)[:400]))
     assert abs(np.mean(noisy) - np.sqrt(keep) * (200 / 127.5 - 1)) < 0.1 and abs(np.var(noisy) - (1 - keep)) < 0.1
+
+
+def test_scans_over_ranges_equal_windows(spark):
+    """One key in eight ranges beside small ones, nulls among keys and values: as-of, rules and repair as plain windows have them."""
+    from pyspark.sql.window import Window
+
+    from aidlake.operators import scan
+
+    r, start = random.Random(2), datetime(2024, 1, 1)
+    rows = [("hot", start + timedelta(minutes=i), r.choice([None, 1.0, 1.0, 5.0, 90.0])) for i in range(800)]
+    rows += [("hot", start + timedelta(minutes=800 + i), 7.0) for i in range(400)]  # one run over several ranges
+    rows += [(k, start + timedelta(minutes=i), r.choice([None, 2.0, 3.0])) for k in ("a", "b", None) for i in range(9)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v double").repartition(5)
+    parts = scan.segmented(df, ["k"], ["ts"], segments=8)
+    assert parts.where("k = 'hot'").select("segment").distinct().count() >= 7
+    w = Window.partitionBy("k").orderBy("ts")
+    up, rest = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    got = scan.scanned(parts, ["k"], ["ts"], back={"b": F.col("v")}, before={"p": F.struct("v")}, ahead={"a": F.col("v")}, sums={"s": F.col("v")}).drop("segment")
+    want = df.select("*", F.last("v", True).over(up).alias("b"), F.lag(F.struct("v")).over(w).alias("p"), F.first("v", True).over(rest).alias("a"), F.sum("v").over(up).alias("s"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    runs = df.withColumn("_new", F.when(F.col("v").eqNullSafe(F.lag("v").over(w)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(up)).withColumn("n", F.count("*").over(Window.partitionBy("k", "_run")))
+    flag = F.when(F.col("v").isNull(), "missing").when((F.col("v") < 0) | (F.col("v") > 50), "range").when(F.abs(F.col("v") - F.lag("v").over(w)) > 3, "jump").when((F.col("n") >= 300) & (F.col("v") != 0), "stuck").otherwise("ok")
+    flagged = series.quality_flags(df, "k", "ts", "v", 0.0, 50.0, 3.0, 300, segments=8)
+    assert sorted(map(str, flagged.collect())) == sorted(map(str, runs.select("k", "ts", "v", flag.alias("flag")).collect()))
+    assert flagged.where("flag = 'stuck'").count() >= 399
+    fixed = {(x.k, x.ts): x.repaired for x in series.repair(flagged, "k", "ts", "v", segments=8).collect()}
+    assert fixed == {(x.k, x.ts): x.repaired for x in series.repair(flagged, "k", "ts", "v", segments=1).collect()}
+    left, right = df.where("minute(ts) % 7 = 0"), df.where("v = 5").select("k", "ts", F.col("v").alias("x"), F.unix_seconds("ts").alias("at"))
+    one, many = (sorted(map(str, series.asof_join(left, right, "ts", "k", ["x", "at"], segments=n).collect())) for n in (1, 8))
+    assert one == many and any("at_asof=None" not in x for x in one)
