@@ -30,7 +30,7 @@ def turns(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col:
     """(conv, segment, i, key, words): each turn's number in its conversation, digest and words; texts travel no further."""
     text, role = (F.coalesce(by_name(c).cast("string"), F.lit("")) for c in (text_col, role_col))
     rows = df.where(by_name(conv_col).isNotNull()).select(by_name(conv_col).cast("long").alias("conv"), by_name(turn_col).alias("turn"), role.alias("role"), F.md5(text.cast("binary")).alias("digest"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
-    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("digest")]
+    order = ["turn", "role", "digest"]
     rows = segmented(rows, ["conv"], order)
     key = F.md5(F.concat("digest", "role").cast("binary")).alias("key")
     return written(numbered(rows, ["conv"], order, "i").select("conv", "segment", "i", key, "words"), "turns")
