@@ -2,38 +2,93 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import dot
-from ..sources.shared import drop, table
+from ..sources.shared import drop, folder, table
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, risk_weight: float = 1.0, blocked: float = 1.0, max_rounds: int | None = None) -> DataFrame:
-    """(node, cost, previous): cheapest routes from the sources over edges(src, dst, length, risk).
+#: Width of a cost bucket in mean edge costs, where none is given.
+WIDTH = 16.0
 
-    An edge costs length * (1 + risk_weight * risk); edges with risk >= blocked are closed. Each round relaxes the
-    nodes that improved, one join and one min; it ends when none does, or with an error after max_rounds if they are
-    given. Negative costs are refused, as a circle of them has no cheapest route.
+
+class Bucketed:
+    """A table in the shared folder, bucketed by a column: what joins on it moves to its buckets, it stays."""
+
+    def __init__(self, spark: SparkSession, by: str, name: str):
+        self.spark, self.by, self.path = spark, by, folder(spark, name)
+        self.name, self.n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, df: DataFrame) -> None:
+        df.write.bucketBy(self.n, self.by).sortBy(self.by).mode("append").option("path", self.path).format("parquet").saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def closed(self) -> DataFrame:
+        """The rows from their files; the catalogue forgets the table."""
+        rows = self.spark.read.schema(self.read().schema).parquet(self.path)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return rows
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, risk_weight: float = 1.0, blocked: float = 1.0, max_rounds: int | None = None, delta: float | None = None, trace: list | None = None) -> DataFrame:
+    """(node, cost, previous): cheapest routes from the sources over edges(src, dst, length, risk), by delta-stepping.
+
+    An edge costs length * (1 + risk_weight * risk); edges with risk >= blocked are closed. Nodes are settled in buckets of
+    `delta` of cost: the light edges (delta at most) of a bucket's nodes are relaxed until it no longer changes, then their
+    heavy ones once. Only the open nodes that improved move; edges and settled nodes stay in bucketed tables and are met
+    there. Of routes of equal cost one is named. Negative costs are refused, as a circle of them has no cheapest route; it
+    ends with an error after max_rounds if they are given. trace, if given, gets (bucket's limit, open rows, rows moved) of
+    each round.
     """
+    spark, kind = edges.sparkSession, sources.schema["node"].dataType
     cost = edges.where(F.col("risk") < blocked).groupBy("src", "dst").agg(F.min(F.col("length") * (1 + risk_weight * F.col("risk"))).alias("w"))
-    cost = table(cost, "costs")
-    if not cost.where("w < 0").isEmpty():
+    known, settled = Bucketed(spark, "src", "edges"), Bucketed(spark, "node", "settled")
+    known.append(cost.where("src <> dst and w is not null"))
+    least, mean = known.read().agg(F.min("w"), F.avg("w")).first()
+    if least is not None and least < 0:
         raise ValueError("an edge has a negative cost")
-    best = table(sources.select(F.col("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(sources.schema["node"].dataType).alias("previous"), F.lit(True).alias("fresh")).distinct(), "routes")
-    for n in count(1):
-        step = best.where("fresh").join(cost, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("previous"), F.lit(True).alias("fresh"))
-        every = best.withColumn("fresh", F.lit(False)).unionByName(step)
-        least = every.groupBy("node").agg(F.min(F.struct("cost", F.col("fresh").alias("f"), "previous")).alias("m"))
-        before, best = best, table(least.select("node", "m.cost", "m.previous", F.col("m.f").alias("fresh")), "routes")
-        drop(before)
-        if best.where("fresh").isEmpty():
-            return best.drop("fresh")
-        if max_rounds and n >= max_rounds:
+    delta = delta or WIDTH * (mean or 0.0) or 1.0
+    start = sources.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("fresh")).distinct()
+    settled.append(start.drop("fresh").limit(0))
+    open_, rounds = table(start, "routes"), 0
+
+    def relaxed(of: DataFrame, edge: Column, rest: DataFrame) -> DataFrame:
+        """rest and what the edges of `of` lead to, the settled aside; fresh where a node is new or cheaper."""
+        step = of.select("node", "cost").join(known.read().where(edge), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("previous"))
+        step = step.groupBy("node").agg(F.min(F.struct("cost", "previous")).alias("m")).select("node", "m.*").join(settled.read().select("node"), "node", "left_anti")
+        both = rest.unionByName(step.withColumn("fresh", F.lit(True)))
+        # At equal cost the old entry wins, as false comes before true.
+        return table(both.groupBy("node").agg(F.min(F.struct("cost", "fresh", "previous")).alias("m")).select("node", "m.cost", "m.previous", "m.fresh"), "routes")
+
+    limit = delta
+    while True:
+        now = open_.agg(F.min("cost").alias("least"), F.count("*").alias("n"), F.count(F.when(F.col("fresh") & (F.col("cost") < limit), 1)).alias("moved")).first()
+        if not now.n:
+            return settled.closed()
+        rounds += 1
+        if max_rounds and rounds > max_rounds:
             raise ValueError("no end after max_rounds")
+        before, inside = open_, F.col("cost") < limit
+        if now.moved:
+            if trace is not None:
+                trace.append((limit, now.n, now.moved))
+            open_ = relaxed(before.where("fresh").where(inside), F.col("w") <= delta, before.withColumn("fresh", F.col("fresh") & ~inside))
+        elif now.least < limit:
+            done = before.where(inside)
+            settled.append(done.drop("fresh"))
+            open_ = relaxed(done, F.col("w") > delta, before.where(~inside))
+        else:
+            limit = (now.least // delta + 1) * delta
+            limit = limit if limit > now.least else float("inf")  # a width beneath the numbers' precision
+            continue
+        drop(before)
 
 
 def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:

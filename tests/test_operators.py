@@ -32,8 +32,14 @@ def test_shortest_paths_against_a_heap(spark):
             if a == n and k < 1.0:
                 heapq.heappush(todo, (c + l * (1 + 2 * k), b))
     df = spark.createDataFrame(edges, "src long, dst long, length double, risk double")
-    got = graphs.shortest_paths(df, spark.createDataFrame([(0,)], "node long"), risk_weight=2.0).collect()
-    assert {g.node: round(g.cost, 6) for g in got} == {n: round(c, 6) for n, c in best.items()}
+    edges += [(n, n, 0.0, 0.0) for n in range(5)] + [(3, 4, None, 0.0), (4, 5, 1.0, None)]
+    for delta in (25.0, 1e9):  # several buckets, and one
+        trace = []
+        got = graphs.shortest_paths(df, spark.createDataFrame([(0,)], "node long"), risk_weight=2.0, delta=delta, trace=trace).collect()
+        assert {g.node: round(g.cost, 6) for g in got} == {n: round(c, 6) for n, c in best.items()}
+        assert (len({limit for limit, _, _ in trace}) > 1) == (delta < 1e6)
+        moved, most = sum(m for _, _, m in trace), max(n for _, n, _ in trace)
+        assert len(best) <= moved + 1 and (delta > 1e6 or most < len(best))  # narrow buckets leave settled nodes aside
     cost = {g.node: g.cost for g in got}
     assert all(g.previous is None or cost[g.previous] < g.cost for g in got)
 
