@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..operators import allocation, graphs, learning, pictures, rasters, recurrent, series, tagging, texts
+from ..operators import allocation, graphs, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
 from ..sources import files, shared
 from ..sources.tables import sql, table
 from ..streaming import monitor
@@ -112,6 +112,15 @@ def raster_overlay(spark, d: str) -> DataFrame:
     return rasters.focal_mean(out).select("row", "col", F.round("value", 6).alias("value"))
 
 
+def danger_zones(spark, d: str) -> DataFrame:
+    """The customers in the zones about suppliers; zones and places follow from the tables' keys, each zone has a hole."""
+    zone = table(spark, d, "supplier").selectExpr("s_suppkey", "cast(s_suppkey * 37 % 330 - 165 as double) as cx", "s_nationkey * 3.0D - 30 as cy", "cast(3 + s_suppkey % 9 as double) as r")
+    ring = lambda r: F.array(*[F.array(F.col("cx") + i * r, F.col("cy") + j * r) for i, j in ((1, 0), (0, 1), (-1, 0), (0, -1))])
+    zone = zone.select("s_suppkey", F.array(ring(F.col("r")), ring(F.col("r") / 2)).alias("rings"))
+    at = table(spark, d, "customer").selectExpr("c_custkey", "cast(c_custkey % 360 - 180 as double) as lon", "cast(c_nationkey * 3 - 30 + c_custkey % 5 as double) as lat")
+    return spatial.points_in_polygons(at, zone, id_col="s_suppkey").select("c_custkey", "s_suppkey")
+
+
 def relief_allocation(spark, d: str) -> DataFrame:
     """Nations are demands and depots both: a depot's room is the number of its suppliers, 25 times 25 pairs whatever the scale."""
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("depot")).agg(F.count("*").cast("double").alias("capacity"))
@@ -275,7 +284,7 @@ _A = "pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(rad
 QUERIES = {
     f.__name__: f
     for f in (
-        asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, knowledge_communities, knowledge_labels,
+        asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, danger_zones, knowledge_communities, knowledge_labels,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
         picture_perceptron, picture_network, rain_gauges_model, help_requests, csv_roads, props_pairs, trimmed_means, terrain,
     )
@@ -327,6 +336,13 @@ SQL = {
         r(node, cost) USING KEY (node) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION (
             SELECT e.dst, min(r.cost + e.w) FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r AS old ON old.node = e.dst GROUP BY e.dst HAVING min(r.cost + e.w) < coalesce(min(old.cost), 1e300)))
         SELECT node, round(cost, 6) AS cost FROM r""",
+    "danger_zones": """
+        WITH z AS (SELECT s_suppkey, (s_suppkey * 37 % 330 - 165)::DOUBLE AS cx, s_nationkey * 3.0::DOUBLE - 30 AS cy, (3 + s_suppkey % 9)::DOUBLE AS r FROM supplier),
+        e AS (SELECT s_suppkey, cx + i1 * r / f AS x1, cy + j1 * r / f AS y1, cx + i2 * r / f AS x2, cy + j2 * r / f AS y2 FROM z, (VALUES (1, 0, 0, 1), (0, 1, -1, 0), (-1, 0, 0, -1), (0, -1, 1, 0)) AS t(i1, j1, i2, j2), (VALUES (1), (2)) AS h(f)),
+        c AS (SELECT c_custkey, (c_custkey % 360 - 180)::DOUBLE AS x, (c_nationkey * 3 - 30 + c_custkey % 5)::DOUBLE AS y FROM customer)
+        SELECT c_custkey, s_suppkey FROM c, e GROUP BY c_custkey, s_suppkey
+        HAVING count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1
+            OR bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND y BETWEEN least(y1, y2) AND greatest(y1, y2) AND x BETWEEN least(x1, x2) AND greatest(x1, x2))""",
     "knowledge_labels": """
         WITH g AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM g UNION SELECT b, a FROM g),
         r0 AS (SELECT DISTINCT src AS node, src AS label FROM e),

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aidlake.functions import geo
-from aidlake.operators import allocation, graphs, inference, learning, pictures, rasters, recurrent, series, tagging, texts
+from aidlake.operators import allocation, graphs, inference, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
 from aidlake.sources import files
 from aidlake.streaming import monitor
 
@@ -335,3 +335,43 @@ def test_scans_over_ranges_equal_windows(spark):
     left, right = df.where("minute(ts) % 7 = 0"), df.where("v = 5").select("k", "ts", F.col("v").alias("x"), F.unix_seconds("ts").alias("at"))
     one, many = (sorted(map(str, series.asof_join(left, right, "ts", "k", ["x", "at"], segments=n).collect())) for n in (1, 8))
     assert one == many and any("at_asof=None" not in x for x in one)
+
+
+def test_points_in_polygons_against_all_pairs(spark):
+    """Polygons of all sizes with holes, points on corners and edges, and outside of everything."""
+    r = random.Random(6)
+
+    def inside(rings, x, y):
+        odd = False
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+                if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                    return True
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    odd = not odd
+        return odd
+
+    shapes = {}
+    for i in range(60):
+        cx, cy, size = r.randrange(-150, 150), r.randrange(-70, 70), r.choice([0.01, 0.5, 4, 20, 60 if abs(r.random()) < 0.3 else 2])
+        ring = [[float(max(-180, min(180, cx + r.uniform(-size, size)))), float(max(-90, min(90, cy + r.uniform(-size, size))))] for _ in range(r.randrange(3, 9))]
+        shapes[i] = [ring] if i % 2 else [ring, [[cx + (x - cx) / 3, cy + (y - cy) / 3] for x, y in ring]]
+    shapes[100] = [[[-180.0, -90.0], [180.0, -90.0], [180.0, 90.0], [-180.0, 90.0], [-180.0, -90.0]], [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0]]]
+    points = [(float(r.randrange(-180, 181)), float(r.randrange(-90, 91))) for _ in range(500)] + [tuple(p) for s in shapes.values() for ring in s for p in ring]
+    points += [(0.0, 5.0), (5.0, 5.0), (180.0, 90.0), (-180.0, -90.0), (None, 1.0), (200.0, 1.0), (float("nan"), 0.0)]
+    places = spark.createDataFrame([(i, x, y, "k") for i, (x, y) in enumerate(points)], "i int, lon double, lat double, level string")
+    polygons = spark.createDataFrame([*shapes.items(), (200, None), (201, []), (202, [[]])], "polygon int, rings array<array<array<double>>>")
+    got = sorted((p.i, p.polygon) for p in spatial.points_in_polygons(places, polygons).collect())
+    ok = [(i, x, y) for i, (x, y) in enumerate(points) if x is not None and abs(x) <= 180]
+    assert got == sorted((i, k) for i, x, y in ok for k, s in shapes.items() if inside(s, x, y))
+    assert spatial.points_in_polygons(places, polygons.where("polygon > 199")).collect() == []
+    cells = spatial.covered(polygons, "polygon", "rings").groupBy("id").agg(F.count("*").alias("n"), F.max("level").alias("level"), F.count_if("sure").alias("sure")).collect()
+    assert max(c.n for c in cells) <= spatial.SIDE**2 and len({c.level for c in cells}) > 3 and sum(c.sure for c in cells) > 5
+
+
+def test_polygons_of_geojson_text(spark):
+    square = [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 2], [1, 1]]]
+    rows = [(1, "Polygon", json.dumps(square)), (2, "MultiPolygon", json.dumps([square, [[[10, 10], [11, 10], [11, 11], [10, 10]]]])), (3, "Point", "[1, 2]"), (4, None, None)]
+    shapes = spark.createDataFrame(rows, "polygon int, kind string, coordinates string").select("polygon", spatial.rings(F.col("kind"), F.col("coordinates")).alias("rings"))
+    points = spark.createDataFrame([(0, 3.0, 3.0), (1, 1.5, 1.5), (2, 1.0, 1.5), (3, 10.6, 10.3)], "i int, lon double, lat double")
+    assert sorted((p.i, p.polygon) for p in spatial.points_in_polygons(points, shapes).collect()) == [(0, 1), (0, 2), (2, 1), (2, 2), (3, 2)]
