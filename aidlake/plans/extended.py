@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..operators import allocation, graphs, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
+from ..operators import allocation, gazetteer, graphs, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
 from ..sources import files, shared
 from ..sources.tables import sql, table
 from ..streaming import monitor
@@ -217,6 +217,21 @@ def help_requests(spark, d: str) -> DataFrame:
     return tagging.help_spans(made).select("c_custkey", F.get("places", 0).alias("place"), F.get("needs", 0).alias("need"), F.get("people", 0).cast("int").alias("people"))
 
 
+#: A town's name follows from its supplier's; posts misspell it with up to three edits, as the customer's key says.
+NAMED = "translate(substr(md5(s_name), 1, 9), '0123456789abcdef', 'bakelimonurstdvy')"
+SPELT = """CASE c_custkey % 5 WHEN 0 THEN town WHEN 1 THEN concat(substr(town, 1, 3), substr(town, 5)) WHEN 2 THEN concat(substr(town, 1, 2), 'xq', substr(town, 5))
+    WHEN 3 THEN concat(substr(town, 2, 6), 'ee', substr(town, 8)) ELSE concat(upper(substr(town, 1, 4)), 'w', substr(town, 5)) END"""
+PLEA = """CASE c_custkey % 3 WHEN 0 THEN concat('We are cut off in ', name, ', send boats!') WHEN 1 THEN concat(name, ': no water since noon') ELSE concat('my aunt (', name, ' bridge) needs medicine') END"""
+PLEAS = f"SELECT c_custkey, {PLEA} AS text FROM (SELECT c_custkey, {SPELT} AS name FROM (SELECT c_custkey, {NAMED} AS town FROM {{c}} JOIN {{s}} ON s_nationkey = c_nationkey AND s_suppkey % 7 = c_custkey % 7) a) b"
+
+
+def help_locations(spark, d: str) -> DataFrame:
+    """Where posts come from that name a supplier's town, often misspelt."""
+    posts = sql(spark, d, PLEAS.format(c="{customer}", s="{supplier}")).groupBy("c_custkey").agg(F.min("text").alias("text"))
+    places = sql(spark, d, f"SELECT {NAMED} AS place, s_suppkey % 180 - 90.0D AS lat, s_suppkey * 7 % 360 - 180.0D AS lon FROM {{supplier}}")
+    return gazetteer.located(posts, places, "c_custkey", "text").select("c_custkey", "place", "lat", "lon", "distance")
+
+
 def csv_roads(spark, d: str) -> DataFrame:
     """Roads through a CSV folder: written, read with declared columns, summed by where they lead."""
     path = shared.folder(spark, "roads")
@@ -286,7 +301,7 @@ QUERIES = {
     for f in (
         asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, danger_zones, knowledge_communities, knowledge_labels,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
-        picture_perceptron, picture_network, rain_gauges_model, help_requests, csv_roads, props_pairs, trimmed_means, terrain,
+        picture_perceptron, picture_network, rain_gauges_model, help_requests, help_locations, csv_roads, props_pairs, trimmed_means, terrain,
     )
 } | {
     "stream_tumbling": monitor.run(monitor.tumbling, "complete"),
@@ -351,6 +366,14 @@ SQL = {
         SELECT src AS node, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM e JOIN r2 ON r2.node = e.dst GROUP BY src, label) t WHERE k = 1""",
     "help_requests": f"""
         SELECT c_custkey, {TOWN} AS place, {NEED} AS need, CAST(c_custkey % 90 + 2 AS INTEGER) AS people FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "help_locations": f"""
+        WITH p AS (SELECT c_custkey, min(text) AS text FROM ({PLEAS.format(c='customer', s='supplier')}) t GROUP BY c_custkey),
+        g AS (SELECT {NAMED} AS place, (s_suppkey % 180 - 90)::DOUBLE AS lat, (s_suppkey * 7 % 360 - 180)::DOUBLE AS lon FROM supplier),
+        w AS (SELECT c_custkey, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM p),
+        m AS (SELECT c_custkey, unnest(ws) AS mention FROM w UNION SELECT c_custkey, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
+        h AS (SELECT u.mention, g.*, levenshtein(u.mention, g.place)::INTEGER AS distance FROM (SELECT DISTINCT mention FROM m) u, g WHERE levenshtein(u.mention, g.place) <= 2),
+        b AS (SELECT c_custkey, place, lat, lon, distance, row_number() OVER (PARTITION BY c_custkey ORDER BY distance, place, lat, lon) AS k FROM m JOIN h ON h.mention = m.mention)
+        SELECT p.c_custkey, b.place, b.lat, b.lon, b.distance FROM p LEFT JOIN b ON b.c_custkey = p.c_custkey AND b.k = 1""",
     "csv_roads": """
         SELECT (k + step) % n AS dst, count(*) AS n, round(sum(s + step), 4) AS length, 0::BIGINT AS bad FROM (SELECT p_partkey AS k, p_size::DOUBLE AS s FROM part) p, (SELECT count(*) AS n FROM part) m, unnest([1, 17, 301]) AS t(step) GROUP BY 1""",
     "props_pairs": """

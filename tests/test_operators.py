@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aidlake.functions import geo
-from aidlake.operators import allocation, graphs, inference, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
+from aidlake.operators import allocation, gazetteer, graphs, inference, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
 from aidlake.sources import files
 from aidlake.streaming import monitor
 
@@ -375,3 +375,36 @@ def test_polygons_of_geojson_text(spark):
     shapes = spark.createDataFrame(rows, "polygon int, kind string, coordinates string").select("polygon", spatial.rings(F.col("kind"), F.col("coordinates")).alias("rings"))
     points = spark.createDataFrame([(0, 3.0, 3.0), (1, 1.5, 1.5), (2, 1.0, 1.5), (3, 10.6, 10.3)], "i int, lon double, lat double")
     assert sorted((p.i, p.polygon) for p in spatial.points_in_polygons(points, shapes).collect()) == [(0, 1), (0, 2), (2, 1), (2, 2), (3, 2)]
+
+
+def test_misspelt_places_against_all_pairs(spark):
+    r, letters = random.Random(9), "abc"
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    words = {"".join(r.choice(letters) for _ in range(r.randrange(0, 12))) for _ in range(150)}
+    names = {"".join(r.choice(letters) for _ in range(r.randrange(1, 12))) for _ in range(60)}
+    for n in list(names):
+        for _ in range(6):
+            w = list(n)
+            for _ in range(r.randrange(1, 4)):
+                w[r.randrange(len(w) + 1) : r.randrange(len(w) + 1)] = r.choice(["", "a", "b"])
+            words.add("".join(w))
+    most = lambda n: 2 if len(n) >= 8 else 1 if len(n) >= 5 else 0
+    got = gazetteer.matches(spark.createDataFrame([(w,) for w in words], "mention string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    want = sorted((w, n, edits(w, n)) for w in words for n in names if edits(w, n) <= most(n))
+    assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 100
+
+
+def test_posts_are_located(spark):
+    places = spark.createDataFrame([("Green Valley", 1.0, 2.0), ("Riverton", 3.0, 4.0), ("Rivertown", 5.0, 6.0), ("Lima", 7.0, 8.0), (None, 0.0, 0.0), ("", 0.0, 0.0)], "place string, lat double, lon double")
+    rows = [(1, "help, Gren Vally is under water", "x"), (2, "RIVERTON bridge gone", "x"), (3, "rivertwn!", None), (4, "lims", "x"), (5, None, "x"), (6, "", "x"), (None, "Lima", "x"), (7, "Lima and Riverton", "x"), (7, "Lima and Riverton", "y")]
+    got = gazetteer.located(spark.createDataFrame(rows, "post int, text string, name string"), places, "post", "text").collect()
+    assert sorted(((g.post, g.place, g.distance) for g in got), key=str) == sorted([(1, "Green Valley", 2), (2, "Riverton", 0), (3, "Rivertown", 1), (4, None, None), (5, None, None), (6, None, None), (None, None, None), (7, "Riverton", 0), (7, "Riverton", 0)], key=str)
+    assert got[0].asDict().keys() == {"post", "text", "name", "place", "lat", "lon", "distance"}
