@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .common import by_name, carried
 
 #: Labelled pages that the model is trained on, its passes and its penalty.
-PAGES, PASSES, PENALTY = 600, 150, 0.002
+PAGES, PASSES, PENALTY = 1_000, 200, 0.0004
 
 # Fixed values of the HTML standard: elements that do not break a line of text, that have no content, whose
 # content is no text, and that a start tag of the same kind closes.
@@ -169,6 +169,14 @@ def features(block: Block) -> tuple[str, ...]:
     return ancestor_features(block[1]) + text_features(block[0], block[2])
 
 
+def context(found: list[Block]) -> list[tuple[str, ...]]:
+    """Of each block of a page: its length beside the page's longest text that is no link, and how linked its neighbours are."""
+    linked = [bucket(links / len(text), (0.3, 0.99)) for text, _, links in found]
+    longest = max((len(b[0]) for b, n in zip(found, linked, strict=True) if not n), default=1)
+    around = ["edge", *map(str, linked), "edge"]
+    return [(f"share:{bucket(len(b[0]) / longest, (0.05, 0.15, 0.4, 0.999))}", f"before:{around[i]}", f"after:{around[i + 2]}") for i, b in enumerate(found)]
+
+
 class Model:
     """Weights of main text over the rest for each feature, and the transitions' weights [from][to]."""
 
@@ -186,19 +194,20 @@ class Model:
             total = e.total = total + sum(w.get(f, 0.0) for f in e.new)
         return total
 
-    def score(self, block: Block) -> float:
+    def score(self, block: Block, near: tuple[str, ...] = ()) -> float:
         w, (text, element, links) = self.weights, block
         own = element.own if element else ("in:", "in:")
-        return w.get("bias", 0.0) + self.inside(element) + sum(w.get(f, 0.0) for f in own + text_features(text, links))
+        return w.get("bias", 0.0) + self.inside(element) + sum(w.get(f, 0.0) for f in own + text_features(text, links) + near)
 
     def decode(self, found: list) -> list[bool]:
         """Viterbi: the most likely labels of a page's blocks together."""
         if not found:
             return []
         (aa, ab), (ba, bb) = self.move
-        no, yes, back = 0.0, self.score(found[0]), []
-        for b in found[1:]:
-            s = self.score(b)
+        near = context(found)
+        no, yes, back = 0.0, self.score(found[0], near[0]), []
+        for b, c in zip(found[1:], near[1:], strict=True):
+            s = self.score(b, c)
             no_from, yes_from = yes + ba > no + aa, yes + bb >= no + ab
             no, yes = (yes + ba if no_from else no + aa), (yes + bb if yes_from else no + ab) + s
             back.append((no_from, yes_from))
@@ -273,7 +282,7 @@ def train(pages: list[list[tuple[tuple[str, ...], bool]]]) -> Model:
 def labelled_page(rng: random.Random) -> list[tuple[str, bool]]:
     """A made-up page as pieces of html, each with whether its text is main text.
 
-    Articles come in the ways pages mark them up, among menus, headers, sidebars, notices, adverts, forms, comments
+    Articles come in the ways pages mark them up, in named, nameless and nested containers, among menus, headers, sidebars, notices, adverts, forms, comments
     and footers; the words are invented, so only tags, names and the shape of texts can be learnt.
     """
     word = lambda: "".join(rng.choice("ba de ki lo mu ra si te vo na ch en er".split()) for _ in range(rng.randint(1, 4)))
@@ -316,10 +325,26 @@ def labelled_page(rng: random.Random) -> list[tuple[str, bool]]:
         text = rng.choice(["&copy; ", "", "Copyright "]) + rng.choice([f"{word()}.example.com &middot; {sentence()}", short(), prose()])
         yield off(f"<footer>{text}</footer>" if rng.random() < 0.7 else f"<div{attr('footer', 'copyright', 'bottom')}><p>{text}</p></div>")
 
+    def layout() -> list[str]:
+        """Containers that say nothing of what is in them: nameless, with layout words or with invented names."""
+        name = lambda: rng.choice(["", "", attr("page", "row", "col", "container", "wrapper", "inner", "grid", "box", "body", "block", "panel", "left", "right"), f' class="{word()}-{word()}"', f' id="{word()}"'])
+        return [rng.choice(["div", "div", "div", "section"]) + name() for _ in range(rng.randint(1, 4))]
+
+    def within(tags: list[str], inner: list[tuple[str, bool]]):
+        yield off("".join(f"<{t}>" for t in tags))
+        yield from inner
+        yield off("".join(f"</{t.split(' ')[0]}>" for t in reversed(tags)))
+
+    plain = rng.random()  # how this page marks paragraphs up: mostly as such, or by div, or by line breaks
+
     def paragraph():
         text = rng.choice([prose, prose, sentence, short])()
         kind = rng.random()
-        if kind < 0.7:
+        if plain < 0.25:
+            yield (f"<div>{text}</div>", True)
+        elif plain < 0.32:
+            yield (f"{text}<br>", True)
+        elif kind < 0.7:
             yield (f"<p>{text}" + ("</p>" if rng.random() < 0.8 else ""), True)
         elif kind < 0.8:
             yield (f"<p><b>{text}<br>", True)
@@ -331,25 +356,32 @@ def labelled_page(rng: random.Random) -> list[tuple[str, bool]]:
             yield (rng.choice([f"<blockquote>{prose()}</blockquote>", f"<pre>{short()}</pre>", f"<table><tr><td>{word()}</td><td>{short()}</td></tr></table>", f"<div>{text}</div>"]), True)
 
     def article():
-        tag = rng.choice(["article", "article", "article", "main", f"div{attr('content', 'article', 'post', 'entry-content', 'main')}", 'div role="main"'])
-        yield off(f"<{tag}>")
-        if rng.random() < 0.85:
+        named = rng.random() < 0.5
+        tag = rng.choice(["article", "article", "article", "main", f"div{attr('content', 'article', 'post', 'entry-content', 'main', 'story', 'text')}", 'div role="main"'])
+        tags = [tag] if named and rng.random() < 0.7 else layout() if not named else [*layout(), tag]
+        yield off("".join(f"<{t}>" for t in tags))
+        if rng.random() < 0.7:
             yield (f"<h1>{short()}</h1>", True)
-        yield from some(paragraph, 1, 12)
+        yield from some(paragraph, *rng.choice([(1, 1), (1, 1), (2, 4), (1, 12), (1, 12)]))
         for extra in (advert, side, form, comments, notice):
             if rng.random() < 0.12:
                 yield from extra()
                 yield from some(paragraph, 0, 4)
-        yield off(f"</{tag.split(' ')[0]}>")
+        yield off("".join(f"</{t.split(' ')[0]}>" for t in reversed(tags)))
+
+    def around(f):
+        """Other parts stand in such containers too."""
+        return list(within(layout(), list(f()))) if rng.random() < 0.25 else list(f())
 
-    out = [off(f"<html><head><title>{short()}</title><style>p{{}}</style></head><body>")]
+    wide = layout() if rng.random() < 0.35 else []
+    out = [off(f"<html><head><title>{short()}</title><style>p{{}}</style></head><body>"), off("".join(f"<{t}>" for t in wide))]
     for f, p in ((notice, 0.2), (head, 0.4), (menu, 0.9), (advert, 0.5), (side, 0.2), (form, 0.15)):
         if rng.random() < p:
-            out += f()
+            out += around(f)
     out += article()
     for f, p in ((comments, 0.25), (side, 0.25), (form, 0.15), (advert, 0.2), (notice, 0.1), (menu, 0.15), (foot, 0.9)):
         if rng.random() < p:
-            out += f()
+            out += around(f)
     return out
 
 
@@ -357,7 +389,9 @@ def labelled(pieces: list[tuple[str, bool]]) -> list[tuple[tuple[str, ...], bool
     """Features and labels of a labelled page's blocks: marks in the text carry the labels through the parser."""
     mark = "\ue000"
     page = "".join(re.sub(r">([^<]+)", lambda m: f">{mark}{m[1]}" if m[1].strip() else m[0], h) if main else h for h, main in pieces)
-    return [(features((text.replace(mark, ""), up, links)), mark in text) for text, up, links in blocks(page)]
+    marked = blocks(page)
+    found = [(text.replace(mark, ""), up, links) for text, up, links in marked]
+    return [(features(b) + c, mark in m[0]) for b, c, m in zip(found, context(found), marked, strict=True)]
 
 
 @lru_cache(1)

@@ -21,7 +21,7 @@ def test_viterbi_is_the_best_path():
     model, r = h.trained(), random.Random(5)
     for _ in range(20):
         found = h.blocks("".join(x for x, _ in h.labelled_page(r)))[:10]
-        score = lambda y: sum(model.score(b) for b, l in zip(found, y) if l) + sum(model.move[a][b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        score = lambda y: sum(model.score(b, c) for b, c, l in zip(found, h.context(found), y) if l) + sum(model.move[a][b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
         best = max(score([k >> i & 1 for i in range(len(found))]) for k in range(1 << len(found)))
         assert abs(score([int(x) for x in model.decode(found)]) - best) < 1e-9
 
