@@ -105,11 +105,15 @@ def knowledge_labels(spark, d: str) -> DataFrame:
     return graphs.communities(supply_graph(spark, d), 3)
 
 
+#: Cells along the side of a tile in the queries' small rasters, so that tiles meet there too.
+SIDE = 16
+
+
 def raster_overlay(spark, d: str) -> DataFrame:
     c = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).cast("int").alias("row"), (F.col("l_suppkey") % 50).cast("int").alias("col"))
     layers = {"slope": c.agg(F.avg("l_quantity").alias("value")), "rain": c.agg((F.avg("l_discount") * 100).alias("value"))}
-    out = rasters.overlay(layers, {"slope": 0.75, "rain": 0.25})
-    return rasters.focal_mean(out).select("row", "col", F.round("value", 6).alias("value"))
+    out = rasters.overlay(layers, {"slope": 0.75, "rain": 0.25}, SIDE)
+    return rasters.focal_mean(out, size=SIDE).select("row", "col", F.round("value", 6).alias("value"))
 
 
 def danger_zones(spark, d: str) -> DataFrame:
@@ -269,10 +273,19 @@ def trimmed_means(spark, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.round(middle_mean("value"), 6).alias("mean"))
 
 
+def heights(spark, d: str) -> DataFrame:
+    place = [(F.col(k) % 50).cast("int").alias(n) for k, n in (("l_partkey", "row"), ("l_suppkey", "col"))]
+    return table(spark, d, "lineitem").groupBy(*place).agg(F.avg("l_quantity").alias("value"))
+
+
+def debris_flow(spark, d: str) -> DataFrame:
+    """How many cells of the raster drain through each of them."""
+    return rasters.flow_accumulation(heights(spark, d), SIDE)
+
+
 def terrain(spark, d: str) -> DataFrame:
     """Slope and aspect of a raster made of the suppliers' and parts' prices."""
-    c = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).cast("int").alias("row"), (F.col("l_suppkey") % 50).cast("int").alias("col")).agg(F.avg("l_quantity").alias("value"))
-    return rasters.slope_aspect(c, 10.0).select("row", "col", F.round("slope", 6).alias("slope"), F.round("aspect", 4).alias("aspect"))
+    return rasters.slope_aspect(heights(spark, d), 10.0, SIDE).select("row", "col", F.round("slope", 6).alias("slope"), F.round("aspect", 4).alias("aspect"))
 
 
 def water_level_networks(spark, d: str) -> DataFrame:
@@ -301,7 +314,7 @@ QUERIES = {
     for f in (
         asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, danger_zones, knowledge_communities, knowledge_labels,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
-        picture_perceptron, picture_network, rain_gauges_model, help_requests, help_locations, csv_roads, props_pairs, trimmed_means, terrain,
+        picture_perceptron, picture_network, rain_gauges_model, help_requests, help_locations, csv_roads, props_pairs, trimmed_means, terrain, debris_flow,
     )
 } | {
     "stream_tumbling": monitor.run(monitor.tumbling, "complete"),
@@ -381,6 +394,13 @@ SQL = {
     "trimmed_means": """
         SELECT user_id, round(avg(value), 6) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) t
         WHERE k > n // 10 AND k <= n - n // 10 GROUP BY user_id""",
+    "debris_flow": """
+        WITH RECURSIVE c AS (SELECT CAST(l_partkey % 50 AS INT) AS r, CAST(l_suppkey % 50 AS INT) AS c, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+        n AS (SELECT a.r, a.c, b.r AS tr, b.c AS tc, (a.v - b.v) / CASE WHEN a.r <> b.r AND a.c <> b.c THEN sqrt(2.0::DOUBLE) ELSE 1.0::DOUBLE END AS d
+              FROM c a JOIN c b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.v > b.v),
+        s AS (SELECT r, c, tr, tc FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d DESC, tr, tc) AS k FROM n) t WHERE k = 1),
+        p AS (SELECT r, c FROM c UNION ALL SELECT s.tr, s.tc FROM p JOIN s ON s.r = p.r AND s.c = p.c)
+        SELECT r AS row, c AS col, count(*) AS cells FROM p GROUP BY r, c""",
     "terrain": """
         WITH c AS (SELECT CAST(l_partkey % 50 AS INT) AS r, CAST(l_suppkey % 50 AS INT) AS c, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
         g AS (SELECT o.r, o.c, (e.v - w.v) / 20 AS x, (n.v - s.v) / 20 AS y FROM c o JOIN c n ON n.r = o.r - 1 AND n.c = o.c JOIN c s ON s.r = o.r + 1 AND s.c = o.c JOIN c e ON e.r = o.r AND e.c = o.c + 1 JOIN c w ON w.r = o.r AND w.c = o.c - 1)

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -88,12 +89,21 @@ def point(coordinates: Column) -> tuple[Column, Column]:
 
 
 def ascii_grid(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, col, value) of ESRI ASCII grids; cells without data are left out. A file is one task's text."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\r?\n").alias("lines"))
-    head = lambda k: F.regexp_extract(F.lower(F.array_join(F.slice("lines", 1, 6), "\n")), rf"{k}\s+(\S+)", 1)
-    body = F.filter("lines", lambda x: x.rlike(r"^\s*[-+.\d]"))
-    rows = text.select("path", head("nodata_value").cast("double").alias("none"), F.posexplode(body).alias("row", "line"))
-    cells = rows.select("path", "none", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v"))
+    """(path, row, col, value) of ESRI ASCII grids with a line a row; cells without data are left out.
+
+    Files are read by ranges of lines, a large one by several tasks. A first pass counts each range's lines, by which the
+    second one knows its rows.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"))
+    none = F.regexp_extract(F.lower("line"), r"^nodata_value (\S+)", 1)
+    kept = text.select("path", "block", "line", none.alias("none"), F.col("line").rlike(r"^[-+.\d]").alias("body")).where("body or none <> ''")
+    kept = kept.withColumn("id", F.monotonically_increasing_id())  # within a range the lines of cells follow each other
+    ranges = kept.groupBy("path", "block").agg(F.min(F.when(F.col("body"), F.col("id"))).alias("first"), F.count_if("body").alias("n"), F.max(F.when(~F.col("body"), F.col("none").cast("double"))).alias("none"))
+    file = Window.partitionBy("path")
+    before = F.coalesce(F.sum("n").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("path", "block", (before - F.col("first")).alias("shift"), F.max("none").over(file).alias("none"))
+    lines = kept.where("body").drop("none").join(ranges, ["path", "block"]).select("path", "none", (F.col("id") + F.col("shift")).cast("int").alias("row"), "line")
+    cells = lines.select("path", "none", "row", F.posexplode(F.split("line", " ")).alias("col", "v"))
     value = F.col("v").cast("double")
     return cells.where(F.col("none").isNull() | (value != F.col("none"))).select("path", "row", "col", value.alias("value"))
 

@@ -3,6 +3,7 @@
 import heapq
 import itertools
 import json
+import math
 import os
 import random
 import sqlite3
@@ -211,8 +212,6 @@ def test_slope_and_aspect(spark):
     cells = spark.createDataFrame([(r, c, 10.0 * c - 5.0 * r) for r in range(4) for c in range(4)], "row int, col int, value double")
     got = {(x.row, x.col): (x.slope, x.aspect) for x in rasters.slope_aspect(cells, 10.0).collect()}
     assert len(got) == 4
-    import math
-
     assert all(s == pytest.approx(math.degrees(math.atan(math.hypot(1.0, 0.5)))) and a == pytest.approx((math.degrees(math.atan2(-1.0, -0.5)) + 360) % 360) for s, a in got.values())
 
 
@@ -408,3 +407,64 @@ def test_posts_are_located(spark):
     got = gazetteer.located(spark.createDataFrame(rows, "post int, text string, name string"), places, "post", "text").collect()
     assert sorted(((g.post, g.place, g.distance) for g in got), key=str) == sorted([(1, "Green Valley", 2), (2, "Riverton", 0), (3, "Rivertown", 1), (4, None, None), (5, None, None), (6, None, None), (None, None, None), (7, "Riverton", 0), (7, "Riverton", 0)], key=str)
     assert got[0].asDict().keys() == {"post", "text", "name", "place", "lat", "lon", "distance"}
+
+
+def test_tiles_meet_as_cells_do(spark):
+    """Negative places, holes, NaN, repeated cells and every tile side give what a plain walk over the cells gives."""
+    r = random.Random(4)
+    at = {(y, x): float(r.randrange(40)) for y in range(-7, 13) for x in range(-5, 16) if r.random() < 0.9}
+    rows = [(y, x, v) for (y, x), v in at.items()] + [(40, 40, None), (41, 41, float("nan")), (None, 1, 1.0)]
+    first = next(iter(at))
+    rows[0] = (*first, at[first] - 1)
+    rows.append((*first, at[first] + 1))
+    df = spark.createDataFrame(rows, "row int, col int, value double")
+    step = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+
+    def lower(y, x):
+        drops = [((at[y, x] - at[y + a, x + b]) / (math.sqrt(2) if a and b else 1), (y + a, x + b)) for a, b in step if (y + a, x + b) in at]
+        best = max((d for d, _ in drops), default=0)
+        return next(p for d, p in drops if d == best) if best > 0 else None
+
+    flow = dict.fromkeys(at, 0)
+    for p in at:
+        while p:
+            flow[p] += 1
+            p = lower(*p)
+    near = {p: [at[q] for a in range(-2, 3) for b in range(-2, 3) if (q := (p[0] + a, p[1] + b)) in at] for p in at}
+    for size in (3, 5, 256):
+        assert {(x.row, x.col): x.cells for x in rasters.flow_accumulation(df, size).collect()} == flow
+        got = {(x.row, x.col): x.value for x in rasters.focal_mean(df, 2, size).collect()}
+        assert got.keys() == at.keys() and all(got[p] == pytest.approx(sum(n) / len(n)) for p, n in near.items())
+    assert not rasters.flow_accumulation(df.limit(0), 4).collect() and not rasters.focal_mean(df.limit(0)).collect()
+    with pytest.raises(ValueError, match="radius"):
+        rasters.focal_mean(df, 4, 3)
+
+
+def test_a_river_through_many_tiles(spark):
+    """One way of 400 cells back and forth over tiles of four: each cell has all before it."""
+    way = [(y, x if y % 4 == 0 else 19 - x) for y in range(0, 40, 2) for x in range(20)]
+    links = [(y + 1, 19 if y % 4 == 0 else 0) for y in range(0, 38, 2)]
+    path = [p for i in range(20) for p in way[20 * i : 20 * i + 20] + links[i : i + 1]]
+    # At a turn water takes the corner, two steps down at once, so a cell or two are passed by there.
+    df = spark.createDataFrame([(y, x, -float(i)) for i, (y, x) in enumerate(path)], "row int, col int, value double")
+    got = {(r.row, r.col): r.cells for r in rasters.flow_accumulation(df, 4).collect()}
+    last = max(got.values())
+    assert got[path[-1]] == last and last >= len(path) - 2 * 20 and [got[p] for p in path[:10]] == list(range(1, 11))
+
+
+def test_grid_file_by_several_tasks(spark, tmp_path):
+    rows = [[r * 7 + c if (r + c) % 5 else -9999 for c in range(7)] for r in range(200)]
+    text = "ncols 7\nnrows 200\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -9999\n" + "\n".join(" ".join(map(str, r)) + " " for r in rows) + "\n"
+    (tmp_path / "a.asc").write_text(text)
+    (tmp_path / "b.asc").write_text("ncols 2\r\nnrows 1\r\n 1   -9999\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = files.ascii_grid(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        got = {(x.path[-5], x.row, x.col): x.value for x in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {("a", r, c): float(v) for r, line in enumerate(rows) for c, v in enumerate(line) if v != -9999}
+    assert got == want | {("b", 0, 0): 1.0, ("b", 0, 1): -9999.0}
