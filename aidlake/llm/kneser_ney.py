@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import OrderedDict, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +26,8 @@ COUNTED, SCORED = 4_000_000, 1_000_000
 HOT, SAMPLED = 0.5, 32
 #: Entries of a table that share a place in its index, on average.
 PLACE = 16
+#: Where tables cannot be mapped: bytes of a page, bytes of pages that a process keeps, pages read at once.
+PAGE, KEPT, RUN = 1 << 16, 256 << 20, 64
 #: Bits of a word's 64-bit hash that n-grams leave out; single words are counted by all of them.
 LESS = np.uint64(16)
 
@@ -281,39 +283,102 @@ class Keys:
         return hit, lo[hit]
 
 
+class Pages:
+    """Files read page by page as their numbers are asked for: what a memory map does, for a store that has none.
+
+    A process keeps KEPT bytes of pages at most, those used last, and reads RUN pages at once where they follow each other.
+    """
+
+    def __init__(self):
+        self.pages, self.files = OrderedDict(), OrderedDict()
+
+    def wanted(self, fs: pafs.FileSystem, path: str, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(number, bytes) of each of a file's pages, given by ascending numbers."""
+        for lo in range(0, len(numbers), RUN):
+            todo = numbers[lo : lo + RUN].tolist()
+            missing = [n for n in todo if (path, n) not in self.pages]
+            for i, first in enumerate(missing):
+                if i and missing[i - 1] == first - 1:
+                    continue
+                last = next((j for j in range(i, len(missing)) if missing[j] - first != j - i), len(missing)) - 1
+                raw = self.file(fs, path).read_at((missing[last] - first + 1) * PAGE, first * PAGE)
+                for n in range(first, missing[last] + 1):  # copied, so that a page does not keep its whole run
+                    self.pages[path, n] = np.frombuffer(raw, np.uint8)[(n - first) * PAGE :][:PAGE].copy()
+            for n in todo:
+                self.pages.move_to_end((path, n))
+                yield n, self.pages[path, n]
+            while len(self.pages) * PAGE > KEPT:
+                self.pages.popitem(last=False)
+
+    def file(self, fs: pafs.FileSystem, path: str) -> pa.NativeFile:
+        if path not in self.files:
+            self.files[path] = fs.open_input_file(path)
+            if len(self.files) > 64:
+                self.files.popitem(last=False)[1].close()
+        self.files.move_to_end(path)
+        return self.files[path]
+
+
+PAGES = Pages()
+
+
+class Paged:
+    """Numbers of one kind in a stored file, to be taken by their places as from an array. They never lie on two pages."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, start: int, count: int, kind: str):
+        self.fs, self.path, self.start, self.count, self.kind = fs, path, start, count, np.dtype(kind)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        size = self.kind.itemsize
+        place = self.start // size + np.asarray(at, np.int64).ravel()
+        page, place = np.divmod(place, PAGE // size)
+        o = np.argsort(page, kind="stable")
+        numbers, heads = np.unique(page[o], return_index=True)
+        out = np.empty(len(o), self.kind)
+        for (_, raw), i in zip(PAGES.wanted(self.fs, self.path, numbers), np.split(o, heads[1:]), strict=False):
+            out[i] = raw.view(self.kind)[place[i]]
+        return out.reshape(np.shape(at))
+
+
 class Table:
-    """A stored table, read through a buffer that is mapped, not loaded."""
+    """A stored table, its bytes from a mapped file or its numbers page by page (part(start, count, kind)): it is never loaded whole."""
 
-    def __init__(self, raw: np.ndarray):
-        rows, width, small, n0, bits0, n1, bits1 = raw[:56].view(np.int64).tolist()
+    def __init__(self, raw: np.ndarray | Callable[[int, int, str], Paged]):
+        part = raw if callable(raw) else lambda lo, count, kind: raw[lo : lo + count * int(kind[1:])].view(kind)
+        rows, self.width, small, n0, bits0, n1, bits1 = part(0, 7, "i8")[np.arange(7)].tolist()
         at = 56
 
-        def part(count: int, kind: str) -> np.ndarray:
+        def following(count: int, kind: str) -> np.ndarray | Paged:
             nonlocal at
             lo, at = at, at + -(-count * int(kind[1:]) // 8) * 8
-            return raw[lo : lo + count * int(kind[1:])].view(kind)
+            return part(lo, count, kind)
+
+        self.rows = following(rows * self.width, "i8")
+        self.common = Keys(bits0, following((1 << bits0) + 1, "u4"), following(n0, "u4"))
+        self.other = Keys(bits1, following((1 << bits1) + 1, "u4"), following(n1, "u4"))
+        self.place = following(n1, f"u{small}")
 
-        self.rows = part(rows * width, "i8").reshape(rows, width)
-        self.common = Keys(bits0, part((1 << bits0) + 1, "u4"), part(n0, "u4"))
-        self.other = Keys(bits1, part((1 << bits1) + 1, "u4"), part(n1, "u4"))
-        self.place = part(n1, f"u{small}")
+    def numbers(self, at: np.ndarray) -> np.ndarray:
+        return self.rows[at.astype(np.int64)[:, None] * self.width + np.arange(self.width)]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the hashes are there, their numbers)."""
         a, _ = self.common.find(hashes)
         b, at = self.other.find(hashes)
-        return np.append(a, b), np.concatenate([np.broadcast_to(self.rows[:1], (len(a), self.rows.shape[1])), self.rows[self.place[at]]])
+        return np.append(a, b), np.concatenate([np.broadcast_to(self.numbers(np.zeros(1)), (len(a), self.width)), self.numbers(self.place[at])])
 
 
 @lru_cache(2048)
 def load(folder: str, name: str) -> Table | None:
-    """A table of the shared folder, memory-mapped; from a store that is no file system, read into memory. None if a shard has none."""
+    """A table of the shared folder: memory-mapped, or read page by page from a store that cannot be. None if a shard has none."""
     fs, path = pafs.FileSystem.from_uri(folder)
     try:
         if isinstance(fs, pafs.LocalFileSystem):
             return Table(np.memmap(f"{path}/{name}", np.uint8, "r"))
-        with fs.open_input_stream(f"{path}/{name}") as f:
-            return Table(np.frombuffer(f.read(), np.uint8))
+        return Table(lambda lo, count, kind: Paged(fs, f"{path}/{name}", lo, count, kind))
     except FileNotFoundError:
         return None
 

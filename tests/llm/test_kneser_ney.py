@@ -165,3 +165,49 @@ def test_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c", "x", "y", 7.0, 3)], "doc_id long, text string, _text string, `a.b` string, score double, n_tokens int")
     got = kn.score(df, kn.fit(df)).first()
     assert got["_text"] == "x" and got["a.b"] == "y" and got.n_tokens == 4 and got.score < 0
+
+
+def test_tables_off_a_local_file_system(spark, monkeypatch):
+    """Pages give what a map gives, to the last number, and a process keeps no more of them than it may."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[min(int(r.expovariate(0.004)), 2999)] for _ in range(200)) for _ in range(300)]
+    model = kn.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    cache = kn.WordHashes()
+    docs = [kn.tokens(t.encode(), cache, 3) for t in texts[:100] + ["never seen " + texts[0][::-1], ""]]
+    kn.load.cache_clear()
+    want = model.probabilities(docs)
+    read = []
+
+    class Store:
+        """A store that has no local files."""
+
+        def __init__(self, fs):
+            self.fs = fs
+
+        def open_input_file(self, path):
+            f = self.fs.open_input_file(path)
+            read.append(path)
+            return f
+
+        def open_input_stream(self, path):
+            raise AssertionError("a table is read whole")
+
+    real = kn.pafs.FileSystem.from_uri
+
+    class Stores:
+        @staticmethod
+        def from_uri(uri):
+            fs, path = real(uri)
+            return Store(fs), path
+
+    monkeypatch.setattr(kn.pafs, "FileSystem", Stores)
+    for page, kept, run in ((64, 640, 3), (4096, 1 << 14, 64)):
+        for name, v in (("PAGE", page), ("KEPT", kept), ("RUN", run), ("PAGES", kn.Pages())):
+            monkeypatch.setattr(kn, name, v)
+        kn.load.cache_clear()
+        got = model.probabilities(docs)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        assert read and len(kn.PAGES.pages) * page <= kept and len(kn.PAGES.files) <= 64
+        assert all(len(p) <= page and p.base is None for p in kn.PAGES.pages.values())
+    kn.load.cache_clear()
