@@ -377,7 +377,7 @@ def load(folder: str, name: str) -> Table | None:
     fs, path = pafs.FileSystem.from_uri(folder)
     try:
         if isinstance(fs, pafs.LocalFileSystem):
-            return Table(np.memmap(f"{path}/{name}", np.uint8, "r"))
+            return Table(np.asarray(np.memmap(f"{path}/{name}", np.uint8, "r")))  # still mapped, but a plain array's indexing is quicker
         return Table(lambda lo, count, kind: Paged(fs, f"{path}/{name}", lo, count, kind))
     except FileNotFoundError:
         return None
@@ -545,6 +545,16 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes in order, where one of each is, which of them each one is). Any will do, so the sort need not be stable."""
+    o = np.argsort(h)
+    ordered = h[o]
+    new = np.append(np.ones(min(len(h), 1), bool), ordered[1:] != ordered[:-1])
+    which = np.empty(len(h), np.int64)
+    which[o] = np.cumsum(new) - 1
+    return ordered[new], o[new], which
+
+
 class Model:
     """Where the tables are, and the few numbers that go with them. Pickled to the workers; holds no table."""
 
@@ -576,10 +586,10 @@ class Model:
     def probabilities(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(probability, training count) of every token of the texts, one after the other."""
         order = self.order
-        last, inv = np.unique(mixed(np.concatenate([d[order - 1 :] for d in docs])), return_inverse=True)
+        last, _, inv = distinct(mixed(np.concatenate([d[order - 1 :] for d in docs])))
         raw = self.lookup("raw", 1, last, None)[:, 0][inv]
         docs = [d >> LESS for d in docs]
-        last, inv = np.unique(mixed(np.concatenate([d[order - 1 :] for d in docs])), return_inverse=True)
+        last, _, inv = distinct(mixed(np.concatenate([d[order - 1 :] for d in docs])))
         p = np.full(len(last), 1 / (self.distinct + 1))
         if self.total:
             c = self.lookup("gram", 1, last, None)[:, 0]
@@ -592,9 +602,9 @@ class Model:
             core = None
             if size:
                 core = np.concatenate([d[inner : len(d) - k + inner + 1] << LESS if size == 1 else window_hashes(d[inner : len(d) - k + inner + size], size) for d in own])
-            h, first, inv = np.unique(np.concatenate([window_hashes(d, k) for d in own]), return_index=True, return_inverse=True)
+            h, first, inv = distinct(np.concatenate([window_hashes(d, k) for d in own]))
             mine = self._less(self.lookup("gram", k, h, core if core is None else core[first])[:, 0], k)[inv]
-            h, first, inv = np.unique(np.concatenate([window_hashes(d[:-1], k - 1) for d in own]), return_index=True, return_inverse=True)
+            h, first, inv = distinct(np.concatenate([window_hashes(d[:-1], k - 1) for d in own]))
             total, n1, n2, n3 = self.lookup("context", k, h, core if core is None else core[first], 4).T
             d = self.discount.get(k, [0, 0, 0])
             rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
