@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..operators import allocation, gazetteer, graphs, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
+from ..operators import allocation, gazetteer, graphs, learning, louvain, pictures, rasters, recurrent, series, spatial, tagging, texts
 from ..sources import files, shared
 from ..sources.tables import sql, table
 from ..streaming import monitor
@@ -105,6 +105,23 @@ def knowledge_labels(spark, d: str) -> DataFrame:
     return graphs.communities(supply_graph(spark, d), 3)
 
 
+def knowledge_levels(spark, d: str) -> DataFrame:
+    """Communities of the supply graph at several levels, for summaries from the finest to the coarsest."""
+    return louvain.louvain(supply_graph(spark, d))
+
+
+#: A supplier's region, and the region that most deliveries of a part come from, for the nodes of the supply graph.
+REGIONS = """
+    SELECT s_suppkey * 2 + 1 AS node, n_regionkey AS label FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey
+    UNION ALL SELECT node, label FROM (SELECT l_partkey * 2 AS node, n_regionkey AS label, row_number() OVER (PARTITION BY l_partkey ORDER BY count(*) DESC, n_regionkey) AS k
+    FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey GROUP BY l_partkey, n_regionkey) t WHERE k = 1"""
+
+
+def supply_regions(spark, d: str) -> DataFrame:
+    """How well the supply graph falls apart into regions."""
+    return louvain.modularity(supply_graph(spark, d), sql(spark, d, REGIONS)).select(F.round("modularity", 9).alias("modularity"))
+
+
 #: Cells along the side of a tile in the queries' small rasters, so that tiles meet there too.
 SIDE = 16
 
@@ -313,6 +330,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, danger_zones, knowledge_communities, knowledge_labels,
+        knowledge_levels, supply_regions,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
         picture_perceptron, picture_network, rain_gauges_model, help_requests, help_locations, csv_roads, props_pairs, trimmed_means, terrain, debris_flow,
     )
@@ -377,6 +395,11 @@ SQL = {
         r1 AS (SELECT src AS node, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM e JOIN r0 ON r0.node = e.dst GROUP BY src, label) t WHERE k = 1),
         r2 AS (SELECT src AS node, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM e JOIN r1 ON r1.node = e.dst GROUP BY src, label) t WHERE k = 1)
         SELECT src AS node, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS k FROM e JOIN r2 ON r2.node = e.dst GROUP BY src, label) t WHERE k = 1""",
+    "supply_regions": f"""
+        WITH g AS (SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem), e AS (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g),
+        r AS ({REGIONS.format(supplier='supplier', nation='nation', lineitem='lineitem')}),
+        c AS (SELECT a.label, count(*) AS tot, count(*) FILTER (WHERE a.label = b.label) AS inn FROM e JOIN r a ON a.node = e.src JOIN r b ON b.node = e.dst GROUP BY a.label)
+        SELECT round(sum(inn) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 9) AS modularity FROM c""",
     "help_requests": f"""
         SELECT c_custkey, {TOWN} AS place, {NEED} AS need, CAST(c_custkey % 90 + 2 AS INTEGER) AS people FROM customer JOIN nation ON n_nationkey = c_nationkey""",
     "help_locations": f"""
