@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..operators import allocation, gazetteer, graphs, learning, louvain, pictures, rasters, recurrent, series, spatial, tagging, texts
+from ..operators import allocation, gazetteer, graphs, learning, louvain, network, pictures, rasters, recurrent, series, spatial, tagging, texts
 from ..sources import files, shared
 from ..sources.tables import sql, table
 from ..streaming import monitor
@@ -187,6 +187,37 @@ def recovery_boosted(spark, d: str) -> DataFrame:
     return error(learning.boosted(learn, INPUTS, "label").transform(learning.assembled(judge, INPUTS)))
 
 
+def price_network(spark, d: str) -> DataFrame:
+    """Classes of price from quantity and unit price, whose product no line follows: held-out rows by class and what is said."""
+    bands = F.when(F.col("l_extendedprice") < 20_000, 0).when(F.col("l_extendedprice") < 50_000, 1).otherwise(2)
+    x = table(spark, d, "lineitem").select("l_quantity", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"), bands.alias("band"))
+    learn, judge = learning.held_out(x)
+    net = network.fit(learn, ["l_quantity", "unit"], ["band"], [10], classes=3)
+    return confusion(judge.withColumn("prediction", F.get(network.predict(net, ["l_quantity", "unit"]), 0).cast("int")), "band")
+
+
+#: Light that haze adds, as a share of each channel's span.
+AIR = 0.9
+
+
+def haze_autoencoder(spark, d: str) -> DataFrame:
+    """Haze of unknown depth taken off five channels by a network with a narrow middle: errors on rows that were held out.
+
+    A row of lineitem is a picture of five channels in 0 to 1; haze mixes all of them with white light, to a share that
+    follows from the row's key.
+    """
+    li = table(spark, d, "lineitem")
+    clear = {"a": F.col("l_quantity") / 50, "b": F.col("l_discount") * 10, "c": F.col("l_tax") * 12.5, "d": F.col("l_extendedprice") / 105_000, "e": F.col("l_quantity") * F.col("l_discount") / 5}
+    t = 0.4 + F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(60)) / 100.0
+    x = li.select(*[c.cast("double").alias(n) for n, c in clear.items()], t.alias("t"))
+    x = x.select(*clear, *[(F.col(n) * F.col("t") + AIR * (1 - F.col("t"))).alias(f"hazed_{n}") for n in clear])
+    learn, judge = learning.held_out(x)
+    seen = [f"hazed_{n}" for n in clear]
+    out = judge.withColumn("out", network.predict(network.fit(learn, seen, list(clear), [16, 4, 16]), seen))
+    off = lambda of: F.avg(sum((F.pow(of(i, n) - F.col(n), 2) for i, n in enumerate(clear)), F.lit(0.0)) / len(clear))
+    return out.agg(F.count("*").alias("n"), off(lambda i, n: F.col(f"hazed_{n}")).alias("hazed"), off(lambda i, n: F.get("out", i)).alias("restored"))
+
+
 def triage_languages(spark, d: str) -> DataFrame:
     x = table(spark, d, "documents").select("text", F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).otherwise(3).cast("double").alias("label"))
     learn, judge = learning.held_out(x)
@@ -330,7 +361,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, danger_zones, knowledge_communities, knowledge_labels,
-        knowledge_levels, supply_regions,
+        knowledge_levels, supply_regions, price_network, haze_autoencoder,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
         picture_perceptron, picture_network, rain_gauges_model, help_requests, help_locations, csv_roads, props_pairs, trimmed_means, terrain, debris_flow,
     )

@@ -11,7 +11,7 @@ from aidlake.sources.tables import NAMES  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
-SLOW = {"picture_network", "network_flags", "recovery_boosted", "triage_languages", "rescue_routes", "relief_allocation", "knowledge_communities", "knowledge_levels"}
+SLOW = {"picture_network", "network_flags", "recovery_boosted", "triage_languages", "rescue_routes", "relief_allocation", "knowledge_communities", "knowledge_levels", "price_network", "haze_autoencoder"}
 
 
 @pytest.fixture(scope="module")
