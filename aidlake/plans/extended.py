@@ -284,6 +284,16 @@ def help_locations(spark, d: str) -> DataFrame:
     return gazetteer.located(posts, places, "c_custkey", "text").select("c_custkey", "place", "lat", "lon", "distance")
 
 
+def sqlite_accounts(spark, d: str) -> DataFrame:
+    """Customers through a SQLite file in the shared folder: written by tasks, read back by ranges, summed by nation."""
+    path = shared.folder(spark, "sqlite").removeprefix("file://").removeprefix("file:")
+    spark.dataSource.register(files.SqliteSource)
+    kept = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    kept.write.format("sqlite").option("path", f"{path}.db").option("table", "customers").mode("append").save()
+    owed = files.sqlite(spark, f"{path}.db", "customers").where("c_acctbal > 0 and c_nationkey <> 7")
+    return owed.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_name").alias("last"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
 def csv_roads(spark, d: str) -> DataFrame:
     """Roads through a CSV folder: written, read with declared columns, summed by where they lead."""
     path = shared.folder(spark, "roads")
@@ -363,7 +373,7 @@ QUERIES = {
         asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, danger_zones, knowledge_communities, knowledge_labels,
         knowledge_levels, supply_regions, price_network, haze_autoencoder,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
-        picture_perceptron, picture_network, rain_gauges_model, help_requests, help_locations, csv_roads, props_pairs, trimmed_means, terrain, debris_flow,
+        picture_perceptron, picture_network, rain_gauges_model, help_requests, help_locations, csv_roads, sqlite_accounts, props_pairs, trimmed_means, terrain, debris_flow,
     )
 } | {
     "stream_tumbling": monitor.run(monitor.tumbling, "complete"),
@@ -431,6 +441,7 @@ SQL = {
         r AS ({REGIONS.format(supplier='supplier', nation='nation', lineitem='lineitem')}),
         c AS (SELECT a.label, count(*) AS tot, count(*) FILTER (WHERE a.label = b.label) AS inn FROM e JOIN r a ON a.node = e.src JOIN r b ON b.node = e.dst GROUP BY a.label)
         SELECT round(sum(inn) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 9) AS modularity FROM c""",
+    "sqlite_accounts": "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, count(*) AS n, max(c_name) AS last, round(sum(CAST(c_acctbal AS DOUBLE)), 2) AS total FROM customer WHERE c_acctbal > 0 AND c_nationkey <> 7 GROUP BY 1",
     "help_requests": f"""
         SELECT c_custkey, {TOWN} AS place, {NEED} AS need, CAST(c_custkey % 90 + 2 AS INTEGER) AS people FROM customer JOIN nation ON n_nationkey = c_nationkey""",
     "help_locations": f"""

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import sqlite3
 import struct
+import time
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import closing
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +19,26 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 GEOJSON = "type string, features array<struct<type string, properties map<string,string>, geometry struct<type string, coordinates string>>>"
 
 
+KINDS = {"INT": "bigint", "INTEGER": "bigint", "BIGINT": "bigint", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "BLOB": "binary"}
+STORED = {"byte": "INTEGER", "short": "INTEGER", "integer": "INTEGER", "long": "INTEGER", "boolean": "INTEGER", "float": "REAL", "double": "REAL", "string": "TEXT", "binary": "BLOB"}
+
+
 class SqliteSource(DataSource):
-    """spark.read.format("sqlite").option("path", file).option("table", name).schema(ddl).load(): split by rowid ranges.
+    """A table of a SQLite file: spark.read.format("sqlite").option("path", file).option("table", name).schema(ddl).load().
 
-    The file must be readable from every executor under the same path.
+    A table is split by ranges of its rowid, or of its primary key's first column where it has no rowid; a view is read by one
+    task. With option pushdown, which needs spark.sql.python.filterPushdown.enabled, filters that SQLite judges
+    as Spark does are judged there; sqlite() sets it. Writing appends or overwrites: each task writes a file of its own beside
+    the target, and the commit moves their rows into the table in one transaction, so that readers see all or none; a
+    file has one writer by its nature. NaN is stored as null, as SQLite has none. The path is one that all machines share.
     """
 
     @classmethod
@@ -30,36 +46,177 @@ class SqliteSource(DataSource):
         return "sqlite"
 
     def schema(self) -> str:
-        kinds = {"INT": "bigint", "INTEGER": "bigint", "BIGINT": "bigint", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "BLOB": "binary"}
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as c:
-            cols = c.execute(f"PRAGMA table_info({_quoted(self.options['table'])})").fetchall()
-        return ", ".join(f"`{n}` {kinds.get((k or '').upper(), 'string')}" for _, n, k, *_ in cols)
+        return ", ".join(f"`{n.replace('`', '``')}` {_kind(k)}" for n, k, _ in _columns(self.options["path"], self.options["table"]))
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return SqliteReader(dict(self.options), schema.names)
+        pushes = self.options.get("pushdown", "false").lower() == "true"
+        return (PushingReader if pushes else SqliteReader)(dict(self.options), schema.names)
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return SqliteWriter(self.options["path"], self.options["table"], schema, overwrite)
+
+
+def sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table or view of a SQLite file; filters go to SQLite where the session allows it."""
+    spark.dataSource.register(SqliteSource)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("sqlite").option("path", path).option("table", table).option("pushdown", pushes).load()
+
+
+def _opened(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
+
+
+def _columns(path: str, table: str) -> list[tuple[str, str, int]]:
+    """(name, declared type, place in the primary key or 0) of a table's columns."""
+    with closing(_opened(path)) as c:
+        return [(n, k or "", key) for _, n, k, _, _, key in c.execute(f"PRAGMA table_info({_quoted(table)})")]
+
+
+def _kind(declared: str) -> str:
+    return KINDS.get(declared.upper(), "string")
 
 
 class Rows(InputPartition):
-    def __init__(self, low: int, high: int):
+    """The rows from low, and under high, by a column; None is no bound."""
+
+    def __init__(self, low, high):
         self.low, self.high = low, high
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
         self.path, self.table, self.names, self.parts = options["path"], options["table"], names, int(options.get("partitions", 4))
+        columns = _columns(self.path, self.table)
+        self.kinds = {n: k.upper() for n, k, _ in columns}
+        with closing(_opened(self.path)) as c:
+            view = c.execute("SELECT 1 FROM sqlite_master WHERE name = ? COLLATE NOCASE AND type = 'view'", (self.table,)).fetchone()
+            try:
+                c.execute(f"SELECT rowid FROM {_quoted(self.table)} LIMIT 0")
+                self.by = "rowid"
+            except sqlite3.OperationalError:  # WITHOUT ROWID
+                self.by = _quoted(next(n for n, _, key in columns if key == 1)) if not view else None
+        if view:
+            self.by = None
+        self.where, self.values = [], []
 
     def partitions(self) -> list[InputPartition]:
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as c:
-            low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
-        if low is None:
-            return [Rows(0, 0)]
-        step = -(-(high - low + 1) // self.parts)
-        return [Rows(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+        if self.by is None:
+            return [Rows(None, None)]
+        with closing(_opened(self.path)) as c:
+            if self.by == "rowid":
+                low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+                step = 0 if low is None else -(-(high - low + 1) // self.parts)
+                cuts = [] if low is None else list(range(low + step, high + 1, step))
+            else:
+                n = c.execute(f"SELECT count(*) FROM {_quoted(self.table)}").fetchone()[0]
+                found = [c.execute(f"SELECT {self.by} FROM {_quoted(self.table)} ORDER BY {self.by} LIMIT 1 OFFSET ?", (n * i // self.parts,)).fetchone() for i in range(1, self.parts)]
+                cuts = list(dict.fromkeys(f[0] for f in found if f))  # in order, each once
+        return [Rows(a, b) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+
+    def statement(self, partition: Rows) -> tuple[str, list]:
+        """What a task asks SQLite."""
+        where, values = list(self.where), list(self.values)
+        for bound, sign in ((partition.low, ">="), (partition.high, "<")):
+            if bound is not None:
+                where.append(f"{self.by} {sign} ?")
+                values.append(bound)
+        cols = ", ".join(map(_quoted, self.names))
+        return f"SELECT {cols} FROM {_quoted(self.table)}" + (" WHERE " + " AND ".join(where) if where else ""), values
 
     def read(self, partition: Rows):
-        cols = ", ".join(map(_quoted, self.names))
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as c:
-            yield from c.execute(f"SELECT {cols} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
+        with closing(_opened(self.path)) as c:
+            yield from c.execute(*self.statement(partition))
+
+
+class PushingReader(SqliteReader):
+    """A reader whose filters are SQLite's; those that it could judge unlike Spark stay with Spark."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            got = self.condition(f)
+            if got is None:
+                yield f
+            else:
+                self.where.append(got[0])
+                self.values += got[1]
+
+    def condition(self, f: Filter) -> tuple[str, list] | None:
+        if isinstance(f, Not):
+            inner = self.condition(f.child)
+            return inner and (f"NOT ({inner[0]})", inner[1])
+        if len(f.attribute) != 1 or f.attribute[0] not in self.kinds:
+            return None
+        name = f.attribute[0]
+        if isinstance(f, (IsNull, IsNotNull)):
+            return f"{_quoted(name)} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL", []
+        signs = {EqualTo: "=", EqualNullSafe: "IS", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        values = list(f.value) if isinstance(f, In) else [getattr(f, "value", None)]
+        if not (type(f) in signs or isinstance(f, In)) or not values or not all(self.alike(name, v) for v in values):
+            return None
+        column = _quoted(name) + (" COLLATE BINARY" if isinstance(values[0], str) else "")
+        return (f"{column} IN ({', '.join('?' * len(values))})" if isinstance(f, In) else f"{column} {signs[type(f)]} ?"), values
+
+    def alike(self, name: str, value) -> bool:
+        """Whether SQLite compares the column with the value as Spark does: of one kind, and no NaN."""
+        declared = self.kinds[name]
+        if isinstance(value, str):
+            return any(t in declared for t in ("CHAR", "CLOB", "TEXT"))
+        if isinstance(value, float):
+            return _kind(declared) == "double" and value == value
+        wanted = {int: "bigint", bytes: "binary"}.get(type(value))
+        return wanted is not None and _kind(declared) == wanted
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class SqliteWriter(DataSourceWriter):
+    def __init__(self, path: str, table: str, schema: StructType, overwrite: bool):
+        for f in schema.fields:
+            if f.dataType.typeName() not in STORED:
+                raise ValueError(f"SQLite has no type for column {f.name}: cast its {f.dataType.simpleString()}")
+        self.path, self.table, self.names, self.overwrite = path, table, schema.names, overwrite
+        self.columns = ", ".join(f"{_quoted(f.name)} {STORED[f.dataType.typeName()]}" for f in schema.fields)
+        self.parts = f"{path}-{uuid.uuid4().hex}"
+        os.makedirs(self.parts)  # by the driver alone, so that a late task of an aborted job does not bring it back
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        path = f"{self.parts}/{uuid.uuid4().hex}.db"
+        marks = ", ".join("?" * len(self.names))
+        with closing(sqlite3.connect(path)) as c, c:
+            c.execute(f"CREATE TABLE part ({self.columns})")
+            c.executemany(f"INSERT INTO part VALUES ({marks})", (tuple(bytes(v) if isinstance(v, bytearray) else v for v in row) for row in iterator))
+        return Written(path)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        names, target = ", ".join(map(_quoted, self.names)), _quoted(self.table)
+        try:
+            with closing(sqlite3.connect(self.path, isolation_level=None)) as c:
+                c.execute("BEGIN IMMEDIATE")
+                if self.overwrite:
+                    c.execute(f"DROP TABLE IF EXISTS {target}")
+                c.execute(f"CREATE TABLE IF NOT EXISTS {target} ({self.columns})")
+                for m in messages:
+                    if m is not None:
+                        with closing(sqlite3.connect(m.path)) as part:
+                            c.executemany(f"INSERT INTO {target} ({names}) VALUES ({', '.join('?' * len(self.names))})", part.execute(f"SELECT {names} FROM part"))
+                c.execute("COMMIT")
+        finally:
+            self.clear()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """Removes the parts, also where a task that is being stopped still adds one."""
+        for _ in range(20):
+            shutil.rmtree(self.parts, ignore_errors=True)
+            if not os.path.exists(self.parts):
+                break
+            time.sleep(0.1)
 
 
 def _quoted(name: str) -> str:
