@@ -382,6 +382,7 @@ QUERIES = {
     "stream_distinct": monitor.run(monitor.distinct, "append"),
     "stream_followed": monitor.run(monitor.followed, "append"),
     "stream_levels": monitor.run(monitor.levels, "update", ["user_id"]),
+    "stream_alerts": monitor.durable(monitor.run(monitor.alerts, "append")),
 }
 
 SQL = {
@@ -481,5 +482,9 @@ SQL = {
             SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, s""",
     "stream_distinct": "SELECT DISTINCT event_id, user_id FROM events",
     "stream_followed": "SELECT p.event_id AS purchase_id, e.event_id AS error_id FROM events p JOIN events e ON p.user_id = e.user_id AND e.ts > p.ts AND e.ts <= p.ts + INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND e.event_type = 'error'",
+    "stream_alerts": """
+        WITH e AS (SELECT *, CASE WHEN value > 250 THEN 1 WHEN value < 50 THEN 0 END AS mark, CASE WHEN ts > lag(ts) OVER w + INTERVAL 24 HOUR THEN 1 ELSE 0 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
+        SELECT user_id, event_id, value FROM (SELECT *, lag(mark) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS before FROM s WHERE mark IS NOT NULL) t WHERE mark = 1 AND coalesce(before, 0) = 0""",
     "stream_levels": "SELECT user_id, count(*) AS seen, max(value) AS top, CAST(count(*) FILTER (WHERE value > 400) AS BIGINT) AS alerts FROM events GROUP BY user_id",
 }

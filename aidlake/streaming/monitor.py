@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -92,5 +93,78 @@ def levels(stream: DataFrame, alert: float = 400.0) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, seen long, top double, alerts long", "seen long, top double, alerts long", "update", GroupStateTimeout.NoTimeout)
 
 
+class Hysteresis(StatefulProcessor):
+    """Alerts of one key: one opens with a value over `high` and closes with one under `low`, or after `quiet` of silence.
+
+    State is whether an alert is open and the time of the last row; it goes by a timer once the watermark has passed `quiet`
+    after that row, so silent keys hold none. Rows of a batch are taken by time, then by id. A row that is older than
+    the last one of its key in an earlier batch comes too late to open or close anything. A null value changes nothing.
+    """
+
+    def __init__(self, high: float, low: float, quiet: int):
+        self.high, self.low, self.quiet = high, low, quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("alert", "open boolean, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        before = self.state.get() if self.state.exists() else None
+        is_open, last = before or (False, None)
+        opened = []
+        for r in pd.concat(rows).sort_values(["ms", "event_id"]).itertuples():
+            if before and r.ms < before[1]:
+                continue
+            if last is not None and r.ms - last > self.quiet:
+                is_open = False
+            last = r.ms
+            if r.value > self.high and not is_open:
+                is_open = True
+                opened.append((key[0], r.event_id, r.value))
+            elif r.value < self.low:
+                is_open = False
+        if last is not None and (before is None or last != before[1]):
+            if before:
+                self.handle.deleteTimer(before[1] + self.quiet + 1)
+            self.handle.registerTimer(last + self.quiet + 1)
+        if last is not None:
+            self.state.update((is_open, last))
+        yield pd.DataFrame(opened, columns=["user_id", "event_id", "value"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame(columns=["user_id", "event_id", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def alerts(stream: DataFrame, high: float = 250.0, low: float = 50.0, quiet: int = 24 * 3_600_000) -> DataFrame:
+    """(user_id, event_id, value): the rows with which an alert of their user opens; quiet is in milliseconds.
+
+    Needs a state store of RocksDB, which durable() sets. Rows without a user or time are no one's; those behind the
+    watermark are left to it.
+    """
+    rows = stream.where("user_id is not null and ts is not null").withColumn("ms", F.unix_millis("ts")).select("user_id", "event_id", "value", "ts", "ms")
+    return rows.groupBy("user_id").transformWithStateInPandas(Hysteresis(high, low, quiet), "user_id long, event_id long, value double", "append", "eventTime")
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def durable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query with state in RocksDB, beyond what the heap holds; the session's own choice is put back."""
+
+    def with_rocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = spark.conf.get(ROCKS[0], None)
+        spark.conf.set(*ROCKS)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+
+    return with_rocks
+
+
 def run(step: Callable[[DataFrame], DataFrame], mode: str, key: list[str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: finished(step(events(spark, sf_dir)), mode, key)
