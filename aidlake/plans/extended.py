@@ -224,34 +224,43 @@ def triage_languages(spark, d: str) -> DataFrame:
     return confusion(learning.triage(learn, "text", "label").transform(judge), "label")
 
 
-def made_pictures(spark) -> tuple[DataFrame, DataFrame]:
-    rows = pictures.features(files.made_pictures(spark, shared.folder(spark, "pictures"), 240))
+def made_pictures(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Features of a picture a supplier: fire by its nation, noise by its balance; (to learn from, to judge by)."""
+    of = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 2).cast("int").alias("fire"), (5 + F.pmod(F.abs("s_acctbal").cast("double"), F.lit(45.0))).alias("noise"))
+    rows = pictures.features(files.made_pictures(spark, shared.folder(spark, "pictures"), of))
     rows = shared.table(rows.select(F.regexp_extract("path", r"(\d+)[.]png$", 1).cast("int").alias("id"), (F.col("label") == "fire").cast("int").alias("fire"), "red_share", "brightness", "contrast"), "features")
     return rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
 
 
 def picture_perceptron(spark, d: str) -> DataFrame:
     """Fire in pictures by three features and the perceptron: held-out pictures by what they show and what is said."""
-    learn, judge = made_pictures(spark)
+    learn, judge = made_pictures(spark, d)
     names = ["red_share", "brightness", "contrast"]
     return confusion(learning.perceptron_predict(judge, names, learning.perceptron(learn, names, "fire", 200)), "fire")
 
 
 def picture_network(spark, d: str) -> DataFrame:
-    learn, judge = made_pictures(spark)
+    learn, judge = made_pictures(spark, d)
     names = ["red_share", "brightness", "contrast"]
     return confusion(learning.mlp(learn, names, "fire").transform(learning.assembled(judge, names)), "fire")
 
 
+def gauges(spark, d: str) -> DataFrame:
+    """Ten users each as a gauge: the mean value of an hour's events as rain, with faults planted by a hash."""
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("int")
+    e = table(spark, d, "events").groupBy(F.floor(F.col("user_id") / 10).cast("int").alias("g"), hour.alias("h")).agg(F.avg("value").alias("v"))
+    return files.gauges(spark, 0, 0, readings=e.select("g", (F.col("h") - 473_000).alias("h"), (F.col("v") / 40).alias("v")))
+
+
 def rain_gauges(spark, d: str) -> DataFrame:
-    g = files.gauges(spark, 20, 24 * 30)
+    g = gauges(spark, d)
     f = series.quality_flags(g, "gauge", "ts", "rain_mm", 0.0, 200.0, 150.0, 12)
     return series.repair(f, "gauge", "ts", "rain_mm").groupBy("fault", "flag").agg(F.count("*").alias("n"), F.round(F.avg("repaired"), 3).alias("mean"))
 
 
 def rain_gauges_model(spark, d: str) -> DataFrame:
     """Faults by what the rules and the forest together say of them."""
-    g = files.gauges(spark, 20, 24 * 30)
+    g = gauges(spark, d)
     f = series.quality_flags(g, "gauge", "ts", "rain_mm", 0.0, 200.0, 150.0, 12)
     return series.model_flags(f, "gauge", "ts", "rain_mm").groupBy("fault", "flag").agg(F.count("*").alias("n"))
 

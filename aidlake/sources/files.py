@@ -272,19 +272,21 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("image.origin").alias("path"), label, "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
-def gauges(spark: SparkSession, stations: int, hours: int, seed: int = 0) -> DataFrame:
-    """(gauge, ts, rain_mm, fault): made-up hourly rain with known faults.
+def gauges(spark: SparkSession, stations: int, hours: int, seed: int = 0, readings: DataFrame | None = None) -> DataFrame:
+    """(gauge, ts, rain_mm, fault): hourly rain with known faults, made up or from readings(g int, h int, v double).
 
     missing: no reading; range: an impossible one; stuck: one reading for a whole day; scaled: twice the rain and more,
     which no rule on single readings can tell from a shower.
     """
-    base = spark.range(stations * hours).select((F.col("id") / hours).cast("int").alias("g"), (F.col("id") % hours).cast("int").alias("h"))
+    base = readings or spark.range(stations * hours).select((F.col("id") / hours).cast("int").alias("g"), (F.col("id") % hours).cast("int").alias("h"))
     r = lambda k, *c: F.pmod(F.xxhash64(F.lit(seed + k), *c), F.lit(10_000)) / 10_000.0
     day = F.floor(F.col("h") / 24)
     one = r(1, "g", "h")
     fault = F.when(one < 0.02, "missing").when(one < 0.03, "range").when(r(5, F.col("g"), day) < 0.04, "stuck").when(one < 0.05, "scaled").otherwise("none")
     at = base.withColumn("fault", fault).withColumn("at", F.when(F.col("fault") == "stuck", day * 24 + 4).otherwise(F.col("h")))
     dry = F.round(F.greatest(F.lit(0.0), 6 * F.sin(F.col("at") / 9.0) + 2 * r(3, "g", "at")), 2)
+    if readings is not None:
+        dry = F.when(F.col("fault") == "stuck", F.round(6 * r(3, F.col("g"), day), 2)).otherwise(F.round("v", 2))
     kind = F.col("fault")
     rain = F.when(kind == "missing", None).when(kind == "range", 900 + 100 * r(2, "g", "h")).when(kind == "scaled", 2 * dry + 12).otherwise(dry)
     return at.select(F.format_string("g%03d", "g").alias("gauge"), (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600)).alias("ts"), rain.alias("rain_mm"), "fault")
@@ -297,20 +299,25 @@ def png(width: int, height: int, rgb: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def made_pictures(spark: SparkSession, folder: str, n: int, size: int = 16, seed: int = 0) -> DataFrame:
-    """n made-up pictures, fire and no_fire in turn, written to a shared folder by the tasks and read as labelled images."""
+def made_pictures(spark: SparkSession, folder: str, of: int | DataFrame, size: int = 16, seed: int = 0) -> DataFrame:
+    """Made-up pictures of fire and no fire, written to a shared folder by the tasks and read as labelled images.
+
+    `of` is a number of them, or rows (id long, fire int, noise double): a picture each, as noisy as its row says.
+    """
+    if isinstance(of, int):
+        of = spark.range(of).select("id", (F.col("id") % 2 == 0).cast("int").alias("fire"), F.lit(None).cast("double").alias("noise"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            for i in b.column("id").to_pylist():
-                r, label = np.random.default_rng([seed, i]), ("fire", "no_fire")[i % 2]
+            for i, fire, noise in zip(*(b.column(c).to_pylist() for c in ("id", "fire", "noise")), strict=True):
+                r, label = np.random.default_rng([seed, i]), ("no_fire", "fire")[fire]
                 base = r.uniform((130, 20, 0), (255, 120, 60)) if label == "fire" else r.uniform((0, 60, 60), (130, 180, 200))
-                pixels = np.clip(base + r.normal(0, r.uniform(5, 50), (size, size, 3)), 0, 255).astype(np.uint8)
+                pixels = np.clip(base + r.normal(0, r.uniform(5, 50) if noise is None else noise, (size, size, 3)), 0, 255).astype(np.uint8)
                 fs.create_dir(f"{path}/{label}", recursive=True)
                 with fs.open_output_stream(f"{path}/{label}/{i}.png") as f:
                     f.write(png(size, size, pixels.tobytes()))
-            yield b
+            yield b.select(["id"])
 
-    spark.range(n).mapInArrow(work, "id long").count()
+    of.select("id", "fire", "noise").mapInArrow(work, "id long").count()
     return images(spark, folder)
