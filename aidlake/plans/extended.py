@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..operators import allocation, gazetteer, graphs, learning, louvain, network, pictures, rasters, recurrent, series, spatial, tagging, texts
+from ..operators import allocation, gazetteer, graphs, learning, linkage, louvain, network, pictures, rasters, recurrent, series, spatial, tagging, texts
 from ..sources import files, shared
 from ..sources.tables import sql, table
 from ..streaming import monitor
@@ -303,6 +303,22 @@ def sqlite_accounts(spark, d: str) -> DataFrame:
     return owed.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_name").alias("last"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
+#: A party's name, street and phone follow from its key; a third of the customers stand in a second source, misspelt.
+PARTY = """SELECT c_custkey AS k, translate(substr(md5(c_name), 1, 12), '0123456789abcdef', 'bakelimonurstdvy') AS name, translate(substr(md5(concat(c_name, 's')), 1, 10), '0123456789abcdef', 'bakelimonurstdvy') AS street,
+    substr(CAST(conv(substr(md5(concat(c_name, 'p')), 1, 12), 16, 10) AS STRING), 1, 9) AS phone FROM {customer}"""
+AGAIN = """SELECT k * 2 + 1 AS id, 'registry' AS source, CASE k % 4 WHEN 0 THEN concat(substr(name, 1, 4), substr(name, 6)) WHEN 1 THEN concat('x', name) WHEN 2 THEN concat(substr(name, 1, 7), 'q', substr(name, 9)) ELSE name END AS name,
+    CASE WHEN k % 5 = 0 THEN NULL ELSE concat(substr(street, 1, 8), 'w') END AS street, CASE WHEN k % 7 = 0 THEN NULL ELSE concat(substr(phone, 1, 8), '0') END AS phone FROM p WHERE k % 3 = 0"""
+
+
+def linked_parties(spark, d: str) -> DataFrame:
+    """Customers found again in a second source without a key: pairs planted, pairs found, and how many of them are right."""
+    parties = sql(spark, d, f"WITH p AS ({PARTY}) SELECT k * 2 AS id, 'desk' AS source, name, street, phone FROM p UNION ALL {AGAIN}")
+    keys = [F.col("name"), F.reverse("name"), F.col("phone")]
+    found = linkage.linked(parties, "id", {"name": 0.5, "street": 0.2, "phone": 0.3}, keys, 0.8, across="source")
+    right = F.count_if((F.col("a") % 2 == 0) & (F.col("b") == F.col("a") + 1))
+    return found.agg(F.count("*").alias("found"), right.alias("right")).crossJoin(parties.agg(F.count_if(F.col("source") == "registry").alias("planted")))  # one row each
+
+
 def csv_roads(spark, d: str) -> DataFrame:
     """Roads through a CSV folder: written, read with declared columns, summed by where they lead."""
     path = shared.folder(spark, "roads")
@@ -380,7 +396,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_last_purchase, percentiles, mad_outliers, sensor_quality, sensor_repair, forecast_features, tfidf, embedding_dot, embedding_topk, haversine_pairs, warning_bands, rescue_routes, danger_zones, knowledge_communities, knowledge_labels,
-        knowledge_levels, supply_regions, price_network, haze_autoencoder,
+        knowledge_levels, supply_regions, price_network, haze_autoencoder, linked_parties,
         raster_overlay, relief_allocation, perceptron_flags, network_flags, recovery_forest, recovery_boosted, triage_languages, rain_gauges, water_level_networks, approx_distinct, sample,
         picture_perceptron, picture_network, rain_gauges_model, help_requests, help_locations, csv_roads, sqlite_accounts, props_pairs, trimmed_means, terrain, debris_flow,
     )
