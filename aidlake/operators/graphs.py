@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from heapq import heapify, heappop, heappush
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.geo import dot
 from ..sources.shared import drop, folder, table
 
 
-#: Width of a cost bucket in mean edge costs, where none is given.
-WIDTH = 16.0
+#: Edges that a task settles by itself in the search for routes.
+BLOCK = 500_000
 
 
 class Bucketed:
@@ -37,53 +41,108 @@ class Bucketed:
         return rows
 
 
+def _settle(limit: float):
+    """For a block of edges and the known costs of its nodes: the nodes that become cheaper by paths inside it.
+
+    A heap settles what the fresh nodes (go) reach over the block's edges, as far as costs under the limit. A node stays
+    fresh if it has edges elsewhere too, or is dearer than the limit.
+    """
+
+    def work(edges: pa.Table, nodes: pa.Table) -> pa.Table:
+        ends, n = edges.num_rows, nodes.num_rows
+        ids = pa.chunked_array([*edges["src"].chunks, *edges["dst"].chunks, *nodes["node"].chunks], edges["src"].type).combine_chunks().dictionary_encode()
+        at = ids.indices.to_numpy()
+        src, dst, known = at[:ends], at[ends : 2 * ends], at[2 * ends :]
+        many = len(ids.dictionary)
+        order = np.argsort(src, kind="stable")
+        first = np.searchsorted(src[order], np.arange(many + 1)).tolist()
+        to, w = dst[order].tolist(), edges["w"].to_numpy()[order].tolist()
+        home = np.full(many, edges["block"][0].as_py() if ends else -1)
+        home[dst] = edges["to"].to_numpy()
+        cost = np.full(many, np.inf)
+        cost[known] = nodes["cost"].to_numpy()
+        go = nodes["go"].to_numpy(zero_copy_only=False)
+        cost, previous = cost.tolist(), [-1] * many
+        heap = [(cost[i], i) for i in known[go].tolist()]
+        heapify(heap)
+        while heap:
+            c, i = heappop(heap)
+            if c > cost[i]:
+                continue
+            for e in range(first[i], first[i + 1]):
+                j, d = to[e], c + w[e]
+                if d < cost[j]:
+                    cost[j], previous[j] = d, i
+                    if d < limit and first[j] < first[j + 1]:
+                        heappush(heap, (d, j))
+        got = np.array([i for i in range(many) if previous[i] >= 0], int)
+        cost, here = np.array(cost)[got], edges["block"][0].as_py() if ends else -1
+        fresh = (home[got] != -1) & ~((home[got] == here) & (cost < limit))
+        name = ids.dictionary.take
+        return pa.table({"node": name(pa.array(got)), "cost": cost, "previous": name(pa.array(np.array(previous, int)[got])), "fresh": fresh})
+
+    return work
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, risk_weight: float = 1.0, blocked: float = 1.0, max_rounds: int | None = None, delta: float | None = None, trace: list | None = None) -> DataFrame:
-    """(node, cost, previous): cheapest routes from the sources over edges(src, dst, length, risk), by delta-stepping.
-
-    An edge costs length * (1 + risk_weight * risk); edges with risk >= blocked are closed. Nodes are settled in buckets of
-    `delta` of cost: the light edges (delta at most) of a bucket's nodes are relaxed until it no longer changes, then their
-    heavy ones once. Only the open nodes that improved move; edges and settled nodes stay in bucketed tables and are met
-    there. Of routes of equal cost one is named. Negative costs are refused, as a circle of them has no cheapest route; it
-    ends with an error after max_rounds if they are given. trace, if given, gets (bucket's limit, open rows, rows moved) of
-    each round.
+    """(node, cost, previous): cheapest routes from the sources over edges(src, dst, length, risk), block by block.
+
+    An edge costs length * (1 + risk_weight * risk); edges with risk >= blocked are closed. Edges are cut by their near
+    ends' order into blocks of about BLOCK, also within a node. A round settles each block that has fresh nodes by itself and
+    sends what became cheaper to the blocks where it has edges; it ends when nothing is fresh. So there are as many rounds
+    as a route changes blocks, which is less the more neighbours stand near each other in the ids' order, and never more than
+    a route has edges. With `delta` nodes settle in buckets of so much cost, and the settled are set aside.
+
+    Of routes of equal cost one is named. Negative costs are refused, as a circle of them has no cheapest route. It ends with
+    an error after max_rounds if they are given. trace, if given, gets (bucket's limit, open rows, rows that became cheaper)
+    of each round.
     """
     spark, kind = edges.sparkSession, sources.schema["node"].dataType
     cost = edges.where(F.col("risk") < blocked).groupBy("src", "dst").agg(F.min(F.col("length") * (1 + risk_weight * F.col("risk"))).alias("w"))
-    known, settled = Bucketed(spark, "src", "edges"), Bucketed(spark, "node", "settled")
-    known.append(cost.where("src <> dst and w is not null"))
-    least, mean = known.read().agg(F.min("w"), F.avg("w")).first()
+    costs = table(cost.where("src <> dst and w is not null").select(F.col("src").cast(kind), F.col("dst").cast(kind), "w"), "costs")
+    least, n = costs.agg(F.min("w"), F.count("*")).first()
     if least is not None and least < 0:
         raise ValueError("an edge has a negative cost")
-    delta = delta or WIDTH * (mean or 0.0) or 1.0
+    cut = table(costs.repartitionByRange(max(1, -(-n // BLOCK)), "src", "dst").withColumn("block", F.spark_partition_id()), "cut")
+    drop(costs)
+    homes = table(cut.select(F.col("src").alias("node"), "block").distinct(), "homes")
+    to = homes.groupBy("node").agg(F.when(F.count("*") == 1, F.min("block")).otherwise(-2).alias("to")).withColumnRenamed("node", "dst")
+    known = Bucketed(spark, "block", "edges")
+    known.append(cut.join(to, "dst", "left").select("block", "src", "dst", "w", F.coalesce("to", F.lit(-1)).alias("to")))
+    drop(cut)
     start = sources.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("fresh")).distinct()
+    settled = Bucketed(spark, "node", "settled")
     settled.append(start.drop("fresh").limit(0))
+    schema = StructType([StructField("node", kind), StructField("cost", DoubleType()), StructField("previous", kind), StructField("fresh", BooleanType())])
     open_, rounds = table(start, "routes"), 0
-
-    def relaxed(of: DataFrame, edge: Column, rest: DataFrame) -> DataFrame:
-        """rest and what the edges of `of` lead to, the settled aside; fresh where a node is new or cheaper."""
-        step = of.select("node", "cost").join(known.read().where(edge), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("previous"))
-        step = step.groupBy("node").agg(F.min(F.struct("cost", "previous")).alias("m")).select("node", "m.*").join(settled.read().select("node"), "node", "left_anti")
-        both = rest.unionByName(step.withColumn("fresh", F.lit(True)))
-        # At equal cost the old entry wins, as false comes before true.
-        return table(both.groupBy("node").agg(F.min(F.struct("cost", "fresh", "previous")).alias("m")).select("node", "m.cost", "m.previous", "m.fresh"), "routes")
-
-    limit = delta
+    limit = delta = delta or float("inf")
     while True:
-        now = open_.agg(F.min("cost").alias("least"), F.count("*").alias("n"), F.count(F.when(F.col("fresh") & (F.col("cost") < limit), 1)).alias("moved")).first()
+        inside = F.col("cost") < limit
+        now = open_.agg(F.min("cost").alias("least"), F.count("*").alias("n"), F.count(F.when(F.col("fresh") & inside, 1)).alias("fresh")).first()
         if not now.n:
+            known.closed()
             return settled.closed()
         rounds += 1
         if max_rounds and rounds > max_rounds:
             raise ValueError("no end after max_rounds")
-        before, inside = open_, F.col("cost") < limit
-        if now.moved:
+        before = open_
+        if now.fresh:
+            blocks = [r.block for r in before.where("fresh").where(inside).join(homes, "node").select("block").distinct().collect()]  # a number for BLOCK edges at most
+            in_, of = F.col("block").isin(blocks), ["block", "node", "cost", "go"]
+            there = before.withColumn("go", F.col("fresh") & inside).join(homes.where(in_), "node").select(*of)
+            moved = known.read().where(in_).groupBy("block").cogroup(there.groupBy("block")).applyInArrow(_settle(limit), schema)
+            if delta < float("inf"):
+                moved = moved.join(settled.read().select("node"), "node", "left_anti")
+            moved = table(moved, "moved")
             if trace is not None:
-                trace.append((limit, now.n, now.moved))
-            open_ = relaxed(before.where("fresh").where(inside), F.col("w") <= delta, before.withColumn("fresh", F.col("fresh") & ~inside))
+                trace.append((limit, now.n, moved.count()))
+            both = before.withColumn("fresh", F.col("fresh") & ~inside).unionByName(moved)
+            # At equal cost the old entry wins, as false comes before true.
+            open_ = table(both.groupBy("node").agg(F.min(F.struct("cost", "fresh", "previous")).alias("m")).select("node", "m.cost", "m.previous", "m.fresh"), "routes")
+            drop(moved)
         elif now.least < limit:
-            done = before.where(inside)
-            settled.append(done.drop("fresh"))
-            open_ = relaxed(done, F.col("w") > delta, before.where(~inside))
+            settled.append(before.where(inside).drop("fresh"))
+            open_ = table(before.where(~inside), "routes")
         else:
             limit = (now.least // delta + 1) * delta
             limit = limit if limit > now.least else float("inf")  # a width beneath the numbers' precision

@@ -45,6 +45,25 @@ def test_shortest_paths_against_a_heap(spark):
     assert all(g.previous is None or cost[g.previous] < g.cost for g in got)
 
 
+def test_routes_cross_blocks_in_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "BLOCK", 100)  # a ring of 400 nodes in eight blocks, and a hub whose edges lie in several
+    edges = [(f"n{i:03}", f"n{(i + s) % 400:03}", float(s + i % 3), 0.0) for i in range(400) for s in (1, 3)] + [("n007", f"z{i:03}", 5.0, 0.0) for i in range(250)]
+    edges += [(f"z{i:03}", "n200", 3.0, 0.0) for i in range(0, 250, 9)]
+    best, todo, out = {}, [(0.0, "n000")], {}
+    for a, b, w, _ in edges:
+        out.setdefault(a, []).append((b, w))
+    while todo:
+        c, n = heapq.heappop(todo)
+        if n not in best:
+            best[n] = c
+            for b, w in out.get(n, ()):
+                heapq.heappush(todo, (c + w, b))
+    trace = []
+    got = graphs.shortest_paths(spark.createDataFrame(edges, "src string, dst string, length double, risk double"), spark.createDataFrame([("n000",)], "node string"), trace=trace).collect()
+    assert {g.node: g.cost for g in got} == best and len(trace) <= 20, len(trace)  # routes have up to 130 edges
+    assert all(g.previous is None or any(b == g.node and best[g.previous] + w == g.cost for b, w in out[g.previous]) for g in got)
+
+
 def test_communities_of_two_cliques(spark):
     edges = [(a, b) for g in (range(5), range(10, 15)) for a in g for b in g if a < b] + [(4, 10)]
     got = {r.node: r.label for r in graphs.communities(spark.createDataFrame(edges, "src long, dst long"), 6).collect()}
