@@ -77,16 +77,21 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y
     Shapes are arrays of rings of [lon, lat], outer ones and holes alike: in is what an odd number of rings surround, and a
     border, that of a hole too, is in. Edges are straight in degrees; shapes across the 180th meridian have to be cut
     there, and those beyond the degrees' range are left out, as are points with null coordinates. Points and cells meet by
-    equality, a point once for each level that polygons have; only points in cells with a border are tested. A point or
-    polygon without a partner gives no row. Repeated rows stay. Cells with many points are split by Spark's skew join.
+    equality, a place once for each level that polygons have; only places in cells with a border are tested. Points at one
+    place are tested once, and so are polygons of one shape; their rows meet by joins on places and shapes, which Spark
+    splits where they are skewed. A point or polygon without a partner gives no row. Repeated rows stay.
     """
-    cells = table(covered(polygons, id_col, rings_col), "cells")
+    named = polygons.select(F.col(id_col).alias("id"), F.col(rings_col).alias("rings"))
+    shapes = table(named.select("rings").distinct().select(F.monotonically_increasing_id().alias("shape"), "rings"), "shapes")
+    cells = table(covered(shapes, "shape", "rings"), "cells")
     levels = sorted(r.level for r in cells.select("level").distinct().collect())  # LEVELS + 1 at most
     if not levels:
         return points.crossJoin(polygons.select(id_col)).limit(0)
     row = F.struct(*[F.col(f"`{c}`") for c in points.columns])
-    p = points.select(row.alias("row"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x between -180 and 180 and y between -90 and 90")
-    p = p.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels])))
+    at = points.select(row.alias("row"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x between -180 and 180 and y between -90 and 90")
+    p = table(at.select("x", "y").distinct(), "places").withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels])))
     p = p.select("*", place(F.col("x"), -180, 360, F.col("level")).alias("i"), place(F.col("y"), -90, 180, F.col("level")).alias("j"))
-    found = p.join(cells, ["level", "i", "j"]).where(F.col("sure") | within(F.col("edges"), F.col("x"), F.col("y")))
-    return found.select("row.*", F.col("id").alias(id_col))
+    found = p.join(cells, ["level", "i", "j"]).where(F.col("sure") | within(F.col("edges"), F.col("x"), F.col("y"))).select("x", "y", F.col("id").alias("shape"))
+    of = table(named.join(shapes, "rings").select("shape", "id"), "members")
+    found = table(found.join(of, "shape").select("x", "y", "id"), "found")
+    return at.join(found, ["x", "y"]).select("row.*", F.col("id").alias(id_col))

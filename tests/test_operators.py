@@ -395,6 +395,23 @@ def test_polygons_of_geojson_text(spark):
     assert sorted((p.i, p.polygon) for p in spatial.points_in_polygons(points, shapes).collect()) == [(0, 1), (0, 2), (2, 1), (2, 2), (3, 2)]
 
 
+def test_places_and_shapes_that_recur_are_tested_once(spark, monkeypatch):
+    square = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 2.0]]]
+    polygons = spark.createDataFrame([(i if i else None, square) for i in range(40)], "polygon int, rings array<array<array<double>>>")
+    points = spark.range(600).select("id", (F.col("id") % 3).cast("double").alias("lon"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(3.0).alias("lat"))
+    written, rows = spatial.table, {}
+
+    def counted(df, name):
+        t = written(df, name)
+        rows[name] = t.count()
+        return t
+
+    monkeypatch.setattr(spatial, "table", counted)
+    got = spatial.points_in_polygons(points, polygons)
+    assert got.count() == 600 * 40 and got.where("polygon is null").count() == 600
+    assert rows["places"] == 6 and rows["shapes"] == 1 and rows["cells"] <= spatial.SIDE**2
+
+
 def test_misspelt_places_against_all_pairs(spark):
     r, letters = random.Random(9), "abc"
 
