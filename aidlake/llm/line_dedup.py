@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_name, written
 
@@ -53,21 +54,46 @@ def bands(lines: DataFrame, depth: int) -> DataFrame:
     return but_one.unionByName(some).select(F.xxhash64("leaf", "kind", "band", "x").alias("bucket"), "leaf", "key")
 
 
-def templates(lines: DataFrame, depth: int) -> DataFrame:
+def templates(lines: DataFrame, depth: int, trace: list | None = None) -> DataFrame:
     """(leaf, key, seed): the templates of each leaf, named by their seed line, with the lines that belong to them.
 
     Each bucket of lines that agree in a band has three seeds: the line most often there and two by a hash. A line
-    that differs from a seed in `fields` places at most is of its template; those places are its variable fields.
+    that differs from a seed in `fields` places at most is of its template; those places are its variable fields. Lines
+    of a bucket that are of no seed's template there give the next seeds, twice as many a round, which are held against
+    the whole bucket too, until each line of a bucket is a seed or of a seed's template. So of two lines that agree, each is
+    in a template. trace, if given, gets the number of (bucket, line) without a template after each round.
     """
     members = written(bands(lines, depth).join(lines.select("leaf", "key", "n"), ["leaf", "key"]), "bands")
     by = lambda k: F.min_by("key", F.xxhash64(F.lit(k), "bucket", "key"))
     seeds = members.groupBy("bucket").agg(F.count("*").alias("size"), F.max(F.struct("n", "key"))["key"].alias("a"), by(1).alias("b"), by(2).alias("c")).where("size > 1")
-    seeds = written(seeds.select("bucket", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("seed")), "seeds")
-    pairs = written(members.join(seeds, "bucket").where("key <> seed").select("leaf", "key", "seed").distinct(), "seed-pairs")
+    seeds = seeds.withColumn("seed", F.array_distinct(F.array("a", "b", "c")))
+    seeds = written(seeds.select("bucket", (F.col("size") > F.size("seed")).alias("more"), F.explode("seed").alias("seed")), "seeds")
     side = lines.select("leaf", F.col("key").alias("seed"), F.col("tokens").alias("other"))
-    both = pairs.join(lines.select("leaf", "key", "fields", "tokens"), ["leaf", "key"]).join(side, ["leaf", "seed"])
     differ = F.size(F.filter(F.zip_with("tokens", "other", lambda a, b: a != b), lambda x: x))
-    found = written(both.where(differ <= F.col("fields")).select("leaf", "key", "seed"), "members")
+
+    def alike(of: DataFrame, seeds: DataFrame) -> DataFrame:
+        pairs = written(of.join(seeds, "bucket").where("key <> seed").select("leaf", "key", "seed").distinct(), "seed-pairs")
+        both = pairs.join(lines.select("leaf", "key", "fields", "tokens"), ["leaf", "key"]).join(side, ["leaf", "seed"])
+        return written(both.where(differ <= F.col("fields")).select("leaf", "key", "seed"), "members")
+
+    found = new = alike(members, seeds)
+    wide = left = written(members.join(seeds.where("more").select("bucket").distinct(), "bucket", "left_semi").select("bucket", "leaf", "key"), "wide")
+    many = 3
+    while True:
+        met = left.join(seeds.select("bucket", "seed"), "bucket")
+        of_one = met.where("key = seed").select("bucket", "key").unionByName(met.join(new, ["leaf", "key", "seed"], "left_semi").select("bucket", "key"))
+        left = written(left.join(of_one.distinct(), ["bucket", "key"], "left_anti"), "left")
+        n = left.count()
+        if trace is not None:
+            trace.append(n)
+        if not n:
+            break
+        many *= 2
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "key"), "key"))
+        seeds = written(left.withColumn("place", place).where(F.col("place") <= many).select("bucket", F.col("key").alias("seed")), "seeds")
+        new = alike(wide, seeds)
+        found = found.unionByName(new)
+    found = found.distinct() if many > 3 else found
     return found.unionByName(found.select("leaf", F.col("seed").alias("key"), "seed").distinct())
 
 

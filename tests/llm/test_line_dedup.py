@@ -121,6 +121,18 @@ def test_recall_of_planted_templates(spark):
     assert 0.9 * planted <= sum(g.n_dropped for g in got) <= planted
 
 
+def test_lines_of_a_bucket_that_agree_with_none_of_its_first_seeds(spark):
+    """Forty pairs that meet only in buckets which all eighty lines share: a pair differs in both bands that are its own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda g, c: f"{letters[g % 26]}{letters[g // 26]}{c}"
+    rows = []
+    for g in range(40):
+        for side in "xy":
+            rows.append((len(rows), f"please see the common words of {own(g, side)} then {own(g, side * 2)} {own(g, 'end')}", None, None, None))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i % 2 for i in range(80)}
+
+
 def test_very_many_lines_in_one_text(spark):
     text = "\n".join(f"line {'abcdefgh'[i % 8] * (1 + i // 8)}" for i in range(16_000))
     rows = [(0, text, None, None, None), (1, text + "\nown", None, None, None)]
