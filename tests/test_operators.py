@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aidlake.functions import geo
+from aidlake.plans import catalog
 from aidlake.operators import allocation, gazetteer, graphs, inference, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
 from aidlake.sources import files
 from aidlake.streaming import monitor
@@ -504,3 +505,9 @@ def test_grid_file_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     want = {("a", r, c): float(v) for r, line in enumerate(rows) for c, v in enumerate(line) if v != -9999}
     assert got == want | {("b", 0, 0): 1.0, ("b", 0, 1): -9999.0}
+
+
+def test_one_sketch_a_task(spark):
+    plan = catalog.QUERIES["approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Aggregate(keys=[l_partkey" in line]
+    assert keyed and not any("approx_count_distinct" in line for line in keyed)
