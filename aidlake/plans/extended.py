@@ -285,10 +285,14 @@ SPELT = """CASE c_custkey % 5 WHEN 0 THEN town WHEN 1 THEN concat(substr(town, 1
 PLEA = """CASE c_custkey % 3 WHEN 0 THEN concat('We are cut off in ', name, ', send boats!') WHEN 1 THEN concat(name, ': no water since noon') ELSE concat('my aunt (', name, ' bridge) needs medicine') END"""
 PLEAS = f"SELECT c_custkey, {PLEA} AS text FROM (SELECT c_custkey, {SPELT} AS name FROM (SELECT c_custkey, {NAMED} AS town FROM {{c}} JOIN {{s}} ON s_nationkey = c_nationkey AND s_suppkey % 7 = c_custkey % 7) a) b"
 
+#: A plea follows from its customer's nation and key modulo 3, 5 and 7: a stand-in key, by which each kind of customer is worded once.
+KIND = "c_custkey % 105 + 105L * c_nationkey * CASE WHEN c_custkey < 0 THEN -1 ELSE 1 END"
+
 
 def help_locations(spark, d: str) -> DataFrame:
     """Where posts come from that name a supplier's town, often misspelt."""
-    posts = sql(spark, d, PLEAS.format(c="{customer}", s="{supplier}")).groupBy("c_custkey").agg(F.min("text").alias("text"))
+    worded = sql(spark, d, PLEAS.format(c=f"(SELECT DISTINCT {KIND} AS c_custkey, c_nationkey FROM {{customer}})", s="{supplier}")).groupBy("c_custkey").agg(F.min("text").alias("text"))
+    posts = table(spark, d, "customer").select("c_custkey", F.expr(KIND).alias("kind")).join(worded.withColumnRenamed("c_custkey", "kind"), "kind").groupBy("c_custkey").agg(F.min("text").alias("text"))
     places = sql(spark, d, f"SELECT {NAMED} AS place, s_suppkey % 180 - 90.0D AS lat, s_suppkey * 7 % 360 - 180.0D AS lon FROM {{supplier}}")
     return gazetteer.located(posts, places, "c_custkey", "text").select("c_custkey", "place", "lat", "lon", "distance")
 

@@ -511,3 +511,20 @@ def test_one_sketch_a_task(spark):
     plan = catalog.QUERIES["approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     keyed = [line for line in plan.splitlines() if "Aggregate(keys=[l_partkey" in line]
     assert keyed and not any("approx_count_distinct" in line for line in keyed)
+
+
+def test_each_kind_of_customer_is_worded_once(spark, tmp_path):
+    """The pleas of customers that repeat one kind, against the wording of every customer; the wording meets a kind's towns, not a customer's."""
+    from aidlake.plans import extended
+
+    spark.range(20).selectExpr("id AS s_suppkey", "concat('Supplier', id) AS s_name", "CAST(id % 2 AS INT) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1, 2101).selectExpr("id AS c_custkey", "CAST(id % 2 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found, seen = gazetteer.located, []
+    try:
+        gazetteer.located = lambda posts, *a: seen.append(posts) or found(posts, *a)
+        extended.help_locations(spark, str(tmp_path))
+    finally:
+        gazetteer.located = found
+    want = extended.sql(spark, str(tmp_path), extended.PLEAS.format(c="{customer}", s="{supplier}")).groupBy("c_custkey").agg(F.min("text").alias("text"))
+    assert sorted(seen[0].collect()) == sorted(want.collect())
+    assert "% 105" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
