@@ -528,3 +528,14 @@ def test_each_kind_of_customer_is_worded_once(spark, tmp_path):
     want = extended.sql(spark, str(tmp_path), extended.PLEAS.format(c="{customer}", s="{supplier}")).groupBy("c_custkey").agg(F.min("text").alias("text"))
     assert sorted(seen[0].collect()) == sorted(want.collect())
     assert "% 105" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    posts = spark.range(95).selectExpr("id", "'Please send water to Nokville' AS text").coalesce(1)
+    monkeypatch.setattr(tagging, "TASK", 10)
+    got = tagging.help_spans(posts)
+    assert got.rdd.getNumPartitions() == 10 and got.count() == 95
+    rows, seen, fit = spark.range(95).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS y").coalesce(1), [], learning.GBTRegressor.fit
+    monkeypatch.setattr(learning, "TASK", 10)
+    monkeypatch.setattr(learning.GBTRegressor, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    assert learning.boosted(rows, ["x"], "y").getNumTrees == 15 and seen == [10]
