@@ -9,6 +9,9 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a task of boosting holds.
+TASK = 500_000
+
 
 def held_out(df: DataFrame, parts: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows to learn from, rows to judge by): one in `parts` by a hash of all columns, so copies never stand on both sides."""
@@ -52,7 +55,10 @@ def forest(df: DataFrame, features: list[str], label: str, seed: int = 0):
 
 
 def boosted(df: DataFrame, features: list[str], label: str, seed: int = 0):
-    return GBTRegressor(labelCol=label, maxIter=15, maxDepth=4, seed=seed).fit(assembled(df, features))
+    """Boosted trees; rows are dealt out by a hash to tasks of about TASK, which hold them in memory from tree to tree."""
+    rows = df.select(*features, label)
+    rows = rows.repartition(max(1, -(-rows.count() // TASK)), *rows.columns)
+    return GBTRegressor(labelCol=label, maxIter=15, maxDepth=4, seed=seed).fit(assembled(rows, features))
 
 
 def triage(df: DataFrame, text: str, label: str):
