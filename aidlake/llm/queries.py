@@ -19,9 +19,9 @@ def mixing_targets(spark, sf_dir: str) -> DataFrame:
 
 
 def word_scores(spark, sf_dir: str) -> DataFrame:
-    """Counts and the base score of op10's operator, learnt from all documents."""
+    """Counts and the base score of op10's operator, learnt from all documents; these are of single words, so pairs of words are the least it can learn."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return kneser_ney.score(docs, kneser_ney.fit(docs)).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+    return kneser_ney.score(docs, kneser_ney.fit(docs, order=2)).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
 def pieces_round_trip(spark, sf_dir: str) -> DataFrame:

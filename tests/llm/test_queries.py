@@ -26,3 +26,12 @@ def test_same_rows(spark, name):
     assert sorted(df.columns) == sorted(names)
     got = df.select(*names).collect()
     assert got and rows(got) == rows(want.fetchall())
+
+
+def test_word_scores_learn_no_more_than_pairs(spark, monkeypatch):
+    from aidlake.llm import kneser_ney
+
+    seen, fit = [], kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda df, *a, **k: seen.append(fit(df, *a, **k)) or seen[-1])
+    assert queries.QUERIES["word_scores"](spark, "/root/testdata/sf0.001").count() == 200
+    assert seen[0].order == 2
