@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +27,27 @@ SPACE = "▁"
 LITERAL = "\udc00"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Chunks remembered by a worker, and the longest of them.
-REMEMBERED, SHORT = 300_000, 64
+REMEMBERED, SHORT = 500_000, 64
 #: What a character outside all pieces costs below the lowest score, as the library has it.
 UNKNOWN = 10.0
 
 
+class _Known(dict):
+    """The ids of chunks as bytes, remembered up to a bound."""
+
+    def __init__(self, find: Callable[[str], array]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.find(chunk).tobytes()
+        if len(chunk) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Pieces:
     """The pieces of a model file, their scores and the automaton.
 
@@ -63,38 +80,50 @@ class Pieces:
         for i, p, s in normal:
             self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
-        self.known: dict[str, array] = {}
+        self.known = _Known(self.viterbi)
+        self.table: pa.Array | None = None
 
     def viterbi(self, s: str) -> array:
         """The best path through s in one pass: at each position the automaton's output links name the pieces that
         end there, and each relaxes the position's best score from where it begins."""
-        n, single = len(s), self.single
-        best, back, piece = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
-        odd = [] if single.issuperset(s) else [k for k, c in enumerate(s) if c not in single]
-        done = 0  # odd characters that have been passed; each is a step of its own
-        for last, (length, score, i) in self.automaton.iter(s):
-            while done < len(odd) and odd[done] <= last:
-                self._pass(best, back, piece, odd[done])
-                done += 1
-            at = last + 1 - length
-            new = best[at] + score
-            if new > best[last + 1]:
-                best[last + 1], back[last + 1], piece[last + 1] = new, at, i
-        for k in odd[done:]:
-            self._pass(best, back, piece, k)
+        n = len(s)
+        best, step = [-math.inf] * n + [0.0], [None] * n  # by the position's last character; the start is the entry at -1
+        if self.single.issuperset(s):
+            for last, piece in self.automaton.iter(s):
+                length, score, _ = piece
+                new = best[last - length] + score
+                if new > best[last]:
+                    best[last], step[last] = new, piece
+        else:
+            self._with_odd(s, best, step)
         out, at = [], n
         while at:
-            if piece[at] >= 0:
-                out.append(piece[at])
+            piece = step[at - 1]
+            if piece:
+                out.append(piece[2])
+                at -= piece[0]
             else:
-                c = s[back[at] : at]
-                out.extend(self.bytes_at[b] for b in reversed((SPACE if c == LITERAL else c).encode()))
-            at = back[at]
+                at -= 1
+                out.extend(self.bytes_at[b] for b in reversed((SPACE if s[at] == LITERAL else s[at]).encode()))
         return array("i", reversed(out))
 
-    def _pass(self, best: list, back: list, piece: list, k: int) -> None:
-        if best[k] + self.unknown > best[k + 1]:
-            best[k + 1], back[k + 1], piece[k + 1] = best[k] + self.unknown, k, -1
+    def _with_odd(self, s: str, best: list, step: list) -> None:
+        """The pass of viterbi() where characters are outside all pieces; each is a step of its own, named None."""
+        odd, done = [k for k, c in enumerate(s) if c not in self.single], 0
+        for last, piece in self.automaton.iter(s):
+            while done < len(odd) and odd[done] <= last:
+                self._pass(best, step, odd[done])
+                done += 1
+            length, score, _ = piece
+            new = best[last - length] + score
+            if new > best[last]:
+                best[last], step[last] = new, piece
+        for k in odd[done:]:
+            self._pass(best, step, k)
+
+    def _pass(self, best: list, step: list, k: int) -> None:
+        if best[k - 1] + self.unknown > best[k]:
+            best[k], step[k] = best[k - 1] + self.unknown, None
 
     def encode(self, text: str, out: array) -> None:
         """Appends the ids of a text; an empty one has none."""
@@ -104,16 +133,7 @@ class Pieces:
         if not self.by_chunk:
             out.extend(self.viterbi(s))
             return
-        known = self.known
-        for c in CHUNK.findall(s):
-            ids = known.get(c)
-            if ids is None:
-                ids = self.viterbi(c)
-                if len(c) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[c] = ids
-            out.extend(ids)
+        out.frombytes(b"".join(map(self.known.__getitem__, CHUNK.findall(s))))
 
     def decode(self, ids: list[int]) -> bytes:
         """The UTF-8 bytes of the text; ids outside the vocabulary raise KeyError."""
@@ -121,6 +141,27 @@ class Pieces:
         return b[1:] if self.prefix and b[:1] == b" " else b
 
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """decode() of a column of ids, as strings; null for null."""
+        if self.table is None:
+            self.table = pa.array([self.text.get(i) for i in range(max(self.text) + 1)], pa.large_binary())
+        flat = lists.flatten()
+        if len(flat) and (flat.null_count or not 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(self.table)):
+            raise KeyError("an id outside the vocabulary")
+        found = self.table.take(flat)
+        if found.null_count:
+            raise KeyError("an id outside the vocabulary")
+        ends = np.append(0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy()))
+        at = np.frombuffer(found.buffers()[1], np.int64)[ends + found.offset] if len(flat) else np.zeros(len(ends), np.int64)
+        data = np.frombuffer(found.buffers()[2] or b"", np.uint8)
+        if self.prefix:
+            starts = at[:-1][at[:-1] < at[1:]]
+            drop = starts[data[starts] == 32]
+            data, at = np.delete(data, drop), at - np.searchsorted(drop, at)
+        texts = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at), pa.py_buffer(data)])
+        return pc.if_else(lists.is_valid(), texts, None).cast(pa.large_string()).cast(pa.string())
+
+
 _loaded: dict[int, Pieces] = {}
 
 
@@ -177,8 +218,7 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                texts = [None if i is None else p.decode(i) for i in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), p.decode_all(part.column(1))], ["row", "text"])
 
     out = df.mapInArrow(work, T.StructType([df.schema["row"]]).add("text", "string"))
     return out.select(*back, F.col("text").alias(text_col))

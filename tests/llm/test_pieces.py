@@ -1,6 +1,7 @@
 import random
 from array import array
 
+import pyarrow as pa
 import pytest
 
 from aidlake.llm import pieces
@@ -87,3 +88,19 @@ def test_columns_with_clashing_names(spark):
 def test_a_very_long_text_without_spaces():
     t = "abcdefghij" * 150_000
     assert P.decode(ids(t)) == t.encode()
+
+
+def test_columns_decode_like_single_texts_and_chunks_are_kept_as_bytes():
+    texts = ["", "a", "  two  spaces", "\u2581lit", "\u4e2d\U0001f600 x", " ", "end "]
+    coded = []
+    for t in texts:
+        ids = array("i")
+        P.encode(t, ids)
+        coded.append(ids.tolist())
+    lists = pa.array([None, *coded, None, []], pa.list_(pa.int32()))
+    assert P.decode_all(lists).to_pylist() == [None, *texts, None, ""]
+    assert P.decode_all(lists.slice(2, 4)).to_pylist() == [P.decode(c).decode() for c in coded[1:5]] and P.decode_all(lists.slice(0, 1)).to_pylist() == [None] and P.decode_all(lists.slice(0, 0)).to_pylist() == []
+    for bad in ([10**6], [-1], [None]):
+        with pytest.raises(KeyError):
+            P.decode_all(pa.array([bad], pa.list_(pa.int32())))
+    assert all(isinstance(ids, bytes) for ids in P.known.values())
