@@ -8,6 +8,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
@@ -175,13 +176,80 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return a.join(b, ["node", "label"], "left_anti").isEmpty()
 
 
+#: Queries and items that meet in one task, and those whose products a task holds at a time.
+QUERIES, ITEMS, SLICE = 20_000, 100_000, 1024
+
+
+def _best(k: int, dim: int):
+    """For the queries and items of a task: each query's k items of the largest dot product, ties to the smaller id.
+
+    Products of matrices choose what may be among them; these few are summed once more in the vectors' order, as dot() does.
+    """
+
+    def work(queries: pa.Table, items: pa.Table) -> pa.Table:
+        out = {"query": [], "item": [], "score": []}
+        if queries.num_rows and items.num_rows:
+            ids = pa.chunked_array([*queries["query"].chunks, *items["item"].chunks]).combine_chunks().dictionary_encode()
+            code = np.argsort(pc.sort_indices(ids.dictionary).to_numpy())[ids.indices.to_numpy()]
+            q_id, i_id = code[: queries.num_rows], code[queries.num_rows :]
+            x, y = (t[c].combine_chunks().flatten().to_numpy().astype(float).reshape(-1, dim) for t, c in ((queries, "_q"), (items, "_i")))
+            long = np.sqrt((y * y).sum(1)).max() * dim * 1e-15
+            found = []
+            for lo in range(0, len(x), SLICE):
+                xs, qs = x[lo : lo + SLICE], q_id[lo : lo + SLICE]
+                off = (np.sqrt((xs * xs).sum(1)) * long)[:, None]  # more than either sum's rounding
+                row, item, score = np.empty(0, int), np.empty(0, int), np.empty(0)
+                least = np.full((len(xs), 1), -np.inf)
+                for at in range(0, len(y), SLICE):
+                    ys, own = y[at : at + SLICE], i_id[at : at + SLICE]
+                    about = xs @ ys.T
+                    if len(own) > k + 1:  # the query itself may be one of them
+                        least = np.maximum(least, np.partition(about, -k - 1, axis=1)[:, -k - 1 : -k] - off) if not at else least
+                    r, c = np.nonzero(about >= least - off)
+                    r, c = (v[qs[r] != own[c]] for v in (r, c))
+                    exact = np.zeros(len(r))
+                    for d in range(dim):
+                        exact += xs[r, d] * ys[c, d]
+                    row, item, score = np.append(row, r), np.append(item, own[c]), np.append(score, exact)
+                    order = np.lexsort((item, -score, row))
+                    row, item, score = row[order], item[order], score[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, item, score, place = (v[place < k] for v in (row, item, score, place))
+                    least[row[place == k - 1], 0] = score[place == k - 1]
+                found.append((qs[row], item, score))
+            names = ids.dictionary.take(pc.sort_indices(ids.dictionary))
+            q, i, score = map(np.concatenate, zip(*found, strict=True))
+            out = {"query": names.take(pa.array(q)), "item": names.take(pa.array(i)), "score": score}
+        return pa.table({"query": pa.array(out["query"], queries["query"].type), "item": pa.array(out["item"], items["item"].type), "score": pa.array(out["score"], pa.float64())})
+
+    return work
+
+
 def top_k(queries: DataFrame, items: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(query, item, score): the k items with the largest dot product for each query; ties to the smaller id.
+    """(query, item, score, place): the k items with the largest dot product for each query; ties to the smaller id.
 
-    The queries are a small stated set that is matched against all items.
+    Every query meets every item, in a grid of tasks of QUERIES by ITEMS that give k rows a query. Vectors that are null or
+    empty, hold null, huge or non-finite components or are not as long as most have the scores that dot() gives them, row by row.
     """
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q"))
-    i = items.select(F.col(id_col).alias("item"), F.col(vec_col).alias("_i"))
-    scored = i.join(q, F.col("query") != F.col("item")).select("query", "item", dot(F.col("_q"), F.col("_i")).alias("score"))
+    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("_q")).where("query is not null")
+    i = items.select(F.col(id_col).alias("item"), F.col(vec_col).alias("_i")).where("item is not null")
+    plain = lambda v: F.coalesce(F.forall(v, lambda e: F.abs(e) < 1e100), F.lit(False)) & (F.size(v) > 0)
+    sizes = lambda t, v: {r[0]: r[1] for r in t.groupBy(F.when(plain(F.col(v)), F.size(v)).alias("d")).count().collect()}
+    nq, ni = sizes(q, "_q"), sizes(i, "_i")  # a number a length
+    dim = max((d for d in ni if d), key=lambda d: (ni[d], -d), default=0)
+    good = lambda v: plain(F.col(v)) & (F.size(v) == dim)
+    a, b = max(1, -(-ni.get(dim, 0) // ITEMS)), max(1, -(-nq.get(dim, 0) // QUERIES))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    qs = q.where(good("_q")).select(part("query", b).cast("int").alias("b"), each(a).alias("a"), "*")
+    is_ = i.where(good("_i")).select(part("item", a).cast("int").alias("a"), each(b).alias("b"), "*")
+    schema = StructType([StructField("query", q.schema["query"].dataType), StructField("item", i.schema["item"].dataType), StructField("score", DoubleType())])
+    scored = qs.groupBy("a", "b").cogroup(is_.groupBy("a", "b")).applyInArrow(_best(k, dim), schema)
+    odd_q, odd_i = (sum(n.values()) > n.get(dim, 0) for n in (nq, ni))
+    by_row = lambda qs, is_: is_.join(qs, F.col("query") != F.col("item")).select("query", "item", dot(F.col("_q"), F.col("_i")).alias("score"))
+    if odd_q:
+        scored = scored.unionByName(by_row(q.where(~good("_q")), i))
+    if odd_i:
+        scored = scored.unionByName(by_row(q.where(good("_q")), i.where(~good("_i"))))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -539,3 +539,23 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(learning, "TASK", 10)
     monkeypatch.setattr(learning.GBTRegressor, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
     assert learning.boosted(rows, ["x"], "y").getNumTrees == 15 and seen == [10]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_nearest_items_meet_in_blocks_and_equal_plain_sums(spark, monkeypatch, odd):
+    for name, n in (("QUERIES", 7), ("ITEMS", 40), ("SLICE", 8)):
+        monkeypatch.setattr(graphs, name, n, raising=False)
+    r = random.Random(6)
+    rows = [(i, [float(r.randrange(-3, 4)) / 8 for _ in range(5)]) for i in range(150)] + [(200 + i, [0.5, 0.25, 0.0, 1.0, -1.0]) for i in range(30)]
+    if odd:
+        rows += [(300, None), (310, []), (320, [1.0, None, 1.0, 1.0, 1.0]), (330, [1.0]), (340, [float("nan")] * 5), (350, [float("inf")] * 5), (None, [1.0] * 5)]
+    e = spark.createDataFrame(rows, "id long, v array<float>")
+    out = graphs.top_k(e.where("id % 10 = 0"), e, "id", "v", 4)
+    q, i = e.where("id % 10 = 0").toDF("query", "q"), e.toDF("item", "i")
+    score = F.aggregate(F.zip_with("q", "i", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    want = q.join(i, F.col("query") != F.col("item")).select("query", "item", score.alias("score")).withColumn("place", F.expr("row_number() over (partition by query order by score desc, item)")).where("place <= 4")
+    rows = lambda df: sorted(repr(tuple(x)) for x in df.select("query", "item", "score", "place").collect())
+    assert rows(out) == rows(want)
+    if not odd:
+        plan = out._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
