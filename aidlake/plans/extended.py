@@ -228,7 +228,8 @@ def made_pictures(spark, d: str) -> tuple[DataFrame, DataFrame]:
     """Features of a picture a supplier: fire by its nation, noise by its balance; (to learn from, to judge by)."""
     of = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 2).cast("int").alias("fire"), (5 + F.pmod(F.abs("s_acctbal").cast("double"), F.lit(45.0))).alias("noise"))
     rows = pictures.features(files.made_pictures(spark, shared.folder(spark, "pictures"), of))
-    rows = shared.table(rows.select(F.regexp_extract("path", r"(\d+)[.]png$", 1).cast("int").alias("id"), (F.col("label") == "fire").cast("int").alias("fire"), "red_share", "brightness", "contrast"), "features")
+    rows = rows.select(F.regexp_extract("path", r"(\d+)[.]png$", 1).cast("int").alias("id"), (F.col("label") == "fire").cast("int").alias("fire"), "red_share", "brightness", "contrast")
+    rows = shared.table(rows.repartition("id"), "features")  # few files, as each round of learning opens them all
     return rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
 
 

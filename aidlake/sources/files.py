@@ -299,6 +299,10 @@ def png(width: int, height: int, rgb: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+#: Pictures that a task makes up.
+PICTURES = 2_000
+
+
 def made_pictures(spark: SparkSession, folder: str, of: int | DataFrame, size: int = 16, seed: int = 0) -> DataFrame:
     """Made-up pictures of fire and no fire, written to a shared folder by the tasks and read as labelled images.
 
@@ -319,5 +323,6 @@ def made_pictures(spark: SparkSession, folder: str, of: int | DataFrame, size: i
                     f.write(png(size, size, pixels.tobytes()))
             yield b.select(["id"])
 
-    of.select("id", "fire", "noise").mapInArrow(work, "id long").count()
+    of = of.select("id", "fire", "noise")
+    of.repartition(max(1, -(-of.count() // PICTURES)), "id").mapInArrow(work, "id long").count()
     return images(spark, folder)

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aidlake.functions import geo
-from aidlake.plans import catalog
+from aidlake.plans import catalog, extended
 from aidlake.operators import allocation, gazetteer, graphs, inference, learning, pictures, rasters, recurrent, series, spatial, tagging, texts
 from aidlake.sources import files
 from aidlake.streaming import monitor
@@ -559,3 +559,9 @@ def test_nearest_items_meet_in_blocks_and_equal_plain_sums(spark, monkeypatch, o
     if not odd:
         plan = out._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_features_of_pictures_lie_in_few_files(spark):
+    learn, judge = extended.made_pictures(spark, "/root/testdata/sf0.01")
+    assert len(learn.inputFiles()) == 1 and learn.count() + judge.count() == 100
+    assert learn.unionByName(judge).select("id").distinct().count() == 100
