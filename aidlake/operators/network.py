@@ -15,6 +15,8 @@ from ..sources.shared import drop, table
 
 #: Partial gradients that meet in one task of the tree, and that may come to the driver.
 FAN = 64
+#: Rows that are packed into one value.
+PACK = 4_096
 #: Steps of the resilient rule: the first one, its bounds, and the factors where a slope keeps or turns its sign.
 FIRST, LEAST, MOST, KEEPS, TURNS = 0.05, 1e-6, 1.0, 1.2, 0.5
 
@@ -51,8 +53,12 @@ class Network:
             values.append(v if n == len(layers) - 1 else np.tanh(v))
         return values
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """(loss, its gradient by the weights), summed over the rows: cross entropy of classes, or half the squared errors."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """(loss, its gradient by the weights), summed over the rows: cross entropy of classes, or half the squared errors.
+
+        A row counts as often as times says, once if it is not given.
+        """
+        times = np.ones(len(x)) if times is None else times
         values, grad = self.forward(x), np.zeros_like(self.weights)
         last = values[-1]
         if self.classes:
@@ -60,12 +66,13 @@ class Network:
             p = np.exp(last)
             p /= p.sum(1, keepdims=True)
             at = (np.arange(len(y)), y[:, 0].astype(int))
-            loss = -float(np.log(np.maximum(p[at], 1e-300)).sum())
+            loss = -float(times @ np.log(np.maximum(p[at], 1e-300)))
             p[at] -= 1
-            back = p
+            back = p * times[:, None]
         else:
             back = last - (y - self.out_centre) / self.out_scale
-            loss = float((back * back).sum() / 2)
+            loss = float(times @ (back * back).sum(1) / 2)
+            back *= times[:, None]
         for (w, _), (dw, db), v in zip(self.parts(self.weights)[::-1], self.parts(grad)[::-1], values[-2::-1], strict=True):
             dw += v.T @ back
             db += back.sum(0)
@@ -78,17 +85,34 @@ class Network:
         return last.argmax(1)[:, None].astype(float) if self.classes else last * self.out_scale + self.out_centre
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(packed binary): rows and how often each occurs, PACK a value; equal rows are one."""
+    names = rows.columns
+    once = rows.groupBy(*names).agg(F.count("*").cast("double").alias("times"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, PACK):
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.slice(lo, PACK).columns])
+                yield pa.RecordBatch.from_pydict({"packed": pa.array([x.tobytes()], pa.binary())})
+
+    return once.sortWithinPartitions(*names).mapInArrow(work, "packed binary")
+
+
 def _sums(rows: DataFrame, net: Network, inputs: int, tasks: int) -> tuple[float, np.ndarray]:
-    """(loss, gradient) over all rows: a row a task, then a row for FAN of those, and so on."""
+    """(loss, gradient) over all rows, plain or packed: a row a task, then a row for FAN of those, and so on."""
+    packed = rows.columns == ["packed"]
+    wide = inputs + (1 if net.classes else net.sizes[-1]) + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, loss, grad = None, 0.0, np.zeros_like(net.weights)
         for b in batches:
             if b.num_rows:
                 part = b.column(0)[0].as_py()
-                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
-                more, slope = net.gradient(x[:, :inputs], x[:, inputs:])
-                loss, grad = loss + more, grad + slope
+                parts = (np.frombuffer(v.as_buffer()).reshape(-1, wide) for v in b.column(1)) if packed else [np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in b.columns[1:]), np.ones(b.num_rows)])]
+                for x in parts:
+                    more, slope = net.gradient(x[:, :inputs], x[:, inputs:-1], x[:, -1])
+                    loss, grad = loss + more, grad + slope
         if part is not None:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "loss": [loss], "grad": [grad.tobytes()]})
 
@@ -110,9 +134,9 @@ def fit(df: DataFrame, features: list[str], targets: list[str], hidden: list[int
     """A network from all rows of df; targets is one column of class numbers 0 to classes - 1, or columns of numbers.
 
     A round is one pass over the rows: each task adds up its rows' gradients and sends one row as large as the
-    weights; those meet FAN by FAN until FAN are left, which the driver adds. Weights follow the resilient rule: each has a
+    weights; those meet FAN by FAN until FAN are left, which the driver adds. Equal rows are reckoned once, with their number. Weights follow the resilient rule: each has a
     step of its own that grows while its slope keeps its sign and shrinks when it turns, so there is no rate to set. The rows
-    are read from a table of the shared folder that has only these columns. A row with a null or a number that is not finite
+    are read from a table of the shared folder that has only these columns, PACK of them in a value. A row with a null or a number that is not finite
     in any of them, or with a class out of range, teaches nothing; without rows the weights stay as they were drawn. Reruns
     agree as far as the table is cut into the same tasks. trace, if given, gets the mean loss of each round.
     """
@@ -124,10 +148,12 @@ def fit(df: DataFrame, features: list[str], targets: list[str], hidden: list[int
     rows = df.select(*cols)
     for f in finite:
         rows = rows.where(f)
-    rows = table(rows, "network")
-    names = rows.columns
+    plain = table(rows, "network")
+    names = plain.columns
+    rows = table(_packed(plain), "packed")
     n_in, n_out = len(features), classes or len(targets)
-    about = rows.withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("task").alias("last"), *[f(c).alias(f"{c}_{f.__name__}") for c in names for f in (F.avg, F.stddev_pop)]).first()
+    last = rows.select(F.spark_partition_id().alias("task")).agg(F.coalesce(F.max("task"), F.lit(0))).first()[0]
+    about = plain.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in names for f in (F.avg, F.stddev_pop)]).first()
     centre = np.array([about[f"{c}_avg"] or 0.0 for c in names])
     scale = np.array([about[f"{c}_stddev_pop"] or 1.0 for c in names])
     sizes, rng = (n_in, *hidden, n_out), np.random.default_rng(seed)
@@ -135,8 +161,9 @@ def fit(df: DataFrame, features: list[str], targets: list[str], hidden: list[int
     net = Network(sizes, bool(classes), flat, centre[:n_in], scale[:n_in], centre[n_in:], scale[n_in:])
     step, before = np.full_like(flat, FIRST), np.zeros_like(flat)
     best, least = flat, float("inf")
+    drop(plain)
     for _ in range(rounds + 1 if about["n"] else 0):
-        loss, grad = _sums(rows, net, n_in, about["last"] + 1)
+        loss, grad = _sums(rows, net, n_in, last + 1)
         if trace is not None:
             trace.append(loss / about["n"])
         if loss < least:

@@ -65,3 +65,17 @@ def test_no_rows_and_constant_columns(spark):
     same = spark.createDataFrame([(1.0, 2.0)] * 5, "a double, y double")
     net = network.fit(same, ["a"], ["y"], [3], rounds=20)
     assert same.select(network.predict(net, ["a"]).alias("got")).first().got[0] == pytest.approx(2.0, abs=0.1)
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_equal_rows_are_reckoned_once_with_their_number(spark, monkeypatch, classes):
+    monkeypatch.setattr(network, "PACK", 3, raising=False)
+    net, x, y = drawn(classes)
+    rows = [tuple(map(float, (*a, *b))) for a, b in zip(x, y, strict=True)]
+    names = ["a", "b", "c", "y", "z"][: 3 + y.shape[1]]
+    df = spark.createDataFrame([r for n, r in enumerate(rows) for _ in range(n + 1)], ", ".join(f"{n} double" for n in names)).repartition(5)
+    packed = network._packed(df)
+    assert sum(len(r.packed) for r in packed.collect()) == 8 * len(rows) * (len(names) + 1)
+    loss, grad = network._sums(packed, net, 3, 5)
+    want = net.gradient(np.repeat(x, range(1, 8), axis=0), np.repeat(y, range(1, 8), axis=0))
+    assert loss == pytest.approx(want[0]) and np.allclose(grad, want[1])
