@@ -302,6 +302,19 @@ def found_in(media: bytes | None) -> tuple:
     )
 
 
+#: Streams that a task holds as Python's own bytes at a time.
+STREAMS = 64
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The row and the columns of READ for batches of (row, media), STREAMS at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, STREAMS):
+            part = b.slice(lo, STREAMS)
+            got = zip(*(found_in(m.as_py()) for m in part.column(1)), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, (_, t) in zip(got, READ.values(), strict=True))], ["row", *READ])
+
+
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df with what its transport streams hold in place of media_col: digests, features, timestamps, access points.
 
@@ -313,12 +326,7 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     rows = df.select(row, by_name(media_col).alias("media"))
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, (kind, _) in READ.items()))])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = list(zip(*map(found_in, b.column(1).to_pylist()), strict=True)) or [()] * len(READ)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(got, READ.values(), strict=True))], ["row", *READ])
-
-    return rows.mapInArrow(work, schema).select(*back, *READ)
+    return rows.mapInArrow(_read, schema).select(*back, *READ)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -120,3 +120,14 @@ def test_damaged_and_null_streams_leave_the_others_alone(spark):
     assert got[1].payload_bytes == 64 and got[1].error is None and got[1]["a.row"] == "t" and got[1].feature != "f"
     assert "188" in got[2].error and got[2].media_bytes == 100 and got[2].payload_bytes is None
     assert set(got[3].asDict().values()) == {3, None} and got[4].payload_bytes == 0 and "sync" in got[5].error
+
+
+def test_streams_are_read_few_at_a_time():
+    import pyarrow as pa
+
+    media = [ts.mux(ts.padded(b"x" * n)) for n in range(150)] + [None, b"bad"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(media))), pa.array(media, pa.binary())], ["row", "media"])
+    got = list(ts._read(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in got) <= ts.STREAMS
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == [(n, *ts.found_in(m)) for n, m in enumerate(media)]
