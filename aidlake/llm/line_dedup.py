@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from .common import by_name, written
 
-#: A token that holds a digit is a variable field: numbers, dates, addresses, identifiers.
-VARIABLE = r"[^\s\d]*\d\S*"
+#: A token that holds a digit is a variable field: numbers, dates, addresses, identifiers. Looked for from a token's start
+#: alone and without going back, so that a long token costs its length.
+VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*+"
 FIELD = "<*>"
 #: Documents that make a line recur, and the shortest line looked at: any line that two documents share goes.
 MIN_DOCS, MIN_TOKENS = 2, 1
@@ -19,9 +20,11 @@ SHORT = 4
 
 def tokenized(line: Column) -> Column:
     """A line's tokens, variable fields masked, but not in a short line that has no other token."""
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != "")
+    for space in "\t\v\f\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    split = lambda c: F.array_remove(F.split(c, " "), "")
     masked = split(F.when(line.rlike(r"\d"), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line))
-    return F.when((F.size(masked) < SHORT) & F.forall(masked, lambda t: t == FIELD), split(line)).otherwise(masked)
+    return F.when((F.size(masked) < SHORT) & (F.size(F.array_remove(masked, FIELD)) == 0), split(line)).otherwise(masked)
 
 
 def parsed(df: DataFrame, depth: int) -> DataFrame:

@@ -145,3 +145,13 @@ def test_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", "x", "y", "z"), (2, "a b", "x", "y", "z")], "doc_id long, text string, id string, `a.b` string, row string")
     got = sorted(line_dedup.line_dedup(df).collect())
     assert [(g.text, g["id"], g["a.b"], g["row"]) for g in got] == [("a b", "x", "y", "z"), ("", "x", "y", "z")]
+
+
+def test_a_token_costs_its_length(spark):
+    """A very long token without a digit in a line that has digits elsewhere; any white space cuts tokens, U+00A0 is none."""
+    long = "x" * 400_000
+    lines = [f"{long} at 10:05", "\v a1\tb\f\r c\u00a0d2  e ", "7 8\t9", "", " \t"]
+    df = spark.createDataFrame([(l,) for l in lines], "line string")
+    began = time.time()
+    got = [r[0] for r in df.select(line_dedup.tokenized(df["line"])).collect()]
+    assert got == [[long, "at", "<*>"], ["<*>", "b", "<*>", "e"], ["7", "8", "9"], [], []] and time.time() - began < 20
