@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import count
 
@@ -11,13 +12,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegralType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.geo import dot
 from ..sources.shared import drop, folder, table
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64 bits."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
 #: Edges that a task settles by itself in the search for routes.
 BLOCK = 500_000
 
@@ -25,9 +32,9 @@ BLOCK = 500_000
 class Bucketed:
     """A table in the shared folder, bucketed by a column: what joins on it moves to its buckets, it stays."""
 
-    def __init__(self, spark: SparkSession, by: str, name: str):
+    def __init__(self, spark: SparkSession, by: str, name: str, n: int | None = None):
         self.spark, self.by, self.path = spark, by, folder(spark, name)
-        self.name, self.n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.n = f"{name}_{uuid.uuid4().hex}", n or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def append(self, df: DataFrame) -> None:
         df.write.bucketBy(self.n, self.by).sortBy(self.by).mode("append").option("path", self.path).format("parquet").saveAsTable(self.name)
@@ -151,25 +158,125 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, risk_weight: float = 1.
         drop(before)
 
 
+#: Edges whose ends vote in a task at a time, and those of a node from which on its votes are spread over the tasks by label.
+VOTES = HUB = 1_000_000
+#: Neighbours in a row of the written graph.
+CHUNK = 1024
+DEALT = "to int, src array<bigint>, label array<bigint>, n array<bigint>"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (dst, srcs) of up to CHUNK neighbours from edges(src, dst) in the order of dst."""
+    for b in batches:
+        src, dst = b.column("src"), b.column("dst").to_numpy()
+        first = np.union1d(np.flatnonzero(dst[1:] != dst[:-1]) + 1, np.arange(0, len(dst), CHUNK))
+        yield pa.RecordBatch.from_arrays([pa.array(dst[first]), pa.ListArray.from_arrays(np.append(first, len(dst)).astype(np.int32), src)], ["dst", "srcs"])
+
+
+def _deal(parts: int, hubs: np.ndarray):
+    """For rows (srcs, label): the number of votes for each label that each of srcs has here, packed by the part that counts them."""
+
+    def dealt(src: np.ndarray, size: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        names, label = np.unique(label, return_inverse=True)
+        least, ids = int(src.min()), None
+        if (int(src.max()) - least + 1) * len(names) >= 1 << 63:
+            ids, src = np.unique(src, return_inverse=True)
+            least = 0
+        key = np.sort((src - least) * len(names) + np.repeat(label, size))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(first, len(key)))
+        src, label = key[first] // len(names) + least, names[key[first] % len(names)]
+        src = src if ids is None else ids[src]
+        spread = mixed(src.view(np.uint64)) ^ np.where(np.isin(src, hubs), mixed(~label.view(np.uint64)), np.uint64(0))
+        to = ((mixed(spread) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        at = np.searchsorted(to[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(at))
+        ends = pa.array(np.append(at[some], len(to)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (src, label, n))], ["to", "src", "label", "n"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                srcs = b.column("srcs")
+                held.append((srcs.flatten().to_numpy(), srcs.value_lengths().to_numpy(), b.column("label").to_numpy()))
+                n += len(held[-1][0])
+            if n >= VOTES:
+                yield dealt(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield dealt(*map(np.concatenate, zip(*held, strict=True)))
+
+    return work
+
+
+def _choose(votes: pa.Table) -> pa.Table:
+    """The label with the most votes of each node, ties to the least, and that number."""
+    src, label, n = (votes[c].combine_chunks().flatten().to_numpy() for c in ("src", "label", "n"))
+    order = np.lexsort((label, src))
+    src, label, n = src[order], label[order], n[order]
+    first = np.flatnonzero(np.append(True, (src[1:] != src[:-1]) | (label[1:] != label[:-1])))
+    src, label, n = src[first], label[first], np.add.reduceat(n, first)
+    start = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+    most = np.maximum.reduceat(n, start)
+    best = np.flatnonzero(n == np.repeat(most, np.diff(np.append(start, len(src)))))
+    best = best[np.searchsorted(best, start)]
+    return pa.table({"node": src[start], "label": label[best], "n": most})
+
+
 def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, label): label propagation over undirected edges(src, dst): each round the commonest label, ties to the least.
 
     Rounds go on until no label changes, or until the labels are those of two rounds before, as on graphs of two
     sides; then a node gets the lesser of its two labels. With `rounds` given there are so many at most.
+
+    The graph is written once as lists of neighbours, bucketed by node, and stays there. A round brings the labels to the
+    lists; tasks count the votes of about VOTES edges at a time and send them, packed, to the parts that own the nodes that
+    they are for, and as many parts there are as the edges need. Votes for a node of more than HUB edges are spread over the parts
+    by label. In the first round all labels differ, so the least neighbour wins.
     """
-    both = table(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "edges")
-    labels = table(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    older = None
+    spark = edges.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // VOTES))
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).repartition(parts, "src", "dst").distinct()
+    kind, names = pairs.schema["src"].dataType, None
+    if not isinstance(kind, IntegralType):  # numbers in the nodes' order take their place
+        pairs = table(pairs, "named")
+        nodes = pairs.select(F.col("src").alias("name")).unionByName(pairs.select(F.col("dst").alias("name"))).distinct()
+        names = table(nodes.repartitionByRange(parts, "name").sortWithinPartitions("name").withColumn("id", F.monotonically_increasing_id()), "names")
+        pairs = pairs.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    pairs = table(pairs.select(F.col("src").cast("long"), F.col("dst").cast("long")), "edges")
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = Bucketed(spark, "dst", "neighbours", parts)
+    near.append(both.repartition(parts, "dst").sortWithinPartitions("dst").mapInArrow(_packed, "dst bigint, srcs array<bigint>"))
+    drop(pairs)
+    start = near.read().groupBy("dst").agg(F.min(F.array_min("srcs")).alias("label"), F.sum(F.size("srcs")).alias("n"))
+    new = table(start.select(F.col("dst").alias("node"), "label", "n"), "labels")
+    hubs = [r.node for r in new.where(F.col("n") > HUB).select("node").collect()]  # two for HUB edges at most
+    deal, new = _deal(parts, np.array(hubs, np.int64)), new.drop("n")
+    older, labels = None, new.select("node", F.col("node").alias("label"))
     for n in count(1):
-        votes = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
-        new = table(votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select(F.col("src").alias("node"), F.col("m.label").alias("label")), "labels")
+        if n > 1:
+            lists = near.read().join(labels.hint("shuffle_hash"), F.col("dst") == F.col("node")).select("srcs", "label")
+            chosen = lists.mapInArrow(deal, DEALT).repartition(parts, "to").groupBy("to").applyInArrow(_choose, "node bigint, label bigint, n bigint")
+            if hubs:
+                spread, chosen = F.col("node").isin(hubs), table(chosen, "chosen")
+                of_hubs = chosen.where(spread).groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label"))
+                chosen = chosen.where(~spread).select("node", "label").unionByName(of_hubs)
+            new = table(chosen.select("node", "label"), "labels")
         if n == rounds or _same(new, labels):
-            return new
+            break
         if older is not None:
             if _same(new, older):
-                return new.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-            drop(older)
+                new = table(new.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
+                break
+            if n > 2:
+                drop(older)
         older, labels = labels, new
+    drop(near.closed())
+    if names is not None:
+        return new.join(names.toDF("node_name", "node"), "node").join(names.toDF("label_name", "label"), "label").select(F.col("node_name").alias("node"), F.col("label_name").alias("label"))
+    return new.select(F.col("node").cast(kind), F.col("label").cast(kind))
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:

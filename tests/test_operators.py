@@ -565,3 +565,27 @@ def test_features_of_pictures_lie_in_few_files(spark):
     learn, judge = extended.made_pictures(spark, "/root/testdata/sf0.01")
     assert len(learn.inputFiles()) == 1 and learn.count() + judge.count() == 100
     assert learn.unionByName(judge).select("id").distinct().count() == 100
+
+
+def plain_communities(edges, rounds):
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    labels = {n: n for n in near}
+    for _ in range(rounds):
+        labels = {n: min(set(v := [labels[b] for b in near[n]]), key=lambda x: (-v.count(x), x)) for n in near}
+    return labels
+
+
+@pytest.mark.parametrize("name", [int, "n{:05}".format])
+def test_communities_count_packed_votes(spark, monkeypatch, name):
+    """Few votes a part, nodes with many edges and names instead of numbers give the labels of plain rounds."""
+    monkeypatch.setattr(graphs, "VOTES", 60)
+    monkeypatch.setattr(graphs, "HUB", 25)
+    r = random.Random(5)
+    edges = [(name(r.randrange(90)), name(r.randrange(90))) for _ in range(240)] + [(name(7), name(i)) for i in range(90)]
+    df = spark.createDataFrame(edges, f"src {'long' if name is int else 'string'}, dst {'long' if name is int else 'string'}")
+    for rounds in (1, 2, 4):
+        assert {r.node: r.label for r in graphs.communities(df, rounds).collect()} == plain_communities(edges, rounds)
