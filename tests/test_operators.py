@@ -589,3 +589,13 @@ def test_communities_count_packed_votes(spark, monkeypatch, name):
     df = spark.createDataFrame(edges, f"src {'long' if name is int else 'string'}, dst {'long' if name is int else 'string'}")
     for rounds in (1, 2, 4):
         assert {r.node: r.label for r in graphs.communities(df, rounds).collect()} == plain_communities(edges, rounds)
+
+
+def test_parts_of_communities_follow_the_edges(spark, monkeypatch):
+    """What a task sorts and counts is bounded by the number of parts, which grows with the edges."""
+    made = []
+    monkeypatch.setattr(graphs, "VOTES", 20)
+    monkeypatch.setattr(graphs.Bucketed, "append", lambda self, df, old=graphs.Bucketed.append: (made.append((self.n, df.rdd.getNumPartitions())), old(self, df)))
+    edges = [(i, i + d) for i in range(100) for d in (1, 2)]
+    graphs.communities(spark.createDataFrame(edges, "src long, dst long"), 1).collect()
+    assert made == [(10, 10)]
