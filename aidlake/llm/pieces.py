@@ -28,6 +28,9 @@ LITERAL = "\udc00"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Chunks remembered by a worker, and the longest of them.
 REMEMBERED, SHORT = 500_000, 64
+#: Rows that are encoded or decoded at a time.
+STEP = 512
+IDS = T.ArrayType(T.IntegerType())
 #: What a character outside all pieces costs below the lowest score, as the library has it.
 UNKNOWN = 10.0
 
@@ -180,51 +183,65 @@ def _model(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(model)
 
 
+def _encoded(p: Pieces, column: pa.Array) -> pa.ListArray:
+    """The ids of a column of texts."""
+    ids, ends = array("i"), [0]
+    texts = column.to_pylist()
+    for t in texts:
+        if t:
+            p.encode(t, ids)
+        ends.append(len(ids))
+    none = pa.array([t is None for t in texts])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()), mask=none)
+
+
+def _mapped(df: DataFrame, col: str, path: str, out: dict[str, T.DataType], find: Callable[[Pieces, pa.Array], list[pa.Array]]) -> DataFrame:
+    """df with the columns `out` (name: type) that find makes of col, STEP rows at a time, in place of those of that name."""
+    row, back = carried(df, set(out))
+    df, model = df.select(row, by_name(col).alias("given")), _model(df, path)
+    names = [f"made{n}" for n in range(len(out))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = _pieces(model.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, STEP):
+                part = b.slice(lo, STEP)
+                yield pa.RecordBatch.from_arrays([part.column(0), *find(p, part.column(1))], ["row", *names])
+
+    schema = T.StructType([df.schema["row"]])
+    for n, kind in zip(names, out.values(), strict=True):
+        schema = schema.add(n, kind)
+    return df.mapInArrow(work, schema).select(*back, *[F.col(n).alias(c) for n, c in zip(names, out, strict=True)])
+
+
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str = MODEL) -> DataFrame:
     """df with ids_col (array<int>) for text_col; null for null, empty for empty; texts are taken whole.
 
     Rows are encoded one by one: repeats get the same ids, an empty table stays empty. Other columns are passed on;
     one called like ids_col is replaced. A very long text without spaces is one pass over its length.
     """
-    row, back = carried(df, {ids_col})
-    df, model = df.select(row, by_name(text_col).alias("text")), _model(df, path)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model.value)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                ids, ends = array("i"), [0]
-                texts = part.column(1).to_pylist()
-                for t in texts:
-                    if t:
-                        p.encode(t, ids)
-                    ends.append(len(ids))
-                none = pa.array([t is None for t in texts])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()), mask=none)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["row", "ids"])
-
-    out = df.mapInArrow(work, T.StructType([df.schema["row"]]).add("ids", T.ArrayType(T.IntegerType())))
-    return out.select(*back, F.col("ids").alias(ids_col))
+    return _mapped(df, text_col, path, {ids_col: IDS}, lambda p, texts: [_encoded(p, texts)])
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str = MODEL) -> DataFrame:
     """df with text_col (string) for ids_col; null for null; other columns are passed on, whatever their names."""
-    row, back = carried(df, {text_col})
-    df, model = df.select(row, by_name(ids_col).alias("ids")), _model(df, path)
+    return _mapped(df, ids_col, path, {text_col: T.StringType()}, lambda p, ids: [p.decode_all(ids)])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model.value)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), p.decode_all(part.column(1))], ["row", "text"])
 
-    out = df.mapInArrow(work, T.StructType([df.schema["row"]]).add("text", "string"))
-    return out.select(*back, F.col("text").alias(text_col))
+def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "ids", back_col: str = "decoded", path: str = MODEL) -> DataFrame:
+    """decode(encode(df)) in one pass: a task has one Python worker in place of two, so the vocabulary and the remembered chunks once.
+
+    back_col is decoded from the ids; it may be text_col, which it then replaces.
+    """
+
+    def both(p: Pieces, texts: pa.Array) -> list[pa.Array]:
+        ids = _encoded(p, texts)
+        return [ids, p.decode_all(ids)]
+
+    return _mapped(df, text_col, path, {ids_col: IDS, back_col: T.StringType()}, both)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode(encode(docs))
+    coded = round_trip(docs)
     return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))

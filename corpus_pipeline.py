@@ -85,7 +85,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has null ids and 0 tokens, an empty one none; repeats get equal ids; texts are taken whole. Columns of
     docs called ids or n_tokens are replaced. An empty table stays empty.
     """
-    coded = pieces.decode(pieces.encode(folded(docs)).drop("text"), text_col="text")
+    coded = pieces.round_trip(folded(docs), back_col="text")
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     back = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept]
     return coded.select(*back, F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids")

@@ -4,6 +4,7 @@ from array import array
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from aidlake.llm import pieces
 
 sp = pytest.importorskip("sentencepiece")
@@ -104,3 +105,21 @@ def test_columns_decode_like_single_texts_and_chunks_are_kept_as_bytes():
         with pytest.raises(KeyError):
             P.decode_all(pa.array([bad], pa.list_(pa.int32())))
     assert all(isinstance(ids, bytes) for ids in P.known.values())
+
+
+def test_round_trip_in_one_worker(spark):
+    """Both directions in one pass over the rows, so a task keeps one vocabulary and one set of remembered chunks."""
+    rows = [(i, t, "x", [1]) for i, t in enumerate([*TEXTS, None])] + [(None, "again", "x", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, decoded string, ids array<int>")
+    got = pieces.round_trip(df)
+    two = pieces.decode(pieces.encode(df))
+    assert sorted(map(str, got.select(two.columns).collect())) == sorted(map(str, two.collect()))
+    assert pieces.round_trip(df.limit(0)).collect() == []
+    same = pieces.round_trip(df.select("text", "doc_id"), back_col="text")
+    assert sorted(same.columns) == ["doc_id", "ids", "text"] and all(r.text == rows[r.doc_id][1] for r in same.where("doc_id is not null").collect())
+
+
+def test_the_pipeline_and_the_query_start_one_worker_a_task(spark, tmp_path):
+    spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for df in (pieces.query(spark, str(tmp_path)), corpus_pipeline.tokens(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
