@@ -159,7 +159,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, risk_weight: float = 1.
 
 
 #: Edges whose ends vote in a task at a time, and those of a node from which on its votes are spread over the tasks by label.
-VOTES = HUB = 1_000_000
+VOTES = HUB = 250_000
 #: Neighbours in a row of the written graph.
 CHUNK = 1024
 DEALT = "to int, src array<bigint>, label array<bigint>, n array<bigint>"

@@ -8,9 +8,12 @@ import os
 import random
 import sqlite3
 import struct
+import tracemalloc
 import zlib
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -591,6 +594,19 @@ def test_communities_count_packed_votes(spark, monkeypatch, name):
         assert {r.node: r.label for r in graphs.communities(df, rounds).collect()} == plain_communities(edges, rounds)
 
 
+def test_memory_of_a_part_of_communities():
+    """A part that is full, two votes an edge, is counted in some 60 MB beside the votes themselves; so is a batch that is dealt."""
+    n, r = 2 * graphs.VOTES, np.random.default_rng(0)
+    votes = pa.table({"to": pa.array([0], pa.int32()), **{c: pa.array([r.integers(0, n, n)], pa.list_(pa.int64())) for c in ("src", "label", "n")}})
+    batch = pa.RecordBatch.from_pydict({"srcs": pa.array(list(r.integers(0, n, (n // 1000, 500))), pa.list_(pa.int64())), "label": pa.array(r.integers(0, n, n // 1000))})
+    for work in (lambda: graphs._choose(votes), lambda: list(graphs._deal(100, np.array([], np.int64))(iter([batch])))):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20
+
+
 def test_parts_of_communities_follow_the_edges(spark, monkeypatch):
     """What a task sorts and counts is bounded by the number of parts, which grows with the edges."""
     made = []
